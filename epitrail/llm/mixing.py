@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_E
     met = pieces.drop("width").join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("block")), "left")
     taken = met.groupBy("doc_id", "source", "size", "start").agg(F.sum(F.coalesce(F.col("length") * F.col("times"), F.lit(0))).alias("taken"))
     rows = taken.drop("start").unionByName(measured.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return rows.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("g"))).drop("g")
+    return rows.join(goal, F.col("source").eqNullSafe(F.col("g"))).drop("g")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:

@@ -1,12 +1,18 @@
 """The registered queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from epitrail.llm import mixing, simhash
+from epitrail.llm import langid, mixing, neighbours, packing, quality, secrets, simhash, suffix, tokencount
 
 QUERIES = {
+    "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
+    "op2_suffix_array_dedup": suffix.op2_suffix_array_dedup,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_line_labelling": quality.op5_line_labelling,
     "op6_mixing_sources": mixing.op6_mixing_sources,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_separator_scan": tokencount.op8_separator_scan,
+    "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_language_id": langid.op10_language_id,
 }
-
 OP6_SQL = r"""
 WITH m AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 g AS (SELECT source, sum(size)::BIGINT AS source_size FROM m GROUP BY source),
