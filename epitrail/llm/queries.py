@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from epitrail.llm import langid, mixing, neighbours, packing, quality, secrets, simhash, suffix, tokencount
+from epitrail.llm import langid, linededup, mixing, neighbours, packing, quality, secrets, simhash, suffix, tokencount
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
     "op2_suffix_array_dedup": suffix.op2_suffix_array_dedup,
+    "op3_fuzzy_line_dedup": linededup.op3_line_dedup,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_line_labelling": quality.op5_line_labelling,
     "op6_mixing_sources": mixing.op6_mixing_sources,
