@@ -182,16 +182,22 @@ def long_previous_factors(contexts: list[bytes], docs, length: int):
 
     data = np.frombuffer(b"".join(contexts) + bytes(2 * length + 16), dtype=np.uint8)
     sizes = np.array([len(c) for c in contexts])
-    rank, size = data.astype(np.int64), 1
-    while size < length:  # ranks of the strings of ``size`` bytes: prefix doubling, the last step overlapping
-        step = min(size, length - size)
-        key = (rank[:-step] << 32) | rank[step:]
-        _, rank = np.unique(key, return_inverse=True)
-        size += step
     windows = sizes - length + 1
     context = np.repeat(np.arange(len(contexts)), windows)
     window = np.arange(len(context)) - np.repeat(np.cumsum(windows) - windows, windows)
-    rank = rank[(np.cumsum(sizes) - sizes)[context] + window]
+    at = (np.cumsum(sizes) - sizes)[context] + window
+    # ranks of the strings of ``size`` bytes: the first eight at once, then prefix doubling, the last step overlapping
+    rank, size = np.zeros(len(data) - 7, dtype=np.uint64), min(8, length)
+    for i in range(size):
+        rank = (rank << np.uint64(8)) | data[i : len(data) - 7 + i]
+    while size < length:
+        _, rank = np.unique(rank, return_inverse=True)
+        step = min(size, length - size)
+        low, high = (rank[at], rank[at + step]) if size + step == length else (rank[:-step], rank[step:])
+        rank = (low << 32) | high
+        size += step
+    if length <= 8:
+        rank = rank[at]
     doc = docs[context]
     suffixes = np.lexsort((doc, rank))  # the suffix array, as deep as matters
     value, order = doc[suffixes], rank[suffixes]
@@ -225,12 +231,12 @@ def _meet(sent: DataFrame, hot: int) -> DataFrame:
 
         chunks = rows.column("chunk").to_pylist()
         own = [np.frombuffer(x.as_py(), "<u4") for x in rows.column("picks")]
-        value, counts = np.unique(np.concatenate([np.unique(x) for x in own]), return_counts=True)
+        _, place, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        times = np.split(counts[place], np.cumsum([len(x) for x in own])[:-1])
         out = []
         for kind, least in ((0, 2), (1, hot + 1)):
-            many = value[counts >= least]
-            for chunk, picks in zip(chunks, own):
-                bits = np.isin(picks, many)
+            for chunk, n in zip(chunks, times):
+                bits = n >= least
                 if bits.any():
                     out.append((chunk, key[0].as_py(), kind, np.packbits(bits).tobytes()))
         columns = list(zip(*out)) or [[]] * 4
