@@ -1,8 +1,57 @@
-"""The corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing and packing, one after the other."""
+"""The corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing sources, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before kept. All but the last return the
+columns of ``documents``; stages are written as Parquet in the shared folder and read again by the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from epitrail.llm import langid, linededup, mixing, packing, simhash
+from epitrail.llm.common import DOC_COLUMNS, saved, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that the model rejects go: those without letters, or in no language that it knows."""
+    docs = docs.select(*DOC_COLUMNS)
+    return langid.accepted(docs, langid.train(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of lines that resemble each other the first stays."""
+    return linededup.deduplicated(docs.select(*DOC_COLUMNS))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicate documents the one with the smallest id stays."""
+    return simhash.deduplicated(docs.select(*DOC_COLUMNS))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs.select(*DOC_COLUMNS))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return packing.pack(docs.select(*DOC_COLUMNS))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("mixing_sources", mixing_sources),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: SQL expresses neither the language model nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -122,16 +122,17 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs:
 
     Of what is left, a last row has the first words, with single spaces; at most one document of each source is cut.
     """
-    taken = mix(docs, weights, epochs).where("taken > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("o"), F.col("size").alias("z"), "taken")
-    same = F.row_number().over(Window.partitionBy("d", "o", "z").orderBy(F.col("taken").desc()))
-    rows = docs.withColumn("z", word_count("text"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "z").orderBy("text"))
-    both = rows.withColumn("nth", nth).join(
-        taken.withColumn("i", same),
-        F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("o")) & (rows["z"] == taken["z"]) & (F.col("nth") == F.col("i")),
-    )
-    whole, rest = F.expr("cast(taken div i_z as int)"), F.col("taken") % F.col("i_z")
-    both = both.withColumn("i_z", rows["z"])
+    keys = {"_d": F.coalesce("doc_id", F.lit(0)), "_s": F.coalesce("source", F.lit("")), "_n": F.concat(F.col("doc_id").isNull().cast("string"), F.col("source").isNull().cast("string"))}
+
+    def numbered(df: DataFrame, order) -> DataFrame:
+        """Rows that share doc_id, source and size, numbered."""
+        nth = F.row_number().over(Window.partitionBy(*keys, "_size").orderBy(order))
+        return df.withColumns(keys).withColumn("_nth", nth)
+
+    taken = numbered(mix(docs, weights, epochs).withColumnRenamed("size", "_size"), F.desc("taken")).where("taken > 0")
+    taken = taken.select(*keys, "_size", "_nth", F.col("taken").alias("_taken"))
+    both = numbered(docs.withColumn("_size", word_count("text")), "text").join(taken, [*keys, "_size", "_nth"])
+    whole, rest = F.expr("cast(_taken div _size as int)"), F.col("_taken") % F.col("_size")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(words, 1, rest.cast("int")), " ")
     copies = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))

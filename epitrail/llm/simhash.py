@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from itertools import combinations
 from random import Random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epitrail.llm.common import connected_components, saved, table
@@ -42,7 +42,7 @@ def fingerprint(data: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (fp as a signed long) of each row of ``docs``; other columns are ignored."""
+    """``doc_id, version, fp`` of each row of ``docs``: a hash of the text, and the fingerprint as a signed long."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -50,10 +50,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
         for batch in batches:
             fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column("data")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(fps)], ["doc_id", "version", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("data")).mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("data"))
+    return rows.mapInArrow(run, f"doc_id {kind}, version long, fp long")
 
 
 def signed(x: int) -> int:
@@ -105,14 +106,34 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     doc_id is never the smallest unless its component has no other. An empty table gives no rows.
     """
     fps = saved(fingerprints(docs), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(near_links(fps, radius)).withColumnsRenamed({"node": "fp"})
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    rooted = _roots(fps, radius)
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.join(classes, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def _roots(fps: DataFrame, radius: int, *more) -> DataFrame:
+    """``fp, least, root``: the smallest doc_id and the component of each distinct fingerprint."""
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), *more)
+    roots = connected_components(near_links(fps, radius)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
+
+
+def deduplicated(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """One row of each component of ``docs``, all columns: that of the smallest doc_id, null being the largest.
+
+    Of rows with one doc_id, that whose text has the smallest hash stays; of equal rows, one.
+    """
+    fps = saved(fingerprints(docs), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("version").alias("v"))).alias("first")
+    stay = _roots(fps, radius, first).groupBy("root").agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("first.none").alias("_none"), F.coalesce("first.id", F.lit(0)).alias("_id"), F.col("first.v").alias("_version"))
+    keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_version": F.xxhash64("text")}
+    own = docs.withColumns(keys).join(stay, list(keys), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_version"))
+    return own.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+
+
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -106,7 +106,7 @@ def op8_separator_scan(spark, sf_dir: str) -> DataFrame:
     """Tokenise ``documents`` into flat files, then count from the files alone; the manifest only names the rows."""
     folder = new_path(spark, "tokens")
     manifest = write_token_files(table(spark, sf_dir, "documents"), folder)
-    counted = saved(count_tokens(spark, folder).join(manifest, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens"), "counts")
+    counted = saved(count_tokens(spark, folder).join(manifest.hint("merge"), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens"), "counts")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return counted

@@ -1,0 +1,207 @@
+"""Language ID, line labelling, secret scan and neighbour search: held-out accuracy, planted cases, brute force."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from epitrail.llm import langid, neighbours, quality, secrets
+from tests.llm.helpers import awkward, empty, prose
+
+SYLLABLES = {"aa": "ka to mi nu ra se".split(), "bb": "sch gen ung ver ich ein".split(), "cc": "tion eau que ou le ré".split()}
+
+
+def spoken(spark, n=150):
+    rng = random.Random(2)
+    rows = []
+    for i in range(n):
+        lang = rng.choice(list(SYLLABLES))
+        words = ["".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(8, 80))]
+        rows.append((i, " ".join(words), lang if i % 10 else None, "a", lang))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, truth string")
+
+
+def test_language_id(spark):
+    df = spoken(spark)
+    model = langid.train(df)
+    out = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d, r in out.items())
+    truth = {r.doc_id: r.truth for r in df.collect()}
+    held = [d for d, r in out.items() if r.held_out]
+    assert sum(out[d].lang_pred == truth[d] for d in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in out.values())
+    # predictions read neither lang, source nor doc_id
+    blind = df.select(F.col("doc_id"), "text", F.lit(None).cast("string").alias("lang"), F.lit("z").alias("source"))
+    assert {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(blind, model).collect()} == {d: (r.lang_pred, r.score) for d, r in out.items()}
+    assert langid.accepted(df, model).count() >= 0.98 * df.count()
+
+
+def test_language_id_awkward(spark):
+    df = awkward(spark)
+    model = langid.train(spoken(spark).select("doc_id", "text", "lang"))
+    rows = langid.predict(df, model).collect()
+    assert len(rows) == df.count()
+    assert {r.lang_pred for r in rows if r.doc_id in (1, 2, 3)} == {"und"} and all(r.rejected and r.score == 0 for r in rows if r.doc_id in (1, 2, 3))
+    assert langid.predict(empty(spark), model).count() == 0
+    assert {r.lang_pred for r in langid.predict(df, langid.train(empty(spark))).collect()} == {"und"}
+    kept = langid.accepted(df, model)
+    assert kept.columns == df.columns and kept.where("text IS NULL").count() == 0
+    assert langid.train(df).langs  # repeated rows and null ids don't stop training
+
+
+def brute_base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    hit = {i + k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)}
+    lines, seen, dup = (text or "").split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit), n < 10 or 100 * len(hit) > 20 * n
+
+
+def pages(spark, n=120):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(n):
+        good = i % 4 != 0
+        lines = [prose(rng, rng.randint(6, 20)).capitalize() + "." for _ in range(rng.randint(2, 8))]
+        if not good:
+            lines = [" ".join(w + rng.choice(["###", "$$$", "***"]) for w in line.split()) if i % 8 else " | ".join(line.split()) for line in lines]
+        if i % 5 == 0:
+            lines += [lines[0], lines[0]]
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, int(good)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_line_labelling(spark):
+    df, labels = pages(spark)
+    field = quality.train(df, labels.where("doc_id < 60"))
+    out = {r.doc_id: r for r in quality.quality(df, field).collect()}
+    texts, truth = dict(df.collect()), dict(labels.collect())
+    for d, r in out.items():
+        assert tuple(r)[1:7] == brute_base(texts[d])
+        assert not (r.base_failed and r.kept)
+    fresh = [r for d, r in out.items() if d >= 60 and not r.base_failed]
+    assert sum(r.kept == bool(truth[r.doc_id]) for r in fresh) >= 0.97 * len(fresh)
+
+
+def test_line_labelling_awkward(spark):
+    df, labels = pages(spark, 40)
+    field = quality.train(df, labels)
+    odd = awkward(spark)
+    rows = quality.quality(odd, field).collect()
+    assert sorted(str(tuple(r)[:7]) for r in rows) == sorted(str((r.doc_id, *brute_base(r.text))) for r in odd.collect())
+    assert quality.quality(empty(spark), field).count() == 0
+    nothing = quality.train(empty(spark), labels)
+    assert all(r.kept != r.base_failed for r in quality.quality(df, nothing).collect())
+
+
+def test_viterbi_against_all_labellings():
+    rng = random.Random(1)
+    from itertools import product
+
+    for _ in range(30):
+        field = quality.Field([(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(quality.CELLS)], tuple((rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(2)), (rng.gauss(0, 1), rng.gauss(0, 1)))
+        lines = [rng.sample(range(quality.CELLS), 4) for _ in range(rng.randint(1, 6))]
+
+        def score(ys):
+            return field.first[ys[0]] + sum(field.emit[c][y] for active, y in zip(lines, ys) for c in active) + sum(field.step[a][b] for a, b in zip(ys, ys[1:]))
+
+        assert abs(score(field.viterbi(lines)) - max(map(score, product((0, 1), repeat=len(lines))))) < 1e-9
+    assert quality.Field([], ((0, 0), (0, 0)), (0, 0)).viterbi([]) == []
+
+
+def test_repeated_words_stay_exact():
+    rng = random.Random(6)
+    for size in (3, 50, 9000):
+        words = [str(rng.randrange(size)).encode() for _ in range(3000)]
+        words += words[100:130]
+        assert quality.repeated_words(words) == brute_base(" ".join(w.decode() for w in words))[4]
+
+
+def test_secret_scan(spark):
+    rng = random.Random(9)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(40)]
+    rows = [(i, f'some words about token = "{h}" and more {prose(rng, 5)}') for i, h in enumerate(hexes[:20])]
+    rows += [(100 + i, f"see commit {h} for the change in src/example/path/handler/index{i}.html") for i, h in enumerate(hexes[20:])]
+    rows += [(200 + i, f"{prose(rng, 10)} configurationManagerServiceFactory thing") for i in range(10)] + [(300, None), (301, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = secrets.scan(df, secrets.train(secrets.labelled_findings(spark))).collect()
+    hit = {r.doc_id for r in out if r.is_secret}
+    assert {i for i in range(20)} <= hit and not hit - set(range(20))
+    pattern = re.compile(secrets.CANDIDATE)
+    want = Counter()
+    for d, t in rows:
+        for p, w in enumerate(re.findall(r"[^\x20\x09-\x0D]+", t or "")):
+            for k, c in enumerate(pattern.findall(w)):
+                if re.search(r"[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]", c):
+                    want[(d, p, k, len(c))] += 1
+    assert Counter((r.doc_id, r.position, r.nth, r.n_chars) for r in out) == want
+    assert all(r.masked.endswith("...") and len(r.sha256) == 64 for r in out)
+
+
+def test_secret_scan_awkward(spark):
+    model = secrets.train(secrets.labelled_findings(spark, 600))
+    odd = awkward(spark).select("doc_id", "text", "key", "data", "words")
+    assert secrets.scan(odd, model).count() == 0
+    assert secrets.scan(empty(spark), model).count() == 0
+
+
+def vectors(n=3000, d=24):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, d))
+    x[100:200] = x[100] + 0.05 * rng.normal(size=(100, d))
+    x[300:400] = x[300]  # ties
+    return (x * rng.uniform(0.5, 2, size=(n, 1))).astype(np.float32) if False else x.astype(np.float32)
+
+
+def brute(x, q, ids, k=20):
+    score = x.astype(np.float64) @ x[q].astype(np.float64)
+    keep = np.arange(len(x)) != q
+    order = np.lexsort((ids[keep], -score[keep]))[:k]
+    return ids[keep][order], score[keep][order]
+
+
+def test_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "INDEX_BLOCK", 900)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 60)
+    x = vectors()
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = neighbours.nearest(df).collect()
+    found = {}
+    for r in sorted(rows, key=lambda r: r.rank):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = total = 0
+    for q in range(0, len(x), 20):
+        want, score = brute(x, q, ids)
+        got = [v for v, _ in found[q]]
+        assert len(got) == 20 and q not in got
+        assert np.allclose([s for _, s in found[q]], x[got].astype(float) @ x[q].astype(float), rtol=0, atol=1e-9)
+        assert [s for _, s in found[q]] == sorted((s for _, s in found[q]), reverse=True)
+        hits += len(set(want) & set(got))
+        total += 20
+    assert hits >= 0.9 * total
+    assert [v for v, _ in found[300]][:19] == [i for i in range(301, 320)] or brute(x, 300, ids)[0].tolist() == [v for v, _ in found[300]]
+
+
+def test_neighbours_awkward(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, inf]), (6, [1.0, None]), (7, [1.0, 2.0, 3.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (None, [1.0, 1.0]), (40, []), (9, [-1.0, -2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash")).withColumn("b", F.lit("clash"))
+    out = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(df).collect())
+    assert out == [(0, 1, 1, 4.0), (0, 2, 20, 1.0), (0, 3, 20, 1.0), (0, 4, 9, -5.0), (20, 1, 1, 2.0), (20, 2, 0, 1.0), (20, 3, 9, -1.0)]
+    assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+def test_chi_square_quantile():
+    rng = np.random.default_rng(0)
+    draws = (rng.normal(size=(200_000, 16)) ** 2).sum(axis=1)
+    assert abs(np.quantile(draws, 0.97) - neighbours.chi_square_quantile(0.97, 16)) < 0.2
