@@ -3,10 +3,10 @@
 Lines are compared without white space at their ends and in lower case, by the Jaccard similarity of their sets of five-character shingles.
 
 * Equal lines collapse first; the rest works on distinct lines, each known by its first place.
-* A signature has one minimum a bin, from one hash a shingle: the sorted hashes are cut into bins, and an empty bin takes
-  the next hash in cyclic order. Bands of ``ROWS`` minima, far apart in that order, make the keys. Longer lines
-  sample their shingles by content, at the starts of words; short lines, and lines with few words for their length,
-  use all; lines near the limits between the two have keys of both kinds, so that similar lines always share a kind.
+* A signature takes minima under rotated orders of one hash a shingle: the ``ROWS`` shingle hashes that follow each of
+  ``BANDS`` fixed points in cyclic order make a key. Longer lines sample their shingles by content, at the starts of
+  words; short lines, and lines with few words for their length, use all; lines near the limits between the two have
+  keys of both kinds, so that similar lines always share a kind.
 * Within a key, lines are verified against the first line; the exact similarity of all shingles decides. Lines that
   still are in different components are then verified pair by pair, so no candidate pair that matters is left out,
   and a large group of copies costs one comparison a line.
@@ -22,10 +22,10 @@ from epitrail.llm.common import connected_components, discard, saved, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: A pair at the threshold shares a key with probability 1 - (1 - 0.8^5)^14 = 0.996.
-BANDS, ROWS = 14, 5
+#: A pair at the threshold shares a key with probability 1 - (1 - 0.8^5)^12 = 0.99.
+BANDS, ROWS = 12, 5
 #: Lines from WORDS_FROM characters sample shingles at word starts; lines under ALL_BELOW use all.
-WORDS_FROM, ALL_BELOW = 64, 80
+WORDS_FROM, ALL_BELOW = 240, 300
 #: Characters a word above which a line uses all shingles; it still has the other keys up to the second.
 ALL_ABOVE, WORDS_UPTO = 12, 16
 
@@ -46,18 +46,16 @@ def word_shingles(text: Column, size: int = SHINGLE) -> Column:
 
 def _keys(df: DataFrame, source: str, out: str, kind: int, bands: int, rows: int) -> DataFrame:
     """Add ``out``: the band keys of the shingles in ``source`` (null: none)."""
-    bins = bands * rows
-
-    def bin_of(x: Column) -> Column:
-        return F.shiftright((F.shiftright(x, 32) + F.lit(1 << 31)) * F.lit(bins), 32).cast("int")
-
-    hashed = df.withColumn("_h", F.sort_array(F.transform(source, lambda x: F.xxhash64(x))))
-    least = hashed.withColumn("_h", F.filter("_h", lambda x, i: (i == 0) | (bin_of(x) > bin_of(F.get("_h", i - 1)))))
-    spread = F.flatten(F.transform("_h", lambda x, i: F.array_repeat(x, bin_of(x) - F.when(i == 0, -1).otherwise(bin_of(F.get("_h", i - 1))))))
-    filled = least.withColumn("_s", F.concat(spread, F.array_repeat(F.get("_h", F.lit(0)), F.lit(bins))))
-    band = lambda j: F.xxhash64(F.lit(kind), j, *(F.get("_s", j + r * bands) for r in range(rows)))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)
-    return filled.withColumn(out, F.when(F.size("_s") > 0, keys).otherwise(F.array().cast("array<bigint>"))).drop("_h", "_s")
+    points = [(2 * j + 1 - bands) * ((1 << 63) // bands) for j in range(bands)]
+    hashed = df.withColumn("_h", F.sort_array(F.array_distinct(F.transform(source, lambda x: F.xxhash64(x)))))
+    # a point's place among the hashes: its place in both together, less the points before it
+    both = hashed.withColumns({"_m": F.sort_array(F.concat("_h", F.array(*map(F.lit, points)))), "_n": F.size("_h")})
+    parts = []
+    for j, point in enumerate(points):
+        at = F.array_position("_m", F.lit(point)).cast("int") - 1 - j
+        parts.append(F.xxhash64(F.lit(kind), F.lit(j), *(F.get("_h", (at + r) % F.col("_n")) for r in range(rows))))
+    keys = F.when(F.col("_n") > 0, F.array(*parts)).otherwise(F.array().cast("array<bigint>"))
+    return both.withColumn(out, keys).drop("_h", "_m", "_n")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -69,11 +67,12 @@ def lines(docs: DataFrame) -> DataFrame:
 def distinct_lines(found: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``digest, id, keys`` of each distinct line; ``id`` is its first place (doc_id, line_no)."""
     n = F.length("text")
-    df = found.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.struct("doc_id", "line_no").alias("id"), "text")
-    df = df.withColumn("_w", F.when(n >= WORDS_FROM, word_shingles(F.col("text"))))
-    words = F.coalesce(F.size("_w"), F.lit(0))
-    df = df.withColumns({"_all": (n < ALL_BELOW) | (words * ALL_ABOVE < n), "_words": (n >= WORDS_FROM) & (words * WORDS_UPTO >= n)})
-    df = df.withColumns({"_w": F.when(F.col("_words"), F.col("_w")), "_a": F.when(F.col("_all"), shingles(F.col("text")))})
+    df = found.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.struct("doc_id", "line_no").alias("id"), "text", n.alias("_n0"))
+    df = df.withColumn("_w", F.when(F.col("_n0") >= WORDS_FROM, word_shingles(F.col("text"))))
+    df = df.withColumn("_words", F.coalesce(F.size("_w"), F.lit(0)))
+    plenty = (F.col("_n0") >= WORDS_FROM) & (F.col("_words") * WORDS_UPTO >= F.col("_n0"))
+    short = (F.col("_n0") < ALL_BELOW) | (F.col("_words") * ALL_ABOVE < F.col("_n0"))
+    df = df.withColumns({"_w": F.when(plenty, F.col("_w")), "_a": F.when(short, shingles(F.col("text")))})
     df = _keys(_keys(df, "_w", "_kw", 1, bands, rows), "_a", "_ka", 0, bands, rows)
     none = F.array().cast("array<bigint>")
     keys = F.concat(F.coalesce("_kw", none), F.coalesce("_ka", none))
@@ -81,10 +80,10 @@ def distinct_lines(found: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs ``src, dst`` whose lines reach the similarity; ``texts``: ``id, grams, n``."""
-    one = texts.select(F.col("id").alias("src"), F.col("grams").alias("a"))
-    two = texts.select(F.col("id").alias("dst"), F.col("grams").alias("b"))
-    both = pairs.join(one, "src").join(two, "dst")
+    """Those of the pairs ``src, dst`` whose lines reach the similarity; ``texts``: ``nid, text``."""
+    grams = lambda c: F.array_distinct(F.transform(shingles(F.col(c)), lambda x: F.xxhash64(x)))
+    one, two = (texts.select(F.col("nid").alias(k), F.col("text").alias(t)) for k, t in (("src", "ta"), ("dst", "tb")))
+    both = pairs.join(one, "src").join(two, "dst").withColumns({"a": grams("ta"), "b": grams("tb")})
     # sizes first: sets of too different sizes can't reach the similarity
     close = both.where(F.least(F.size("a"), F.size("b")) >= F.greatest(F.size("a"), F.size("b")) * least)
     common = F.size(F.array_intersect("a", "b"))
@@ -100,36 +99,42 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     """
     all_lines = lines(docs)
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
-    distinct = saved(distinct_lines(all_lines.where("text != ''"), bands, rows), "lines")
-    keyed = distinct.select(F.explode("keys").alias("key"), "id")
-    hub = keyed.withColumn("hub", F.min("id").over(Window.partitionBy("key")))
-    many = hub.withColumn("most", F.max("id").over(Window.partitionBy("key"))).where("hub != most")
-    shared = saved(many.select("key", "id", "hub"), "keys")
-
-    # what verification needs of the lines that share a key: found again in the texts by their first place
-    wanted = shared.select("id").distinct()
-    own = all_lines.where("text != ''").withColumn("id", F.struct("doc_id", "line_no"))
-    places = own.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    grams = saved(places.select("id", F.array_distinct(F.transform(shingles(F.col("text")), lambda x: F.xxhash64(x))).alias("grams")), "grams")
-
-    stars = shared.where("id != hub").select(F.col("hub").alias("src"), F.col("id").alias("dst")).distinct()
-    near = saved(_similar(stars, grams, similarity), "near")
+    distinct = saved(distinct_lines(all_lines.where("text != ''"), bands, rows).withColumn("nid", F.monotonically_increasing_id()), "lines")
+    keyed = distinct.select(F.explode("keys").alias("key"), "nid")
+    span = Window.partitionBy("key")
+    hub = keyed.withColumns({"hub": F.min("nid").over(span), "last": F.max("nid").over(span)})
+    shared = saved(hub.where("hub != last").select("key", "nid", "hub"), "keys")
+
+    # the texts of the lines that share a key, cut again from the documents of their first places
+    wanted = distinct.join(shared.select("nid").distinct(), "nid", "left_semi")
+    places = wanted.select("nid", F.col("id.doc_id").alias("d"), F.col("id.line_no").alias("line_no"), "digest")
+    by_doc = places.withColumns({"_none": F.col("d").isNull(), "_id": F.coalesce("d", F.lit(0))})
+    by_doc = by_doc.groupBy("_none", "_id").agg(F.collect_list(F.struct("nid", "line_no", "digest")).alias("own"))
+    source = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text").alias("whole"))
+    met = source.join(by_doc, ["_none", "_id"]).select(F.split("whole", "\n", -1).alias("ls"), "own")
+    cut = met.select(F.transform("own", lambda x: F.struct(x["nid"].alias("nid"), x["digest"].alias("digest"), F.get("ls", x["line_no"]).alias("raw"))).alias("own"), F.size("ls"))
+    cut = cut.select(F.inline("own")).select("nid", "digest", normal(F.col("raw")).alias("text")).where(digest == F.col("digest"))
+    texts = saved(cut.groupBy("nid").agg(F.min("text").alias("text")), "texts")  # rows may repeat a doc_id
+
+    stars = shared.where("nid != hub").select(F.col("hub").alias("src"), F.col("nid").alias("dst")).distinct()
+    near = saved(_similar(stars, texts, similarity), "near")
     first = saved(connected_components(near), "components")
-    labelled = shared.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    labelled = shared.join(first.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", F.coalesce("component", "nid").alias("part"))
     parts = labelled.groupBy("key", "part").agg(F.count("*").alias("n"))
     largest = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     split = saved(labelled.join(largest.drop("parts"), "key"), "split")
-    a = split.where("part != largest").select("key", F.col("id").alias("src"), F.col("part").alias("p"))
-    b = split.select("key", F.col("id").alias("dst"), F.col("part").alias("q"), "largest")
+    a = split.where("part != largest").select("key", F.col("nid").alias("src"), F.col("part").alias("p"))
+    b = split.select("key", F.col("nid").alias("dst"), F.col("part").alias("q"), "largest")
     rest = a.join(b, (a["key"] == b["key"]) & (F.col("p") != F.col("q")) & ((F.col("q") == F.col("largest")) | (F.col("src") < F.col("dst"))))
     ends = rest.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    more = _similar(ends.join(stars, ["src", "dst"], "left_anti"), grams, similarity)
+    more = _similar(ends.join(stars, ["src", "dst"], "left_anti"), texts, similarity)
     links = saved(near.unionByName(more), "links")
-    final = connected_components(links).withColumnRenamed("node", "id")
+    final = connected_components(links).withColumnRenamed("node", "nid")
 
-    named = distinct.select("digest", "id").join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("first"))
-    named = saved(named, "named")
-    for used in (shared, grams, near, first, split, links):
+    labels = distinct.select("digest", "id", "nid").join(final, "nid", "left").withColumn("class", F.coalesce("component", "nid"))
+    firsts = labels.where("component IS NOT NULL").groupBy("class").agg(F.min("id").alias("earliest"))
+    named = saved(labels.join(firsts, "class", "left").select("digest", F.coalesce("earliest", "id").alias("first")), "named")
+    for used in (distinct, shared, texts, near, first, split, links):
         discard(used)
     found = all_lines.select("doc_id", "version", "line_no", F.when(F.col("text") != "", digest).alias("digest"))
     return found.join(named, "digest", "left").select(
