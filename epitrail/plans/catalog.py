@@ -1,4 +1,503 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables and their SQL.
+
+Stand-ins for proprietary predictors are deterministic: proteins are the letters of whole texts (``benchmark`` for row-level
+queries, ``documents`` for the large aggregates), a profile is a function of residue and position, an affinity
+one of the peptide and the allele's number.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from epitrail.functions import scoring
+from epitrail.functions.alleles import distinct_alleles, normalize_allele, render_allele
+from epitrail.functions.text import int_list, joined, parse_version
+from epitrail.operators import checks, combine, results, windows
+from epitrail.predictors.base import ExpressionPredictor, MultiSample, RandomPredictor
+from epitrail.predictors.processing import ProcessingPredictor, ProteasomePredictor
+from epitrail.schema import Kind, canonical, describe, from_json, from_legacy, legacy, to_json
+from epitrail.sources.stdout import data_lines, parse_by_header, parse_layout, tokens
+
+ALLELES = ("HLA-A*02:01", "HLA-B*07:02", "HLA-C*07:01")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _letters(text: Column) -> Column:
+    return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
+
+
+def proteins(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), _letters(F.col("text")).alias("seq"))
+
+
+def document_proteins(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), _letters(F.col("text")).alias("seq"))
+
+
+def profile(seq: Column) -> Column:
+    residues = F.filter(F.split(seq, ""), lambda c: c != "")
+    return F.transform(residues, lambda c, i: ((F.ascii(c) * 37 + 11 * (i + 1)) % 100) / F.lit(100.0))
+
+
+def ordinal(allele: Column) -> Column:
+    out = F.when(allele == ALLELES[0], 0)
+    for i, a in enumerate(ALLELES[1:], 1):
+        out = out.when(allele == a, i)
+    return out
+
+
+def affinity(peptide: Column, allele: Column) -> Column:
+    """An integer from 1 to 49,999 nM."""
+    total = sum((F.ascii(F.substring(peptide, i, 1)) * i for i in range(1, 16)), F.lit(0))  # of up to 15 residues
+    return (1 + (total * (ordinal(allele) + 7)) % 49_999).cast("double")
+
+
+def _predictor(spark, alleles=ALLELES, **options) -> ExpressionPredictor:
+    value = F.col("value")
+    columns = [{"value": affinity(F.col("peptide"), F.col("allele"))}, {"score": F.round(scoring.log50k(value), 6), "percentile_rank": F.round(value / 500, 4)}]
+    return ExpressionPredictor(spark, alleles, columns, name="standin", **options)
+
+
+def _processing(spark, cls=ProcessingPredictor, **options):
+    return cls(spark, profile(F.col("seq")), **options)
+
+
+# ------------------------------------------------------------------------------------------------- SQL of the stand-ins
+
+PROT = "prot AS (SELECT CAST(item_id AS VARCHAR) AS name, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark)"
+DOCS = "prot AS (SELECT CAST(doc_id AS VARCHAR) AS name, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents)"
+PROFILE = "list_transform(range(1, len(seq) + 1), lambda i: ((ascii(substr(seq, i, 1)) * 37 + 11 * i) % 100) / 100.0::DOUBLE)"
+PROF = f"prof AS (SELECT name, seq, {PROFILE} AS p FROM prot)"
+ALL = "alle(allele, ord) AS (VALUES ('HLA-A*02:01', 0), ('HLA-B*07:02', 1), ('HLA-C*07:01', 2))"
+
+
+def _win(*lengths: int, source: str = "prot", more: str = "") -> str:
+    ks = ", ".join(f"({k})" for k in lengths)
+    return (
+        f"win AS (SELECT name, k, o::INTEGER AS \"offset\", substr(seq, o + 1, k) AS peptide{more}, seq FROM "
+        f"(SELECT *, unnest(range(0, len(seq) - k + 1)) AS o FROM {source}, (VALUES {ks}) v(k) WHERE len(seq) >= k))"
+    )
+
+
+VALUE = "(1 + (list_sum(list_transform(range(1, len(peptide) + 1), lambda i: ascii(substr(peptide, i, 1)) * i))::BIGINT * (ord + 7)) % 49999)::DOUBLE"
+SCORED = f"""pairs AS (SELECT peptide, allele, {VALUE} AS value FROM (SELECT DISTINCT peptide FROM win), alle),
+scored AS (SELECT peptide, allele, value, round(1 - ln(value) / ln(50000), 6) AS score, round(value / 500, 4) AS percentile_rank FROM pairs)"""
+CANON = """'' AS sample_name, peptide, '' AS n_flank, '' AS c_flank, {source} AS source_sequence_name, {offset} AS "offset",
+'{predictor}' AS predictor_name, '' AS predictor_version, {allele} AS allele, '{kind}' AS kind, {score} AS score, {value} AS value, {rank} AS percentile_rank"""
+MODE_SQL = {
+    "cterm": "c",
+    "nterm_cterm": "CASE WHEN n IS NULL THEN c ELSE pow(c * n, 1.0 / 2) END",
+    "cterm_max_internal": "c * (1 - mx)",
+    "cterm_mean_internal": "c * (1 - mean)",
+    "nterm_cterm_max_internal": "CASE WHEN n IS NULL THEN pow(c * (1 - mx), 1.0 / 2) ELSE pow(c * (1 - mx) * n, 1.0 / 3) END",
+    "nterm_cterm_mean_internal": "CASE WHEN n IS NULL THEN pow(c * (1 - mean), 1.0 / 2) ELSE pow(c * (1 - mean) * n, 1.0 / 3) END",
+}
+CUT = """cut AS (SELECT name, "offset", peptide, p[o + k] AS c, CASE WHEN o > 0 THEN p[o] END AS n,
+coalesce(list_max(p[o + 1 : o + k - 1]), 0.0) AS mx, coalesce(list_sum(p[o + 1 : o + k - 1]) / (k - 1), 0.0) AS mean FROM
+(SELECT name, k, o, o::INTEGER AS "offset", substr(seq, o + 1, k) AS peptide, p FROM
+(SELECT *, unnest(range(0, len(seq) - k + 1)) AS o FROM prof, (VALUES (9)) v(k) WHERE len(seq) >= k)))"""
+
+# -------------------------------------------------------------------------------------------------------------- queries
 
 QUERIES = {}
 ORACLE_SQL = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f'WITH {PROT}, {_win(8, 9, 10, 11)} SELECT name, peptide, "offset" FROM win')
+def kmer_scan(spark, sf):
+    return windows.kmers(proteins(spark, sf), [8, 9, 10, 11])
+
+
+@query(f"""WITH {PROT}, {_win(9)} SELECT name, peptide, "offset", substr(seq, greatest("offset" - 3, 0) + 1, least("offset", 3)) AS n_flank,
+substr(seq, "offset" + 10, 3) AS c_flank FROM win""")
+def kmer_flanks(spark, sf):
+    return windows.kmers(proteins(spark, sf), [9], flank_length=3)
+
+
+@query(f"""WITH {DOCS} SELECT k, sum(len(seq) - k + 1)::BIGINT AS n_windows, count(*) AS n_sequences FROM prot, (VALUES (9), (10)) v(k) WHERE len(seq) >= k GROUP BY k""")
+def kmer_counts(spark, sf):
+    """Windows of all documents by length, counted from the windows themselves."""
+    w = windows.kmers(document_proteins(spark, sf), [9, 10])
+    by_source = w.groupBy("name", F.length("peptide").alias("k")).agg(F.count("*").alias("n"))
+    return by_source.groupBy("k").agg(F.sum("n").alias("n_windows"), F.count("*").alias("n_sequences"))
+
+
+@query(f"WITH {PROT}, {_win(9, 10)} SELECT DISTINCT peptide FROM win")
+def distinct_peptides(spark, sf):
+    return windows.distinct_peptides(windows.kmers(proteins(spark, sf), [9, 10]))
+
+
+@query(f"WITH {DOCS}, {_win(9)} SELECT substr(peptide, 1, 1) AS residue, count(DISTINCT peptide) AS n_distinct, count(*) AS n_windows FROM win GROUP BY 1")
+def peptide_residues(spark, sf):
+    """Windows and distinct peptides of all documents by first residue."""
+    w = windows.kmers(document_proteins(spark, sf), [9]).groupBy("peptide").agg(F.count("*").alias("n"))
+    return w.groupBy(F.substring("peptide", 1, 1).alias("residue")).agg(F.count("*").alias("n_distinct"), F.sum("n").alias("n_windows"))
+
+
+@query(f"""WITH {PROT}, {PROF} SELECT name, (i - 1)::INTEGER AS position, substr(seq, i, 1) AS residue, p[i] AS prob FROM
+(SELECT *, unnest(range(1, len(seq) + 1)) AS i FROM prof)""")
+def cleavage_profile_long(spark, sf):
+    return _processing(spark).predict_cleavage_sites(proteins(spark, sf), long=True)
+
+
+def _mode(mode: str):
+    def run(spark, sf):
+        rows = _processing(spark, scoring_mode=mode).predict_proteins(proteins(spark, sf), [9])
+        return rows.select("source_sequence_name", "offset", "peptide", F.round("score", 7).alias("score"))
+
+    return run
+
+
+for _m, _sql in MODE_SQL.items():
+    query(f'WITH {PROT}, {PROF}, {CUT} SELECT name AS source_sequence_name, "offset", peptide, round({_sql}, 7) AS score FROM cut', f"score_{_m}")(_mode(_m))
+
+
+@query(f"""WITH {PROT}, {PROF}, {CUT} SELECT {CANON.format(source="name", offset='"offset"', predictor="proteasome", allele="''", kind="proteasome_cleavage", score="round(c * (1 - mx), 6)", value="NULL::DOUBLE", rank="NULL::DOUBLE")} FROM cut""")
+def proteasome_predictions(spark, sf):
+    rows = _processing(spark, ProteasomePredictor).predict_proteins(proteins(spark, sf), [9])
+    return rows.withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {DOCS}, {PROF}, {CUT} SELECT name, count(*) AS n_windows, round(max(round({MODE_SQL["nterm_cterm_max_internal"]}, 6)), 6) AS best_score FROM cut GROUP BY name""")
+def cleavage_summary(spark, sf):
+    """Windows and best score of every document."""
+    rows = _processing(spark).predict_proteins(document_proteins(spark, sf), [9])
+    return rows.groupBy(F.col("source_sequence_name").alias("name")).agg(F.count("*").alias("n_windows"), F.round(F.max(F.round("score", 6)), 6).alias("best_score"))
+
+
+@query(f"""WITH {PROT}, {PROF}, {CUT}, s AS (SELECT *, round({MODE_SQL["nterm_cterm_max_internal"]}, 6) AS score FROM cut)
+SELECT name AS source_sequence_name, "offset", peptide, score FROM s WHERE score >= 0.4 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, "offset") = 1""")
+def top_cleavage_per_source(spark, sf):
+    rows = _processing(spark).predict_proteins(proteins(spark, sf), [9]).withColumn("score", F.round("score", 6))
+    kept = results.thresholds(rows, min_score=0.4).withColumn("ord", F.col("offset"))
+    return results.best_by_score(kept, key=("source_sequence_name",)).select("source_sequence_name", "offset", "peptide", "score")
+
+
+@query(f"""WITH {PROT}, {PROF}, w AS (SELECT name, substr(seq, 1, 2) AS n_flank, substr(seq, 3, 9) AS peptide, substr(seq, 12, 2) AS c_flank FROM prot WHERE len(seq) >= 13),
+q AS (SELECT *, substr(name, 1, 0) || n_flank || peptide || c_flank AS seq FROM w), z AS (SELECT n_flank, peptide, c_flank, {PROFILE} AS p FROM q)
+SELECT n_flank, peptide, c_flank, round(p[11], 6) AS score FROM z""")
+def peptides_with_flanks(spark, sf):
+    df = proteins(spark, sf).where(F.length("seq") >= 13).select(*(F.substring("seq", a, n).alias(c) for c, a, n in (("n_flank", 1, 2), ("peptide", 3, 9), ("c_flank", 12, 2))))
+    return _processing(spark, scoring_mode="cterm").predict(df).select("n_flank", "peptide", "c_flank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {PROT}, {ALL}, {_win(9)}, {SCORED} SELECT peptide, allele, value, score FROM scored")
+def affinity_matrix(spark, sf):
+    peps = windows.kmers(proteins(spark, sf), [9])
+    return _predictor(spark).predict(peps).select("peptide", "allele", "value", "score")
+
+
+@query(f"WITH {PROT}, {ALL}, {_win(9)}, {SCORED} SELECT peptide, allele, round(pow(50000.0, 1 - (1 - ln(value) / ln(50000))), 3) AS back, round(least(1.0, greatest(0.0, 1 - ln(greatest(value, 1e-6)) / ln(50000))), 6) AS clamped FROM scored")
+def affinity_roundtrip(spark, sf):
+    rows = _predictor(spark).predict(windows.kmers(proteins(spark, sf), [9]))
+    back = F.round(scoring.affinity_from_score(scoring.log50k(F.col("value"))), 3)
+    return rows.select("peptide", "allele", back.alias("back"), F.round(scoring.clamped_score(F.col("value")), 6).alias("clamped"))
+
+
+RELOCATED = f"WITH {PROT}, {ALL}, {_win(9)}, {SCORED}, placed AS (SELECT w.name, w.\"offset\", s.* FROM win w JOIN scored s USING (peptide))"
+
+
+@query(f"""{RELOCATED} SELECT {CANON.format(source="name", offset='"offset"', predictor="standin", allele="allele", kind="pMHC_affinity", score="score", value="value", rank="percentile_rank")} FROM placed""")
+def protein_predictions(spark, sf):
+    return _predictor(spark).predict_proteins(proteins(spark, sf), [9])
+
+
+@query(f"WITH {DOCS}, {ALL}, {_win(9)}, {SCORED} SELECT w.name AS source_sequence_name, allele, count(*) AS n, min(value) AS strongest FROM win w JOIN scored s USING (peptide) GROUP BY ALL")
+def document_binders(spark, sf):
+    """Strongest binding of every document and allele: distinct peptides are scored once and joined back."""
+    rows = _predictor(spark).predict_proteins(document_proteins(spark, sf), [9])
+    return rows.groupBy("source_sequence_name", "allele").agg(F.count("*").alias("n"), F.min("value").alias("strongest"))
+
+
+@query(f'{RELOCATED} SELECT name AS source_sequence_name, "offset", peptide, allele, score, value AS affinity, percentile_rank, \'standin\' AS prediction_method_name, len(peptide)::INTEGER AS length FROM placed')
+def legacy_view(spark, sf):
+    return legacy(_predictor(spark).predict_proteins(proteins(spark, sf), [9]))
+
+
+@query(f"""{RELOCATED} SELECT {CANON.format(source="name", offset='"offset"', predictor="standin", allele="allele", kind="pMHC_stability", score="score", value="value", rank="percentile_rank")} FROM placed""")
+def legacy_roundtrip(spark, sf):
+    return from_legacy(legacy(_predictor(spark).predict_proteins(proteins(spark, sf), [9])), Kind.STABILITY)
+
+
+@query(f"""{RELOCATED} SELECT {CANON.format(source="name", offset='"offset"', predictor="standin", allele="allele", kind="pMHC_affinity", score="score", value="value", rank="percentile_rank")} FROM placed""")
+def json_roundtrip(spark, sf):
+    return from_json(to_json(_predictor(spark).predict_proteins(proteins(spark, sf), [9])))
+
+
+@query(f"{RELOCATED} SELECT printf('pMHC_affinity(%s, %s, score=%.4f, value=%.4f, rank=%.2f%%)', peptide, allele, floor(score * 1000) / 1000, value, floor(percentile_rank)) AS text FROM scored")
+def described_rows(spark, sf):
+    rows = _predictor(spark).predict(windows.kmers(proteins(spark, sf), [9]))
+    return describe(rows.withColumns({"score": F.floor(F.col("score") * 1000) / 1000, "percentile_rank": F.floor("percentile_rank").cast("double")}))
+
+
+@query(f"""WITH {PROT}, {ALL}, {_win(9)}, {SCORED} SELECT peptide, allele, kind, CASE WHEN kind = 'pMHC_affinity' THEN score ELSE round(score + 1, 6) END AS score,
+CASE WHEN kind = 'pMHC_affinity' THEN value END AS value FROM scored, (VALUES ('pMHC_affinity'), ('pMHC_presentation')) v(kind)""")
+def two_kind_join(spark, sf):
+    rows = _predictor(spark).predict(windows.kmers(proteins(spark, sf), [9])).select("peptide", "allele", "score", "value")
+    shown = rows.select("peptide", "allele", F.round(F.col("score") + 1, 6).alias("p"))
+    both = combine.with_mandatory(rows, shown, ["peptide", "allele"])
+    kinds = F.array(F.struct(F.lit(Kind.AFFINITY).alias("kind"), "score", "value"), F.struct(F.lit(Kind.PRESENTATION).alias("kind"), F.col("p").alias("score"), F.lit(None).cast("double").alias("value")))
+    return both.select("peptide", "allele", F.inline(kinds))
+
+
+GAPS = f"""WITH {PROT}, {ALL}, {_win(9)}, {SCORED}, obs AS (SELECT peptide, allele FROM scored WHERE (ascii(peptide) + len(peptide) * ascii(substr(peptide, 5, 1))) % 7 <> 0
+UNION ALL SELECT peptide, 'HLA-E*01:01' FROM scored WHERE allele = 'HLA-A*02:01' AND ascii(peptide) % 5 = 0)"""
+
+
+def _gaps(spark, sf):
+    peps = windows.kmers(proteins(spark, sf), [9])
+    rows = _predictor(spark).predict(peps).select("peptide", "allele")
+    kept = rows.where((F.ascii("peptide") + F.length("peptide") * F.ascii(F.substring("peptide", 5, 1))) % 7 != 0)
+    odd = rows.where((F.col("allele") == ALLELES[0]) & (F.ascii("peptide") % 5 == 0)).select("peptide", F.lit("HLA-E*01:01").alias("allele"))
+    return kept.unionByName(odd), peps, spark.createDataFrame([(a,) for a in ALLELES], "allele string")
+
+
+@query(f"{GAPS} SELECT peptide, allele FROM scored WHERE (peptide, allele) NOT IN (SELECT (peptide, allele) FROM obs)")
+def completeness_missing(spark, sf):
+    return checks.missing_pairs(*_gaps(spark, sf))
+
+
+@query(f"{GAPS} SELECT DISTINCT peptide, allele FROM obs WHERE (peptide, allele) NOT IN (SELECT (peptide, allele) FROM scored)")
+def completeness_unexpected(spark, sf):
+    return checks.unexpected_pairs(*_gaps(spark, sf))
+
+
+# events as prediction rows: type -> kind, user -> peptide, every seventh without value and rank
+EVENTS = """ev AS (SELECT event_id AS ord, 'P' || user_id AS peptide, event_type AS kind, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'HLA-A*0' || (1 + event_id % 3) || ':01' END AS allele,
+value AS score, CASE WHEN event_id % 7 <> 0 THEN value * 10 END AS value, CASE WHEN event_id % 7 <> 0 THEN value / 2 END AS percentile_rank FROM events)"""
+
+
+def _events(spark, sf) -> DataFrame:
+    e, some = _table(spark, sf, "events"), F.col("event_id") % 7 != 0
+    allele = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("HLA-A*0"), (1 + F.col("event_id") % 3).cast("string"), F.lit(":01")))
+    return canonical(
+        e.select(
+            F.col("event_id").alias("ord"), F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("peptide"), F.col("event_type").alias("kind"), allele.alias("allele"),
+            F.col("value").alias("score"), F.when(some, F.col("value") * 10).alias("value"), F.when(some, F.col("value") / 2).alias("percentile_rank"),
+        ),
+        keep=("ord",),
+    )
+
+
+@query(f"""WITH {EVENTS} SELECT peptide, kind, ord, allele, score FROM ev QUALIFY row_number() OVER (PARTITION BY peptide, kind ORDER BY (allele = ''), score DESC, ord) = 1""")
+def best_by_score(spark, sf):
+    return results.best_by_score(_events(spark, sf), key=("peptide",)).select("peptide", "kind", "ord", "allele", "score")
+
+
+@query(f"""WITH {EVENTS} SELECT peptide, ord, allele, percentile_rank FROM ev WHERE kind = 'purchase' AND allele <> '' AND percentile_rank IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY peptide ORDER BY percentile_rank, ord) = 1""")
+def best_by_rank(spark, sf):
+    return results.best_by_rank(_events(spark, sf), "purchase", key=("peptide",)).select("peptide", "ord", "allele", "percentile_rank")
+
+
+@query(f"""WITH {EVENTS}, b AS (SELECT peptide, kind, allele, score FROM ev QUALIFY row_number() OVER (PARTITION BY peptide, kind ORDER BY (allele = ''), score DESC, ord) = 1)
+SELECT peptide, any_value(score) FILTER (kind = 'click') AS click_score, any_value(allele) FILTER (kind = 'click') AS click_allele, any_value(score) FILTER (kind = 'purchase') AS purchase_score FROM b GROUP BY peptide""")
+def best_table(spark, sf):
+    t = results.best_table(_events(spark, sf), ["click", "purchase"], key=("peptide",))
+    return t.select("peptide", F.col("click.score").alias("click_score"), F.col("click.allele").alias("click_allele"), F.col("purchase.score").alias("purchase_score"))
+
+
+@query(f"""WITH {EVENTS} SELECT peptide, list_sort(list(DISTINCT kind)) AS kinds, coalesce(list_sort(list(DISTINCT allele) FILTER (allele <> '')), []) AS alleles, count(*) AS n_preds FROM ev GROUP BY peptide""", "kinds_alleles_raw")
+def _kinds(spark, sf):
+    return results.nested(_events(spark, sf), key=("peptide",)).select("peptide", "kinds", "alleles", "n_preds")
+
+
+QUERIES["kinds_alleles_per_peptide"] = lambda spark, sf: _kinds(spark, sf).withColumns({c: joined(F.col(c)) for c in ("kinds", "alleles")})
+ORACLE_SQL["kinds_alleles_per_peptide"] = f"""WITH {EVENTS} SELECT peptide, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds,
+coalesce(string_agg(DISTINCT allele, ',' ORDER BY allele) FILTER (allele <> ''), '') AS alleles, count(*) AS n_preds FROM ev GROUP BY peptide"""
+del QUERIES["kinds_alleles_raw"], ORACLE_SQL["kinds_alleles_raw"]
+
+
+@query(f"""WITH {EVENTS} SELECT peptide, string_agg(score, ';' ORDER BY ord) AS scores, count(*) AS n FROM (SELECT peptide, ord, round(score, 2)::DECIMAL(18, 2)::VARCHAR AS score FROM ev) GROUP BY peptide""")
+def peptide_result_nested(spark, sf):
+    n = results.nested(_events(spark, sf), key=("peptide",))
+    text = F.transform("preds", lambda x: F.round(x["score"], 2).cast("decimal(18,2)").cast("string"))
+    return n.select("peptide", F.array_join(text, ";").alias("scores"), F.col("n_preds").alias("n"))
+
+
+@query(f"WITH {EVENTS} SELECT kind, count(*) AS n FROM ev GROUP BY kind")
+def kind_counts(spark, sf):
+    return results.kind_counts(_events(spark, sf), key=())
+
+
+@query(f"WITH {EVENTS} SELECT ord, value, percentile_rank, score FROM ev WHERE (value IS NULL OR value <= 500) AND (percentile_rank IS NULL OR percentile_rank <= 40) AND score >= 10")
+def null_tolerant_filters(spark, sf):
+    return results.thresholds(_events(spark, sf), 500, 40, 10).select("ord", "value", "percentile_rank", "score")
+
+
+@query(f"WITH {EVENTS} SELECT ord, peptide, score FROM ev WHERE kind = 'click' AND allele = 'HLA-A*02:01'")
+def filter_kind_allele(spark, sf):
+    return results.only(_events(spark, sf), "click", "HLA-A*02:01").select("ord", "peptide", "score")
+
+
+@query(f"WITH {EVENTS} SELECT DISTINCT peptide, allele, score, value FROM ev")
+def legacy_distinct(spark, sf):
+    from epitrail.schema import legacy_distinct as distinct
+
+    return distinct(legacy(_events(spark, sf))).select("peptide", "allele", "score", F.col("affinity").alias("value"))
+
+
+@query(r"""WITH t AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[\s]+')) AS peptide FROM benchmark)
+SELECT peptide, CASE WHEN NOT regexp_matches(peptide, '^\p{L}+$') THEN 'not letters' WHEN contains(peptide, 'X') THEN 'unknown residue' WHEN peptide <> upper(peptide) THEN 'not upper case'
+WHEN len(peptide) < 8 THEN 'too short' WHEN len(peptide) > 15 THEN 'too long' END AS violation FROM (SELECT peptide FROM t UNION SELECT translate(peptide, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') FROM t)""")
+def validate_peptides(spark, sf):
+    words = _table(spark, sf, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("peptide"))
+    both = words.unionByName(words.select(F.translate("peptide", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("peptide"))).distinct()
+    return both.select("peptide", checks.violation(F.col("peptide"), least=8, most=15).alias("violation"))
+
+
+SAMPLES = "samp AS (SELECT n_name AS sample_name, CASE n_nationkey % 4 WHEN 0 THEN 'HLA-A*02:01' WHEN 1 THEN 'HLA-B*07:02' WHEN 2 THEN 'HLA-C*07:01' END AS allele FROM nation WHERE n_nationkey % 4 < 3 UNION SELECT n_name, 'HLA-A*02:01' FROM nation WHERE n_nationkey % 2 = 1)"
+
+
+@query(f"WITH {PROT}, {ALL}, {_win(9)}, {SCORED}, {SAMPLES} SELECT sample_name, allele, count(*) AS n, min(value) AS strongest, sum(value) AS total FROM win JOIN scored USING (peptide) JOIN samp USING (allele) GROUP BY ALL")
+def multi_sample_union(spark, sf):
+    rows = _table(spark, sf, "nation").orderBy("n_nationkey").collect()
+    own = {r.n_name: ([a] if (a := dict(enumerate(ALLELES)).get(r.n_nationkey % 4)) else []) + ([ALLELES[0]] if r.n_nationkey % 2 else []) for r in rows}
+    made = MultiSample(spark, {k: v for k, v in own.items() if v}, _predictor)
+    out = made.predict_proteins(proteins(spark, sf), [9])
+    return out.groupBy("sample_name", "allele").agg(F.count("*").alias("n"), F.min("value").alias("strongest"), F.sum("value").alias("total"))
+
+
+@query(f"""WITH {PROT}, {ALL}, {PROF}, {CUT}, {_win(9)}, {SCORED} SELECT predictor_name, kind, count(*) AS n, round(sum(score), 3) AS total FROM (
+SELECT 'standin' AS predictor_name, 'pMHC_affinity' AS kind, score FROM win JOIN scored USING (peptide)
+UNION ALL SELECT 'proteasome', 'proteasome_cleavage', round(c * (1 - mx), 6) FROM cut) GROUP BY ALL""")
+def multi_predictor_union(spark, sf):
+    given = proteins(spark, sf)
+    both = combine.union([_predictor(spark).predict_proteins(given, [9]), _processing(spark, ProteasomePredictor).predict_proteins(given, [9])])
+    return both.groupBy("predictor_name", "kind").agg(F.count("*").alias("n"), F.round(F.sum(F.round("score", 6)), 3).alias("total"))
+
+
+@query(f"{RELOCATED} SELECT name AS source_sequence_name, \"offset\", allele, value FROM placed ORDER BY value, peptide, allele")
+def strongest_first(spark, sf):
+    return results.by_affinity(_predictor(spark).predict_proteins(proteins(spark, sf), [9])).select("source_sequence_name", "offset", "allele", "value")
+
+
+@query("SELECT 'nation ' || n_name AS source_sequence_name, o::INTEGER AS ord FROM (SELECT n_name, unnest(range(0, 3)) AS o FROM nation)")
+def key_remap(spark, sf):
+    n = _table(spark, sf, "nation")
+    rows = n.select(F.col("n_nationkey").cast("string").alias("source_sequence_name"), F.explode(F.array(*map(F.lit, range(3)))).alias("ord"))
+    names = n.select(F.col("n_nationkey").cast("string").alias("key"), F.concat(F.lit("nation "), "n_name").alias("name"))
+    return combine.remap(rows, names, strict=True)
+
+
+@query("SELECT text, value::INTEGER AS value FROM (VALUES ('1', [1]), ('1-3', [1, 2, 3]), ('9,10', [9, 10]), ('9, 10', [9, 10]), ('9,10,12-13', [9, 10, 12, 13]), ('8 9 10,11-13', [8, 9, 10, 11, 12, 13])) v(text, vs), unnest(vs) u(value)")
+def parse_int_ranges(spark, sf):
+    df = spark.createDataFrame([(t,) for t in ("1", "1-3", "9,10", "9, 10", "9,10,12-13", "8 9 10,11-13")], "text string")
+    return df.select("text", F.explode(int_list(F.col("text"))).alias("value"))
+
+
+NAMES = {
+    "HLA-DRA1*0101/HLA-DRB1*0401": "HLA-DRA1*01:01-DRB1*04:01",
+    "HLA-DRA*01:01/DRB1*03:01": "HLA-DRA1*01:01-DRB1*03:01",
+    "HLA-DQA1*01:02;DRB1*15:01": "HLA-DQA1*01:02-DRB1*15:01",
+    "HLA-DRB1*07:01": "HLA-DRA1*01:01-DRB1*07:01",
+    "HLA-DPA1*01:03/DPB1*04:01": "HLA-DPA1*01:03-DPB1*04:01",
+    "HLA-DQA1*05:01/DQB1*02:01": "HLA-DQA1*05:01-DQB1*02:01",
+    "HLA-DRB1*0401": "HLA-DRA1*01:01-DRB1*04:01",
+    "H-2-IAb": "H-2-IAb",
+    "H2-IAd": "H-2-IAd",
+    "H-2-IEk": "H-2-IEk",
+    "H2-Kb": "H-2-Kb",
+    "H-2-Kb": "H-2-Kb",
+    "HLA-A*02:01": "HLA-A*02:01",
+    "A0201": "HLA-A*02:01",
+    "HLA-A02:03": "HLA-A*02:03",
+    "HLA-A0202": "HLA-A*02:02",
+    "DRB1_0101": "HLA-DRA1*01:01-DRB1*01:01",
+    "A2": "HLA-A*02:01",
+    "B7": "HLA-B*07:01",
+    "HLA-DPA1*01:05-DPB1*100:01": "HLA-DPA1*01:05-DPB1*100:01",
+    "HLA-DQA10501-DQB10636": "HLA-DQA1*05:01-DQB1*06:36",
+    "HLA-A*02:01N": None,
+    "nonsense": None,
+}
+_NAMES_SQL = ", ".join(f"('{k}', {'NULL' if v is None else repr(v)})" for k, v in NAMES.items())
+
+
+@query(f"SELECT raw, allele FROM (VALUES {_NAMES_SQL}) v(raw, allele)")
+def allele_names(spark, sf):
+    df = spark.createDataFrame([(n,) for n in NAMES], "raw string")
+    return df.select("raw", normalize_allele(F.col("raw")).alias("allele"))
+
+
+@query(f"SELECT DISTINCT allele FROM (VALUES {_NAMES_SQL}) v(raw, allele) WHERE allele IS NOT NULL")
+def distinct_alleles_query(spark, sf):
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(NAMES)], "allele string, ord long")
+    return distinct_alleles(df).select("allele")
+
+
+@query("""SELECT allele, replace(allele, '*', '') AS plain, replace(replace(allele, '*', ''), ':', '') AS compact, class2 FROM (VALUES ('HLA-A*02:01', NULL),
+('HLA-DRA1*01:01-DRB1*01:01', 'DRB1_0101'), ('HLA-DQA1*05:01-DQB1*06:36', 'HLA-DQA10501-DQB10636'), ('H-2-IAb', 'H-2-IAb'), ('HLA-DPA1*01:05-DPB1*100:01', 'HLA-DPA10105-DPB110001')) v(allele, class2)""")
+def allele_render(spark, sf):
+    names = ["HLA-A*02:01", "HLA-DRA1*01:01-DRB1*01:01", "HLA-DQA1*05:01-DQB1*06:36", "H-2-IAb", "HLA-DPA1*01:05-DPB1*100:01"]
+    a, df = F.col("allele"), spark.createDataFrame([(n,) for n in names], "allele string")
+    class2 = F.when(a != "HLA-A*02:01", render_allele(a, "class2"))
+    return df.select("allele", render_allele(a).alias("plain"), render_allele(a, "compact").alias("compact"), class2.alias("class2"))
+
+
+@query("SELECT text, major::INTEGER AS major, minor::INTEGER AS minor FROM (VALUES ('4.2c', 4, 2), ('NetMHCpan version 4.1b', 4, 1), ('2.8', 2, 8)) v(text, major, minor)")
+def version_numbers(spark, sf):
+    df = spark.createDataFrame([(t,) for t in ("4.2c", "NetMHCpan version 4.1b", "2.8")], "text string")
+    v = parse_version(F.col("text"))
+    return df.select("text", F.get(v, F.lit(0)).alias("major"), F.get(v, F.lit(1)).alias("minor"))
+
+
+# tool output made from the windows of each protein: ten lines of a NetMHCpan 3 table
+def _output(spark, sf) -> DataFrame:
+    w = windows.kmers(proteins(spark, sf), [9])
+    cells = ["offset", "allele", "peptide", "peptide", "0", "0", "0", "0", "0", "peptide", "name", "score", "ic50", "rank"]
+    value = affinity(F.col("peptide"), F.lit(ALLELES[0])).cast("long")
+    row = {
+        "offset": (F.col("offset") + 1).cast("string"), "allele": F.lit("HLA-A02:01"), "peptide": F.col("peptide"), "0": F.lit("0"), "name": F.col("name"),
+        "score": F.lit("0.5"), "ic50": F.when(value % 11 == 0, "NA").otherwise(value.cast("string")), "rank": (value % 100).cast("string"),
+    }
+    line = F.concat_ws("  ", *(row[c] for c in cells))
+    body = w.select("name", "offset", line.alias("line")).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("offset", "line"))).alias("rows"))
+    head = "# a comment\n" + "-" * 40 + "\n  Pos  HLA  Peptide  Core Of Gp Gl Ip Il  Icore  Identity  Score  Aff(nM)  %Rank\n" + "-" * 40 + "\n"
+    return body.select("name", F.concat(F.lit(head), F.array_join(F.transform("rows", lambda x: x["line"]), "\n"), F.lit("\n" + "-" * 40 + "\nProtein done")).alias("text"))
+
+
+OUTPUT = f"WITH {PROT}, {_win(9)}, l AS (SELECT *, {VALUE.replace('ord', '0')}::BIGINT AS v FROM win)"
+
+
+@query(f"""{OUTPUT} SELECT {CANON.format(source="name", offset='"offset"', predictor="netmhcpan3", allele="'HLA-A*02:01'", kind="pMHC_affinity", score="0.5::DOUBLE",
+value="round(CASE WHEN v % 11 = 0 THEN pow(50000.0, 0.5) ELSE v END, 6)", rank="(v % 100)::DOUBLE")} FROM l""")
+def parse_layout_rows(spark, sf):
+    rows = parse_layout(_output(spark, sf), "netmhcpan3", "netmhcpan3").drop("ord")
+    return rows.withColumn("value", F.round("value", 6))
+
+
+@query(f"""{OUTPUT} SELECT name AS source_sequence_name, "offset", peptide, 'HLA-A*02:01' AS allele, 'pMHC_affinity' AS kind, round(1 - ln(v) / ln(50000), 6) AS score, v::DOUBLE AS value, (v % 100)::DOUBLE AS percentile_rank FROM l WHERE v % 11 <> 0""")
+def parse_header_rows(spark, sf):
+    fine = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.contains("  NA  ")), "\n")
+    rows = parse_by_header(_output(spark, sf).withColumn("text", fine))
+    return rows.select("source_sequence_name", "offset", "peptide", "allele", "kind", F.round("score", 6).alias("score"), "value", "percentile_rank")
+
+
+@query(f"""{OUTPUT} SELECT name, count(*) AS n_lines, 14 AS n_tokens FROM l GROUP BY name""")
+def output_lines(spark, sf):
+    lines = data_lines(F.col("text"))
+    df = _output(spark, sf).select("name", lines.alias("ls"))
+    return df.select("name", F.size("ls").cast("long").alias("n_lines"), F.size(tokens(F.get("ls", F.lit(0)))).alias("n_tokens"))
+
+
+def random_predictions(spark, sf):
+    """Reproducible random scores; a hash that SQL elsewhere lacks."""
+    return RandomPredictor(spark, ALLELES, seed=7).predict_proteins(proteins(spark, sf), [9])
+
+
+QUERIES["random_predictions"] = random_predictions
