@@ -44,18 +44,24 @@ def word_shingles(text: Column, size: int = SHINGLE) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s)(?<!\S)(?=(\S.{{{size - 1}}}))"), F.lit(1))
 
 
-def _keys(df: DataFrame, source: str, out: str, kind: int, bands: int, rows: int) -> DataFrame:
-    """Add ``out``: the band keys of the shingles in ``source`` (null: none)."""
-    points = [(2 * j + 1 - bands) * ((1 << 63) // bands) for j in range(bands)]
-    hashed = df.withColumn("_h", F.sort_array(F.array_distinct(F.transform(source, lambda x: F.xxhash64(x)))))
-    # a point's place among the hashes: its place in both together, less the points before it
-    both = hashed.withColumns({"_m": F.sort_array(F.concat("_h", F.array(*map(F.lit, points)))), "_n": F.size("_h")})
-    parts = []
-    for j, point in enumerate(points):
-        at = F.array_position("_m", F.lit(point)).cast("int") - 1 - j
-        parts.append(F.xxhash64(F.lit(kind), F.lit(j), *(F.get("_h", (at + r) % F.col("_n")) for r in range(rows))))
-    keys = F.when(F.col("_n") > 0, F.array(*parts)).otherwise(F.array().cast("array<bigint>"))
-    return both.withColumn(out, keys).drop("_h", "_m", "_n")
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once; what stands in lambdas adds no generated code."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _keys(source: Column, kind: int, bands: int, rows: int) -> Column:
+    """The band keys of an array of shingles; none for an empty array."""
+    points = F.array(*(F.lit((2 * j + 1 - bands) * ((1 << 63) // bands)) for j in range(bands)))
+
+    def keys(h: Column) -> Column:
+        n = F.greatest(F.size(h), F.lit(1))
+        key = lambda p, j: F.xxhash64(F.lit(kind), j, *(F.get(h, (p + r) % n) for r in range(rows)))
+        # a point's place among the hashes: its place in both together, less the points before it
+        place = lambda both: F.transform(points, lambda c, j: F.array_position(both, c).cast("int") - 1 - j)
+        made = F.transform(_let(F.sort_array(F.concat(h, points)), place), key)
+        return F.when(F.size(h) > 0, made).otherwise(F.array().cast("array<bigint>"))
+
+    return _let(F.sort_array(F.array_distinct(F.transform(source, lambda x: F.xxhash64(x)))), keys)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -67,16 +73,18 @@ def lines(docs: DataFrame) -> DataFrame:
 def distinct_lines(found: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``digest, id, keys`` of each distinct line; ``id`` is its first place (doc_id, line_no)."""
     n = F.length("text")
-    df = found.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.struct("doc_id", "line_no").alias("id"), "text", n.alias("_n0"))
-    df = df.withColumn("_w", F.when(F.col("_n0") >= WORDS_FROM, word_shingles(F.col("text"))))
-    df = df.withColumn("_words", F.coalesce(F.size("_w"), F.lit(0)))
-    plenty = (F.col("_n0") >= WORDS_FROM) & (F.col("_words") * WORDS_UPTO >= F.col("_n0"))
-    short = (F.col("_n0") < ALL_BELOW) | (F.col("_words") * ALL_ABOVE < F.col("_n0"))
-    df = df.withColumns({"_w": F.when(plenty, F.col("_w")), "_a": F.when(short, shingles(F.col("text")))})
-    df = _keys(_keys(df, "_w", "_kw", 1, bands, rows), "_a", "_ka", 0, bands, rows)
-    none = F.array().cast("array<bigint>")
-    keys = F.concat(F.coalesce("_kw", none), F.coalesce("_ka", none))
-    return df.select("digest", "id", keys.alias("keys")).groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    df = found.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.struct("doc_id", "line_no").alias("id"), "text", n.alias("_n"))
+
+    def of_words(w: Column) -> Column:
+        count = F.size(w)
+        plenty = (F.col("_n") >= WORDS_FROM) & (count * WORDS_UPTO >= F.col("_n"))
+        short = (F.col("_n") < ALL_BELOW) | (count * ALL_ABOVE < F.col("_n"))
+        none = F.array().cast("array<bigint>")
+        every = F.when(short, _keys(shingles(F.col("text")), 0, bands, rows)).otherwise(none)
+        return F.concat(F.when(plenty, _keys(w, 1, bands, rows)).otherwise(none), every)
+
+    words = F.when(F.col("_n") >= WORDS_FROM, word_shingles(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    return df.select("digest", "id", _let(words, of_words).alias("keys")).groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
