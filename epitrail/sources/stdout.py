@@ -108,7 +108,7 @@ def parse_by_header(df: DataFrame, predictor_name: str = "netMHCpan", predictor_
     raw = df.select(guarded(F.col(text), "NetMHCpan").alias("t"))
     lines = raw.select(header(F.col("t")).alias("head"), F.regexp_extract("t", r"# NetMHCpan version (\S+)", 1).alias("found"), data_lines(F.col("t")).alias("lines"))
     wrong = F.raise_error(F.lit("Could not find the header line in NetMHCpan output")).cast("array<string>")
-    lines = lines.withColumn("head", F.coalesce("head", wrong))
+    lines = lines.withColumn("lines", F.when(F.col("head").isNull(), wrong).otherwise(F.col("lines")))
     each = lines.select("head", "found", F.posexplode("lines").alias("pos", "line")).withColumn("f", tokens(F.col("line")))
 
     def at(*options: str) -> Column:
