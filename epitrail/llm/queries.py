@@ -40,4 +40,19 @@ SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(a.taken, 0) AS taken
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN a ON a.rid = d.rid
 """
 
-ORACLE_SQL = {"op6_mixing_sources": OP6_SQL}
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, (len(h) // 2)::BIGINT AS n_bytes FROM d),
+w AS (SELECT doc_id, o, substr(h, 2 * o + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 49)) AS o FROM n WHERE n_bytes >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, o, coalesce(o > lag(o) OVER (PARTITION BY doc_id ORDER BY o) + 50, TRUE) AS starts FROM w JOIN f USING (s) WHERE first < doc_id),
+g AS (SELECT doc_id, o, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY o) AS span FROM r),
+p AS (SELECT doc_id, span, min(o) AS a, max(o) + 50 AS b FROM g GROUP BY ALL),
+k AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM p UNION ALL SELECT doc_id, 0, min(a) FROM p GROUP BY doc_id),
+t AS (SELECT n.doc_id, string_agg(substr(h, 2 * k.a + 1, 2 * (coalesce(k.b, n_bytes) - k.a)), '' ORDER BY k.a) AS kept FROM n JOIN k USING (doc_id) GROUP BY n.doc_id),
+c AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM p GROUP BY doc_id)
+SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM n LEFT JOIN c ON c.doc_id = n.doc_id LEFT JOIN t ON t.doc_id = n.doc_id
+"""
+
+ORACLE_SQL = {"op2_suffix_array_dedup": OP2_SQL, "op6_mixing_sources": OP6_SQL}
