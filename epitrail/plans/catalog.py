@@ -311,15 +311,11 @@ def best_table(spark, sf):
     return t.select("peptide", F.col("click.score").alias("click_score"), F.col("click.allele").alias("click_allele"), F.col("purchase.score").alias("purchase_score"))
 
 
-@query(f"""WITH {EVENTS} SELECT peptide, list_sort(list(DISTINCT kind)) AS kinds, coalesce(list_sort(list(DISTINCT allele) FILTER (allele <> '')), []) AS alleles, count(*) AS n_preds FROM ev GROUP BY peptide""", "kinds_alleles_raw")
-def _kinds(spark, sf):
-    return results.nested(_events(spark, sf), key=("peptide",)).select("peptide", "kinds", "alleles", "n_preds")
-
-
-QUERIES["kinds_alleles_per_peptide"] = lambda spark, sf: _kinds(spark, sf).withColumns({c: joined(F.col(c)) for c in ("kinds", "alleles")})
-ORACLE_SQL["kinds_alleles_per_peptide"] = f"""WITH {EVENTS} SELECT peptide, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds,
-coalesce(string_agg(DISTINCT allele, ',' ORDER BY allele) FILTER (allele <> ''), '') AS alleles, count(*) AS n_preds FROM ev GROUP BY peptide"""
-del QUERIES["kinds_alleles_raw"], ORACLE_SQL["kinds_alleles_raw"]
+@query(f"""WITH {EVENTS} SELECT peptide, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds,
+coalesce(string_agg(DISTINCT allele, ',' ORDER BY allele) FILTER (allele <> ''), '') AS alleles, count(*) AS n_preds FROM ev GROUP BY peptide""")
+def kinds_alleles_per_peptide(spark, sf):
+    found = results.nested(_events(spark, sf), key=("peptide",)).select("peptide", "kinds", "alleles", "n_preds")
+    return found.withColumns({c: joined(F.col(c)) for c in ("kinds", "alleles")})
 
 
 @query(f"""WITH {EVENTS} SELECT peptide, string_agg(score, ';' ORDER BY ord) AS scores, count(*) AS n FROM (SELECT peptide, ord, round(score, 2)::DECIMAL(18, 2)::VARCHAR AS score FROM ev) GROUP BY peptide""")
