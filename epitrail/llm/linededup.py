@@ -87,15 +87,19 @@ def distinct_lines(found: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     return df.select("digest", "id", _let(words, of_words).alias("keys")).groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
 
 
+def _grams(text: str) -> Column:
+    return F.array_distinct(F.transform(shingles(F.col(text)), lambda x: F.xxhash64(x)))
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs ``src, dst`` whose lines reach the similarity; ``texts``: ``nid, text``."""
-    grams = lambda c: F.array_distinct(F.transform(shingles(F.col(c)), lambda x: F.xxhash64(x)))
+    """Those of the pairs ``src, dst`` whose lines reach the similarity; ``texts``: ``nid, text, grams`` (their number)."""
+    # sizes first: sets of too different sizes can't reach the similarity, and need no texts
+    sizes = texts.select(F.col("nid").alias("src"), F.col("grams").alias("na")), texts.select(F.col("nid").alias("dst"), F.col("grams").alias("nb"))
+    sized = pairs.join(sizes[0], "src").join(sizes[1], "dst").where(F.least("na", "nb") >= F.greatest("na", "nb") * least)
     one, two = (texts.select(F.col("nid").alias(k), F.col("text").alias(t)) for k, t in (("src", "ta"), ("dst", "tb")))
-    both = pairs.join(one, "src").join(two, "dst").withColumns({"a": grams("ta"), "b": grams("tb")})
-    # sizes first: sets of too different sizes can't reach the similarity
-    close = both.where(F.least(F.size("a"), F.size("b")) >= F.greatest(F.size("a"), F.size("b")) * least)
-    common = F.size(F.array_intersect("a", "b"))
-    return close.withColumn("c", common).where(F.col("c") >= (F.size("a") + F.size("b") - F.col("c")) * least).select("src", "dst")
+    both = sized.join(one, "src").join(two, "dst")
+    common = both.withColumn("c", F.size(F.array_intersect(_grams("ta"), _grams("tb"))))
+    return common.where(F.col("c") >= (F.col("na") + F.col("nb") - F.col("c")) * least).select("src", "dst")
 
 
 def line_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -122,7 +126,8 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     met = source.join(by_doc, ["_none", "_id"]).select(F.split("whole", "\n", -1).alias("ls"), "own")
     cut = met.select(F.transform("own", lambda x: F.struct(x["nid"].alias("nid"), x["digest"].alias("digest"), F.get("ls", x["line_no"]).alias("raw"))).alias("own"), F.size("ls"))
     cut = cut.select(F.inline("own")).select("nid", "digest", normal(F.col("raw")).alias("text")).where(digest == F.col("digest"))
-    texts = saved(cut.groupBy("nid").agg(F.min("text").alias("text")), "texts")  # rows may repeat a doc_id
+    once = cut.groupBy("nid").agg(F.min("text").alias("text"))  # rows may repeat a doc_id
+    texts = saved(once.withColumn("grams", F.size(_grams("text"))), "texts")
 
     stars = shared.where("nid != hub").select(F.col("hub").alias("src"), F.col("nid").alias("dst")).distinct()
     near = saved(_similar(stars, texts, similarity), "near")
