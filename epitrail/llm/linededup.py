@@ -8,8 +8,9 @@ Lines are compared without white space at their ends and in lower case, by the J
   words; short lines, and lines with few words for their length, use all; lines near the limits between the two have
   keys of both kinds, so that similar lines always share a kind.
 * Within a key, lines are verified against the first line; the exact similarity of all shingles decides. Lines that
-  still are in different components are then verified pair by pair, so no candidate pair that matters is left out,
-  and a large group of copies costs one comparison a line.
+  still are in different components are then verified pair by pair, so no candidate pair that matters is left out.
+  A large group of copies costs one comparison a line; one of variants that resemble each other just less than the
+  similarity costs a comparison a pair.
 * A distributed union-find gives the components, of which the first line stays.
 """
 
