@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents the one with the smallest id stays."""
-    return simhash.deduplicated(docs.select(*DOC_COLUMNS))
+    """Of near copies, by five-word shingles with a Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
+    return simhash.without_near_copies(docs.select(*DOC_COLUMNS))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,3 +92,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def word_count(text: Column | str) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def similar_components(shared: DataFrame, similar) -> DataFrame:
+    """``node, component`` of all nodes that a similar pair joins, among the pairs that share a key.
+
+    ``shared``: ``key, nid, hub``, hub being the smallest nid of a key with several; ``similar``: keeps those pairs ``src, dst`` that are.
+    Within a key, all are compared with the hub. Those that still are in different components are then compared pair by pair, so no pair
+    that matters is left out. A large group of copies costs one comparison each; one of variants that resemble each other just less than
+    is asked for costs a comparison a pair.
+    """
+    stars = shared.where("nid != hub").select(F.col("hub").alias("src"), F.col("nid").alias("dst")).distinct()
+    near = saved(similar(stars), "near")
+    first = saved(connected_components(near), "components")
+    labelled = shared.join(first.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", F.coalesce("component", "nid").alias("part"))
+    parts = labelled.groupBy("key", "part").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    split = saved(labelled.join(largest.drop("parts"), "key"), "split")
+    a = split.where("part != largest").select("key", F.col("nid").alias("src"), F.col("part").alias("p"))
+    b = split.select("key", F.col("nid").alias("dst"), F.col("part").alias("q"), "largest")
+    rest = a.join(b, (a["key"] == b["key"]) & (F.col("p") != F.col("q")) & ((F.col("q") == F.col("largest")) | (F.col("src") < F.col("dst"))))
+    ends = rest.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    more = similar(ends.join(stars, ["src", "dst"], "left_anti"))
+    links = saved(near.unionByName(more), "links")
+    final = connected_components(links)
+    for used in (near, first, split, links):
+        discard(used)
+    return final

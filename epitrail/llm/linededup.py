@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epitrail.llm.common import connected_components, discard, saved, table
+from epitrail.llm.common import discard, saved, similar_components, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -130,25 +130,12 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     once = cut.groupBy("nid").agg(F.min("text").alias("text"))  # rows may repeat a doc_id
     texts = saved(once.withColumn("grams", F.size(_grams("text"))), "texts")
 
-    stars = shared.where("nid != hub").select(F.col("hub").alias("src"), F.col("nid").alias("dst")).distinct()
-    near = saved(_similar(stars, texts, similarity), "near")
-    first = saved(connected_components(near), "components")
-    labelled = shared.join(first.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", F.coalesce("component", "nid").alias("part"))
-    parts = labelled.groupBy("key", "part").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    split = saved(labelled.join(largest.drop("parts"), "key"), "split")
-    a = split.where("part != largest").select("key", F.col("nid").alias("src"), F.col("part").alias("p"))
-    b = split.select("key", F.col("nid").alias("dst"), F.col("part").alias("q"), "largest")
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("p") != F.col("q")) & ((F.col("q") == F.col("largest")) | (F.col("src") < F.col("dst"))))
-    ends = rest.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    more = _similar(ends.join(stars, ["src", "dst"], "left_anti"), texts, similarity)
-    links = saved(near.unionByName(more), "links")
-    final = connected_components(links).withColumnRenamed("node", "nid")
+    final = similar_components(shared, lambda pairs: _similar(pairs, texts, similarity)).withColumnRenamed("node", "nid")
 
     labels = distinct.select("digest", "id", "nid").join(final, "nid", "left").withColumn("class", F.coalesce("component", "nid"))
     firsts = labels.where("component IS NOT NULL").groupBy("class").agg(F.min("id").alias("earliest"))
     named = saved(labels.join(firsts, "class", "left").select("digest", F.coalesce("earliest", "id").alias("first")), "named")
-    for used in (distinct, shared, texts, near, first, split, links):
+    for used in (distinct, shared, texts):
         discard(used)
     found = all_lines.select("doc_id", "version", "line_no", F.when(F.col("text") != "", digest).alias("digest"))
     return found.join(named, "digest", "left").select(

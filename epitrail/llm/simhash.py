@@ -4,6 +4,10 @@ Fingerprints are 64-bit SimHashes of three-word shingles. For radius r, bit i ge
 and table v of the 2^(r+1) - 1 tables keeps the bits whose vector has an odd product with v. The bits in which two
 fingerprints within the radius differ have a common orthogonal v, so some table hides all of them: every such pair
 meets in some bucket.
+
+At a Jaccard similarity of 0.8, fingerprints differ in about ten bits, too many for tables. Where near copies by
+similarity are asked for (:func:`without_near_copies`), MinHash keys of five-word shingles find candidates beside the
+tables, and the exact similarity decides on all of them.
 """
 
 from __future__ import annotations
@@ -15,25 +19,38 @@ from random import Random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epitrail.llm.common import connected_components, saved, table
+from epitrail.llm.common import connected_components, discard, saved, similar_components, table
 
 BITS = 64
 SEED = 42
+#: Near copies: least Jaccard similarity of sets of shingles of this many words.
+SIMILARITY, COPY_SHINGLE = 0.8, 5
+#: A pair at the threshold shares a MinHash key with probability 1 - (1 - 0.8^4)^16 = 0.9998.
+BANDS, ROWS = 16, 4
 
 
-def fingerprint(data: bytes | None, shingle: int = 3) -> int:
-    """Unsigned fingerprint of a UTF-8 text. A null text, like one without words, has fingerprint 0."""
+def shingle_hashes(data: bytes | None, shingle: int = 3):
+    """Hashes of a UTF-8 text's shingles in order; a text of fewer words is one, one without words has none."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     words = data.lower().split() if data else []
-    if not words:
-        return 0
     if len(words) < shingle:
-        hashes = [xxh64_intdigest(b" ".join(words), SEED)]
+        hashes = [xxh64_intdigest(b" ".join(words), SEED)] if words else []
     else:
         hashes = [xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(shingle))))]
-    array = np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def fingerprint(data: bytes | None, shingle: int = 3) -> int:
+    """Unsigned fingerprint of a UTF-8 text. A null text, like one without words, has fingerprint 0."""
+    return _majority(shingle_hashes(data, shingle))
+
+
+def _majority(array) -> int:
+    """The bits that most of the hashes have."""
+    import numpy as np
+
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(array), 1 << 16):  # bounded memory for very long texts
         bits = np.unpackbits(array[at : at + (1 << 16)].view(np.uint8), bitorder="little")
@@ -119,19 +136,116 @@ def _roots(fps: DataFrame, radius: int, *more) -> DataFrame:
     return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
 
 
+def _places(docs: DataFrame) -> dict:
+    return {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_version": F.xxhash64("text")}
+
+
+def _first():
+    """The smallest place among rows: a null doc_id is the largest."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("version").alias("v"))).alias("first")
+
+
+def _only(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``first`` of ``stay``."""
+    stay = stay.select(F.col("first.none").alias("_none"), F.coalesce("first.id", F.lit(0)).alias("_id"), F.col("first.v").alias("_version"))
+    keys = _places(docs)
+    own = docs.withColumns(keys).join(stay, list(keys), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_version"))
+    return own.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+
+
 def deduplicated(docs: DataFrame, radius: int = 2) -> DataFrame:
     """One row of each component of ``docs``, all columns: that of the smallest doc_id, null being the largest.
 
     Of rows with one doc_id, that whose text has the smallest hash stays; of equal rows, one.
     """
     fps = saved(fingerprints(docs), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("version").alias("v"))).alias("first")
-    stay = _roots(fps, radius, first).groupBy("root").agg(F.min("first").alias("first"))
-    stay = stay.select(F.col("first.none").alias("_none"), F.coalesce("first.id", F.lit(0)).alias("_id"), F.col("first.v").alias("_version"))
-    keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_version": F.xxhash64("text")}
-    own = docs.withColumns(keys).join(stay, list(keys), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_version"))
-    return own.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    return _only(docs, _roots(fps, radius, _first()).groupBy("root").agg(F.min("first").alias("first")))
+
+
+def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, version, nid, keys`` of each row: ``nid`` is a hash of its words, ``keys`` what near copies share."""
+    masks = covering_masks(2)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        points = np.arange(BANDS, dtype=np.uint64) * np.uint64((1 << 64) // BANDS)
+        for batch in batches:
+            nids, keys = [], []
+            for x in batch.column("data"):
+                data = x.as_py()
+                array = shingle_hashes(data, shingle)
+                nids.append(xxh64_intdigest(b" ".join((data or b"").lower().split()), SEED))
+                if not len(array):
+                    keys.append([])
+                    continue
+                fp, distinct = _majority(array), np.unique(array)
+                at = (np.searchsorted(distinct, points)[:, None] + np.arange(ROWS)) % len(distinct)
+                own = [xxh64_intdigest(row.tobytes(), j) for j, row in enumerate(distinct[at])]
+                own += [xxh64_intdigest((fp & m).to_bytes(8, "little"), BANDS + t) for t, m in enumerate(masks)]
+                keys.append([signed(k) for k in own])
+            columns = [pa.array(map(signed, nids), pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *columns], ["doc_id", "version", "nid", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("data"))
+    return rows.mapInArrow(run, f"doc_id {kind}, version long, nid long, keys array<long>")
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``nid, grams``: the set of shingle hashes of each row of ``nid, data``."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            grams = [np.unique(shingle_hashes(x.as_py(), shingle)).view(np.int64) for x in batch.column("data")]
+            yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array(grams, pa.list_(pa.int64()))], ["nid", "grams"])
+
+    return texts.mapInArrow(run, "nid long, grams array<long>")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE) -> DataFrame:
+    """``doc_id, version, root`` of each row of ``docs``; rows have one ``root`` if a chain of near copies joins them.
+
+    Near copies are texts whose sets of shingles of so many words have at least this Jaccard similarity; words
+    are compared in lower case. Texts without words, and null texts, are copies of each other.
+    """
+    rows = saved(_signatures(docs, shingle), "signatures")
+    texts = rows.groupBy("nid").agg(_first(), F.first("keys").alias("keys"))
+    span = Window.partitionBy("key")
+    hub = texts.select(F.explode("keys").alias("key"), "nid").withColumns({"hub": F.min("nid").over(span), "last": F.max("nid").over(span)})
+    shared = saved(hub.where("hub != last").select("key", "nid", "hub"), "keys")
+
+    wanted = texts.join(shared.select("nid").distinct(), "nid", "left_semi")
+    wanted = wanted.select("nid", F.col("first.none").alias("_none"), F.coalesce("first.id", F.lit(0)).alias("_id"), F.col("first.v").alias("_version"))
+    keys = _places(docs)
+    found = docs.withColumns(keys).join(wanted, list(keys)).select("nid", F.col("text").cast("binary").alias("data"))
+    sets = saved(_shingle_sets(found, shingle).groupBy("nid").agg(F.first("grams").alias("grams")), "sets")  # rows may repeat
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        # sizes first: sets of too different sizes can't reach the similarity, and need not be brought together
+        sizes = sets.select("nid", F.size("grams").alias("n"))
+        one, two = (sizes.select(F.col("nid").alias(k), F.col("n").alias(n)) for k, n in (("src", "na"), ("dst", "nb")))
+        sized = pairs.join(one, "src").join(two, "dst").where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity)
+        one, two = (sets.select(F.col("nid").alias(k), F.col("grams").alias(g)) for k, g in (("src", "ga"), ("dst", "gb")))
+        common = sized.join(one, "src").join(two, "dst").withColumn("c", F.size(F.array_intersect("ga", "gb")))
+        return common.where(F.col("c") >= (F.col("na") + F.col("nb") - F.col("c")) * similarity).select("src", "dst")
+
+    roots = similar_components(shared, similar).withColumnRenamed("node", "nid")
+    named = saved(rows.join(roots, "nid", "left").select("doc_id", "version", F.coalesce("component", "nid").alias("root")), "roots")
+    for used in (rows, shared, sets):
+        discard(used)
+    return named
+
+
+def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE) -> DataFrame:
+    """One row of each group that :func:`near_copies` joins, all columns; which, as in :func:`deduplicated`."""
+    return _only(docs, near_copies(docs, similarity, shingle).groupBy("root").agg(_first()).select("first"))
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -102,3 +102,51 @@ def test_query_columns(spark, tmp_path):
     documents(spark, 20).write.parquet(f"{tmp_path}/documents.parquet")
     df = simhash.op4_simhash_near_dedup(spark, str(tmp_path))
     assert df.columns == ["doc_id", "fingerprint", "component_id"] and all(len(r.fingerprint) == 16 for r in df.collect())
+
+
+def brute_copies(texts):
+    """Component of each text by the exact Jaccard similarity of five-word shingles of all pairs."""
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+    sets, up = [grams(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                r, s = find(a), find(b)
+                up[max(r, s)] = min(r, s)
+    return [find(x) for x in range(len(texts))]
+
+
+def test_near_copies_match_brute_force_jaccard(spark):
+    rng = random.Random(12)
+    texts = [None, "", " ", "a b", "A  b", "a b c"]
+    for n in [20, 60] * 10 + [200] * 25 + [500] * 10:
+        base = [f"{rng.choice(COLORS)}{rng.randrange(500)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for edits in (1, max(1, n // 100), n // 50, n // 40, n // 25):
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(n)] = f"edit{rng.randrange(10_000)}"
+            texts.append(" ".join(words))
+        texts.append(" ".join([*base, "one", "more"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_copies(texts)
+    roots = {r.doc_id: r.root for r in simhash.near_copies(df).collect()}
+    least = {}
+    for d in sorted(roots):
+        least.setdefault(roots[d], d)
+    found = [least[roots[d]] for d in range(len(texts))]
+    assert len(set(want)) < 0.6 * len(texts)
+    assert sum(a != b for a, b in zip(found, want)) <= 0.005 * len(texts)
+    import corpus_pipeline
+
+    docs = df.selectExpr("doc_id", "text", "'en' as lang", "'a' as source", "length(text) as n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()) == sorted(set(found))
