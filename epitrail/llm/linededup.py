@@ -4,9 +4,7 @@ Lines are compared without white space at their ends and in lower case, by the J
 
 * Equal lines collapse first; the rest works on distinct lines, each known by its first place.
 * A signature takes minima under rotated orders of one hash a shingle: the ``ROWS`` shingle hashes that follow each of
-  ``BANDS`` fixed points in cyclic order make a key. Longer lines sample their shingles by content, at the starts of
-  words; short lines, and lines with few words for their length, use all; lines near the limits between the two have
-  keys of both kinds, so that similar lines always share a kind.
+  ``BANDS`` fixed points in cyclic order make a key. All shingles of a line take part, whatever its length.
 * Within a key, lines are verified against the first line; the exact similarity of all shingles decides. Lines that
   still are in different components are then verified pair by pair, so no candidate pair that matters is left out.
   A large group of copies costs one comparison a line; one of variants that resemble each other just less than the
@@ -25,10 +23,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at the threshold shares a key with probability 1 - (1 - 0.8^5)^12 = 0.99.
 BANDS, ROWS = 12, 5
-#: Lines from WORDS_FROM characters sample shingles at word starts; lines under ALL_BELOW use all.
-WORDS_FROM, ALL_BELOW = 240, 300
-#: Characters a word above which a line uses all shingles; it still has the other keys up to the second.
-ALL_ABOVE, WORDS_UPTO = 12, 16
 
 
 def normal(line: Column) -> Column:
@@ -40,23 +34,18 @@ def shingles(text: Column, size: int = SHINGLE) -> Column:
     return F.when(F.length(text) < size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def word_shingles(text: Column, size: int = SHINGLE) -> Column:
-    """The shingles that start a word."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?<!\S)(?=(\S.{{{size - 1}}}))"), F.lit(1))
-
-
 def _let(value: Column, f) -> Column:
     """``f`` of a value that is worked out once; what stands in lambdas adds no generated code."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _keys(source: Column, kind: int, bands: int, rows: int) -> Column:
+def _keys(source: Column, bands: int, rows: int) -> Column:
     """The band keys of an array of shingles; none for an empty array."""
     points = F.array(*(F.lit((2 * j + 1 - bands) * ((1 << 63) // bands)) for j in range(bands)))
 
     def keys(h: Column) -> Column:
         n = F.greatest(F.size(h), F.lit(1))
-        key = lambda p, j: F.xxhash64(F.lit(kind), j, *(F.get(h, (p + r) % n) for r in range(rows)))
+        key = lambda p, j: F.xxhash64(F.lit(0), j, *(F.get(h, (p + r) % n) for r in range(rows)))
         # a point's place among the hashes: its place in both together, less the points before it
         place = lambda both: F.transform(points, lambda c, j: F.array_position(both, c).cast("int") - 1 - j)
         made = F.transform(_let(F.sort_array(F.concat(h, points)), place), key)
@@ -73,19 +62,9 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def distinct_lines(found: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``digest, id, keys`` of each distinct line; ``id`` is its first place (doc_id, line_no)."""
-    n = F.length("text")
-    df = found.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.struct("doc_id", "line_no").alias("id"), "text", n.alias("_n"))
-
-    def of_words(w: Column) -> Column:
-        count = F.size(w)
-        plenty = (F.col("_n") >= WORDS_FROM) & (count * WORDS_UPTO >= F.col("_n"))
-        short = (F.col("_n") < ALL_BELOW) | (count * ALL_ABOVE < F.col("_n"))
-        none = F.array().cast("array<bigint>")
-        every = F.when(short, _keys(shingles(F.col("text")), 0, bands, rows)).otherwise(none)
-        return F.concat(F.when(plenty, _keys(w, 1, bands, rows)).otherwise(none), every)
-
-    words = F.when(F.col("_n") >= WORDS_FROM, word_shingles(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    return df.select("digest", "id", _let(words, of_words).alias("keys")).groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    digest = F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")
+    df = found.select(digest, F.struct("doc_id", "line_no").alias("id"), _keys(shingles(F.col("text")), bands, rows).alias("keys"))
+    return df.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
 
 
 def _grams(text: str) -> Column:

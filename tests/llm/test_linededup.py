@@ -52,6 +52,28 @@ def test_matches_brute_force(spark):
     assert sum(found[p] != want[p] for p in want) <= 0.005 * len(want)
 
 
+def test_long_lines_with_edits_at_word_starts(spark):
+    rng = random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = []
+    for low, high, n in [(2, 10, 60)] * 60 + [(8, 12, 40)] * 60:
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(low, high))) for _ in range(n)]
+        order, edited, base = rng.sample(range(n), n), list(words), grams(" ".join(words))
+        for i in order:  # as many edits as 0.8 allows
+            kept = edited[i]
+            edited[i] = rng.choice(['"' + kept, rng.choice(letters) + kept[1:]])
+            other = grams(" ".join(edited))
+            if len(base & other) < 0.8 * len(base | other):
+                edited[i] = kept
+                break
+        texts += [" ".join(words), " ".join(edited)]
+    assert min(map(len, texts)) >= 300
+    rows = list(enumerate(texts))
+    want, found = brute(rows), got(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(set(want.values())) == len(texts) // 2
+    assert sum(found[p] != want[p] for p in want) <= 0.02 * len(texts) // 2
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(5)
     words = prose(rng, 60).split()
