@@ -74,6 +74,15 @@ def test_long_lines_with_edits_at_word_starts(spark):
     assert sum(found[p] != want[p] for p in want) <= 0.02 * len(texts) // 2
 
 
+def test_repetitive_lines_of_different_lengths(spark):
+    """Equal shingle sets, whatever the lengths."""
+    texts = [("- " * n)[:length] for n, length in ((100, 199), (200, 399))] + [("ha " * n)[:length] for n, length in ((60, 179), (150, 449))]
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert sorted(want.values()) == [(0, 0), (0, 0), (2, 0), (2, 0)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(5)
     words = prose(rng, 60).split()
