@@ -56,7 +56,10 @@ class Index:
         self.high = np.array([self.points[x].max(axis=0) for x in self.leaves])
 
     def search(self, queries, own, k: int = K, sure: float = SURE):
-        """Positions of about the k best for each query; ``own``: the query's own position or -1. -1 stands for none."""
+        """Positions of about the k best for each query; -1 stands for none.
+
+        ``own``: two arrays, the first position of the query's own id and the one after the last.
+        """
         import numpy as np
 
         n, keep = len(queries), k + 8  # some more, as near ties are ordered anew afterwards
@@ -80,7 +83,7 @@ class Index:
                 who = active[row]
                 score = (queries[who] @ self.vectors[ids].T) / (self.radius * norms[who])[:, None]
                 code = (((np.clip(score, -1, 1) + 1) * (1 << 39)).astype(np.int64) << 20) | ((1 << 20) - 1 - ids)
-                code[ids[None, :] == own[who][:, None]] = -1
+                code[(ids[None, :] >= own[0][who][:, None]) & (ids[None, :] < own[1][who][:, None])] = -1
                 found[row, slot, : len(ids)] = code
             merged = np.concatenate([best[active], found.reshape(len(active), -1)], axis=1)
             best[active] = np.partition(merged, merged.shape[1] - keep, axis=1)[:, -keep:]
@@ -103,6 +106,11 @@ def valid(embeddings: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (common.n if common else 0))
 
 
+def index_rows(rows: DataFrame, blocks: int) -> DataFrame:
+    """The rows with their block ``b``; dealt by row, as rows of one vec_id may be many."""
+    return rows.withColumn("b", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+
+
 def nearest(embeddings: DataFrame, is_query=None, k: int = K, sure: float = SURE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found for each query, all other rows being candidates.
 
@@ -118,7 +126,7 @@ def nearest(embeddings: DataFrame, is_query=None, k: int = K, sure: float = SURE
     blocks, groups = max(1, -(-n // INDEX_BLOCK)), max(1, -(-many // QUERY_BLOCK))
     deal = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts))
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    index = rows.withColumn("b", deal(blocks).cast("int")).withColumn("g", each(groups))
+    index = index_rows(rows, blocks).withColumn("g", each(groups))
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("g", deal(groups).cast("int")).withColumn("b", each(blocks))
 
     def run(index, queries):
@@ -133,11 +141,9 @@ def nearest(embeddings: DataFrame, is_query=None, k: int = K, sure: float = SURE
             for at in range(0, len(queries), 256):
                 part = queries.iloc[at : at + 256]
                 who, asked = part["vec_id"].to_numpy(), np.stack(part["v"].to_list())
-                where = np.searchsorted(ids, who)
-                own = np.where((where < len(ids)) & (ids[np.minimum(where, len(ids) - 1)] == who), where, -1)
+                own = np.searchsorted(ids, who), np.searchsorted(ids, who, side="right")
                 for q, vector, found in zip(who, asked, tree.search(asked, own, k, sure)):
                     found = found[found >= 0]
-                    found = found[ids[found] != q]
                     score = np.einsum("nd,d->n", vectors[found], vector)
                     best = np.lexsort((ids[found], -score))[:k]
                     out["query_id"] += [q] * len(best)

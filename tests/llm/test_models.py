@@ -192,6 +192,30 @@ def test_neighbours(spark, monkeypatch):
     assert [v for v, _ in found[300]][:19] == [i for i in range(301, 320)] or brute(x, 300, ids)[0].tolist() == [v for v, _ in found[300]]
 
 
+def test_neighbours_of_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "INDEX_BLOCK", 300)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 12))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(40, x[40].tolist())] * 900
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in sorted(neighbours.nearest(df, sure=0.9999).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    ids = np.arange(600)
+    assert found[40] == brute(x, 40, ids)[0].tolist()
+    near = next(q for q in range(0, 600, 20) if q != 40 and 40 in brute(x, q, ids)[0])
+    best = brute(x, near, ids)[0].tolist()
+    want = best[: best.index(40)] + [40] * 20
+    assert found[near] == want[:20]
+
+
+def test_blocks_of_a_hot_id_are_bounded(spark):
+    df = spark.createDataFrame([(i if i < 300 else 40, [1.0]) for i in range(1500)], "vec_id long, v array<double>")
+    counts = [r["count"] for r in neighbours.index_rows(df, 5).groupBy("b").count().collect()]
+    assert len(counts) == 5 and sum(counts) == 1500 and max(counts) < 400
+
+
 def test_neighbours_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, inf]), (6, [1.0, None]), (7, [1.0, 2.0, 3.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (None, [1.0, 1.0]), (40, []), (9, [-1.0, -2.0])]
