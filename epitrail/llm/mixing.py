@@ -117,8 +117,30 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_E
     return rows.join(goal, F.col("source").eqNullSafe(F.col("g"))).drop("g")
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The documents of the mix: each once for every whole time that it is taken.
+def exact_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> DataFrame:
+    """As :func:`mix`, but however large the corpus, each source's words come to its target.
+
+    Where a slot is one word, the slots say how many words a source gives. Wider slots leave a residue, which is all
+    that a source has if it is small beside the rest; so there each source gives its target, to the word. Words come
+    in the stream's order, starting again at its end, as they do for slots.
+    """
+    measured = saved(sizes(docs), "sizes")
+    goals = saved(targets(measured, weights, epochs).coalesce(1), "targets")
+    slotted = schedule(goals, slots, epochs).groupBy("s", "width").agg(F.sum("times").alias("n"))
+    wide = F.sum("source_size").over(Window.partitionBy()) > slots  # one row a source
+    goal = goals.withColumn("wide", wide).join(slotted, F.col("source").eqNullSafe(F.col("s")), "left")
+    words = F.when(F.col("wide"), F.round("target").cast("long")).otherwise(F.coalesce("n", F.lit(0)))
+    goal = goal.select(F.col("source").alias("g"), "source_size", "target", words.alias("words"))
+    stream = _stream(measured.where("size > 0")).join(goal, F.col("source").eqNullSafe(F.col("g")))
+    rest = F.least(F.greatest(F.expr("words % source_size") - F.col("start"), F.lit(0)), F.col("size"))
+    taken = stream.withColumn("taken", F.expr("words div source_size") * F.col("size") + rest)
+    none = measured.where("size = 0").join(goal, F.col("source").eqNullSafe(F.col("g"))).withColumn("taken", F.lit(0).cast("long"))
+    names = ("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken.select(*names).unionByName(none.select(*names))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> DataFrame:
+    """The documents of the mix (:func:`exact_mix`): each once for every whole time that it is taken.
 
     Of what is left, a last row has the first words, with single spaces; at most one document of each source is cut.
     """
@@ -129,7 +151,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs:
         nth = F.row_number().over(Window.partitionBy(*keys, "_size").orderBy(order))
         return df.withColumns(keys).withColumn("_nth", nth)
 
-    taken = numbered(mix(docs, weights, epochs).withColumnRenamed("size", "_size"), F.desc("taken")).where("taken > 0")
+    taken = numbered(exact_mix(docs, weights, epochs, slots).withColumnRenamed("size", "_size"), F.desc("taken")).where("taken > 0")
     taken = taken.select(*keys, "_size", "_nth", F.col("taken").alias("_taken"))
     both = numbered(docs.withColumn("_size", word_count("text")), "text").join(taken, [*keys, "_size", "_nth"])
     whole, rest = F.expr("cast(_taken div _size as int)"), F.col("_taken") % F.col("_size")

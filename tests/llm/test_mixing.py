@@ -45,6 +45,24 @@ def test_targets_and_takes(spark):
     assert all(0 <= r.taken <= 3 * r.size for r in coarse)
 
 
+def test_small_sources_beside_a_large_one(spark):
+    """Slots of many words: every source still comes to its target."""
+    rows = []
+    for s, n, k in (("huge", 400, 100), ("tiny", 3, 7), ("a little", 5, 20), (None, 4, 10), ("zero", 2, 0)):
+        rows += [(len(rows) + i, " ".join(["w"] * k), None, s, 2 * k) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken, target = defaultdict(int), {}
+    for r in mixing.exact_mix(df, slots=64).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    assert dict(taken) == {s: round(t) for s, t in target.items()} and taken["tiny"] == 63
+    words = defaultdict(int)
+    for r in mixing.mixed_documents(df, slots=64).collect():
+        words[r.source] += len(r.text.split())
+    assert dict(words) == {s: n for s, n in taken.items() if n}
+
+
 def test_documents_of_the_mix(spark):
     df = documents(spark, 50)
     taken = {r.doc_id: r for r in mixing.mix(df).collect()}
