@@ -94,28 +94,68 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def similar_components(shared: DataFrame, similar) -> DataFrame:
-    """``node, component`` of all nodes that a similar pair joins, among the pairs that share a key.
+#: Longs of a sketch: 64 bits each.
+SKETCH = 16
 
-    ``shared``: ``key, nid, hub``, hub being the smallest nid of a key with several; ``similar``: keeps those pairs ``src, dst`` that are.
-    Within a key, all are compared with the hub. Those that still are in different components are then compared pair by pair, so no pair
-    that matters is left out. A large group of copies costs one comparison each; one of variants that resemble each other just less than
-    is asked for costs a comparison a pair.
+
+def sketched(grams: DataFrame) -> DataFrame:
+    """``nid, n, s0, s1, ...`` of the sets that ``nid, h`` lists, an element a row, none twice.
+
+    ``n`` is the size; each element flips one bit of the sketch. Common elements flip the same bits, so two sketches differ in at most as
+    many bits as the sets in elements.
     """
-    stars = shared.where("nid != hub").select(F.col("hub").alias("src"), F.col("nid").alias("dst")).distinct()
-    near = saved(similar(stars), "near")
-    first = saved(connected_components(near), "components")
-    labelled = shared.join(first.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", F.coalesce("component", "nid").alias("part"))
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(h, {SKETCH.bit_length() - 1}) & 63 AS INT))")
+    word = F.expr(f"cast(h & {SKETCH - 1} AS INT)").alias("w")
+    words = grams.groupBy("nid", word).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
+    bits = (F.coalesce(F.bit_xor(F.when(F.col("w") == i, F.col("bits"))), F.lit(0).cast("long")).alias(f"s{i}") for i in range(SKETCH))
+    return words.groupBy("nid").agg(F.sum("n").alias("n"), *bits)
+
+
+def may_resemble(a: str, b: str, similarity: float) -> Column:
+    """Whether two sketched sets can have this Jaccard similarity: an exact bound, which leaves out no pair that has it."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    return (F.least(n, m) >= F.greatest(n, m) * similarity) & (differ <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def with_hubs(keyed: DataFrame) -> DataFrame:
+    """``key, nid, hub`` of the keys that several have: ``hub`` is the smallest nid of the key."""
+    groups = keyed.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("last")).where("hub != last").drop("last")
+    return keyed.join(groups, "key").select("key", "nid", "hub")
+
+
+def similar_components(shared: DataFrame, sketches: DataFrame, similar, similarity: float) -> DataFrame:
+    """``nid, component`` of all sketched sets: the smallest nid that a chain of similar pairs reaches, among the pairs that share a key.
+
+    ``shared``: ``key, nid, hub`` (see :func:`with_hubs`); ``sketches``: see :func:`sketched`, for each nid of ``shared``; ``similar``: keeps those
+    pairs ``src, dst`` that are. Within a key, all meet the hub. Those that still are in different components then meet each other, but
+    only pairs whose sketches allow the similarity become rows, are brought together and compared. So no pair that matters is left out;
+    a large group of copies costs one comparison each, and one of variants that resemble each other less than is asked for costs the
+    comparison of two sketches a pair.
+    """
+    stars = shared.where("nid != hub").select("hub", "nid").distinct()
+    near = stars.join(sketches.alias("a"), F.col("hub") == F.col("a.nid")).join(sketches.alias("b"), stars["nid"] == F.col("b.nid"))
+    near = near.where(may_resemble("a", "b", similarity)).select(F.col("a.nid").alias("src"), F.col("b.nid").alias("dst"))
+    near = saved(similar(near), "near")
+    first = saved(connected_components(near), "components").withColumnsRenamed({"node": "nid", "component": "part"})
+
+    labelled = shared.select("key", "nid").join(first, "nid", "left").withColumn("part", F.coalesce("part", "nid"))
     parts = labelled.groupBy("key", "part").agg(F.count("*").alias("n"))
     largest = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    split = saved(labelled.join(largest.drop("parts"), "key"), "split")
-    a = split.where("part != largest").select("key", F.col("nid").alias("src"), F.col("part").alias("p"))
-    b = split.select("key", F.col("nid").alias("dst"), F.col("part").alias("q"), "largest")
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("p") != F.col("q")) & ((F.col("q") == F.col("largest")) | (F.col("src") < F.col("dst"))))
-    ends = rest.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    more = similar(ends.join(stars, ["src", "dst"], "left_anti"))
-    links = saved(near.unionByName(more), "links")
-    final = connected_components(links)
-    for used in (near, first, split, links):
+    split = saved(labelled.join(largest.drop("parts"), "key").join(sketches, "nid"), "split")
+    a, b = split.where("part != largest").alias("a"), split.alias("b")
+    once = (F.col("b.part") == F.col("b.largest")) | (F.col("a.nid") < F.col("b.nid"))
+    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & once & may_resemble("a", "b", similarity))
+    ends = rest.select(F.least("a.nid", "b.nid").alias("src"), F.greatest("a.nid", "b.nid").alias("dst")).distinct()
+    more = saved(similar(ends), "more")
+
+    # components of components
+    part = lambda side: first.select(F.col("nid").alias(side), F.col("part").alias(f"{side}_part"))
+    joined = more.join(part("src"), "src", "left").join(part("dst"), "dst", "left")
+    second = connected_components(joined.select(F.coalesce("src_part", "src").alias("src"), F.coalesce("dst_part", "dst").alias("dst")))
+    named = sketches.select("nid").join(first, "nid", "left").withColumn("part", F.coalesce("part", "nid"))
+    named = named.join(second, named["part"] == second["node"], "left").select("nid", F.coalesce("component", "part").alias("component"))
+    final = saved(named, "final")
+    for used in (near, first, split, more):
         discard(used)
     return final

@@ -5,19 +5,17 @@ Lines are compared without white space at their ends and in lower case, by the J
 * Equal lines collapse first; the rest works on distinct lines, each known by its first place.
 * A signature takes minima under rotated orders of one hash a shingle: the ``ROWS`` shingle hashes that follow each of
   ``BANDS`` fixed points in cyclic order make a key. All shingles of a line take part, whatever its length.
-* Within a key, lines are verified against the first line; the exact similarity of all shingles decides. Lines that
-  still are in different components are then verified pair by pair, so no candidate pair that matters is left out.
-  A large group of copies costs one comparison a line; one of variants that resemble each other just less than the
-  similarity costs a comparison a pair.
+* Within a key, lines meet the first line. Lines that still are in different components meet each other, but only pairs whose
+  sketches allow the similarity become rows; the exact similarity of all shingles decides. No candidate pair that matters is left out.
 * A distributed union-find gives the components, of which the first line stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epitrail.llm.common import discard, saved, similar_components, table
+from epitrail.llm.common import discard, saved, similar_components, sketched, table, with_hubs
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -29,29 +27,38 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(" \t\r\v\f")))
 
 
-def shingles(text: Column, size: int = SHINGLE) -> Column:
-    """All overlapping shingles; a shorter text is its own."""
-    return F.when(F.length(text) < size, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
+    """The distinct hashes of all overlapping shingles, in ascending order; a shorter text is its own shingle.
+
+    In UTF-32 a character is four bytes, so a shingle is cut in constant time.
+    """
+    step, width = F.lit(4), F.lit(4 * size)
+
+    def hashes(wide: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.octet_length(wide) - width + 1, step)
+        cut = F.transform(starts, lambda at: F.xxhash64(F.substring(wide, at, width)))
+        return F.when(F.octet_length(wide) < width, F.array(F.xxhash64(wide))).otherwise(cut)
+
+    return F.sort_array(F.array_distinct(_let(F.encode(text, "UTF-32"), hashes)))
 
 
 def _let(value: Column, f) -> Column:
-    """``f`` of a value that is worked out once; what stands in lambdas adds no generated code."""
+    """``f`` of a value that is worked out once."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _keys(source: Column, bands: int, rows: int) -> Column:
-    """The band keys of an array of shingles; none for an empty array."""
-    points = F.array(*(F.lit((2 * j + 1 - bands) * ((1 << 63) // bands)) for j in range(bands)))
+def with_keys(found: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``found`` and ``keys``, the band keys of its ``text``.
 
-    def keys(h: Column) -> Column:
-        n = F.greatest(F.size(h), F.lit(1))
-        key = lambda p, j: F.xxhash64(F.lit(0), j, *(F.get(h, (p + r) % n) for r in range(rows)))
-        # a point's place among the hashes: its place in both together, less the points before it
-        place = lambda both: F.transform(points, lambda c, j: F.array_position(both, c).cast("int") - 1 - j)
-        made = F.transform(_let(F.sort_array(F.concat(h, points)), place), key)
-        return F.when(F.size(h) > 0, made).otherwise(F.array().cast("array<bigint>"))
-
-    return _let(F.sort_array(F.array_distinct(F.transform(source, lambda x: F.xxhash64(x)))), keys)
+    Columns of their own keep the sorted hashes, and the places of the points in them, from being worked out more than once.
+    """
+    points = [(2 * j + 1 - bands) * ((1 << 63) // bands) for j in range(bands)]
+    hashed = found.withColumn("h", shingle_hashes(F.col("text")))
+    both = hashed.withColumn("both", F.sort_array(F.concat("h", F.array(*map(F.lit, points)))))
+    # a point's place among the hashes: its place in both together, less the points before it
+    placed = both.withColumn("at", F.array(*(F.array_position("both", p).cast("int") - 1 - j for j, p in enumerate(points))))
+    key = lambda p, j: F.xxhash64(F.lit(0), j, *(F.get("h", (p + r) % F.size("h")) for r in range(rows)))
+    return placed.select(*found.columns, F.transform("at", key).alias("keys"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -60,79 +67,81 @@ def lines(docs: DataFrame) -> DataFrame:
     return row.select("doc_id", "version", "line_no", normal(F.col("raw")).alias("text"))
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def distinct_lines(found: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``digest, id, keys`` of each distinct line; ``id`` is its first place (doc_id, line_no)."""
-    digest = F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")
-    df = found.select(digest, F.struct("doc_id", "line_no").alias("id"), _keys(shingles(F.col("text")), bands, rows).alias("keys"))
+    """``digest, id, keys`` of each distinct line; ``id`` is its first place: doc_id (null last) and line_no."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no").alias("id")
+    df = with_keys(found.select(_digest(F.col("text")).alias("digest"), place, "text"), bands, rows)
     return df.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
 
 
-def _grams(text: str) -> Column:
-    return F.array_distinct(F.transform(shingles(F.col(text)), lambda x: F.xxhash64(x)))
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``nid, text`` of the ``wanted`` distinct lines, cut again from the documents of their first places."""
+    places = wanted.select("nid", F.col("id.none").alias("none"), F.coalesce("id.doc_id", F.lit(0)).alias("doc"), F.col("id.line_no").alias("line_no"), "digest")
+    by_doc = places.groupBy("none", "doc").agg(F.collect_list(F.struct("nid", "line_no", "digest")).alias("own"))
+    source = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("text").alias("whole"))
+    met = source.join(by_doc, ["none", "doc"]).select(F.split("whole", "\n", -1).alias("ls"), "own")
+    cut = met.select(F.transform("own", lambda x: F.struct(x["nid"].alias("nid"), x["digest"].alias("digest"), F.get("ls", x["line_no"]).alias("raw"))).alias("own"), F.size("ls"))
+    cut = cut.select(F.inline("own")).select("nid", "digest", normal(F.col("raw")).alias("text")).where(_digest(F.col("text")) == F.col("digest"))
+    return cut.groupBy("nid").agg(F.min("text").alias("text"))  # rows may repeat a doc_id
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs ``src, dst`` whose lines reach the similarity; ``texts``: ``nid, text, grams`` (their number)."""
-    # sizes first: sets of too different sizes can't reach the similarity, and need no texts
-    sizes = texts.select(F.col("nid").alias("src"), F.col("grams").alias("na")), texts.select(F.col("nid").alias("dst"), F.col("grams").alias("nb"))
-    sized = pairs.join(sizes[0], "src").join(sizes[1], "dst").where(F.least("na", "nb") >= F.greatest("na", "nb") * least)
+    """Those of the pairs ``src, dst`` whose lines reach the similarity; ``texts``: ``nid, text``."""
     one, two = (texts.select(F.col("nid").alias(k), F.col("text").alias(t)) for k, t in (("src", "ta"), ("dst", "tb")))
-    both = sized.join(one, "src").join(two, "dst")
-    common = both.withColumn("c", F.size(F.array_intersect(_grams("ta"), _grams("tb"))))
-    return common.where(F.col("c") >= (F.col("na") + F.col("nb") - F.col("c")) * least).select("src", "dst")
+    both = pairs.join(one, "src").join(two, "dst").select("src", "dst", shingle_hashes(F.col("ta")).alias("a"), shingle_hashes(F.col("tb")).alias("b"))
+    common = both.select("src", "dst", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("c"))
+    return common.where(F.col("c") >= (F.col("n") + F.col("m") - F.col("c")) * least).select("src", "dst")
 
 
 def line_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, version, line_no, first, kept`` of each line of each row of ``docs``.
 
     ``first``: (doc_id, line_no) of the line that stays for the line's component; ``kept``: whether it is this one.
-    Blank lines are kept and have no ``first``. Null texts have no lines. A null doc_id counts as the smallest. Rows
-    with one doc_id and text have the same lines, kept or not alike. An empty table gives no rows.
+    Blank lines are kept and have no ``first``. Null texts have no lines. A null doc_id counts as the largest. Rows
+    with one doc_id and text have the same lines, kept or not alike. An empty table gives no rows. Other columns take no part.
     """
     all_lines = lines(docs)
-    digest = F.unhex(F.md5(F.col("text").cast("binary")))
     distinct = saved(distinct_lines(all_lines.where("text != ''"), bands, rows).withColumn("nid", F.monotonically_increasing_id()), "lines")
-    keyed = distinct.select(F.explode("keys").alias("key"), "nid")
-    span = Window.partitionBy("key")
-    hub = keyed.withColumns({"hub": F.min("nid").over(span), "last": F.max("nid").over(span)})
-    shared = saved(hub.where("hub != last").select("key", "nid", "hub"), "keys")
-
-    # the texts of the lines that share a key, cut again from the documents of their first places
-    wanted = distinct.join(shared.select("nid").distinct(), "nid", "left_semi")
-    places = wanted.select("nid", F.col("id.doc_id").alias("d"), F.col("id.line_no").alias("line_no"), "digest")
-    by_doc = places.withColumns({"_none": F.col("d").isNull(), "_id": F.coalesce("d", F.lit(0))})
-    by_doc = by_doc.groupBy("_none", "_id").agg(F.collect_list(F.struct("nid", "line_no", "digest")).alias("own"))
-    source = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text").alias("whole"))
-    met = source.join(by_doc, ["_none", "_id"]).select(F.split("whole", "\n", -1).alias("ls"), "own")
-    cut = met.select(F.transform("own", lambda x: F.struct(x["nid"].alias("nid"), x["digest"].alias("digest"), F.get("ls", x["line_no"]).alias("raw"))).alias("own"), F.size("ls"))
-    cut = cut.select(F.inline("own")).select("nid", "digest", normal(F.col("raw")).alias("text")).where(digest == F.col("digest"))
-    once = cut.groupBy("nid").agg(F.min("text").alias("text"))  # rows may repeat a doc_id
-    texts = saved(once.withColumn("grams", F.size(_grams("text"))), "texts")
-
-    final = similar_components(shared, lambda pairs: _similar(pairs, texts, similarity)).withColumnRenamed("node", "nid")
-
-    labels = distinct.select("digest", "id", "nid").join(final, "nid", "left").withColumn("class", F.coalesce("component", "nid"))
-    firsts = labels.where("component IS NOT NULL").groupBy("class").agg(F.min("id").alias("earliest"))
-    named = saved(labels.join(firsts, "class", "left").select("digest", F.coalesce("earliest", "id").alias("first")), "named")
-    for used in (distinct, shared, texts):
+    shared = saved(with_hubs(distinct.select(F.explode("keys").alias("key"), "nid")), "keys")
+    texts = saved(_texts(docs, distinct.join(shared.select("nid").distinct(), "nid", "left_semi")), "texts")
+    sketches = saved(sketched(texts.select("nid", F.explode(shingle_hashes(F.col("text"))).alias("h"))), "sketches")
+    final = similar_components(shared, sketches, lambda pairs: _similar(pairs, texts, similarity), similarity)
+
+    labels = distinct.select("digest", "id", "nid").join(final, "nid", "left")
+    firsts = labels.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("earliest"))
+    named = saved(labels.join(firsts, "component", "left").select("digest", F.coalesce("earliest", "id").alias("first")), "named")
+    for used in (distinct, shared, texts, sketches, final):
         discard(used)
-    found = all_lines.select("doc_id", "version", "line_no", F.when(F.col("text") != "", digest).alias("digest"))
-    return found.join(named, "digest", "left").select(
-        "doc_id", "version", "line_no", "first", F.coalesce(F.col("first") == F.struct("doc_id", "line_no"), F.lit(True)).alias("kept")
-    )
+    # blank lines meet nothing: what stands for their digest is no digest, and differs from row to row
+    blank = F.xxhash64("doc_id", "version", "line_no").cast("string").cast("binary")
+    found = all_lines.select("doc_id", "version", "line_no", F.when(F.col("text") != "", _digest(F.col("text"))).otherwise(blank).alias("digest"))
+    joined = found.join(named, "digest", "left")
+    own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))
+    first = F.when(F.col("first").isNotNull(), F.struct("first.doc_id", "first.line_no")).alias("first")
+    return joined.select("doc_id", "version", "line_no", first, (F.col("first").isNull() | own).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the lines that go; ``n_chars`` follows the text. Null texts stay null."""
+    """``docs`` without the lines that go; ``n_chars``, where there is one, follows the text. Null texts stay null.
+
+    Columns may have any names. What becomes of nulls, blank lines and repeated rows: see :func:`line_classes`.
+    """
     classes = line_classes(docs, **options)
     flags = classes.groupBy("doc_id", "version").agg(
-        F.transform(F.array_sort(F.collect_set(F.struct("line_no", "kept"))), lambda x: x["kept"]).alias("_flags")
-    ).where(F.exists("_flags", lambda x: ~x)).withColumnRenamed("doc_id", "_doc_id")
-    marked = docs.withColumn("_version", F.xxhash64("text"))
-    joined = marked.join(flags, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_version") == F.col("version")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: F.get("_flags", i)), "\n")
-    text = F.when(F.col("_flags").isNull(), F.col("text")).otherwise(left)
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+        F.transform(F.array_sort(F.collect_set(F.struct("line_no", "kept"))), lambda x: x["kept"]).alias("flags")
+    ).where(F.exists("flags", lambda x: ~x))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(flags["doc_id"]) & (F.xxhash64("row.text") == flags["version"])
+    left = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x, i: F.get("flags", i)), "\n")
+    text = F.when(F.col("flags").isNull(), F.col("row.text")).otherwise(left)
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(text).cast("long"))
+    return rows.join(flags, same, "left").select(row.alias("row")).select("row.*")
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from random import Random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epitrail.llm.common import connected_components, discard, saved, similar_components, table
+from epitrail.llm.common import connected_components, discard, saved, similar_components, sketched, table, with_hubs
 
 BITS = 64
 SEED = 42
@@ -217,9 +217,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     """
     rows = saved(_signatures(docs, shingle), "signatures")
     texts = rows.groupBy("nid").agg(_first(), F.first("keys").alias("keys"))
-    span = Window.partitionBy("key")
-    hub = texts.select(F.explode("keys").alias("key"), "nid").withColumns({"hub": F.min("nid").over(span), "last": F.max("nid").over(span)})
-    shared = saved(hub.where("hub != last").select("key", "nid", "hub"), "keys")
+    shared = saved(with_hubs(texts.select(F.explode("keys").alias("key"), "nid")), "keys")
 
     wanted = texts.join(shared.select("nid").distinct(), "nid", "left_semi")
     wanted = wanted.select("nid", F.col("first.none").alias("_none"), F.coalesce("first.id", F.lit(0)).alias("_id"), F.col("first.v").alias("_version"))
@@ -227,18 +225,16 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     found = docs.withColumns(keys).join(wanted, list(keys)).select("nid", F.col("text").cast("binary").alias("data"))
     sets = saved(_shingle_sets(found, shingle).groupBy("nid").agg(F.first("grams").alias("grams")), "sets")  # rows may repeat
 
+    sketches = saved(sketched(sets.select("nid", F.explode("grams").alias("h"))), "sketches")
+
     def similar(pairs: DataFrame) -> DataFrame:
-        # sizes first: sets of too different sizes can't reach the similarity, and need not be brought together
-        sizes = sets.select("nid", F.size("grams").alias("n"))
-        one, two = (sizes.select(F.col("nid").alias(k), F.col("n").alias(n)) for k, n in (("src", "na"), ("dst", "nb")))
-        sized = pairs.join(one, "src").join(two, "dst").where(F.least("na", "nb") >= F.greatest("na", "nb") * similarity)
         one, two = (sets.select(F.col("nid").alias(k), F.col("grams").alias(g)) for k, g in (("src", "ga"), ("dst", "gb")))
-        common = sized.join(one, "src").join(two, "dst").withColumn("c", F.size(F.array_intersect("ga", "gb")))
-        return common.where(F.col("c") >= (F.col("na") + F.col("nb") - F.col("c")) * similarity).select("src", "dst")
+        common = pairs.join(one, "src").join(two, "dst").select("src", "dst", F.size("ga").alias("n"), F.size("gb").alias("m"), F.size(F.array_intersect("ga", "gb")).alias("c"))
+        return common.where(F.col("c") >= (F.col("n") + F.col("m") - F.col("c")) * similarity).select("src", "dst")
 
-    roots = similar_components(shared, similar).withColumnRenamed("node", "nid")
+    roots = similar_components(shared, sketches, similar, similarity)
     named = saved(rows.join(roots, "nid", "left").select("doc_id", "version", F.coalesce("component", "nid").alias("root")), "roots")
-    for used in (rows, shared, sets):
+    for used in (rows, shared, sets, sketches, roots):
         discard(used)
     return named
 
