@@ -95,7 +95,7 @@ def word_count(text: Column | str) -> Column:
 
 
 #: Longs of a sketch: 64 bits each.
-SKETCH = 16
+SKETCH = 32
 
 
 def sketched(grams: DataFrame) -> DataFrame:

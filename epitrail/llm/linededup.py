@@ -112,8 +112,9 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     final = similar_components(shared, sketches, lambda pairs: _similar(pairs, texts, similarity), similarity)
 
     labels = distinct.select("digest", "id", "nid").join(final, "nid", "left")
-    firsts = labels.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("earliest"))
-    named = saved(labels.join(firsts, "component", "left").select("digest", F.coalesce("earliest", "id").alias("first")), "named")
+    firsts = labels.where("component IS NOT NULL").groupBy(F.col("component").alias("class")).agg(F.min("id").alias("earliest"))
+    labels = labels.withColumn("class", F.coalesce("component", "nid"))  # lines that meet none are their own class, so no key is hot
+    named = saved(labels.join(firsts, "class", "left").select("digest", F.coalesce("earliest", "id").alias("first")), "named")
     for used in (distinct, shared, texts, sketches, final):
         discard(used)
     # blank lines meet nothing: what stands for their digest is no digest, and differs from row to row
