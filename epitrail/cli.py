@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     keep.add_argument("--max-percentile-rank", type=float)
     keep.add_argument("--min-score", type=float)
     p.add_argument("--output-csv")
+    p.add_argument("--output-parts", action="store_true", help="write a file a partition, as results too large for one task need")
     return p
 
 
@@ -67,14 +68,13 @@ def results(spark: SparkSession, args) -> DataFrame:
     if args.input_fasta_file:
         given, scan = files.require_rows(files.read_fasta(spark, args.input_fasta_file), "sequences in the FASTA file"), True
     elif args.sequence:
-        texts = [s.upper() for s in args.sequence]
-        given = sequences(spark, texts) if scan else peptides(spark, texts)
+        given = sequences(spark, args.sequence) if scan else peptides(spark, args.sequence)
     elif args.input_peptides_file:
         given = files.read_peptides(spark, args.input_peptides_file)
         given = given.selectExpr("peptide as name", "peptide as seq").distinct() if scan else given
     else:
         raise ValueError("Give a sequence, a peptide file or a FASTA file")
-    made = [p.predict_proteins(given) if scan else p.predict(given) for p in predictors_of(spark, args)]
+    made = [p.predict_proteins(given) if scan else p.predict(given) for p in map(lambda p: p.one_kind(), predictors_of(spark, args))]
     return thresholds(legacy(union(made)), args.max_affinity, args.max_percentile_rank, args.min_score)
 
 
@@ -83,7 +83,7 @@ def main(argv: list[str] | None = None) -> DataFrame:
     spark = SparkSession.builder.appName("epitrail").getOrCreate()
     out = results(spark, args)
     if args.output_csv:
-        files.write_csv(out, args.output_csv)
+        files.write_csv(out, args.output_csv, one_file=not args.output_parts)
         log.info("Wrote %s", args.output_csv)
     else:
         out.show(50, truncate=False)

@@ -57,23 +57,27 @@ def require_supported(alleles: DataFrame, valid: DataFrame) -> DataFrame:
 
 
 def require_one_length(peptides: DataFrame) -> DataFrame:
+    """``peptides``; an error if they differ in length."""
     low, high = peptides.agg(F.min(F.length("peptide")), F.max(F.length("peptide"))).first()
     if low != high:
         raise ValueError(f"All peptides must have one length; there are {low} to {high}")
     return peptides
 
 
+def _names(alleles: DataFrame) -> list[str]:
+    """The alleles of one run, a short list: a condition on it shuffles no results by allele, of which there are few."""
+    return sorted(r.allele for r in alleles.select("allele").where("allele IS NOT NULL").distinct().collect())
+
+
 def missing_pairs(results: DataFrame, peptides: DataFrame, alleles: DataFrame) -> DataFrame:
     """``peptide, allele`` of the expected pairs that have no result.
 
     Counts come first: only peptides with fewer distinct alleles than asked are paired with all alleles.
     """
-    asked, known = peptides.select("peptide").distinct(), alleles.select("allele").distinct()
-    n = known.count()
-    seen = results.join(known, "allele", "left_semi").join(asked, "peptide", "left_semi").select("peptide", "allele").distinct()
-    full = seen.groupBy("peptide").count().where(F.col("count") == n).select("peptide")
+    asked, names = peptides.select("peptide").distinct(), _names(alleles)
+    seen = results.where(F.col("allele").isin(names)).select("peptide", "allele").distinct()
+    full = seen.groupBy("peptide").count().where(F.col("count") == len(names)).select("peptide")
     short = asked.join(full, "peptide", "left_anti")
-    names = [r.allele for r in known.orderBy("allele").collect()]  # the alleles of one run
     pairs = short.select("peptide", F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("allele"))
     return pairs.join(seen, ["peptide", "allele"], "left_anti")
 
@@ -81,8 +85,9 @@ def missing_pairs(results: DataFrame, peptides: DataFrame, alleles: DataFrame) -
 def unexpected_pairs(results: DataFrame, peptides: DataFrame, alleles: DataFrame) -> DataFrame:
     """``peptide, allele`` of the results that nobody asked for."""
     found = results.select("peptide", "allele").distinct()
-    known = found.join(alleles.select("allele").distinct(), "allele", "left_semi").join(peptides.select("peptide").distinct(), "peptide", "left_semi")
-    return found.join(known, ["peptide", "allele"], "left_anti").select("peptide", "allele")
+    known = F.coalesce(F.col("allele").isin(_names(alleles)), F.lit(False))
+    others = found.where(known).join(peptides.select("peptide").distinct(), "peptide", "left_anti")
+    return found.where(~known).unionByName(others.select("peptide", "allele"))
 
 
 def require_complete(results: DataFrame, peptides: DataFrame, alleles: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of samples that are broadcast at most, and parts that the scores of an allele are dealt into beyond that.
+SMALL, SPREAD = 20_000, 64
+
+
 def pairs(peptides: DataFrame, alleles: DataFrame) -> DataFrame:
     """Every peptide with every allele.
 
@@ -50,6 +54,15 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def for_samples(scored: DataFrame, samples: DataFrame) -> DataFrame:
-    """Scores of distinct pairs for each sample that has the allele; ``samples``: ``sample_name, allele``."""
+    """Scores of distinct pairs for each sample that has the allele; ``samples``: ``sample_name, allele``.
+
+    Alleles are few, so a join on them would gather the scores in a few tasks. Up to ``SMALL`` rows of samples are broadcast; of
+    more, the scores are dealt by peptide too.
+    """
     own = samples.select("sample_name", "allele").distinct()
-    return scored.drop("sample_name").join(own, "allele")
+    rows = scored.drop("sample_name")
+    if len(own.limit(SMALL + 1).collect()) <= SMALL:
+        return rows.join(F.broadcast(own), "allele")
+    parts = F.lit(SPREAD)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("peptide"), parts).cast("int"))
+    return salted.join(own.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))), ["allele", "_salt"]).drop("_salt")

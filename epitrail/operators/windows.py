@@ -40,29 +40,40 @@ def peptide_lengths(lengths, default, least: int | None = None, most: int | None
 
 
 #: Long sequences are cut into blocks of so many windows first: cutting a window costs the distance from its block's start.
-BLOCK = 512
+BLOCK = 64
 
 
-def kmers(seqs: DataFrame, lengths: Iterable[int], flank_length: int = 0) -> DataFrame:
+def kmers(seqs: DataFrame, lengths: Iterable[int], flank_length: int = 0, along: str | None = None) -> DataFrame:
     """Every window of the given lengths, with all columns of ``seqs`` but ``seq`` kept.
 
     Adds ``peptide, offset`` (from 0), and with a flank length ``n_flank, c_flank``. Sequences shorter than a length, or
     null, have no window of it. Windows are cut row by row: nothing is shuffled.
+
+    ``along``: a column with an array, an element a residue. A window gets its block's part of it alone, and with it ``_k``, its
+    length, and ``_place``, where in that part it starts; the residue before a window is in it too.
     """
     lengths = peptide_lengths(lengths, None)
-    kept = [c for c in seqs.columns if c != "seq"]
+    kept = [c for c in seqs.columns if c not in ("seq", along)]
     f = flank_length
     k = F.explode(F.array(*map(F.lit, lengths)))
     fits = seqs.withColumn("_n", F.length("seq")).select("*", k.alias("_k")).where(F.col("_n") >= F.col("_k"))
     blocks = fits.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - F.col("_k"), F.lit(BLOCK))))
-    before = F.least(F.col("_b"), F.lit(f))
-    part = F.substring("seq", F.col("_b") - before + 1, before + BLOCK + F.col("_k") - 1 + f)
-    held = blocks.select(*kept, "_n", "_k", "_b", part.alias("seq"), before.alias("_before"))
+    before = F.least(F.col("_b"), F.lit(max(f, 1) if along else f))
+    first, size = F.col("_b") - before + 1, before + BLOCK + F.col("_k") - 1 + f
+    parts = [F.substring("seq", first, size).alias("seq"), *([F.slice(along, first, size).alias(along)] if along else [])]
+    held = blocks.select(*kept, "_n", "_k", "_b", *parts, before.alias("_before"))
     last = F.least(F.col("_b") + BLOCK - 1, F.col("_n") - F.col("_k"))
     at = held.select("*", F.explode(F.sequence(F.col("_b"), last)).alias("offset"))
     place = F.col("offset") - F.col("_b") + F.col("_before")  # in the block, from 0
     columns = [F.substring("seq", place + 1, F.col("_k")).alias("peptide"), F.col("offset")]
-    return at.select(*kept, *columns, *(flanks(f, place) if f else []))
+    more = [along, "_k", place.alias("_place")] if along else []
+    return at.select(*kept, *columns, *(flanks(f, place) if f else []), *more)
+
+
+def window_counts(seqs: DataFrame, lengths: Iterable[int]) -> DataFrame:
+    """``name, k, n``: how many windows of each length a sequence has, counted without cutting any."""
+    k = F.explode(F.array(*map(F.lit, peptide_lengths(lengths, None))))
+    return seqs.select("name", F.length("seq").alias("_n"), k.alias("k")).where(F.col("_n") >= F.col("k")).select("name", "k", (F.col("_n") - F.col("k") + 1).cast("long").alias("n"))
 
 
 def flanks(length: int, place=None) -> list:

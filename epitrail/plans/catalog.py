@@ -17,7 +17,10 @@ from epitrail.operators import checks, combine, results, windows
 from epitrail.predictors.base import ExpressionPredictor, MultiSample, RandomPredictor
 from epitrail.predictors.processing import ProcessingPredictor, ProteasomePredictor
 from epitrail.schema import Kind, canonical, describe, from_json, from_legacy, legacy, to_json
-from epitrail.sources.stdout import data_lines, parse_by_header, parse_layout, tokens
+from epitrail.predictors.tools import ToolPredictor
+from epitrail.sources.files import read_fasta, read_mixmhcpred
+from epitrail.sources.layouts import LAYOUTS
+from epitrail.sources.stdout import data_lines, parse_by_header, parse_iedb, parse_layout, parse_netchop, prefer_kind, tokens
 
 ALLELES = ("HLA-A*02:01", "HLA-B*07:02", "HLA-C*07:01")
 
@@ -130,10 +133,8 @@ def kmer_flanks(spark, sf):
 
 @query(f"""WITH {DOCS} SELECT k, sum(len(seq) - k + 1)::BIGINT AS n_windows, count(*) AS n_sequences FROM prot, (VALUES (9), (10)) v(k) WHERE len(seq) >= k GROUP BY k""")
 def kmer_counts(spark, sf):
-    """Windows of all documents by length, counted from the windows themselves."""
-    w = windows.kmers(document_proteins(spark, sf), [9, 10])
-    by_source = w.groupBy("name", F.length("peptide").alias("k")).agg(F.count("*").alias("n"))
-    return by_source.groupBy("k").agg(F.sum("n").alias("n_windows"), F.count("*").alias("n_sequences"))
+    """Windows of all documents by length; counting needs no window to be cut."""
+    return windows.window_counts(document_proteins(spark, sf), [9, 10]).groupBy("k").agg(F.sum("n").alias("n_windows"), F.count("*").alias("n_sequences"))
 
 
 @query(f"WITH {PROT}, {_win(9, 10)} SELECT DISTINCT peptide FROM win")
@@ -187,12 +188,13 @@ def top_cleavage_per_source(spark, sf):
     return results.best_by_score(kept, key=("source_sequence_name",)).select("source_sequence_name", "offset", "peptide", "score")
 
 
-@query(f"""WITH {PROT}, {PROF}, w AS (SELECT name, substr(seq, 1, 2) AS n_flank, substr(seq, 3, 9) AS peptide, substr(seq, 12, 2) AS c_flank FROM prot WHERE len(seq) >= 13),
-q AS (SELECT *, substr(name, 1, 0) || n_flank || peptide || c_flank AS seq FROM w), z AS (SELECT n_flank, peptide, c_flank, {PROFILE} AS p FROM q)
+@query(f"""WITH {PROT}, {_win(9)}, q AS (SELECT substr(seq, "offset" - 1, 2) AS n_flank, peptide, substr(seq, "offset" + 10, 2) AS c_flank, substr(seq, "offset" - 1, 13) AS seq
+FROM win WHERE "offset" >= 2 AND "offset" + 11 <= len(seq)), z AS (SELECT n_flank, peptide, c_flank, {PROFILE} AS p FROM q)
 SELECT n_flank, peptide, c_flank, round(p[11], 6) AS score FROM z""")
 def peptides_with_flanks(spark, sf):
-    df = proteins(spark, sf).where(F.length("seq") >= 13).select(*(F.substring("seq", a, n).alias(c) for c, a, n in (("n_flank", 1, 2), ("peptide", 3, 9), ("c_flank", 12, 2))))
-    return _processing(spark, scoring_mode="cterm").predict(df).select("n_flank", "peptide", "c_flank", F.round("score", 6).alias("score"))
+    """Every window that has both flanks whole, scored as a peptide with flanks."""
+    df = windows.kmers(proteins(spark, sf), [9], flank_length=2).where("length(n_flank) = 2 AND length(c_flank) = 2")
+    return _processing(spark, scoring_mode="cterm").predict(df.select("peptide", "n_flank", "c_flank")).select("n_flank", "peptide", "c_flank", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {PROT}, {ALL}, {_win(9)}, {SCORED} SELECT peptide, allele, value, score FROM scored")
@@ -238,10 +240,14 @@ def json_roundtrip(spark, sf):
     return from_json(to_json(_predictor(spark).predict_proteins(proteins(spark, sf), [9])))
 
 
-@query(f"{RELOCATED} SELECT printf('pMHC_affinity(%s, %s, score=%.4f, value=%.4f, rank=%.2f%%)', peptide, allele, floor(score * 1000) / 1000, value, floor(percentile_rank)) AS text FROM scored")
+@query(f"""WITH {PROT}, {ALL}, {_win(9)}, {SCORED}, n AS (SELECT *, floor(score * 1024) / 1024 AS s, value / CASE WHEN value < 5000 THEN 64 ELSE 1 END AS v FROM scored)
+SELECT 'Prediction(' || peptide || ' | ' || allele || ' | pMHC_affinity | score=' || printf('%.4g', s) || ' | value=' || printf('%.4g', v) || ' | rank=' || printf('%.2f', percentile_rank::DECIMAL(18, 4)::DECIMAL(18, 2)::DOUBLE)
+|| '% | standin)' AS text FROM n""")
 def described_rows(spark, sf):
+    """Numbers with more digits than are shown, exact in binary so that both sides round the same."""
     rows = _predictor(spark).predict(windows.kmers(proteins(spark, sf), [9]))
-    return describe(rows.withColumns({"score": F.floor(F.col("score") * 1000) / 1000, "percentile_rank": F.floor("percentile_rank").cast("double")}))
+    value = F.col("value") / F.when(F.col("value") < 5000, 64).otherwise(1)
+    return describe(rows.withColumns({"score": F.floor(F.col("score") * 1024) / 1024, "value": value, "percentile_rank": F.col("percentile_rank").cast("decimal(18,4)").cast("decimal(18,2)").cast("double")}))
 
 
 @query(f"""WITH {PROT}, {ALL}, {_win(9)}, {SCORED} SELECT peptide, allele, kind, CASE WHEN kind = 'pMHC_affinity' THEN score ELSE round(score + 1, 6) END AS score,
@@ -266,12 +272,12 @@ def _gaps(spark, sf):
     return kept.unionByName(odd), peps, spark.createDataFrame([(a,) for a in ALLELES], "allele string")
 
 
-@query(f"{GAPS} SELECT peptide, allele FROM scored WHERE (peptide, allele) NOT IN (SELECT (peptide, allele) FROM obs)")
+@query(f"{GAPS} SELECT peptide, allele FROM scored s WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.peptide = s.peptide AND o.allele = s.allele)")
 def completeness_missing(spark, sf):
     return checks.missing_pairs(*_gaps(spark, sf))
 
 
-@query(f"{GAPS} SELECT DISTINCT peptide, allele FROM obs WHERE (peptide, allele) NOT IN (SELECT (peptide, allele) FROM scored)")
+@query(f"{GAPS} SELECT DISTINCT peptide, allele FROM obs o WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE o.peptide = s.peptide AND o.allele = s.allele)")
 def completeness_unexpected(spark, sf):
     return checks.unexpected_pairs(*_gaps(spark, sf))
 
@@ -452,43 +458,228 @@ def version_numbers(spark, sf):
     return df.select("text", F.get(v, F.lit(0)).alias("major"), F.get(v, F.lit(1)).alias("minor"))
 
 
-# tool output made from the windows of each protein: ten lines of a NetMHCpan 3 table
-def _output(spark, sf) -> DataFrame:
+# tool output made from the windows of each protein: a line a window, in the columns of each tool
+DASHES = "-" * 40
+
+
+def _made_output(spark, sf, line, head: str) -> DataFrame:
+    """``name, text``: an output for each protein, with a line for each 9-mer."""
     w = windows.kmers(proteins(spark, sf), [9])
-    cells = ["offset", "allele", "peptide", "peptide", "0", "0", "0", "0", "0", "peptide", "name", "score", "ic50", "rank"]
-    value = affinity(F.col("peptide"), F.lit(ALLELES[0])).cast("long")
-    row = {
-        "offset": (F.col("offset") + 1).cast("string"), "allele": F.lit("HLA-A02:01"), "peptide": F.col("peptide"), "0": F.lit("0"), "name": F.col("name"),
-        "score": F.lit("0.5"), "ic50": F.when(value % 11 == 0, "NA").otherwise(value.cast("string")), "rank": (value % 100).cast("string"),
-    }
-    line = F.concat_ws("  ", *(row[c] for c in cells))
     body = w.select("name", "offset", line.alias("line")).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("offset", "line"))).alias("rows"))
-    head = "# a comment\n" + "-" * 40 + "\n  Pos  HLA  Peptide  Core Of Gp Gl Ip Il  Icore  Identity  Score  Aff(nM)  %Rank\n" + "-" * 40 + "\n"
-    return body.select("name", F.concat(F.lit(head), F.array_join(F.transform("rows", lambda x: x["line"]), "\n"), F.lit("\n" + "-" * 40 + "\nProtein done")).alias("text"))
+    start, end = f"# a comment\n{DASHES}\n{head}\n{DASHES}\n", f"\n{DASHES}\nProtein done"
+    return body.select("name", F.concat(F.lit(start), F.array_join(F.transform("rows", lambda x: x["line"]), "\n"), F.lit(end)).alias("text"))
+
+
+def _value():
+    return affinity(F.col("peptide"), F.lit(ALLELES[0])).cast("long")
+
+
+def _score(base: int = 1000) -> Column:
+    """Three decimals as text."""
+    return F.concat(F.lit("0."), F.lpad((_value() % base).cast("string"), 3, "0"))
+
+
+OUTPUT = f"WITH {PROT}, {_win(9)}, l AS (SELECT *, v % 1000 / 1000.0::DOUBLE AS s FROM (SELECT *, {VALUE.replace('ord', '0')}::BIGINT AS v FROM win))"
+
 
+def _layout_output(spark, sf, name: str, inverted: bool = False) -> DataFrame:
+    """Lines of a layout: what it does not read is 0, an affinity is NA now and then, and marks of binders stand where the tool puts them."""
+    at = LAYOUTS[name]
+    n = max(p for p in (at.key, at.offset, at.peptide, at.allele, at.score, at.ic50, at.rank) if p is not None) + 1
+    cells = [F.lit("0")] * n
+    cells[at.offset] = (F.col("offset") + int(at.one_based)).cast("string")
+    cells[at.peptide], cells[at.key] = F.col("peptide"), F.col("name")
+    cells[at.allele] = F.lit("DRB1_0101" if name.startswith("netmhcii") else "HLA-A02:01")
+    cells[at.score], cells[at.rank or at.score] = _score(), (_value() % 100).cast("string")
+    cells[at.score] = _score()
+    if at.ic50 is not None:
+        cells[at.ic50] = F.when(_value() % 11 == 0, "NA").otherwise(_value().cast("string"))
+    marks = F.when(_value() % 3 == 0, "WB") if "WB" in at.ignored and "<=" not in at.ignored else F.when(_value() % 3 == 0, "<=WB").when(_value() % 3 == 1, "<= SB")
+    if at.ignored:
+        place = min(at.ignored.values())
+        cells = cells[:place] + [F.lit("0")] * (place - len(cells)) + [marks] + cells[place:]
+    return _made_output(spark, sf, F.concat_ws("  ", *cells), "  Pos  HLA  Peptide  Core" + ("  Inverted  " if inverted else "  ") + "Identity  Score")
 
-OUTPUT = f"WITH {PROT}, {_win(9)}, l AS (SELECT *, {VALUE.replace('ord', '0')}::BIGINT AS v FROM win)"
 
+def _layout_query(name: str, inverted: bool = False):
+    def run(spark, sf):
+        rows = parse_layout(_layout_output(spark, sf, name if inverted or "43" not in name else name.replace("43", "4"), inverted), name, name).drop("ord")
+        return rows.withColumn("value", F.round("value", 6))
+
+    return run
+
+
+def _layout_sql(name: str) -> str:
+    at = LAYOUTS[name]
+    allele = "HLA-DRA1*01:01-DRB1*01:01" if name.startswith("netmhcii") else "HLA-A*02:01"
+    value = "NULL::DOUBLE" if at.ic50 is None else "round(CASE WHEN v % 11 = 0 THEN pow(50000.0, 1 - s) ELSE v END, 6)"
+    rank = "NULL::DOUBLE" if at.rank is None else "(v % 100)::DOUBLE"
+    canon = CANON.format(source="name", offset='"offset"', predictor=name, allele=f"'{allele}'", kind=at.kind, score="s", value=value, rank=rank)
+    return f"{OUTPUT} SELECT {canon} FROM l"
+
+
+for _n in LAYOUTS:
+    query(_layout_sql(_n), f"parse_{_n.replace('-', '_')}")(_layout_query(_n, "43" in _n))
+for _n in ("netmhciipan43-el", "netmhciipan43-ba"):
+    query(_layout_sql(_n), f"parse_{_n.replace('-', '_')}_old_columns")(_layout_query(_n))
+query(_layout_sql("netmhcpan3"), "parse_layout_rows")(_layout_query("netmhcpan3"))
+
+#: Headers of NetMHCpan output by what they tell, and the rows that a line gives: kind, score, value, rank as SQL.
+_BA, _EL = ("pMHC_affinity", "round(1 - ln(v) / ln(50000), 6)", "v::DOUBLE"), "pMHC_presentation"
+HEADERS = {
+    "elution_and_binding": ("Pos MHC Peptide Core Of Gp Gl Ip Il Icore Identity Score_EL %Rank_EL Score_BA %Rank_BA Aff(nM) BindLevel", [(*_BA, "(v % 50)::DOUBLE"), (_EL, "s", "NULL::DOUBLE", "(v % 100)::DOUBLE")]),
+    "elution": ("Pos MHC Peptide Core Of Gp Gl Ip Il Icore Identity Score_EL %Rank_EL BindLevel", [(_EL, "s", "NULL::DOUBLE", "(v % 100)::DOUBLE")]),
+    "log_score": ("pos HLA peptide Identity 1-log50k(aff) Affinity(nM) %Rank BindLevel", [(*_BA, "(v % 100)::DOUBLE")]),
+    "binding": ("Pos HLA Peptide Core Of Gp Gl Ip Il Icore Identity Score Aff(nM) %Rank BindLevel", [(*_BA, "(v % 100)::DOUBLE")]),
+    "plain_score": ("Pos HLA Peptide Core Of Gp Gl Ip Il Icore Identity Score %Rank BindLevel", [(_EL, "s", "NULL::DOUBLE", "(v % 100)::DOUBLE")]),
+}
+
+
+def _header_output(spark, sf, form: str) -> DataFrame:
+    names = HEADERS[form][0].split()
+    based = int("Core" in names)
+    score, rank, value = _score(), (_value() % 100).cast("string"), _value().cast("string")
+    cells = {
+        "pos": (F.col("offset") + based).cast("string"), "hla": F.lit("HLA-A02:01"), "mhc": F.lit("HLA-A*02:01"), "peptide": F.col("peptide"), "core": F.col("peptide"), "icore": F.col("peptide"),
+        "identity": F.col("name"), "score_el": score, "score": score, "score_ba": F.lit("0.5"), "1-log50k(aff)": F.lit("0.5"), "%rank_el": rank, "%rank": rank,
+        "%rank_ba": (_value() % 50).cast("string"), "aff(nm)": value, "affinity(nm)": value, "bindlevel": F.when(_value() % 3 == 0, "<= WB"),
+    }
+    return _made_output(spark, sf, F.concat_ws("  ", *(cells.get(n.lower(), F.lit("0")) for n in names)), HEADERS[form][0])
+
+
+_HEADER_COLUMNS = ("source_sequence_name", "offset", "peptide", "allele", "kind", "value", "percentile_rank")
+
+
+def _header_sql(form: str, kinds=None) -> str:
+    rows = [r for r in HEADERS[form][1] if kinds is None or r[0] in kinds]
+    return " UNION ALL ".join(
+        f"""SELECT name AS source_sequence_name, "offset", peptide, 'HLA-A*02:01' AS allele, '{kind}' AS kind, {score} AS score, {value} AS value, {rank} AS percentile_rank FROM l""" for kind, score, value, rank in rows
+    )
+
+
+def _header_query(form: str):
+    return lambda spark, sf: parse_by_header(_header_output(spark, sf, form)).select(*_HEADER_COLUMNS, F.round("score", 6).alias("score"))
+
+
+for _f in HEADERS:
+    query(f"{OUTPUT} {_header_sql(_f)}", f"header_{_f}")(_header_query(_f))
+query(f"{OUTPUT} {_header_sql('binding')}", "parse_header_rows")(_header_query("binding"))
+
+
+@query(f"{OUTPUT} {_header_sql('elution_and_binding', ('pMHC_affinity',))} UNION ALL {_header_sql('elution_and_binding', ('pMHC_presentation',))}")
+def header_preferred_kinds(spark, sf):
+    """A line with two scores, read twice: as an affinity, and as a presentation chosen from the rows afterwards."""
+    text = _header_output(spark, sf, "elution_and_binding")
+    rows = combine.union([parse_by_header(text, prefer=Kind.AFFINITY), prefer_kind(parse_by_header(text), Kind.PRESENTATION)])
+    return rows.select(*_HEADER_COLUMNS, F.round("score", 6).alias("score"))
+
+
+class _Printed(ToolPredictor):
+    """A tool whose output is made from the peptides themselves; the program is not here."""
+
+    def run(self, asked):
+        cells = ["1", F.lit("HLA-A02:01"), F.col("peptide"), F.col("peptide"), *"00000", F.col("peptide"), "PEPLIST", _score(), (_value() % 100).cast("string"), "0.5", (_value() % 50).cast("string"), _value().cast("string")]
+        line = F.concat_ws(" ", *(F.lit(c) if isinstance(c, str) else c for c in cells))
+        start = f"{DASHES}\n{HEADERS['elution_and_binding'][0]}\n{DASHES}\n"
+        return asked.select(F.concat(F.lit(start), line, F.lit(f"\n{DASHES}")).alias("text"))
+
+
+def _older(mode: str, kind: str, score: str, value: str, rank: str):
+    sql = f"""{OUTPUT} SELECT name AS source_sequence_name, "offset", peptide, 'HLA-A*02:01' AS allele, {score} AS score, {value} AS affinity, {rank} AS percentile_rank, '{mode}' AS prediction_method_name, 9 AS length FROM l"""
+
+    def run(spark, sf):
+        rows = _Printed(spark, "HLA-A*02:01", mode).predict_proteins_legacy(proteins(spark, sf), [9], validate=False)
+        return rows.withColumn("score", F.round("score", 6))
 
-@query(f"""{OUTPUT} SELECT {CANON.format(source="name", offset='"offset"', predictor="netmhcpan3", allele="'HLA-A*02:01'", kind="pMHC_affinity", score="0.5::DOUBLE",
-value="round(CASE WHEN v % 11 = 0 THEN pow(50000.0, 0.5) ELSE v END, 6)", rank="(v % 100)::DOUBLE")} FROM l""")
-def parse_layout_rows(spark, sf):
-    rows = parse_layout(_output(spark, sf), "netmhcpan3", "netmhcpan3").drop("ord")
-    return rows.withColumn("value", F.round("value", 6))
+    query(sql, f"legacy_{mode.replace('-', '_')}")(run)
 
 
-@query(f"""{OUTPUT} SELECT name AS source_sequence_name, "offset", peptide, 'HLA-A*02:01' AS allele, 'pMHC_affinity' AS kind, round(1 - ln(v) / ln(50000), 6) AS score, v::DOUBLE AS value, (v % 100)::DOUBLE AS percentile_rank FROM l WHERE v % 11 <> 0""")
-def parse_header_rows(spark, sf):
-    fine = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.contains("  NA  ")), "\n")
-    rows = parse_by_header(_output(spark, sf).withColumn("text", fine))
-    return rows.select("source_sequence_name", "offset", "peptide", "allele", "kind", F.round("score", 6).alias("score"), "value", "percentile_rank")
+_older("netmhcpan41-ba", *HEADERS["elution_and_binding"][1][0])
+_older("netmhcpan41-el", *HEADERS["elution_and_binding"][1][1])
 
 
-@query(f"""{OUTPUT} SELECT name, count(*) AS n_lines, 14 AS n_tokens FROM l GROUP BY name""")
+@query(f"""{OUTPUT} SELECT name, count(*) AS n_lines, sum(CASE WHEN v % 3 = 0 THEN 16 ELSE 14 END)::BIGINT AS n_tokens FROM l GROUP BY name""")
 def output_lines(spark, sf):
-    lines = data_lines(F.col("text"))
-    df = _output(spark, sf).select("name", lines.alias("ls"))
-    return df.select("name", F.size("ls").cast("long").alias("n_lines"), F.size(tokens(F.get("ls", F.lit(0)))).alias("n_tokens"))
+    df = _header_output(spark, sf, "binding").select("name", F.explode(data_lines(F.col("text"))).alias("line"))
+    return df.groupBy("name").agg(F.count("*").alias("n_lines"), F.sum(F.size(tokens(F.col("line")))).alias("n_tokens"))
+
+
+@query(f"""WITH {PROT} SELECT name, i::INTEGER AS position, ((i * 37 + len(seq)) % 1000) / 1000.0::DOUBLE AS prob FROM (SELECT name, seq, unnest(range(0, len(seq))) AS i FROM prot)""")
+def netchop_output(spark, sf):
+    """A profile of each protein in the program's form, read back."""
+    seq = proteins(spark, sf).where("seq != ''")
+    prob = lambda i: F.concat(F.lit("0."), F.lpad(((i * 37 + F.length("seq")) % 1000).cast("string"), 3, "0"))
+    line = lambda i: F.concat_ws("  ", (i + 1).cast("string"), F.substring("seq", i + 1, F.lit(1)), F.lit("."), prob(i), F.lit("seq"))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.length("seq") - 1), line), "\n")
+    text = F.concat(F.lit(f"\n pos  AA  C      score      Ident\n{DASHES}\n"), body, F.lit(f"\n{DASHES}\n"))
+    return parse_netchop(seq.select("name", text.alias("text"))).select("name", F.posexplode("probs").alias("position", "prob"))
+
+
+@query(f"""{OUTPUT} SELECT name AS source_sequence_name, "offset", peptide, 'HLA-A*02:01' AS allele, 'pMHC_affinity' AS kind, 'smm' AS predictor_name, round(1 - ln(v) / ln(50000), 6) AS score, v::DOUBLE AS value, (v % 100)::DOUBLE AS percentile_rank FROM l""")
+def iedb_output(spark, sf):
+    """A response for each protein, read back."""
+    cells = (F.lit("HLA-A*02:01"), F.lit("1"), (F.col("offset") + 1).cast("string"), (F.col("offset") + 9).cast("string"), F.lit("9"), F.col("peptide"), _value().cast("string"), (_value() % 100).cast("string"))
+    w = windows.kmers(proteins(spark, sf), [9]).select("name", F.concat_ws("\t", *cells).alias("line"))
+    head = "allele\tseq_num\tstart\tend\tlength\tpeptide\tic50\tpercentile rank\n"
+    body = w.groupBy("name").agg(F.concat(F.lit(head), F.array_join(F.collect_list("line"), "\n")).alias("text"))
+    rows = parse_iedb(body, "smm", source="name")
+    return rows.select(*_HEADER_COLUMNS, "predictor_name", F.round("score", 6).alias("score"))
+
+
+@query(f"{OUTPUT} SELECT peptide, 'HLA-A*02:01' AS allele, 'pMHC_presentation' AS kind, 'mixmhcpred' AS predictor_name, any_value(s) AS score, any_value((v % 100)::DOUBLE) AS percentile_rank FROM l GROUP BY peptide")
+def mixmhcpred_table(spark, sf):
+    """A table of the program's form, written and read back."""
+    w = windows.kmers(proteins(spark, sf), [9]).select("peptide").distinct()
+    path = _scratch(spark, "mixmhcpred")
+    columns = {"Peptide": F.col("peptide"), "Score_bestAllele": _score(), "BestAllele": F.lit("A0201"), "%Rank_bestAllele": (_value() % 100).cast("string")}
+    w.select(*(c.alias(n) for n, c in columns.items())).write.csv(path, sep="\t", header=True)
+    return read_mixmhcpred(spark, path).select("peptide", "allele", "kind", "predictor_name", "score", "percentile_rank")
+
+
+@query(f"""WITH {PROT} SELECT 'p' || name AS name, seq FROM prot""")
+def fasta_records(spark, sf):
+    """Proteins written as FASTA, in lines of at most 60 letters and small ones among them, and read back."""
+    seq = proteins(spark, sf)
+    lines = F.array_join(F.regexp_extract_all(F.lower("seq"), F.lit("(.{1,60})"), F.lit(1)), "\n")
+    path = _scratch(spark, "fasta")
+    seq.select(F.concat(F.lit(">p"), "name", F.lit(" a description\n"), lines).alias("value")).write.text(path)
+    return read_fasta(spark, path)
+
+
+def _scratch(spark, name: str) -> str:
+    """A folder of its own in the one that executors share."""
+    import uuid
+
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        shared = tempfile.mkdtemp(prefix="epitrail-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {SAMPLES} SELECT DISTINCT allele FROM samp WHERE allele NOT IN ('HLA-A*02:01', 'HLA-B*07:02')")
+def unsupported_alleles(spark, sf):
+    """Alleles of the samples that a tool does not list."""
+    own = {0: ALLELES[0], 1: ALLELES[1], 2: ALLELES[2]}
+    named = F.coalesce(*(F.when(F.col("n_nationkey") % 4 == k, a) for k, a in own.items()))
+    alleles = _table(spark, sf, "nation").select(named.alias("allele")).where("allele IS NOT NULL")
+    listed = spark.createDataFrame([(ALLELES[0],), (ALLELES[1],)], "allele string")
+    return checks.unsupported(alleles, listed).distinct()
+
+
+@query(f"WITH {PROT}, {_win(8, 9)} SELECT len(peptide)::INTEGER AS length, count(*) AS n FROM win GROUP BY ALL")
+def one_length_groups(spark, sf):
+    """Windows by length: each group passes the rule of tools that take one length, and both together do not."""
+    w = windows.kmers(proteins(spark, sf), [8, 9])
+    try:
+        checks.require_one_length(w)
+    except ValueError:
+        groups = [checks.require_one_length(w.where(F.length("peptide") == k)) for k in (8, 9)]
+        return groups[0].unionByName(groups[1]).groupBy(F.length("peptide").alias("length")).agg(F.count("*").alias("n"))
+    raise AssertionError("two lengths passed as one")
 
 
 def random_predictions(spark, sf):

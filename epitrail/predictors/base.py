@@ -72,12 +72,16 @@ class Predictor:
         scored = self.predict(windows, validate=validate)
         return canonical(relocate(windows, scored))
 
+    def one_kind(self) -> Predictor:
+        """This predictor, or where it gives a pair rows of several kinds, one that gives the main kind alone."""
+        return self
+
     def predict_legacy(self, given, validate: bool = True) -> DataFrame:
-        """The older view of :meth:`predict`, complete unless told otherwise."""
-        return legacy(self.predict(given, validate=validate))
+        """The older view of :meth:`predict`, one row a pair; complete unless told otherwise."""
+        return legacy(self.one_kind().predict(given, validate=validate))
 
     def predict_proteins_legacy(self, given, lengths=None, validate: bool = True) -> DataFrame:
-        return legacy(self.predict_proteins(given, lengths, validate=validate))
+        return legacy(self.one_kind().predict_proteins(given, lengths, validate=validate))
 
     def __repr__(self) -> str:
         return f"{type(self).__name__}(default_lengths={list(self.default_lengths)})"

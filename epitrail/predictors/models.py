@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import os
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from epitrail.functions.scoring import clamped_score
 from epitrail.functions.text import models_path
-from epitrail.operators.combine import with_mandatory
+from epitrail.operators.checks import UnsupportedAllele
 from epitrail.predictors.base import Predictor
 from epitrail.schema import Kind
 
@@ -59,9 +60,15 @@ class MHCflurry(Predictor):
         return got.withColumn("score", clamped_score(F.col("value"))).withColumn("kind", F.lit(Kind.AFFINITY))
 
     def score(self, asked: DataFrame) -> DataFrame:
-        bound = self.affinities(asked)
-        shown = scored_by(asked, self.load_presentation, ("p_score", "p_rank"))
-        both = with_mandatory(bound, shown, ["peptide", "allele"], "presentation score")
+        load_affinity, load_presentation = self.load_affinity, self.load_presentation
+
+        def load():  # both models see each batch once, so their rows need no join
+            bind, show = load_affinity(), load_presentation()
+            return lambda peptides, alleles: bind(peptides, alleles) | show(peptides, alleles)
+
+        got = scored_by(asked, load, ("value", "percentile_rank", "p_score", "p_rank")).withColumn("score", clamped_score(F.col("value")))
+        lacks = F.raise_error(F.concat(F.lit("No presentation score for "), "peptide", F.lit(", "), "allele")).cast("double")
+        both = got.withColumn("p_score", F.when(F.col("p_score").isNull() | F.isnan("p_score"), lacks).otherwise(F.col("p_score")))
         rows = F.array(
             F.struct(F.lit(Kind.AFFINITY).alias("kind"), "score", "value", "percentile_rank"),
             F.struct(F.lit(Kind.PRESENTATION).alias("kind"), F.col("p_score").alias("score"), F.lit(None).cast("double").alias("value"), F.col("p_rank").alias("percentile_rank")),
@@ -69,6 +76,12 @@ class MHCflurry(Predictor):
         return both.select("peptide", "allele", F.inline(rows))
 
 
+    def one_kind(self) -> Predictor:
+        one = copy.copy(self)
+        one.score = one.affinities
+        return one
+
+
 class MHCflurryAffinity(MHCflurry):
     """MHCflurry's affinities alone."""
 
@@ -84,7 +97,10 @@ def _mhcflurry_affinity(path):
     model = Class1AffinityPredictor.load(path) if path else Class1AffinityPredictor.load()
 
     def run(peptides, alleles):
-        got = model.predict_to_dataframe(peptides=peptides, alleles=alleles, throw=False)
+        unknown = sorted(set(alleles) - set(model.supported_alleles))
+        if unknown:
+            raise UnsupportedAllele(f"Unsupported alleles: {', '.join(unknown)}")
+        got = model.predict_to_dataframe(peptides=peptides, alleles=alleles, throw=True)
         rank = got["prediction_percentile"] if "prediction_percentile" in got else [None] * len(got)
         return {"value": got["prediction"].tolist(), "percentile_rank": list(rank)}
 

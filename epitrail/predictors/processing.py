@@ -37,8 +37,8 @@ class ProcessingPredictor:
             raise NotImplementedError("give a profile")
         return seqs.withColumn("probs", self._profile)
 
-    def _scored(self, df: DataFrame) -> Column:
-        p, o, k = F.col("probs"), F.col("offset"), F.col("_k")
+    def _scored(self, place: str) -> Column:
+        p, o, k = F.col("probs"), F.col(place), F.col("_k")
         return self.mode(scoring.c_term(p, o, k), scoring.n_term(p, o), scoring.internal(p, o, k))
 
     def predict_proteins(self, given, lengths=None, flank_length: int = 0) -> DataFrame:
@@ -46,8 +46,8 @@ class ProcessingPredictor:
         df = given if isinstance(given, DataFrame) else sequences(self.spark, given)
         lengths = peptide_lengths(lengths, self.default_lengths)
         with_profile = self.profile(df.select("name", "seq").where("seq IS NOT NULL"))
-        at = kmers(with_profile, lengths, flank_length).withColumn("_k", F.length("peptide"))
-        rows = at.withColumn("score", self._scored(at)).withColumnRenamed("name", "source_sequence_name")
+        at = kmers(with_profile, lengths, flank_length, along="probs")
+        rows = at.withColumn("score", self._scored("_place")).withColumnRenamed("name", "source_sequence_name")
         return canonical(rows, kind=self.kind, predictor_name=self.name, predictor_version=self.version)
 
     def predict(self, given, n_flanks=None, c_flanks=None) -> DataFrame:
@@ -69,9 +69,12 @@ class ProcessingPredictor:
             df = df.withColumn(c, F.coalesce(F.col(c), F.lit(""))) if c in df.columns else df.withColumn(c, F.lit(""))
         whole = df.where(F.length("peptide") > 0).withColumn("seq", F.concat("n_flank", "peptide", "c_flank"))
         placed = self.profile(whole).withColumn("offset", F.length("n_flank")).withColumn("_k", F.length("peptide"))
-        rows = placed.withColumn("score", self._scored(placed)).drop("offset")
+        rows = placed.withColumn("score", self._scored("offset")).drop("offset")
         return canonical(rows, kind=self.kind, predictor_name=self.name, predictor_version=self.version)
 
+    def one_kind(self) -> ProcessingPredictor:
+        return self
+
     def predict_cleavage_sites(self, given, long: bool = False) -> DataFrame:
         """``name, probs``, or with ``long`` a row a residue: ``name, position, residue, prob``."""
         df = given if isinstance(given, DataFrame) else sequences(self.spark, given)

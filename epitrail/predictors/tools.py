@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import errno
 import re
 import subprocess
@@ -11,11 +12,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epitrail.functions.alleles import normalize_allele, render_allele
 from epitrail.operators import checks
+from epitrail.operators.windows import peptides
 from epitrail.predictors.base import Predictor
 from epitrail.schema import Kind
 from epitrail.sources.layouts import LAYOUTS
@@ -118,10 +120,17 @@ def build_command(tool: Tool, program: str, allele: str, path: str, temp: str, p
     return command + ([tool.file_flag, path] if tool.file_flag else [path])
 
 
+def spread(asked: DataFrame) -> Column:
+    """By what the peptides of an allele are dealt: a run has few alleles, so each is split over all cores."""
+    return F.pmod(F.xxhash64("peptide"), F.lit(max(1, asked.sparkSession.sparkContext.defaultParallelism)))
+
+
 class ToolPredictor(Predictor):
-    """Runs a :class:`Tool` on the executors. Pairs are dealt by allele and length into batches, a process each."""
+    """Runs a :class:`Tool` on the executors. Pairs are dealt by allele, length and :func:`spread` into batches, a process each."""
 
     validates = True
+    #: Where a line tells of several kinds: the one that its row is of; None: a row each.
+    prefer: str | None = None
 
     def __init__(self, spark, alleles=(), tool: str | Tool = "netmhcpan41-ba", program: str | None = None, batch: int = BATCH, legacy_kind: bool = False, check_alleles: bool = False, **options):
         self.name = tool if isinstance(tool, str) else tool.program
@@ -133,15 +142,21 @@ class ToolPredictor(Predictor):
         super().__init__(spark, alleles, **options)
 
     def predict(self, given, validate: bool = False) -> DataFrame:
-        if self.tool.one_length and isinstance(given, DataFrame):
+        if self.tool.one_length:
+            given = given if isinstance(given, DataFrame) else peptides(self.spark, given)
             checks.require_one_length(given)
         return super().predict(given, validate)
 
+    def one_kind(self) -> ToolPredictor:
+        one = copy.copy(self)
+        one.prefer = self.kind
+        return one
+
     def run(self, asked: DataFrame) -> DataFrame:
         """``text``: the output of each process."""
         tool, program, batch = self.tool, self.program, self.batch
         spelled = asked.select("peptide", render_allele(F.col("allele"), tool.style).alias("allele"), (F.length("peptide") if tool.by_length else F.lit(0)).alias("n"))
-        dealt = spelled.repartition("allele", "n").sortWithinPartitions("allele", "n")
+        dealt = spelled.repartition("allele", "n", spread(spelled)).sortWithinPartitions("allele", "n")
 
         def process(rows: list[str], allele: str) -> str:
             with tempfile.TemporaryDirectory() as folder:
@@ -168,7 +183,7 @@ class ToolPredictor(Predictor):
     def score(self, asked: DataFrame) -> DataFrame:
         text = self.run(asked)
         if self.tool.parser == "header":
-            return parse_by_header(text, self.name)
+            return parse_by_header(text, self.name, prefer=self.prefer)
         return parse_layout(text, self.tool.parser, self.name, legacy_kind=self.legacy_kind)
 
 
@@ -232,7 +247,7 @@ class MixMHCpred(Predictor):
                     yield pd.DataFrame({"peptide": got["Peptide"], "raw": got["BestAllele"].astype(str), "score": got["Score_bestAllele"].astype(float), "percentile_rank": got["%Rank_bestAllele"].astype(float)})
 
         spelled = asked.select("peptide", render_allele(F.regexp_replace("allele", "^HLA-", ""), "compact").alias("allele"))
-        rows = spelled.repartition("allele").mapInPandas(run, "peptide string, raw string, score double, percentile_rank double")
+        rows = spelled.repartition("allele", spread(spelled)).mapInPandas(run, "peptide string, raw string, score double, percentile_rank double")
         return rows.withColumn("allele", normalize_allele(F.col("raw"))).drop("raw")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,9 +103,37 @@ def from_json(df: DataFrame, column: str = "json") -> DataFrame:
     return canonical(df.select(F.from_json(column, PREDICTION.simpleString()).alias("r")).select("r.*"))
 
 
+def four_digits(x: Column) -> Column:
+    """A number as text with four significant digits, no zeros at the end, and an exponent under 1e-4 and from 1e4 on (``%.4g``).
+
+    Formatting rounds halves up, so exact halves over an even digit are moved down by a little first.
+    """
+    y = x * F.pow(F.lit(10.0), 3 - F.get(F.split(F.format_string("%.16e", x), "e"), F.lit(1)).try_cast("int"))
+    half = (F.abs(y) - F.floor(F.abs(y)) == 0.5) & (F.floor(x * 256) == x * 256) & (F.floor(F.abs(y)) % 2 == 0)
+    x = F.when(half, x * (1 - 1e-13)).otherwise(x)
+    parts = F.split(F.format_string("%.3e", x), "e")  # digits and exponent, rounded
+    digits, power = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)).try_cast("int")
+    trimmed = lambda s: F.regexp_replace(s, r"\.?0+$", "")
+    rounded = F.concat(digits, F.lit("e"), F.get(parts, F.lit(1))).try_cast("double")
+    plain = F.lit(None).cast("string")
+    for p in range(-4, 4):
+        text = F.format_string(f"%.{3 - p}f", rounded)
+        plain = F.when(power == p, trimmed(text) if p < 3 else text).otherwise(plain)
+    scientific = F.concat(F.when(digits.contains("."), trimmed(digits)).otherwise(digits), F.lit("e"), F.get(parts, F.lit(1)))
+    return F.when(x == 0, "0").when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(F.coalesce(plain, scientific))
+
+
 def describe(df: DataFrame) -> DataFrame:
-    """A short text a row, in ``text``."""
-    rank = F.when(F.col("percentile_rank").isNotNull(), F.format_string(", rank=%.2f%%", "percentile_rank")).otherwise("")
-    value = F.when(F.col("value").isNotNull(), F.format_string(", value=%.4f", "value")).otherwise("")
-    allele = F.when(F.col("allele") != "", F.concat(F.lit(", "), "allele")).otherwise("")
-    return df.select(F.concat(F.col("kind"), F.lit("("), F.col("peptide"), allele, F.format_string(", score=%.4f", "score"), value, rank, F.lit(")")).alias("text"))
+    """A short text a row, in ``text``: peptide, allele, kind, score, value, rank and predictor, those that there are."""
+    some = lambda c, text: F.when(c, text)
+    parts = F.concat_ws(
+        " | ",
+        some(F.col("peptide") != "", F.col("peptide")).otherwise("?"),
+        some(F.col("allele") != "", F.col("allele")),
+        "kind",
+        F.concat(F.lit("score="), four_digits(F.col("score"))),
+        some(F.col("value").isNotNull(), F.concat(F.lit("value="), four_digits(F.col("value")))),
+        some(F.col("percentile_rank").isNotNull(), F.format_string("rank=%.2f%%", "percentile_rank")),
+        some(F.col("predictor_name") != "", F.col("predictor_name")),
+    )
+    return df.select(F.concat(F.lit("Prediction("), parts, F.lit(")")).alias("text"))

@@ -97,59 +97,74 @@ def header(text: Column) -> Column:
     return tokens(F.get(named, F.lit(0)))
 
 
-def parse_by_header(df: DataFrame, predictor_name: str = "netMHCpan", predictor_version: str = "", text: str = "text", names: DataFrame | None = None) -> DataFrame:
+#: What the columns of NetMHCpan output may be called, by what they hold.
+FIELDS = {
+    "position": ("Pos", "pos"),
+    "peptide": ("Peptide", "peptide"),
+    "allele": ("HLA", "MHC"),
+    "identity": ("Identity",),
+    "score_el": ("Score_EL",),
+    "rank_el": ("%Rank_EL",),
+    "score_ba": ("Score_BA",),
+    "rank_ba": ("%Rank_BA",),
+    "ic50": ("Aff(nM)",),
+    "old_score": ("1-log50k(aff)",),
+    "old_ic50": ("Affinity(nM)",),
+    "score": ("Score",),
+    "rank": ("%Rank",),
+    "core": ("Core",),
+}
+
+
+def parse_by_header(df: DataFrame, predictor_name: str = "netMHCpan", predictor_version: str = "", text: str = "text", names: DataFrame | None = None, prefer: str | None = None) -> DataFrame:
     """Canonical rows, and ``ord``, of NetMHCpan output from 2.8 to 4.2; the header tells which columns there are.
 
-    With scores for elution and binding a line gives two rows, an affinity and a presentation. Offsets are
-    from 1 where there is a ``Core`` column. Numbers that are none are an error. ``names``: ``key, name`` to rename
-    identities by.
+    With scores for elution and binding a line gives two rows, an affinity and a presentation; with ``prefer``, a kind, it gives the
+    row of that kind, or the first. Offsets are from 1 where there is a ``Core`` column. Numbers that are none are an error.
+    ``names``: ``key, name`` to rename identities by.
     """
-    head = F.col("head")
     raw = df.select(guarded(F.col(text), "NetMHCpan").alias("t"))
-    lines = raw.select(header(F.col("t")).alias("head"), F.regexp_extract("t", r"# NetMHCpan version (\S+)", 1).alias("found"), data_lines(F.col("t")).alias("lines"))
-    wrong = F.raise_error(F.lit("Could not find the header line in NetMHCpan output")).cast("array<string>")
-    lines = lines.withColumn("lines", F.when(F.col("head").isNull(), wrong).otherwise(F.col("lines")))
-    each = lines.select("head", "found", F.posexplode("lines").alias("pos", "line")).withColumn("f", tokens(F.col("line")))
-
-    def at(*options: str) -> Column:
-        """The token under the first of the names that the header has, or null."""
-        places = [F.array_position(head, n).cast("int") for n in options]
-        return F.coalesce(*(F.when(p > 0, F.get("f", p - 1)) for p in places))
-
-    def need(what: str, *options: str) -> Column:
-        return F.coalesce(at(*options), F.raise_error(F.lit(f"No {what} column in NetMHCpan output")).cast("string"))
-
-    has = lambda n: F.array_contains(head, n)
-    value = lambda *n: at(*n).cast("double")
+    # the places of the columns are found once an output; a line only reads them
+    head = F.col("head")
+    place = lambda options: F.coalesce(*(F.nullif(F.array_position(head, n).cast("int"), F.lit(0)) for n in options)) - 1
+    places = F.struct(*(place(options).alias(what) for what, options in FIELDS.items())).alias("at")
+    found = raw.select(header(F.col("t")).alias("head"), F.regexp_extract("t", r"# NetMHCpan version (\S+)", 1).alias("found"), data_lines(F.col("t")).alias("lines"))
+    wrong = lambda what: F.raise_error(F.lit(what)).cast("array<string>")
+    no_column = lambda what: wrong(f"No {what} column in NetMHCpan output")
+    some = lambda what: F.col(f"at.{what}").isNotNull()
+    # how lines are read: 0 elution and binding, 1 elution, 2 version 2.8, 3 binding, 4 elution without its own names
+    form = F.when(some("score_el") & some("score_ba"), 0).when(some("score_el"), 1).when(some("old_score"), 2).when(some("score") & some("ic50"), 3).when(some("score"), 4)
+    checked = F.when(head.isNull(), wrong("Could not find the header line in NetMHCpan output"))
+    for what in ("position", "peptide", "allele", "identity"):
+        checked = checked.when(~some(what), no_column(what))
+    checked = checked.when(form.isNull(), wrong("Could not tell the score columns of NetMHCpan output")).otherwise(F.col("lines"))
+    once = found.select("head", "found", "lines", places).select("found", "at", form.alias("form"), checked.alias("lines"))
+    each = once.select("found", "at", "form", F.posexplode("lines").alias("pos", "line")).withColumn("f", tokens(F.col("line")))
+
+    token = lambda what: F.get("f", F.col(f"at.{what}"))
+    value = lambda what: token(what).cast("double")
     none = F.lit(None).cast("double")
     row = lambda kind, score, ic50, rank: F.struct(F.lit(kind).alias("kind"), score.alias("score"), ic50.alias("value"), rank.alias("percentile_rank"))
     zero = F.lit(0.0)
-    ba, el = Kind.AFFINITY, Kind.PRESENTATION
-    both = F.array(
-        row(ba, score_from_affinity(value("Aff(nM)"), value("Score_BA")), value("Aff(nM)"), value("%Rank_BA")),
-        row(el, F.coalesce(value("Score_EL"), zero), none, value("%Rank_EL")),
-    )
-    eluted = F.array(row(el, F.coalesce(value("Score_EL"), zero), none, value("%Rank_EL", "%Rank")))
-    old = F.array(row(ba, score_from_affinity(value("Affinity(nM)"), value("1-log50k(aff)")), value("Affinity(nM)"), value("%Rank")))
-    bound = F.array(row(ba, score_from_affinity(value("Aff(nM)"), value("Score")), value("Aff(nM)"), value("%Rank")))
-    plain = F.array(row(el, F.coalesce(value("Score"), zero), none, value("%Rank")))
+    bound = lambda ic50, score, rank: row(Kind.AFFINITY, score_from_affinity(value(ic50), value(score)), value(ic50), value(rank))
+    eluted = lambda score, rank: row(Kind.PRESENTATION, F.coalesce(value(score), zero), none, rank)
+    two = [bound("ic50", "score_ba", "rank_ba"), eluted("score_el", value("rank_el"))]
+    if prefer is not None:
+        two = two[1:] if prefer == Kind.PRESENTATION else two[:1]
     rows = (
-        F.when(has("Score_EL") & has("Score_BA"), both)
-        .when(has("Score_EL"), eluted)
-        .when(has("1-log50k(aff)"), old)
-        .when(has("Score") & has("Aff(nM)"), bound)
-        .when(has("Score"), plain)
-        .otherwise(F.raise_error(F.lit("Could not tell the score columns of NetMHCpan output")).cast(_ROWS))
+        F.when(F.col("form") == 0, F.array(*two))
+        .when(F.col("form") == 1, F.array(eluted("score_el", F.coalesce(value("rank_el"), value("rank")))))
+        .when(F.col("form") == 2, F.array(bound("old_ic50", "old_score", "rank")))
+        .when(F.col("form") == 3, F.array(bound("ic50", "score", "rank")))
+        .otherwise(F.array(eluted("score", value("rank"))))
     )
-    offset = need("position", "Pos", "pos").cast("int") - F.when(has("Core"), 1).otherwise(0)
-    version = F.lit(predictor_version) if predictor_version else F.col("found")
     wide = each.select(
         (2 * F.col("pos")).alias("base"),
-        need("peptide", "Peptide", "peptide").alias("peptide"),
-        normalize_allele(need("allele", "HLA", "MHC")).alias("allele"),
-        need("Identity", "Identity").alias("source_sequence_name"),
-        offset.alias("offset"),
-        version.alias("predictor_version"),
+        token("peptide").alias("peptide"),
+        normalize_allele(token("allele")).alias("allele"),
+        token("identity").alias("source_sequence_name"),
+        (token("position").cast("int") - F.when(some("core"), 1).otherwise(0)).alias("offset"),
+        (F.lit(predictor_version) if predictor_version else F.col("found")).alias("predictor_version"),
         F.posexplode(rows).alias("nth", "r"),
     )
     out = wide.select("*", "r.*").withColumn("ord", F.col("base") + F.col("nth"))
@@ -161,9 +176,6 @@ def parse_by_header(df: DataFrame, predictor_name: str = "netMHCpan", predictor_
     return remap(made, names)
 
 
-_ROWS = "array<struct<kind:string,score:double,value:double,percentile_rank:double>>"
-
-
 def prefer_kind(rows: DataFrame, kind: str) -> DataFrame:
     """One row a peptide, allele and place: of the preferred kind, else the first."""
     from pyspark.sql import Window

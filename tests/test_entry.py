@@ -14,7 +14,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 COMPARED = (
     "kmer_scan kmer_flanks cleavage_profile_long score_cterm_mean_internal score_nterm_cterm_max_internal proteasome_predictions top_cleavage_per_source "
     "protein_predictions legacy_view completeness_missing best_by_score best_by_rank best_table null_tolerant_filters validate_peptides multi_sample_union "
-    "multi_predictor_union parse_layout_rows parse_header_rows allele_names"
+    "multi_predictor_union parse_layout_rows parse_header_rows allele_names kmer_counts cleavage_summary peptides_with_flanks described_rows "
+    "completeness_unexpected netchop_output iedb_output mixmhcpred_table fasta_records unsupported_alleles one_length_groups output_lines "
+    "legacy_netmhcpan41_ba legacy_netmhcpan41_el header_preferred_kinds parse_netmhc3 parse_netmhciipan4_ba parse_netmhciipan43_el_old_columns"
 ).split()
 
 

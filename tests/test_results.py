@@ -7,11 +7,11 @@ from epitrail.predictors.base import ExpressionPredictor, MultiSample, RandomPre
 
 KEY = ("peptide",)
 MIXED = [
-    ("SIINFEKL", "pMHC_affinity", "HLA-A*02:01", 0.85, 120.5, 0.8),
-    ("SIINFEKL", "pMHC_affinity", "HLA-B*07:02", 0.42, 5000.0, 15.0),
-    ("SIINFEKL", "pMHC_presentation", "HLA-A*02:01", 0.92, None, 0.3),
-    ("SIINFEKL", "pMHC_presentation", "HLA-B*07:02", 0.15, None, 12.0),
-    ("SIINFEKL", "antigen_processing", "", 0.85, None, None),
+    ("KLWPERSTV", "pMHC_affinity", "HLA-A*02:01", 0.71, 33.25, 0.4),
+    ("KLWPERSTV", "pMHC_affinity", "HLA-C*07:01", 0.28, 7100.0, 22.0),
+    ("KLWPERSTV", "pMHC_presentation", "HLA-A*02:01", 0.88, None, 0.6),
+    ("KLWPERSTV", "pMHC_presentation", "HLA-C*07:01", 0.07, None, 31.0),
+    ("KLWPERSTV", "antigen_processing", "", 0.64, None, None),
 ]
 
 
@@ -27,8 +27,8 @@ def test_schema(spark):
     row = schema.canonical(spark.createDataFrame([(None, float("nan"))], "score double, value double"), kind="x", predictor_name="p").first()
     assert (row.score, row.value, row.allele, row.kind, row.predictor_name, row.offset, row.source_sequence_name) == (0.0, None, "", "x", "p", 0, None)
     old = schema.legacy(df)
-    assert tuple(old.columns) == schema.LEGACY_COLUMNS and {r.length for r in old.collect()} == {8}
-    assert schema.from_legacy(old, "k").where("value = 120.5 and kind = 'k'").count() == 1
+    assert tuple(old.columns) == schema.LEGACY_COLUMNS and {r.length for r in old.collect()} == {9}
+    assert schema.from_legacy(old, "k").where("value = 33.25 and kind = 'k'").count() == 1
     assert schema.from_json(schema.to_json(df)).exceptAll(df).count() == 0
     extra = spark.createDataFrame([('{"peptide":"A","score":1,"kind":"k","unknown":5}',)], "json string")
     assert schema.from_json(extra).first().score == 1.0
@@ -38,9 +38,9 @@ def test_schema(spark):
 def test_best(spark):
     df = mixed(spark)
     best = {r.kind: r for r in results.best_by_score(df, key=KEY).collect()}
-    assert best["pMHC_affinity"].value == 120.5 and best["pMHC_presentation"].score == 0.92 and best["antigen_processing"].allele == ""
+    assert best["pMHC_affinity"].value == 33.25 and best["pMHC_presentation"].score == 0.88 and best["antigen_processing"].allele == ""
     ranked = {r.kind: r for r in results.best_by_rank(df, key=KEY).collect()}
-    assert set(ranked) == {"pMHC_affinity", "pMHC_presentation"} and ranked["pMHC_presentation"].percentile_rank == 0.3
+    assert set(ranked) == {"pMHC_affinity", "pMHC_presentation"} and ranked["pMHC_presentation"].percentile_rank == 0.6
     assert results.best_by_score(df, "pMHC_stability", KEY).count() == 0
     wide = results.best_table(df, ["pMHC_affinity", "pMHC_stability"], KEY).first()
     assert wide.pMHC_affinity.allele == "HLA-A*02:01" and wide.pMHC_stability is None
@@ -55,9 +55,9 @@ def test_ties_and_nan(spark):
 
 def test_groups(spark):
     row = results.nested(mixed(spark), KEY).first()
-    assert [p.score for p in row.preds] == [r[3] for r in MIXED] and row.alleles == ["HLA-A*02:01", "HLA-B*07:02"] and len(row.kinds) == 3
+    assert [p.score for p in row.preds] == [r[3] for r in MIXED] and row.alleles == ["HLA-A*02:01", "HLA-C*07:01"] and len(row.kinds) == 3
     assert {r.kind: r.n for r in results.kind_counts(mixed(spark), KEY).collect()} == {"pMHC_affinity": 2, "pMHC_presentation": 2, "antigen_processing": 1}
-    assert results.by_affinity(mixed(spark)).first().value == 120.5
+    assert results.by_affinity(mixed(spark)).first().value == 33.25
     df, seen = results.counted(mixed(spark), "rows")
     df.count()
     assert seen.get["n"] == 5
@@ -67,7 +67,7 @@ def test_thresholds(spark):
     df = spark.createDataFrame([("A", 100.0, 1.0, 0.9), ("B", None, None, None), ("C", float("nan"), float("nan"), float("nan")), ("D", 900.0, 9.0, 0.1)], "peptide string, affinity double, percentile_rank double, score double")
     assert [r.peptide for r in results.thresholds(df, max_affinity=500, max_percentile_rank=2, min_score=0.5).collect()] == ["A", "B", "C"]
     assert results.thresholds(df).count() == 4
-    assert results.only(mixed(spark), "pMHC_affinity", "HLA-B*07:02").count() == 1 and results.only(mixed(spark)).count() == 5
+    assert results.only(mixed(spark), "pMHC_affinity", "HLA-C*07:01").count() == 1 and results.only(mixed(spark)).count() == 5
 
 
 def test_violations(spark):
@@ -141,3 +141,12 @@ def test_joins(spark):
     assert combine.with_mandatory(left.where("k = 'a'"), right, ["k"]).first().y == 5
     names = spark.createDataFrame([("a", "A")], "key string, name string")
     assert sorted(r.k for r in combine.remap(left, names, "k").collect()) == ["A", "b"]
+
+
+def test_described(spark):
+    numbers = [0.5, 12345.0, 12355.0, 9999.5, 0.00012346, 0.00001, 100.25, 7.0, 1e-9, 123456789.0, 0.0, -2.5, 1000.5, 1001.5, 99995.0]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", schema.four_digits(F.col("x")).alias("t"))
+    assert {r.x: r.t for r in df.collect()} == {x: f"{x:.4g}" for x in numbers}
+    rows = [r.text for r in schema.describe(mixed(spark)).collect()]
+    assert "Prediction(KLWPERSTV | HLA-A*02:01 | pMHC_affinity | score=0.71 | value=33.25 | rank=0.40%)" in rows
+    assert "Prediction(KLWPERSTV | antigen_processing | score=0.64)" in rows
