@@ -2,13 +2,17 @@
 
 For the largest inner product, vectors get a coordinate that gives all the same norm, so that the nearest by Euclidean
 distance is the one with the largest product. Gaussian (2-stable) projections to a few dimensions are indexed by a
-kd-tree. A query walks the tree's leaves in order of projected distance and verifies their vectors. A vector at
-distance d has a squared projected distance of d^2 times a chi-square variable; the walk stops when the next leaf
-is so far that, by this distribution, a vector nearer than the k-th found would have been met with probability ``sure``.
+kd-tree. A query walks the tree's small leaves in order of projected distance and verifies their vectors. A vector at
+distance d has a squared projected distance of d^2 times a chi-square variable; a vector, and in the end the walk, is passed over when
+it is so far in projection that, by this distribution, a vector nearer than the k-th found would be nearer with probability ``sure``.
+
+Vectors are dealt into blocks by the binary order of their norms, so that a few large ones don't flatten the rest, and within it by
+row. Each block's tree is built once; queries stream past it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window
@@ -17,11 +21,13 @@ from pyspark.sql import functions as F
 from epitrail.llm.common import table
 
 K = 20
-PROJECTED = 16
-SURE = 0.97
-LEAF = 256
-#: Vectors of an index block and queries of a query block: a task searches one of the first for one of the second.
-INDEX_BLOCK, QUERY_BLOCK = 32_768, 2_048
+PROJECTED = 24
+SURE = 0.9
+LEAF = 64
+#: Vectors of a block at most, about; a task holds one block at a time.
+INDEX_BLOCK = 32_768
+#: Queries that are searched together.
+TOGETHER = 256
 SEED = 3
 
 
@@ -41,6 +47,7 @@ class Index:
         extra = np.sqrt(np.maximum(radius**2 - (vectors**2).sum(axis=1), 0))
         self.matrix = np.random.default_rng(SEED).normal(size=(vectors.shape[1] + 1, projected))
         self.points = np.column_stack([vectors, extra]) @ self.matrix
+        self.squares = (self.points**2).sum(axis=1)
         self.leaves, todo = [], [np.arange(len(vectors))]
         while todo:
             ids = todo.pop()
@@ -56,102 +63,134 @@ class Index:
         self.high = np.array([self.points[x].max(axis=0) for x in self.leaves])
 
     def search(self, queries, own, k: int = K, sure: float = SURE):
-        """Positions of about the k best for each query; -1 stands for none.
+        """For each query the positions of about the k best, -1 standing for none, their products, and how many vectors were verified.
 
         ``own``: two arrays, the first position of the query's own id and the one after the last.
         """
         import numpy as np
 
-        n, keep = len(queries), k + 8  # some more, as near ties are ordered anew afterwards
+        n, m = len(queries), self.points.shape[1]
         norms = np.sqrt((queries**2).sum(axis=1))
         at = np.column_stack([queries * (self.radius / norms)[:, None], np.zeros(n)]) @ self.matrix
+        square = (at**2).sum(axis=1)
         bound = np.zeros((n, len(self.leaves)))
-        for j in range(at.shape[1]):
+        for j in range(m):
             x = at[:, j, None]
             bound += np.maximum(np.maximum(self.low[None, :, j] - x, x - self.high[None, :, j]), 0) ** 2
         order = np.argsort(bound, axis=1, kind="stable")
-        limit = chi_square_quantile(sure, at.shape[1])
-        best = np.full((n, keep), -1, dtype=np.int64)  # score in 40 bits, then the position so that small ones win ties
-        active, start, step = np.arange(n), 0, 4
+        limit = chi_square_quantile(sure, m)
+        best, score, verified = np.full((n, k), -1, dtype=np.int64), np.full((n, k), -np.inf), np.zeros(n, dtype=np.int64)
+        reach = np.full(n, np.inf)  # the squared projected distance beyond which vectors are passed over
+        active, start, step, widest = np.arange(n), 0, 2, max(map(len, self.leaves))
         while len(active) and start < len(self.leaves):
             end = min(len(self.leaves), start + step)
             near = order[active, start:end]
-            found = np.full((len(active), end - start, max(map(len, self.leaves))), -1, dtype=np.int64)
+            ids, got = (np.full((len(active), end - start, widest), x) for x in (-1, -np.inf))
             for leaf in np.unique(near):
                 row, slot = np.nonzero(near == leaf)
-                ids = self.leaves[leaf]
-                who = active[row]
-                score = (queries[who] @ self.vectors[ids].T) / (self.radius * norms[who])[:, None]
-                code = (((np.clip(score, -1, 1) + 1) * (1 << 39)).astype(np.int64) << 20) | ((1 << 20) - 1 - ids)
-                code[(ids[None, :] >= own[0][who][:, None]) & (ids[None, :] < own[1][who][:, None])] = -1
-                found[row, slot, : len(ids)] = code
-            merged = np.concatenate([best[active], found.reshape(len(active), -1)], axis=1)
-            best[active] = np.partition(merged, merged.shape[1] - keep, axis=1)[:, -keep:]
+                own_ids, who = self.leaves[leaf], active[row]
+                far = square[who][:, None] + self.squares[own_ids][None, :] - 2 * (at[who] @ self.points[own_ids].T)
+                take = (far <= reach[who][:, None]) & ~((own_ids[None, :] >= own[0][who][:, None]) & (own_ids[None, :] < own[1][who][:, None]))
+                q, v = np.nonzero(take)
+                ids[row[q], slot[q], v] = own_ids[v]
+                got[row[q], slot[q], v] = np.einsum("nd,nd->n", queries[who[q]], self.vectors[own_ids[v]])
+                verified += np.bincount(who[q], minlength=n)
+            ids = np.concatenate([best[active], ids.reshape(len(active), -1)], axis=1)
+            got = np.concatenate([score[active], got.reshape(len(active), -1)], axis=1)
+            # positions are in ascending order of ids, so the smaller id wins a tie
+            first = np.lexsort((np.where(ids < 0, np.iinfo(np.int64).max, ids), -got), axis=1)[:, :k]
+            best[active], score[active] = np.take_along_axis(ids, first, axis=1), np.take_along_axis(got, first, axis=1)
+            kth = score[active, k - 1]
+            with np.errstate(invalid="ignore"):
+                distance = 2 * self.radius * (self.radius - kth / norms[active])
+            reach[active] = np.where(np.isfinite(kth), limit * np.maximum(distance, 0), np.inf)
             start, step = end, 2 * step
             if start < len(self.leaves):
-                kth = np.partition(best[active], keep - k, axis=1)[:, keep - k]
-                cosine = (kth >> 20) / (1 << 39) - 1
-                distance = 2 * self.radius**2 * (1 - cosine)
-                ahead = bound[active, order[active, start]]
-                active = active[(kth < 0) | (ahead < limit * distance)]
-        return np.where(best < 0, -1, (1 << 20) - 1 - (best & ((1 << 20) - 1)))
+                active = active[bound[active, order[active, start]] <= reach[active]]
+        return best, score, verified
 
 
 def valid(embeddings: DataFrame) -> DataFrame:
-    """``vec_id, v``: finite vectors that are neither null nor zero, of the commonest length."""
-    e = F.col("embedding")
+    """``vec_id, v, norm``: finite vectors that are neither null nor zero."""
+    e = F.col("embedding").cast("array<double>")
     fine = e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = embeddings.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", e.cast("array<double>").alias("v"))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("v") == (common.n if common else 0))
-
-
-def index_rows(rows: DataFrame, blocks: int) -> DataFrame:
-    """The rows with their block ``b``; dealt by row, as rows of one vec_id may be many."""
-    return rows.withColumn("b", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    rows = embeddings.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", e.alias("v"))
+    # by the largest component, so that no square overflows
+    top = F.array_max(F.transform("v", F.abs))
+    norm = top * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / top) * (x / top)))
+    return rows.withColumn("norm", norm)
+
+
+def blocks_of(rows: DataFrame, size: int | None = None) -> tuple[DataFrame, int]:
+    """``vec_id, v, b`` and the number of blocks: rows of one binary order of norms are dealt by row into blocks of about ``size``."""
+    size, order = size or INDEX_BLOCK, F.floor(F.log2("norm")).cast("int")
+    counts = rows.groupBy(order.alias("o")).count().orderBy("o").collect()  # at most as many as a double has exponents
+    first, total, cases = 0, [], F.lit(0)
+    row = F.xxhash64("vec_id", F.monotonically_increasing_id())  # rows of one vec_id may be many
+    for r in counts:
+        parts = -(-r["count"] // size)
+        total.append((r.o, first, parts))
+        first += parts
+    if total:
+        cases = F.coalesce(*(F.when(order == o, F.lit(start) + F.pmod(row, F.lit(parts))) for o, start, parts in total)).cast("int")
+    return rows.select("vec_id", "v", cases.alias("b")), first
 
 
 def nearest(embeddings: DataFrame, is_query=None, k: int = K, sure: float = SURE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found for each query, all other rows being candidates.
 
     ``is_query``: a condition on vec_id; by default it is divisible by 20. Equal scores go to the smaller vec_id. A
-    repeated vec_id is one query, whose candidates are the rows of other ids. Vectors that are null, zero, of another
-    length than most, or have null or non-finite components take no part. An empty table gives no rows.
+    repeated vec_id is one query, whose candidates are the rows of other ids. Vectors that are null, zero or have null or non-finite
+    components take no part; shorter vectors count as if zeros followed. An empty table gives no rows. Other columns take no part.
     """
     is_query = F.col("vec_id") % 20 == 0 if is_query is None else is_query
     rows = valid(embeddings)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    asked = F.when(is_query, 1)
-    n, many, radius = rows.agg(F.count("*"), F.count(asked), F.max(norm)).first()
-    blocks, groups = max(1, -(-n // INDEX_BLOCK)), max(1, -(-many // QUERY_BLOCK))
-    deal = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts))
-    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    index = index_rows(rows, blocks).withColumn("g", each(groups))
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("g", deal(groups).cast("int")).withColumn("b", each(blocks))
-
-    def run(index, queries):
+    index, blocks = blocks_of(rows)
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    each = F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1))))
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("b", each)
+    # in each block the vectors come first, in order of their ids; then the queries stream
+    both = index.withColumn("asks", F.lit(0)).unionByName(queries.withColumn("asks", F.lit(1)))
+    dealt = both.repartition(max(1, blocks), "b").sortWithinPartitions("b", "asks", "vec_id")
+
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
-
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(index) and len(queries):
-            index = index.sort_values("vec_id", ignore_index=True)
-            ids, vectors = index["vec_id"].to_numpy(), np.stack(index["v"].to_list())
-            tree = Index(vectors, radius)
-            for at in range(0, len(queries), 256):
-                part = queries.iloc[at : at + 256]
-                who, asked = part["vec_id"].to_numpy(), np.stack(part["v"].to_list())
-                own = np.searchsorted(ids, who), np.searchsorted(ids, who, side="right")
-                for q, vector, found in zip(who, asked, tree.search(asked, own, k, sure)):
-                    found = found[found >= 0]
-                    score = np.einsum("nd,d->n", vectors[found], vector)
-                    best = np.lexsort((ids[found], -score))[:k]
-                    out["query_id"] += [q] * len(best)
-                    out["vec_id"] += ids[found][best].tolist()
-                    out["score"] += score[best].tolist()
-        return pd.DataFrame({"query_id": pd.Series(out["query_id"], dtype="int64"), "vec_id": pd.Series(out["vec_id"], dtype="int64"), "score": pd.Series(out["score"], dtype="float64")})
-
-    found = index.groupBy("b", "g").cogroup(queries.groupBy("b", "g")).applyInPandas(run, "query_id long, vec_id long, score double")
+        import pyarrow as pa
+
+        def matrix(column):
+            lengths = np.diff(column.offsets.to_numpy())
+            flat, out = column.flatten().to_numpy(zero_copy_only=False), np.zeros((len(column), width))
+            out[np.repeat(np.arange(len(column)), lengths), np.concatenate([np.arange(x) for x in lengths])] = flat
+            return out
+
+        block, ids, vectors, tree = None, [], [], None
+        for batch in batches:
+            keys = batch.column("b").to_numpy().astype(np.int64) * 2 + batch.column("asks").to_numpy()
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            for at, to in zip([0, *cuts], [*cuts, len(keys)]):
+                b, asks = divmod(int(keys[at]), 2)
+                part = batch.slice(at, to - at)
+                if b != block:
+                    block, ids, vectors, tree = b, [], [], None
+                if not asks:
+                    ids.append(part.column("vec_id").to_numpy())
+                    vectors.append(matrix(part.column("v")))
+                    continue
+                if tree is None:
+                    ids, vectors = (np.concatenate(x) if x else np.zeros((0, *shape)) for x, shape in ((ids, ()), (vectors, (width,))))
+                    tree = Index(vectors, float(np.sqrt((vectors**2).sum(axis=1)).max())) if len(ids) else False
+                if tree is False:
+                    continue
+                asked, names = matrix(part.column("v")), part.column("vec_id").to_numpy()
+                for i in range(0, len(names), TOGETHER):
+                    who = names[i : i + TOGETHER]
+                    own = np.searchsorted(ids, who), np.searchsorted(ids, who, side="right")
+                    best, score, _ = tree.search(asked[i : i + TOGETHER], own, k, sure)
+                    q, slot = np.nonzero(best >= 0)
+                    columns = [pa.array(who[q]), pa.array(ids[best[q, slot]]), pa.array(score[q, slot])]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+
+    found = dealt.select("b", "asks", "vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
