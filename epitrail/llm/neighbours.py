@@ -18,14 +18,14 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epitrail.llm.common import table
+from epitrail.llm.common import saved, table
 
 K = 20
 PROJECTED = 24
 SURE = 0.9
 LEAF = 64
 #: Vectors of a block at most, about; a task holds one block at a time.
-INDEX_BLOCK = 32_768
+INDEX_BLOCK = 16_384
 #: Queries that are searched together.
 TOGETHER = 256
 SEED = 3
@@ -97,9 +97,14 @@ class Index:
                 verified += np.bincount(who[q], minlength=n)
             ids = np.concatenate([best[active], ids.reshape(len(active), -1)], axis=1)
             got = np.concatenate([score[active], got.reshape(len(active), -1)], axis=1)
-            # positions are in ascending order of ids, so the smaller id wins a tie
-            first = np.lexsort((np.where(ids < 0, np.iinfo(np.int64).max, ids), -got), axis=1)[:, :k]
-            best[active], score[active] = np.take_along_axis(ids, first, axis=1), np.take_along_axis(got, first, axis=1)
+            # the k best: those from the k-th product on, ties by position, which is in ascending order of ids
+            q, v = np.nonzero((got >= np.partition(got, got.shape[1] - k, axis=1)[:, [got.shape[1] - k]]) & (ids >= 0))
+            ids, got = ids[q, v], got[q, v]
+            order_now = np.lexsort((ids, -got, q))
+            nth = np.arange(len(q)) - np.searchsorted(q, np.arange(len(active)))[q]
+            ids, got, kept = ids[order_now], got[order_now], nth < k
+            best[active], score[active] = -1, -np.inf
+            best[active[q[kept]], nth[kept]], score[active[q[kept]], nth[kept]] = ids[kept], got[kept]
             kth = score[active, k - 1]
             with np.errstate(invalid="ignore"):
                 distance = 2 * self.radius * (self.radius - kth / norms[active])
@@ -124,11 +129,11 @@ def valid(embeddings: DataFrame) -> DataFrame:
 def blocks_of(rows: DataFrame, size: int | None = None) -> tuple[DataFrame, int]:
     """``vec_id, v, b`` and the number of blocks: rows of one binary order of norms are dealt by row into blocks of about ``size``."""
     size, order = size or INDEX_BLOCK, F.floor(F.log2("norm")).cast("int")
-    counts = rows.groupBy(order.alias("o")).count().orderBy("o").collect()  # at most as many as a double has exponents
+    counts = rows.groupBy(order.alias("o")).agg(F.count("*").alias("n")).orderBy("o").collect()  # at most as many as a double has exponents
     first, total, cases = 0, [], F.lit(0)
     row = F.xxhash64("vec_id", F.monotonically_increasing_id())  # rows of one vec_id may be many
     for r in counts:
-        parts = -(-r["count"] // size)
+        parts = -(-r.n // size)
         total.append((r.o, first, parts))
         first += parts
     if total:
@@ -144,14 +149,14 @@ def nearest(embeddings: DataFrame, is_query=None, k: int = K, sure: float = SURE
     components take no part; shorter vectors count as if zeros followed. An empty table gives no rows. Other columns take no part.
     """
     is_query = F.col("vec_id") % 20 == 0 if is_query is None else is_query
-    rows = valid(embeddings)
+    rows = saved(valid(embeddings), "vectors")
     index, blocks = blocks_of(rows)
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
     each = F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1))))
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("b", each)
     # in each block the vectors come first, in order of their ids; then the queries stream
     both = index.withColumn("asks", F.lit(0)).unionByName(queries.withColumn("asks", F.lit(1)))
-    dealt = both.repartition(max(1, blocks), "b").sortWithinPartitions("b", "asks", "vec_id")
+    dealt = both.repartition(4 * blocks + 1, "b").sortWithinPartitions("b", "asks", "vec_id")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
