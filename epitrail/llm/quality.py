@@ -2,8 +2,12 @@
 
 A linear-chain conditional random field with two labels, content and boilerplate, scores the lines of a text; Viterbi
 decoding picks the best labelling, and the share of words in content lines decides whether the text stays. The field
-is trained here by stochastic gradient descent on the log-likelihood. Lines get their training labels from the labelled
-documents they stand in.
+is trained here by stochastic gradient descent on the log-likelihood.
+
+Training labels are those of lines, not of documents. A labelled document says what most of its lines are. Against that stand:
+a line that many documents hold between other neighbours, or that its own document repeats, is boilerplate in a good document too; a line that
+also stands in a good document, or that looks like lines of good documents by far, is content in a poor one too, and the other way round.
+So sequences change labels, and the field learns how.
 """
 
 from __future__ import annotations
@@ -11,17 +15,23 @@ from __future__ import annotations
 import math
 import string
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epitrail.llm.common import table
+from epitrail.llm.common import discard, saved, table
 
 #: At most so many labelled documents of each class train the field: those with the smallest hashes of doc_id.
 SAMPLE = 1024
-#: Characters of a sampled text that training reads. Labelling reads whole texts.
-SAMPLE_CHARS = 20_000
+#: A line that stands between so many different pairs of neighbours, over all documents, is boilerplate.
+SHARED = 5
+#: Lines of sampled documents up to which their hashes are broadcast to count these neighbours.
+BROADCAST_LINES = 200_000
+#: Words with evidence of their own, at most, and how often each must be met.
+EVIDENCE, LEAST_MET = 20_000, 5
+#: Log odds from which a line's looks overrule its document.
+SURE = math.log(19)
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MIN_CONTENT_SHARE = 0.5
@@ -31,7 +41,6 @@ SPACE = b" \t\n\v\f\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _UPPER, _LETTERS, _DIGITS = (x.encode() for x in (string.ascii_uppercase, string.ascii_letters, string.digits))
 _LETTERS += bytes(range(0x80, 0x100))
-_NOTICES = (b"licensed under", b"copyright", b"all rights reserved", b"cookie", b"terms of", b"privacy policy", b"click here", b"subscribe")
 
 #: Each feature cuts a line's figure at these bounds; a line has one active cell per feature.
 CUTS = {
@@ -45,19 +54,18 @@ CUTS = {
     "repeated neighbours": (0.0, 0.2),
     "ends a sentence": (0,),
     "seen before": (0,),
-    "notice": (0,),
+    "word evidence": (-1.0, -0.3, 0.3),
 }
 _STARTS = [sum(len(c) + 1 for c in list(CUTS.values())[:i]) for i in range(len(CUTS))]
 CELLS = sum(len(c) + 1 for c in CUTS.values())
 _CUTS = list(zip(_STARTS, CUTS.values()))
 
 
-def cells(line: bytes, words: list[bytes], seen: bool) -> list[int]:
-    """The active feature cells of a line that has words."""
+def cells(line: bytes, words: list[bytes], seen: bool, evidence: dict[bytes, float]) -> list[int]:
+    """The active feature cells of a line that has words; ``evidence``: log odds of words for content."""
     n, size = len(words), len(line)
     letters = size - len(line.translate(None, _LETTERS))
     marks = size - len(line.translate(None, SPACE)) if size else 0
-    low = line.lower()
     figures = (
         (size - len(line.translate(None, SYMBOLS))) / n,
         (size - len(line.translate(None, _UPPER))) / max(letters, 1),
@@ -69,7 +77,7 @@ def cells(line: bytes, words: list[bytes], seen: bool) -> list[int]:
         sum(map(bytes.__eq__, words, words[1:])) / n,
         words[-1][-1:] in b".!?:;\"')",
         seen,
-        any(x in low for x in _NOTICES),
+        sum(evidence.get(w, 0.0) for w in words) / n if evidence else 0.0,
     )
     out = []
     for value, (start, cuts) in zip(figures, _CUTS):
@@ -125,6 +133,10 @@ class Field:
     emit: list[tuple[float, float]]
     step: tuple[tuple[float, float], tuple[float, float]]
     first: tuple[float, float]
+    evidence: dict[bytes, float] = field(default_factory=dict)
+
+    def label(self, lines: list[tuple[bytes, list[bytes], bool]]) -> list[int]:
+        return self.viterbi([cells(*x, self.evidence) for x in lines])
 
     def viterbi(self, lines: list[list[int]]) -> list[int]:
         """The best labelling."""
@@ -196,25 +208,110 @@ def fit(sequences: list[tuple[list[list[int]], list[int]]], epochs: int = 8, rat
     return Field([tuple(x) for x in emit], tuple(map(tuple, step)), tuple(first))
 
 
-def line_cells(data: bytes) -> list[list[int]]:
-    return [cells(*x) for x in text_lines(data)]
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from ``labels`` (doc_id, quality): lines of good documents are content, of poor ones boilerplate.
+def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """``doc_id, quality, text``: one row of each of at most ``2 * sample`` labelled documents, the same at each run.
 
-    A poor document's line that also stands in a good one is content. Without labelled documents all lines are content.
+    Of rows with one doc_id, that whose text has the smallest hash.
     """
     picked = None
     for quality in (0, 1):
-        some = labels.where(F.col("quality") == quality).select("doc_id", F.lit(quality).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        some = labels.where(F.col("quality") == quality).groupBy("doc_id").agg(F.lit(quality).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = some if picked is None else picked.unionByName(some)
-    text = F.substring("text", 1, SAMPLE_CHARS).cast("binary").alias("data")
-    picked = picked.dropDuplicates(["doc_id"])  # at most 2 * sample ids
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select(text, "quality").limit(4 * sample).collect()
-    texts = sorted((bytes(r.data), r.quality) for r in rows)
-    good = {line for data, quality in texts if quality for line, _, _ in text_lines(data)}
-    return fit([(line_cells(d), [int(q or line in good) for line, _, _ in text_lines(d)]) for d, q in texts])
+    picked = picked.groupBy("doc_id").agg(F.min("quality").alias("quality"))  # at most 2 * sample ids
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
+def _shared_lines(docs: DataFrame, sampled: DataFrame) -> set[int]:
+    """Hashes of the sample's lines that stand between :data:`SHARED` or more different pairs of neighbours in all documents.
+
+    Copies of a document keep the neighbours of its lines, so they are no evidence.
+    """
+    hashes = F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x))
+    own = sampled.select(F.explode(hashes).alias("h")).distinct()
+    if own.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        own = F.broadcast(own)
+    rows = docs.where(F.col("text").isNotNull()).select(hashes.alias("hs"))
+    pairs = F.transform("hs", lambda h, i: F.struct(h.alias("h"), F.xxhash64(F.get("hs", i - 1), F.get("hs", i + 1)).alias("between")))
+    met = rows.select(pairs.alias("p"), F.size("hs")).select(F.inline("p")).join(own, "h").distinct()
+    return {r.h for r in met.groupBy("h").count().where(F.col("count") >= SHARED).select("h").collect()}  # lines of the sample
+
+
+def _word_evidence(sampled: DataFrame) -> dict[bytes, float]:
+    """Log odds of words in good against poor documents of the sample: the :data:`EVIDENCE` strongest."""
+    words = F.array_distinct(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    met = sampled.select("quality", F.explode(words).alias("w")).groupBy("w").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("poor"))
+    both = sampled.agg(F.coalesce(F.sum("quality"), F.lit(0)), F.coalesce(F.sum(1 - F.col("quality")), F.lit(0))).first()
+    if not all(both):
+        return {}
+    odds = F.ln((F.col("good") + 0.5) / (both[0] + 1.0)) - F.ln((F.col("poor") + 0.5) / (both[1] + 1.0))
+    rows = met.where(F.col("good") + F.col("poor") >= LEAST_MET).select("w", odds.alias("odds")).orderBy(F.desc(F.abs("odds")), "w").limit(EVIDENCE).collect()
+    return {r.w.encode(): float(r.odds) for r in rows}
+
+
+def _line_rows(sampled: DataFrame, evidence: dict[bytes, float]) -> list:
+    """``doc_id, quality, hashes, cells, seen`` of each sampled document: figures of its lines, made where the texts are."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            hashes, active, seen = [], [], []
+            for x in batch.column("data"):
+                lines = text_lines(x.as_py())
+                hashes.append([(h := xxh64_intdigest(line, 42)) - ((h >> 63) << 64) for line, _, _ in lines])
+                active.append([c for x in lines for c in cells(*x, evidence)])
+                seen.append([x[2] for x in lines])
+            columns = [pa.array(hashes, pa.list_(pa.int64())), pa.array(active, pa.list_(pa.int32())), pa.array(seen, pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *columns], ["doc_id", "quality", "hashes", "cells", "seen"])
+
+    kind = sampled.schema["doc_id"].dataType.simpleString()
+    rows = sampled.select("doc_id", F.col("quality").cast("int"), F.col("text").cast("binary").alias("data"))
+    made = rows.mapInArrow(run, f"doc_id {kind}, quality int, hashes array<bigint>, cells array<int>, seen array<boolean>")
+    return sorted(made.collect(), key=lambda r: (str(r.doc_id), r.quality))  # figures of at most 2 * sample documents
+
+
+def line_labels(documents: list[tuple[int, list[int], list[list[int]], list[bool]]], shared: set[int]) -> list[list[int]]:
+    """Training labels of the lines of documents (quality, hashes, cells, seen before), by the evidence that the module names."""
+    good = {h for quality, hashes, _, _ in documents if quality for h in hashes}
+    count = [[1.0] * CELLS, [1.0] * CELLS]
+    lines = [1.0, 1.0]
+    for quality, hashes, active, seen in documents:
+        for h, line, again in zip(hashes, active, seen):
+            y = int(quality and h not in shared and not again)
+            lines[y] += 1
+            for c in line:
+                count[y][c] += 1
+    odds = [math.log(count[1][c] / (lines[1] + 1) * (lines[0] + 1) / count[0][c]) for c in range(CELLS)]
+    out = []
+    for quality, hashes, active, seen in documents:
+        looks = [sum(odds[c] for c in line) for line in active]
+        if quality:
+            labels = [int(h not in shared and not again and x > -SURE) for h, again, x in zip(hashes, seen, looks)]
+        else:
+            labels = [int(h not in shared and not again and (h in good or x > SURE)) for h, again, x in zip(hashes, seen, looks)]
+            if all(labels):  # nothing tells why the document is poor
+                labels = [0] * len(labels)
+        out.append(labels)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
+    """A field from ``labels`` (doc_id, quality) of documents; what labels their lines, see above.
+
+    Null texts and null doc_ids take no part. Without labelled documents all lines are content.
+    """
+    sampled = saved(_sampled(docs, labels, sample), "labelled")
+    evidence = _word_evidence(sampled)
+    rows = _line_rows(sampled, evidence)
+    shared = _shared_lines(docs, sampled)
+    discard(sampled)
+    width = len(CUTS)
+    documents = [(r.quality, r.hashes, [r.cells[i : i + width] for i in range(0, len(r.cells), width)], r.seen) for r in rows]
+    made = fit([(d[2], y) for d, y in zip(documents, line_labels(documents, shared))])
+    made.evidence = evidence
+    return made
 
 
 def judged(data: bytes | None, field: Field, min_share: float = MIN_CONTENT_SHARE) -> tuple:
@@ -224,7 +321,7 @@ def judged(data: bytes | None, field: Field, min_share: float = MIN_CONTENT_SHAR
     lines = text_lines(data)
     n, repeated = len(words), repeated_words(words)
     failed = n < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * n
-    labels = field.viterbi([cells(*x) for x in lines])
+    labels = field.label(lines)
     content = sum(len(x[1]) for x, label in zip(lines, labels) if label)
     return (
         n,
@@ -242,7 +339,10 @@ COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def quality(docs: DataFrame, field: Field, min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
-    """``doc_id``, the base figures, ``kept`` and ``content_words`` of each row of ``docs``; null texts have no words."""
+    """``doc_id``, the base figures, ``kept`` and ``content_words`` of each row of ``docs``, repeated rows too.
+
+    Null and empty texts have no words and fail. Texts of any length are read whole. An empty table gives no rows; other columns take no part.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -258,6 +358,27 @@ def quality(docs: DataFrame, field: Field, min_share: float = MIN_CONTENT_SHARE)
     return docs.select("doc_id", F.col("text").cast("binary").alias("data")).mapInArrow(run, f"doc_id {kind}, {COLUMNS}")
 
 
+def labelled_lines(docs: DataFrame, field: Field) -> DataFrame:
+    """``doc_id, line_no, content`` of each line that has a word, ``line_no`` counting all lines of the text from 0."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at, number, content = [], [], []
+            for i, x in enumerate(batch.column("data")):
+                data = x.as_py() or b""
+                numbers = [n for n, line in enumerate(data.split(b"\n")) if line.split()]
+                at += [i] * len(numbers)
+                number += numbers
+                content += map(bool, field.label(text_lines(data)))
+            columns = [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(number, pa.int64()), pa.array(content, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "content"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("binary").alias("data")).mapInArrow(run, f"doc_id {kind}, line_no long, content boolean")
+
+
 def op5_line_labelling(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality(docs, train(docs, table(spark, sf_dir, "labels")))
