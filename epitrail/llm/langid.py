@@ -20,8 +20,6 @@ from epitrail.llm.common import table
 
 #: At most so many labelled documents train and calibrate the model: those with the smallest hashes.
 SAMPLE = 4096
-#: Characters of a sampled text that training reads. Predictions read whole texts.
-SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 16
 DIM = 16
 NGRAMS = (2, 3, 4)
@@ -100,7 +98,11 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 20.0
     """Train on four fifths of the texts, fit temperature and threshold on the rest."""
     import numpy as np
 
-    rows = [(np.unique(subwords(d), return_counts=True), label) for t, label in zip(texts, labels) if (d := cleaned(t))]
+    def figures(data: bytes):
+        ids, counts = np.unique(subwords(data), return_counts=True)
+        return ids.astype(np.uint32), counts.astype(np.float32)
+
+    rows = [(figures(d), label) for t, label in zip(texts, labels) if (d := cleaned(t))]
     langs = sorted({label for _, label in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
@@ -147,16 +149,16 @@ def held_out(doc_id="doc_id"):
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from labelled rows that are not held out: the ``sample`` of them with the smallest hashes of doc_id."""
+    """A model from labelled rows that are not held out: the ``sample`` of them with the smallest hashes of doc_id, whole texts.
+
+    Null texts, languages and doc_ids take no part.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    rank = F.xxhash64(F.col("doc_id"))
-    text = F.substring("text", 1, SAMPLE_CHARS)
-    ids = labelled.select("doc_id", rank.alias("r")).orderBy("r", "doc_id").limit(sample)  # ids alone are sorted
-    last = ids.agg(F.max("r")).first()[0]
-    if last is None:
-        return fit([], [])
-    rows = labelled.where(rank <= last).select(text.alias("text"), "lang", rank.alias("r"), "doc_id").limit(2 * sample).collect()
-    rows.sort(key=lambda x: (x.r, str(x.doc_id), x.text, x.lang))
+    # ids alone are sorted; of rows with one doc_id, that whose text has the smallest hash is taken, so reruns agree
+    ids = labelled.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("first")
+    rows = labelled.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(first).select("doc_id", "first.text", "first.lang").collect()  # at most ``sample``
+    rows.sort(key=lambda x: str(x.doc_id))
     return fit([x.text for x in rows], [x.lang for x in rows])
 
 
@@ -164,7 +166,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected`` of each row of ``docs``.
 
     A null text or one without letters gives ``und``, score 0, rejected. A null doc_id counts as not held out. A
-    table without any labelled row gives ``und`` throughout. Lang, source and doc_id take no part in predictions.
+    table without any labelled row gives ``und`` throughout, an empty one no rows; repeated rows are predicted each. Texts of any
+    length are read whole, block by block. Lang, source and doc_id take no part in predictions.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # BUCKETS x languages numbers
 
