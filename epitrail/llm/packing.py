@@ -31,8 +31,9 @@ def tokenizer_path() -> str:
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, by the byte-level BPE of a tokenizers file.
 
-    A second reader of the same vocabulary merges several times faster and gives the same ids; the tokenizer itself
-    reads texts with strings of special tokens, unless these are ``plain`` text.
+    A second reader of the same vocabulary merges several times faster and gives the same ids. It is used only if the file says that it
+    splits texts in the usual way, normalises nothing and adds nothing; and the tokenizer itself reads texts with strings of special
+    tokens, unless these are ``plain`` text, and texts that the second reader can't, as those with a million blanks in a row.
     """
 
     def __init__(self, path: str, plain: bool = False):
@@ -42,24 +43,34 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        said = json.loads(Path(path).read_text("utf-8"))
+        special = {t["content"] for t in said["added_tokens"]}
+        if plain:  # without them in its list, the tokenizer takes their strings for text
+            said["added_tokens"] = []
+        self.tokenizer = Tokenizer.from_str(json.dumps(said))
         self.special = [] if plain else sorted(special)
+        model, split = said["model"], said["pre_tokenizer"] or {}
+        usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not said["normalizer"] and not said["post_processor"]
+        self.fast = None
+        if not usual or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+            return
         # bytes that can't be printed stand in the vocabulary as the code points from 256 on, in order
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        vocabulary = json.loads(Path(path).read_text("utf-8"))["model"]["vocab"]
-        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in vocabulary.items() if token not in special}
+        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in model["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("byte-level", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special):
-            import numpy as np
-
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return bytes(self.fast.encode_to_tiktoken_buffer(text, set()))
+        if self.fast and not any(s in text for s in self.special):
+            try:
+                return bytes(self.fast.encode_to_tiktoken_buffer(text, set()))
+            except ValueError:  # its pattern ran out of stack; the tokenizer reads the text
+                pass
+        import numpy as np
+
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 class Room:

@@ -92,3 +92,36 @@ def test_unterminated_file(spark, tmp_path):
     for block in (1, 3, 100):
         rows = sorted(tuple(r) for r in tokencount.count_tokens(spark, f"file://{tmp_path}", block=block).collect())
         assert rows == [("a.bin", 0, 2, True), ("a.bin", 1, 0, True), ("a.bin", 2, 3, True), ("a.bin", 3, 2, False), ("c.bin", 0, 50, False)]
+
+
+def test_long_white_space(spark):
+    """A million blanks run the fast reader's pattern out of stack; the tokenizer reads them."""
+    from tokenizers import Tokenizer
+
+    from epitrail.llm import packing, tokencount
+
+    blank = "a" + " " * 1_000_000
+    df = spark.createDataFrame([(1, blank), (2, "<|endoftext|>" + blank)], "doc_id long, text string")
+    own = Tokenizer.from_file(packing.tokenizer_path())
+    n = {1: len(own.encode(blank, add_special_tokens=False).ids) + 1}
+    rows = packing.pack(df).where("doc_id = 1").collect()
+    assert sum(r.length for r in rows) == n[1] == rows[0].doc_tokens
+    encode = packing.Encoder(packing.tokenizer_path(), plain=True)
+    assert 50256 not in np.frombuffer(encode("<|endoftext|>" + blank), dtype="<u4")
+    assert tokencount.dtype_of() == "<u2" and tokencount.dtype_of(end_id=70_000) == "<u4"
+
+
+def test_token_counts_of_odd_tables(spark, tmp_path):
+    from epitrail.llm import packing, tokencount
+    from tests.llm.helpers import awkward, empty
+
+    own = packing.Encoder(packing.tokenizer_path(), plain=True)
+    odd = awkward(spark)
+    odd = odd.unionByName(odd.where("doc_id = 8"))
+    for name, df in (("odd", odd), ("none", empty(spark))):
+        folder = f"{tmp_path}/{name}"
+        manifest = tokencount.write_token_files(df, folder)
+        for block in (1000, 1 << 20):
+            got = tokencount.count_tokens(spark, folder, block=block).join(manifest, ["file", "ordinal"])
+            want = sorted((str(r.doc_id), len(own(r.text)) // 4) for r in df.collect())
+            assert sorted((str(r.doc_id), r.n_tokens) for r in got.collect()) == want
