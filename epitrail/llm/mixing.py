@@ -11,12 +11,12 @@ from epitrail.llm.common import saved, table, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-#: The mix has about this many slots; a slot is a block of equally many words.
-SLOTS = 1 << 18
+#: Words of a slot. The number of slots grows with the corpus.
+SLOT = 64
 #: Fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
-#: Cells of [0, 1) by which slots meet the sources' intervals.
-CELLS = 1024
+#: Cells of [0, 1) by which slots meet the sources' intervals, and slots that are ranked in one piece.
+CELLS, CHUNK = 1024, 1 << 16
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -52,10 +52,10 @@ def targets(measured: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int
 def _stream(measured: DataFrame) -> DataFrame:
     """``doc_id, source, size, start``: where each document starts in its source's shuffled stream of words.
 
-    The order is that of the md5 of doc_id. Each source is summed in 4,096 parts by the first digits of the md5, so a
+    The order is that of the md5 of doc_id and size. Each source is summed in 4,096 parts by the first digits of the md5, so a
     hot source is no single task.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")))
     rows = measured.withColumn("key", key).withColumn("part", F.substring("key", 1, 3))
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("total"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,81 +66,71 @@ def _stream(measured: DataFrame) -> DataFrame:
     return joined.select("doc_id", "source", "size", (F.col("start") + F.col("base")).alias("start"))
 
 
-def schedule(goals: DataFrame, slots: int = SLOTS, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``s, block, width, times``: the blocks of ``width`` words that each source's stream gives, and how often.
+def schedule(goals: DataFrame, slot: int = SLOT) -> DataFrame:
+    """``source, rank, at``: the slots of the mix; slot of rank r takes the words from ``slot * r`` on of its source's stream.
 
-    Slot i stands at the fractional part of (i + 1/2) times the golden ratio and belongs to the source in whose share
-    of [0, 1) that point lies. The slots of a source are ranked; slot of rank r takes block r of the stream,
-    starting again at its end, at most ``epochs`` times. There are at most ``slots`` + 1 slots, whatever the input.
+    Point i is the fractional part of (i + 1/2) times the golden ratio and belongs to the source in whose share of [0, 1) it lies; the
+    points of a source, in order, are its slots, and ``at`` is the place in the mix. Shares are sums of targets; there is a point for each
+    ``slot`` words of the mix. A source gets as many slots as its target needs: where its share has some points more, they are
+    left out, and where it has less, as a small source may have none at all, slots follow at the end.
     """
-    total = F.sum("source_size").over(Window.partitionBy())
-    upto = Window.orderBy(F.col("source").asc_nulls_last())
-    shares = goals.withColumn("total", total).where("total > 0").withColumn("high", F.sum("target").over(upto) / F.col("total"))
+    total = goals.agg(F.sum("target")).first()[0] or 0.0
+    n_points = -(-int(round(total)) // slot)
+    upto = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source, here and in targets
+    shares = goals.where("target > 0").withColumn("high", F.sum("target").over(upto) / F.lit(total or 1.0))
     shares = shares.withColumn("low", F.coalesce(F.lag("high").over(upto), F.lit(0.0)))
     shares = shares.withColumn("high", F.when(F.lead("low").over(upto).isNull(), 2.0).otherwise(F.col("high")))
-    width = F.greatest(F.lit(1), F.ceil(F.col("total") / slots)).cast("long")
-    shares = shares.select(
-        F.col("source").alias("s"), "low", "high", "source_size", width.alias("width"), F.ceil(F.col("total") / width).alias("n_slots")
-    )
+    slots = F.expr(f"(cast(round(target) AS BIGINT) + {slot - 1}) div {slot}")
+    shares = shares.select(F.col("source").alias("s"), "low", "high", slots.alias("slots"))
     cells = shares.withColumn(
         "cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1))))
     )
-    ids = goals.sparkSession.range(slots + 1).withColumn("x", (F.col("id") + 0.5) * GOLDEN)
+    ids = goals.sparkSession.range(n_points).withColumn("x", (F.col("id") + 0.5) * GOLDEN)
     points = ids.select("id", (F.col("x") - F.floor("x")).alias("x")).withColumn("cell", F.floor(F.col("x") * CELLS))
-    met = points.join(cells, "cell").where("id < n_slots AND x >= low AND x < high")
-    rank = F.row_number().over(Window.partitionBy("s").orderBy("id")) - 1
-    blocks = F.ceil(F.col("source_size") / F.col("width"))
-    ranked = met.withColumn("rank", rank).withColumn("blocks", blocks).where(F.col("rank") < F.col("blocks") * epochs)
-    return ranked.groupBy("s", F.expr("rank % blocks").alias("block"), "width").agg(F.count("*").alias("times"))
-
-
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> DataFrame:
+    met = points.join(cells, "cell").where("x >= low AND x < high").select("s", "id", "slots", F.expr(f"id div {CHUNK}").alias("chunk"))
+    # ranks chunk by chunk, so that a source's points are no single task
+    counts = met.groupBy("s", "chunk").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col("s").alias("bs"), F.col("chunk").alias("bc"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    nth = F.row_number().over(Window.partitionBy("s", "chunk").orderBy("id")) - 1
+    ranked = met.withColumn("nth", nth).join(bases, F.col("s").eqNullSafe(F.col("bs")) & (F.col("chunk") == F.col("bc")))
+    ranked = ranked.select(F.col("s").alias("source"), (F.col("base") + F.col("nth")).alias("rank"), F.col("id").alias("at"), "slots").where("rank < slots").drop("slots")
+    have = counts.groupBy("s").agg(F.sum("n").alias("n")).withColumnRenamed("s", "hs")
+    lacking = shares.join(have, F.col("s").eqNullSafe(F.col("hs")), "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < slots")
+    more = lacking.select(F.col("s").alias("source"), F.explode(F.sequence(F.col("n"), F.col("slots") - 1)).alias("rank"))
+    return ranked.unionByName(more.withColumn("at", F.lit(n_points).cast("long")))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_EPOCHS, slot: int = SLOT) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` of each row of ``docs``.
 
-    ``taken``: words of the row that the mix takes, repeats counted; at most ``epochs`` times its size. Rows without
-    words take none. Repeated rows are separate rows. An empty table gives no rows. The result depends on the rows
-    alone, not on their order or partitions.
+    ``taken``: words of the row that the mix takes, repeats counted; at most ``epochs`` times its size. A source's slots take its stream of
+    shuffled documents block by block, again from the start when it ends, until the target is reached, so that the taken words of a
+    source are its target to the word, however small it is. Rows without words take none. Repeated rows are separate rows. An empty
+    table gives no rows. The result depends on the rows alone, not on their order or partitions. Other columns take no part.
     """
     measured = saved(sizes(docs), "sizes")
-    goals = saved(targets(measured, weights, epochs).coalesce(1), "targets")
+    goals = saved(targets(measured, weights, epochs), "targets")
     goal = goals.withColumnRenamed("source", "g")
-    plan = schedule(goals, slots, epochs)
-    width = plan.groupBy("width").count().select("width")
-    stream = _stream(measured.where("size > 0")).crossJoin(width)  # one row
-    first, last = F.expr("start div width"), F.expr("(start + size - 1) div width")
-    pieces = stream.withColumn("b", F.explode(F.sequence(first, last))).withColumn(
-        "length", F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * F.col("width")) - F.greatest(F.col("start"), F.col("b") * F.col("width"))
-    )
-    met = pieces.drop("width").join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("block")), "left")
-    taken = met.groupBy("doc_id", "source", "size", "start").agg(F.sum(F.coalesce(F.col("length") * F.col("times"), F.lit(0))).alias("taken"))
-    rows = taken.drop("start").unionByName(measured.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return rows.join(goal, F.col("source").eqNullSafe(F.col("g"))).drop("g")
-
-
-def exact_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> DataFrame:
-    """As :func:`mix`, but however large the corpus, each source's words come to its target.
-
-    Where a slot is one word, the slots say how many words a source gives. Wider slots leave a residue, which is all
-    that a source has if it is small beside the rest; so there each source gives its target, to the word. Words come
-    in the stream's order, starting again at its end, as they do for slots.
-    """
-    measured = saved(sizes(docs), "sizes")
-    goals = saved(targets(measured, weights, epochs).coalesce(1), "targets")
-    slotted = schedule(goals, slots, epochs).groupBy("s", "width").agg(F.sum("times").alias("n"))
-    wide = F.sum("source_size").over(Window.partitionBy()) > slots  # one row a source
-    goal = goals.withColumn("wide", wide).join(slotted, F.col("source").eqNullSafe(F.col("s")), "left")
-    words = F.when(F.col("wide"), F.round("target").cast("long")).otherwise(F.coalesce("n", F.lit(0)))
-    goal = goal.select(F.col("source").alias("g"), "source_size", "target", words.alias("words"))
-    stream = _stream(measured.where("size > 0")).join(goal, F.col("source").eqNullSafe(F.col("g")))
-    rest = F.least(F.greatest(F.expr("words % source_size") - F.col("start"), F.lit(0)), F.col("size"))
-    taken = stream.withColumn("taken", F.expr("words div source_size") * F.col("size") + rest)
-    none = measured.where("size = 0").join(goal, F.col("source").eqNullSafe(F.col("g"))).withColumn("taken", F.lit(0).cast("long"))
-    names = ("doc_id", "source", "size", "source_size", "target", "taken")
-    return taken.select(*names).unionByName(none.select(*names))
-
-
-def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> DataFrame:
-    """The documents of the mix (:func:`exact_mix`): each once for every whole time that it is taken.
+    plan = schedule(goals, slot).select(F.col("source").alias("s"), "rank")
+    stream = _stream(measured.where("size > 0")).join(goal, F.col("source").eqNullSafe(F.col("g"))).withColumn("words", F.round("target").cast("long"))
+    # where the document lies in the stream, once an epoch, cut at the target; and the blocks there
+    passes = stream.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    begin = F.col("start") + F.col("epoch") * F.col("source_size")
+    passes = passes.withColumn("begin", begin).where("begin < words").withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("words")))
+    pieces = passes.withColumn("b", F.explode(F.sequence(F.expr(f"begin div {slot}"), F.expr(f"(end - 1) div {slot}"))))
+    length = F.least(F.col("end"), (F.col("b") + 1) * slot) - F.greatest(F.col("begin"), F.col("b") * slot)
+    met = pieces.select("doc_id", "source", "size", "start", "b", length.alias("length")).join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("rank")))
+    taken = met.groupBy("doc_id", "source", "size", "start").agg(F.sum("length").alias("taken"))
+    given = taken.select(*(F.col(c).alias(f"t_{c}") for c in ("source", "start", "taken")))
+    rows = stream.join(given, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("start") == F.col("t_start")), "left")
+    names = ("doc_id", "source", "size", "source_size", "target")
+    none = measured.where("size = 0").join(goal, F.col("source").eqNullSafe(F.col("g"))).select(*names, F.lit(0).cast("long").alias("taken"))
+    return rows.select(*names, F.coalesce("t_taken", F.lit(0)).cast("long").alias("taken")).unionByName(none)
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_EPOCHS, slot: int = SLOT) -> DataFrame:
+    """The documents of the mix (:func:`mix`): each once for every whole time that it is taken.
 
     Of what is left, a last row has the first words, with single spaces; at most one document of each source is cut.
     """
@@ -151,7 +141,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs:
         nth = F.row_number().over(Window.partitionBy(*keys, "_size").orderBy(order))
         return df.withColumns(keys).withColumn("_nth", nth)
 
-    taken = numbered(exact_mix(docs, weights, epochs, slots).withColumnRenamed("size", "_size"), F.desc("taken")).where("taken > 0")
+    taken = numbered(mix(docs, weights, epochs, slot).withColumnRenamed("size", "_size"), F.desc("taken")).where("taken > 0")
     taken = taken.select(*keys, "_size", "_nth", F.col("taken").alias("_taken"))
     both = numbered(docs.withColumn("_size", word_count("text")), "text").join(taken, [*keys, "_size", "_nth"])
     whole, rest = F.expr("cast(_taken div _size as int)"), F.col("_taken") % F.col("_size")

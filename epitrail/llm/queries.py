@@ -22,22 +22,12 @@ r AS (SELECT *, (source_size * 3)::DOUBLE AS most, (source_size * 3)::DOUBLE / w
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(most) OVER (ORDER BY r, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(weight) OVER (ORDER BY r, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 t AS (SELECT source, source_size, CASE WHEN r <= level THEN most ELSE weight * max(CASE WHEN r > level THEN level END) OVER () END AS target FROM l),
-h AS (SELECT *, sum(source_size) OVER () AS total FROM t),
-k AS (SELECT *, sum(target) OVER (ORDER BY source ASC NULLS LAST) / total::DOUBLE AS high, greatest(1, ceil(total::DOUBLE / 262144))::BIGINT AS width FROM h WHERE total > 0),
-s AS (SELECT source, source_size, width, coalesce(lag(high) OVER (ORDER BY source ASC NULLS LAST), 0.0) AS low,
-    CASE WHEN lead(high) OVER (ORDER BY source ASC NULLS LAST) IS NULL THEN 2.0 ELSE high END AS high, ceil(total::DOUBLE / width)::BIGINT AS n_slots FROM k),
-p AS (SELECT id, (id + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((id + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) AS x FROM range(262145) q(id)),
-j AS (SELECT s.source, id, width, ceil(source_size::DOUBLE / width)::BIGINT AS blocks FROM p JOIN s ON x >= low AND x < high AND id < n_slots),
-z AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS rank FROM j),
-b AS (SELECT source, rank % blocks AS block, width, count(*) AS times FROM z WHERE rank < 3 * blocks GROUP BY ALL),
-d AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, row_number() OVER () AS rid FROM m),
-o AS (SELECT d.rid, unnest(range(d.start // c.width, (d.start + d.size - 1) // c.width + 1)) AS block, d.source, d.start, d.size, c.width
-    FROM d, (SELECT any_value(width) AS width FROM k) c WHERE d.size > 0),
-a AS (SELECT rid, sum((least(start + size, (o.block + 1) * o.width) - greatest(start, o.block * o.width)) * times)::BIGINT AS taken
-    FROM o JOIN b ON o.block = b.block AND o.source IS NOT DISTINCT FROM b.source GROUP BY rid)
-SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(a.taken, 0) AS taken
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN a ON a.rid = d.rid
+q AS (SELECT *, round(target)::BIGINT AS words FROM t),
+d AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM m)
+SELECT d.doc_id, d.size, q.source_size, q.target,
+    CASE WHEN d.size = 0 THEN 0 ELSE (q.words // q.source_size) * d.size + least(greatest(q.words % q.source_size - d.start, 0), d.size) END AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 """
 
 OP2_SQL = """

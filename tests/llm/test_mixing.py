@@ -38,11 +38,11 @@ def test_targets_and_takes(spark):
     want = plain_targets(sizes)
     for s in sizes:
         assert abs(target[s] - want[s]) < 1e-6
-        assert abs(taken[s] - target[s]) <= max(8, 0.01 * target[s])
+        assert taken[s] == round(target[s])
     again = mixing.mix(df.repartition(5)).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
-    coarse = mixing.mix(df, slots=64).collect()
-    assert all(0 <= r.taken <= 3 * r.size for r in coarse)
+    coarse = mixing.mix(df, slot=1000).collect()  # how wide slots are is no matter for what is taken
+    assert sorted(map(str, out)) == sorted(map(str, coarse))
 
 
 def test_small_sources_beside_a_large_one(spark):
@@ -52,13 +52,13 @@ def test_small_sources_beside_a_large_one(spark):
         rows += [(len(rows) + i, " ".join(["w"] * k), None, s, 2 * k) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     taken, target = defaultdict(int), {}
-    for r in mixing.exact_mix(df, slots=64).collect():
+    for r in mixing.mix(df, slot=700).collect():
         taken[r.source] += r.taken
         target[r.source] = r.target
         assert 0 <= r.taken <= 3 * r.size
     assert dict(taken) == {s: round(t) for s, t in target.items()} and taken["tiny"] == 63
     words = defaultdict(int)
-    for r in mixing.mixed_documents(df, slots=64).collect():
+    for r in mixing.mixed_documents(df, slot=700).collect():
         words[r.source] += len(r.text.split())
     assert dict(words) == {s: n for s, n in taken.items() if n}
 
@@ -84,3 +84,28 @@ def test_awkward_and_empty(spark):
     assert out.columns == df.columns
     assert sum(len(r.text.split()) for r in out.collect()) == sum(r.taken for r in rows)
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
+
+
+def test_many_small_sources(spark):
+    """Each of 60 sources comes to its target, though most are smaller than a slot."""
+    rows = [(i, " ".join(["w"] * (1 + i % 4)), f"s{i % 60:02d}" if i % 3 else "large") for i in range(240)] + [(1000 + i, " ".join(["w"] * 500), "large") for i in range(40)]
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(target) > 40 and dict(taken) == {s: round(t) for s, t in target.items()}
+
+
+def test_schedule_is_even(spark, monkeypatch):
+    """Every stretch of the mix has about its share of slots of each source; ranks have no gaps; chunks don't matter."""
+    goals = spark.createDataFrame([("a", 10_000, 5_000.0), ("b", 10_000, 3_000.0), (None, 10_000, 2_000.0), ("tiny", 1, 3.0)], "source string, source_size long, target double")
+    out = [(r.source, r["rank"], r["at"]) for r in mixing.schedule(goals, slot=10).collect()]
+    share = {"a": 0.5, "b": 0.3, None: 0.2}
+    for s, n in (("a", 500), ("b", 300), (None, 200), ("tiny", 1)):
+        own = sorted((k, at) for x, k, at in out if x == s)
+        assert [k for k, _ in own] == list(range(n)) and [at for _, at in own] == sorted(at for _, at in own)
+    for start in range(0, 900, 50):
+        for s, p in share.items():
+            assert abs(sum(start <= at < start + 100 for x, _, at in out if x == s) - 100 * p) <= 4
+    monkeypatch.setattr(mixing, "CHUNK", 37)
+    assert sorted(map(str, out)) == sorted(str((r.source, r["rank"], r["at"])) for r in mixing.schedule(goals, slot=10).collect())

@@ -94,6 +94,42 @@ def test_line_labelling(spark):
     assert sum(r.kept == bool(truth[r.doc_id]) for r in fresh) >= 0.97 * len(fresh)
 
 
+def test_lines_of_both_kinds_in_one_document(spark):
+    """Content with boilerplate between, in good and poor documents; held-out documents' lines are labelled right."""
+    rng = random.Random(12)
+    menu = [f"home | {a} | {b} | log in" for a in ("news", "sport", "culture") for b in ("about us", "contact", "help")]
+    rows, labels, truth = [], [], {}
+    for i in range(400):
+        good = i % 3 != 0
+        lines, kinds = [], []
+        while len(lines) < 8:
+            if rng.random() < (0.25 if good else 0.7):  # runs of boilerplate
+                for _ in range(rng.randint(1, 3)):
+                    lines.append(rng.choice(menu))
+                    kinds.append(False)
+            else:
+                lines.append(prose(rng, rng.randint(8, 20)).capitalize() + ".")
+                kinds.append(True)
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, int(good)))
+        truth |= {(i, n): k for n, k in enumerate(kinds)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    field = quality.train(df.where("doc_id < 250"), spark.createDataFrame(labels, "doc_id long, quality int").where("doc_id < 250"))
+    out = [r for r in quality.labelled_lines(df, field).collect() if r.doc_id >= 250]
+    assert len(out) == sum(d >= 250 for d, _ in truth)
+    assert sum(r.content == truth[r.doc_id, r.line_no] for r in out) >= 0.97 * len(out)
+    # labels that change within a document were there to learn from
+    assert field.step[0][1] + field.step[1][0] > -4 and field.evidence
+
+
+def test_line_labels_by_evidence():
+    shared = {7}
+    line = lambda cell: [cell]
+    documents = [(1, [1, 7, 2, 2], [line(0)] * 4, [False, False, False, True])] * 30 + [(0, [3, 1, 4], [line(5), line(0), line(5)], [False] * 3)] * 30 + [(0, [1], [line(0)], [False])]
+    found = quality.line_labels(documents, shared)
+    assert found[0] == [1, 0, 1, 0] and found[30] == [0, 1, 0] and found[-1] == [0]
+
+
 def test_line_labelling_awkward(spark):
     df, labels = pages(spark, 40)
     field = quality.train(df, labels)
