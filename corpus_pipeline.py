@@ -9,32 +9,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from epitrail.llm import langid, linededup, mixing, packing, simhash
-from epitrail.llm.common import DOC_COLUMNS, saved, table
+from epitrail.llm.common import DOC_COLUMNS, discard, saved, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the model rejects go: those without letters, or in no language that it knows."""
+    """Documents that the model rejects go: null and empty texts, those without letters, and those in no language that it knows.
+
+    Without labelled documents nothing is known, and all go. Repeated rows are judged alike; an empty table stays empty; texts of any
+    length are read whole. Here and in the other stages, columns other than those of ``documents`` are dropped first.
+    """
     docs = docs.select(*DOC_COLUMNS)
     return langid.accepted(docs, langid.train(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that resemble each other the first stays."""
+    """Of lines that resemble each other the first stays, by doc_id (null last) and line; blank lines stay.
+
+    A document may become empty; a null text stays null; repeated rows keep and lose the same lines; an empty table stays empty.
+    """
     return linededup.deduplicated(docs.select(*DOC_COLUMNS))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, by five-word shingles with a Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
+    """Of near copies, by five-word shingles with a Jaccard similarity of 0.8 or more, the one with the smallest id stays.
+
+    Null ids come last. Null texts and texts without words are copies of each other; of repeated rows one stays; an empty table stays empty.
+    """
     return simhash.without_near_copies(docs.select(*DOC_COLUMNS))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: whole, or of at most one of each source the first words.
+
+    A null source is one of its own; rows without words are not taken; repeated rows are separate; an empty table stays empty.
+    """
     return mixing.mixed_documents(docs.select(*DOC_COLUMNS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences. A null or empty text is the end id alone; an empty table has no pieces."""
     return packing.pack(docs.select(*DOC_COLUMNS))
 
 
@@ -51,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
+        if written is not None:
+            discard(written)  # the stage after it is written
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
