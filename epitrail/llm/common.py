@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, as in tests, a local session gets its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="epitrail-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="epitrail-"))
     return context.getCheckpointDir()
 
 
@@ -98,30 +101,49 @@ def word_count(text: Column | str) -> Column:
 SKETCH = 32
 
 
-def sketched(grams: DataFrame) -> DataFrame:
-    """``nid, n, s0, s1, ...`` of the sets that ``nid, h`` lists, an element a row, none twice.
+def places(sorted_with_points: str, points: list[int]) -> Column:
+    """Where each of some ascending points falls in a sorted array of longs, given the two sorted together."""
+    return F.array(*(F.array_position(sorted_with_points, p).cast("int") - 1 - j for j, p in enumerate(points)))
 
-    ``n`` is the size; each element flips one bit of the sketch. Common elements flip the same bits, so two sketches differ in at most as
-    many bits as the sets in elements.
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """``nid, n, s`` of the sets ``nid, h``, ``h`` being an array of hashes.
+
+    ``n`` is the size; each element flips one bit of the sketch ``s``, an array of longs. Common elements flip the same bits, so two sketches differ in at most as
+    many bits as the sets in elements. Elements of one long of the sketch stand together in order.
     """
-    bit = F.expr(f"shiftleft(1L, cast(shiftright(h, {SKETCH.bit_length() - 1}) & 63 AS INT))")
-    word = F.expr(f"cast(h & {SKETCH - 1} AS INT)").alias("w")
-    words = grams.groupBy("nid", word).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
-    bits = (F.coalesce(F.bit_xor(F.when(F.col("w") == i, F.col("bits"))), F.lit(0).cast("long")).alias(f"s{i}") for i in range(SKETCH))
-    return words.groupBy("nid").agg(F.sum("n").alias("n"), *bits)
+    long = lambda x: F.lit(x).cast("long")
+    zeros = lambda n: F.array_repeat(long(0), n)
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).alias("w"), long(0).alias("bits"))
+
+    def step(acc: Column, x: Column) -> Column:
+        w = (F.shiftright(x, 65 - SKETCH.bit_length()) + SKETCH // 2).cast("int")
+        bit = F.call_function("shiftleft", long(1), x.bitwiseAND(long(63)).cast("int"))
+        same = F.struct(acc["out"].alias("out"), acc["w"].alias("w"), acc["bits"].bitwiseXOR(bit).alias("bits"))
+        full = F.concat(acc["out"], F.array(acc["bits"]), zeros(w - acc["w"] - 1))
+        return F.when(w == acc["w"], same).otherwise(F.struct(full.alias("out"), w.alias("w"), bit.alias("bits")))
+
+    words = F.aggregate("h", start, step, lambda acc: F.concat(acc["out"], F.array(acc["bits"]), zeros(SKETCH - 1 - acc["w"])))
+    ordered = sets.select("nid", F.sort_array(F.array_distinct("h")).alias("h"))
+    return ordered.select("nid", F.size("h").alias("n"), words.alias("s"))
 
 
 def may_resemble(a: str, b: str, similarity: float) -> Column:
     """Whether two sketched sets can have this Jaccard similarity: an exact bound, which leaves out no pair that has it."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    bits = [F.bit_count(F.get(f"{a}.s", F.lit(i)).bitwiseXOR(F.get(f"{b}.s", F.lit(i)))) for i in range(SKETCH)]
+    differ = sum(bits[1:], bits[0])
     return (F.least(n, m) >= F.greatest(n, m) * similarity) & (differ <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
 def with_hubs(keyed: DataFrame) -> DataFrame:
-    """``key, nid, hub`` of the keys that several have: ``hub`` is the smallest nid of the key."""
-    groups = keyed.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("last")).where("hub != last").drop("last")
-    return keyed.join(groups, "key").select("key", "nid", "hub")
+    """``key, nid, hub`` of the keys that several have: ``hub`` is the smallest nid of the key.
+
+    One shuffle; most keys are nobody else's. The rows of a large key pass through one task in order, and spill there.
+    """
+    span = Window.partitionBy("key")
+    hub = keyed.withColumns({"hub": F.min("nid").over(span), "last": F.max("nid").over(span)})
+    return hub.where("hub != last").select("key", "nid", "hub")
 
 
 def similar_components(shared: DataFrame, sketches: DataFrame, similar, similarity: float) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epitrail.llm.common import discard, saved, similar_components, sketched, table, with_hubs
+from epitrail.llm.common import discard, places, saved, similar_components, sketched, table, with_hubs
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -55,8 +55,7 @@ def with_keys(found: DataFrame, bands: int, rows: int) -> DataFrame:
     points = [(2 * j + 1 - bands) * ((1 << 63) // bands) for j in range(bands)]
     hashed = found.withColumn("h", shingle_hashes(F.col("text")))
     both = hashed.withColumn("both", F.sort_array(F.concat("h", F.array(*map(F.lit, points)))))
-    # a point's place among the hashes: its place in both together, less the points before it
-    placed = both.withColumn("at", F.array(*(F.array_position("both", p).cast("int") - 1 - j for j, p in enumerate(points))))
+    placed = both.withColumn("at", places("both", points))
     key = lambda p, j: F.xxhash64(F.lit(0), j, *(F.get("h", (p + r) % F.size("h")) for r in range(rows)))
     return placed.select(*found.columns, F.transform("at", key).alias("keys"))
 
@@ -108,7 +107,7 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     distinct = saved(distinct_lines(all_lines.where("text != ''"), bands, rows).withColumn("nid", F.monotonically_increasing_id()), "lines")
     shared = saved(with_hubs(distinct.select(F.explode("keys").alias("key"), "nid")), "keys")
     texts = saved(_texts(docs, distinct.join(shared.select("nid").distinct(), "nid", "left_semi")), "texts")
-    sketches = saved(sketched(texts.select("nid", F.explode(shingle_hashes(F.col("text"))).alias("h"))), "sketches")
+    sketches = saved(sketched(texts.select("nid", shingle_hashes(F.col("text")).alias("h"))), "sketches")
     final = similar_components(shared, sketches, lambda pairs: _similar(pairs, texts, similarity), similarity)
 
     labels = distinct.select("digest", "id", "nid").join(final, "nid", "left")

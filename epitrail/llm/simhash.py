@@ -225,7 +225,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     found = docs.withColumns(keys).join(wanted, list(keys)).select("nid", F.col("text").cast("binary").alias("data"))
     sets = saved(_shingle_sets(found, shingle).groupBy("nid").agg(F.first("grams").alias("grams")), "sets")  # rows may repeat
 
-    sketches = saved(sketched(sets.select("nid", F.explode("grams").alias("h"))), "sketches")
+    sketches = saved(sketched(sets.select("nid", F.col("grams").alias("h"))), "sketches")
 
     def similar(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("nid").alias(k), F.col("grams").alias(g)) for k, g in (("src", "ga"), ("dst", "gb")))

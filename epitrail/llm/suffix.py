@@ -212,10 +212,11 @@ def long_previous_factors(contexts: list[bytes], docs, length: int):
 
 def _send(docs: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
     def run(key, rows):
+        import numpy as np
         import pyarrow as pa
 
         pick, bounds = Chunk(rows, length, gram).picks(buckets)
-        own = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
+        own = np.flatnonzero(np.diff(bounds)).tolist()
         short = [pick[bounds[b] : bounds[b + 1]].astype("<u4").tobytes() for b in own]
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(own), pa.int64()), "bucket": pa.array(own, pa.int64()), "picks": pa.array(short, pa.binary())})
 
@@ -264,14 +265,12 @@ def _describe(docs: DataFrame, replies: DataFrame, length: int, gram: int, bucke
             texts, bucket, short, least, *_ = Chunk(rows, length, gram).contexts(_replies(replies), buckets)
             press = zstandard.ZstdCompressor(level=1).compress
             order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                own = order[bounds[b] : bounds[b + 1]]
-                if len(own):
-                    own_texts = [texts[i] for i in own]
-                    parts = (own.astype("<u4").tobytes(), short[own].tobytes(), press(least[own].astype("<i8").tobytes()), np.array([len(t) for t in own_texts], "<u2").tobytes(), press(b"".join(own_texts)))
-                    for column, x in zip(out, (key[0].as_py(), b, *parts)):
-                        column.append(x)
+            present, starts = np.unique(bucket[order], return_index=True)
+            for b, own in zip(present.tolist(), np.split(order, starts[1:])) if len(order) else ():
+                own_texts = [texts[i] for i in own]
+                parts = (own.astype("<u4").tobytes(), short[own].tobytes(), press(least[own].astype("<i8").tobytes()), np.array([len(t) for t in own_texts], "<u2").tobytes(), press(b"".join(own_texts)))
+                for column, x in zip(out, (key[0].as_py(), b, *parts)):
+                    column.append(x)
         return pa.table({n: pa.array(c, pa.int64() if i < 2 else pa.binary()) for i, (n, c) in enumerate(zip(names, out))})
 
     both = docs.groupBy("chunk").cogroup(replies.groupBy("chunk"))
@@ -384,7 +383,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
         "doc_id",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"),  # by the text too: null and repeated ids may be many
     )
     met = _meet(_send(dealt, length, gram, buckets), hot)
     resolved = _resolve(_describe(dealt, met, length, gram, buckets), length)

@@ -147,7 +147,7 @@ def test_sketches_leave_out_no_similar_pair(spark):
             edits = rng.randint(0, max(1, len(base) // 4))
             sets.append(set(base[edits:]) | {rng.getrandbits(64) - (1 << 63) for _ in range(rng.randint(0, edits))})
     sets = [s for s in sets if s]
-    made = spark.createDataFrame([(i, h) for i, s in enumerate(sets) for h in s], "nid long, h long")
+    made = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "nid long, h array<long>")
     sk = sketched(made).cache()
     assert {r.nid: r.n for r in sk.collect()} == {i: len(s) for i, s in enumerate(sets)}
     pairs = sk.alias("a").join(sk.alias("b"), (F.col("a.nid") < F.col("b.nid")) & may_resemble("a", "b", 0.8)).select("a.nid", "b.nid").collect()
