@@ -146,25 +146,26 @@ def with_hubs(keyed: DataFrame) -> DataFrame:
     return hub.where("hub != last").select("key", "nid", "hub")
 
 
-def similar_components(shared: DataFrame, sketches: DataFrame, similar, similarity: float) -> DataFrame:
-    """``nid, component`` of all sketched sets: the smallest nid that a chain of similar pairs reaches, among the pairs that share a key.
-
-    ``shared``: ``key, nid, hub`` (see :func:`with_hubs`); ``sketches``: see :func:`sketched`, for each nid of ``shared``; ``similar``: keeps those
-    pairs ``src, dst`` that are. Within a key, all meet the hub. Those that still are in different components then meet each other, but
-    only pairs whose sketches allow the similarity become rows, are brought together and compared. So no pair that matters is left out;
-    a large group of copies costs one comparison each, and one of variants that resemble each other less than is asked for costs the
-    comparison of two sketches a pair.
+def similar_components(shared: DataFrame, sizes: DataFrame, sketch, similar, similarity: float) -> DataFrame:
+    """``nid, component`` of all sets: the smallest nid that a chain of similar pairs reaches, among the pairs that share a key.
+
+    ``shared``: ``key, nid, hub`` (see :func:`with_hubs`); ``sizes``: ``nid, n`` of each set there; ``sketch``: gives the sketches of the
+    sets whose ``nid`` a table lists; ``similar``: keeps those pairs ``src, dst`` that are. Within a key, all meet the hub. Those of keys with three or
+    more that still are in different components then meet each other, but only pairs whose sketches allow the similarity become rows,
+    are brought together and compared. So no pair that matters is left out; a large group of copies costs one comparison each, and
+    one of variants that resemble each other less than is asked for costs the comparison of two sketches a pair.
     """
-    stars = shared.where("nid != hub").select("hub", "nid").distinct()
-    near = stars.join(sketches.alias("a"), F.col("hub") == F.col("a.nid")).join(sketches.alias("b"), stars["nid"] == F.col("b.nid"))
-    near = near.where(may_resemble("a", "b", similarity)).select(F.col("a.nid").alias("src"), F.col("b.nid").alias("dst"))
-    near = saved(similar(near), "near")
+    size = lambda side: sizes.select(F.col("nid").alias(side), F.col("n").alias(f"n_{side}"))
+    stars = shared.where("nid != hub").select(F.col("hub").alias("src"), F.col("nid").alias("dst")).distinct().join(size("src"), "src").join(size("dst"), "dst")
+    near = saved(similar(stars.where(F.least("n_src", "n_dst") >= F.greatest("n_src", "n_dst") * similarity).select("src", "dst")), "near")
     first = saved(connected_components(near), "components").withColumnsRenamed({"node": "nid", "component": "part"})
 
     labelled = shared.select("key", "nid").join(first, "nid", "left").withColumn("part", F.coalesce("part", "nid"))
     parts = labelled.groupBy("key", "part").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    split = saved(labelled.join(largest.drop("parts"), "key").join(sketches, "nid"), "split")
+    largest = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("members"))
+    apart = saved(labelled.join(largest.where("parts > 1 AND members > 2").select("key", "largest"), "key"), "apart")
+    sketches = saved(sketch(apart.select("nid").distinct()), "sketches")
+    split = apart.join(sketches, "nid")
     a, b = split.where("part != largest").alias("a"), split.alias("b")
     once = (F.col("b.part") == F.col("b.largest")) | (F.col("a.nid") < F.col("b.nid"))
     rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & once & may_resemble("a", "b", similarity))
@@ -175,9 +176,9 @@ def similar_components(shared: DataFrame, sketches: DataFrame, similar, similari
     part = lambda side: first.select(F.col("nid").alias(side), F.col("part").alias(f"{side}_part"))
     joined = more.join(part("src"), "src", "left").join(part("dst"), "dst", "left")
     second = connected_components(joined.select(F.coalesce("src_part", "src").alias("src"), F.coalesce("dst_part", "dst").alias("dst")))
-    named = sketches.select("nid").join(first, "nid", "left").withColumn("part", F.coalesce("part", "nid"))
+    named = sizes.select("nid").join(first, "nid", "left").withColumn("part", F.coalesce("part", "nid"))
     named = named.join(second, named["part"] == second["node"], "left").select("nid", F.coalesce("component", "part").alias("component"))
     final = saved(named, "final")
-    for used in (near, first, split, more):
+    for used in (near, first, apart, sketches, more):
         discard(used)
     return final

@@ -48,7 +48,7 @@ def _let(value: Column, f) -> Column:
 
 
 def with_keys(found: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``found`` and ``keys``, the band keys of its ``text``.
+    """``found``, ``n``, the number of shingles of its ``text``, and ``keys``, its band keys.
 
     Columns of their own keep the sorted hashes, and the places of the points in them, from being worked out more than once.
     """
@@ -57,7 +57,7 @@ def with_keys(found: DataFrame, bands: int, rows: int) -> DataFrame:
     both = hashed.withColumn("both", F.sort_array(F.concat("h", F.array(*map(F.lit, points)))))
     placed = both.withColumn("at", places("both", points))
     key = lambda p, j: F.xxhash64(F.lit(0), j, *(F.get("h", (p + r) % F.size("h")) for r in range(rows)))
-    return placed.select(*found.columns, F.transform("at", key).alias("keys"))
+    return placed.select(*found.columns, F.size("h").alias("n"), F.transform("at", key).alias("keys"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -71,21 +71,21 @@ def _digest(text: Column) -> Column:
 
 
 def distinct_lines(found: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``digest, id, keys`` of each distinct line; ``id`` is its first place: doc_id (null last) and line_no."""
+    """``digest, id, n, keys`` of each distinct line; ``id`` is its first place: doc_id (null last) and line_no."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no").alias("id")
     df = with_keys(found.select(_digest(F.col("text")).alias("digest"), place, "text"), bands, rows)
-    return df.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    return df.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``nid, text`` of the ``wanted`` distinct lines, cut again from the documents of their first places."""
-    places = wanted.select("nid", F.col("id.none").alias("none"), F.coalesce("id.doc_id", F.lit(0)).alias("doc"), F.col("id.line_no").alias("line_no"), "digest")
-    by_doc = places.groupBy("none", "doc").agg(F.collect_list(F.struct("nid", "line_no", "digest")).alias("own"))
+    """``nid, n, text`` of the ``wanted`` distinct lines, cut again from the documents of their first places."""
+    places = wanted.select("nid", F.col("id.none").alias("none"), F.coalesce("id.doc_id", F.lit(0)).alias("doc"), F.col("id.line_no").alias("line_no"), "digest", "n")
+    by_doc = places.groupBy("none", "doc").agg(F.collect_list(F.struct("nid", "line_no", "digest", "n")).alias("own"))
     source = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("text").alias("whole"))
     met = source.join(by_doc, ["none", "doc"]).select(F.split("whole", "\n", -1).alias("ls"), "own")
-    cut = met.select(F.transform("own", lambda x: F.struct(x["nid"].alias("nid"), x["digest"].alias("digest"), F.get("ls", x["line_no"]).alias("raw"))).alias("own"), F.size("ls"))
-    cut = cut.select(F.inline("own")).select("nid", "digest", normal(F.col("raw")).alias("text")).where(_digest(F.col("text")) == F.col("digest"))
-    return cut.groupBy("nid").agg(F.min("text").alias("text"))  # rows may repeat a doc_id
+    cut = met.select(F.transform("own", lambda x: F.struct(x["nid"].alias("nid"), x["n"].alias("n"), x["digest"].alias("digest"), F.get("ls", x["line_no"]).alias("raw"))).alias("own"), F.size("ls"))
+    cut = cut.select(F.inline("own")).select("nid", "n", "digest", normal(F.col("raw")).alias("text")).where(_digest(F.col("text")) == F.col("digest"))
+    return cut.groupBy("nid").agg(F.min("n").alias("n"), F.min("text").alias("text"))  # rows may repeat a doc_id
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -107,14 +107,14 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     distinct = saved(distinct_lines(all_lines.where("text != ''"), bands, rows).withColumn("nid", F.monotonically_increasing_id()), "lines")
     shared = saved(with_hubs(distinct.select(F.explode("keys").alias("key"), "nid")), "keys")
     texts = saved(_texts(docs, distinct.join(shared.select("nid").distinct(), "nid", "left_semi")), "texts")
-    sketches = saved(sketched(texts.select("nid", shingle_hashes(F.col("text")).alias("h"))), "sketches")
-    final = similar_components(shared, sketches, lambda pairs: _similar(pairs, texts, similarity), similarity)
+    sketch = lambda nids: sketched(texts.join(nids, "nid").select("nid", shingle_hashes(F.col("text")).alias("h")))
+    final = similar_components(shared, texts.select("nid", "n"), sketch, lambda pairs: _similar(pairs, texts, similarity), similarity)
 
     labels = distinct.select("digest", "id", "nid").join(final, "nid", "left")
     firsts = labels.where("component IS NOT NULL").groupBy(F.col("component").alias("class")).agg(F.min("id").alias("earliest"))
     labels = labels.withColumn("class", F.coalesce("component", "nid"))  # lines that meet none are their own class, so no key is hot
     named = saved(labels.join(firsts, "class", "left").select("digest", F.coalesce("earliest", "id").alias("first")), "named")
-    for used in (distinct, shared, texts, sketches, final):
+    for used in (distinct, shared, texts, final):
         discard(used)
     # blank lines meet nothing: what stands for their digest is no digest, and differs from row to row
     blank = F.xxhash64("doc_id", "version", "line_no").cast("string").cast("binary")

@@ -225,16 +225,16 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     found = docs.withColumns(keys).join(wanted, list(keys)).select("nid", F.col("text").cast("binary").alias("data"))
     sets = saved(_shingle_sets(found, shingle).groupBy("nid").agg(F.first("grams").alias("grams")), "sets")  # rows may repeat
 
-    sketches = saved(sketched(sets.select("nid", F.col("grams").alias("h"))), "sketches")
+    sketch = lambda nids: sketched(sets.join(nids, "nid").select("nid", F.col("grams").alias("h")))
 
     def similar(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("nid").alias(k), F.col("grams").alias(g)) for k, g in (("src", "ga"), ("dst", "gb")))
         common = pairs.join(one, "src").join(two, "dst").select("src", "dst", F.size("ga").alias("n"), F.size("gb").alias("m"), F.size(F.array_intersect("ga", "gb")).alias("c"))
         return common.where(F.col("c") >= (F.col("n") + F.col("m") - F.col("c")) * similarity).select("src", "dst")
 
-    roots = similar_components(shared, sketches, similar, similarity)
+    roots = similar_components(shared, sets.select("nid", F.size("grams").alias("n")), sketch, similar, similarity)
     named = saved(rows.join(roots, "nid", "left").select("doc_id", "version", F.coalesce("component", "nid").alias("root")), "roots")
-    for used in (rows, shared, sets, sketches, roots):
+    for used in (rows, shared, sets, roots):
         discard(used)
     return named
 
