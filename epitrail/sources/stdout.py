@@ -24,7 +24,16 @@ def guarded(text: Column, program: str) -> Column:
 
 def data_lines(text: Column) -> Column:
     """Trimmed lines after the first line of dashes that start with an integer."""
+    return with_lines(text, lines_of_data)
+
+
+def with_lines(text: Column, f) -> Column:
+    """``f`` of the trimmed lines of a text, which are made once."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " ")))
+    return F.get(F.transform(F.array(lines), f), F.lit(0))
+
+
+def lines_of_data(lines: Column) -> Column:
     after = F.slice(lines, F.array_position(F.transform(lines, lambda x: x.startswith("---")), True).cast("int") + 1, F.size(lines))
     return F.when(F.exists(lines, lambda x: x.startswith("---")), F.filter(after, lambda x: x.rlike(r"^-?[0-9]+(\s|$)"))).otherwise(F.array().cast("array<string>"))
 
@@ -92,9 +101,8 @@ def _layout(df: DataFrame, at: Layout, name: str, version: str, text: str, legac
 
 def header(text: Column) -> Column:
     """Tokens of the line after a line of dashes that names the columns."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " ")))
-    named = F.filter(lines, lambda x, i: (i > 0) & F.get(lines, i - 1).startswith("---") & x.rlike(r"(?i)(^|\s)pos(\s|$)") & x.rlike(r"(?i)(^|\s)(hla|mhc)(\s|$)"))
-    return tokens(F.get(named, F.lit(0)))
+    is_header = lambda lines: lambda x, i: (i > 0) & F.get(lines, i - 1).startswith("---") & x.rlike(r"(?i)(^|\s)pos(\s|$)") & x.rlike(r"(?i)(^|\s)(hla|mhc)(\s|$)")
+    return tokens(with_lines(text, lambda lines: F.get(F.filter(lines, is_header(lines)), F.lit(0))))
 
 
 #: What the columns of NetMHCpan output may be called, by what they hold.
@@ -201,10 +209,11 @@ def parse_netchop(df: DataFrame, text: str = "text") -> DataFrame:
 
     A header without dashes below it, a short line, or a score that is no number is an error.
     """
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " ")))
-    heads = lambda ls: F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.get(ls, i).contains("pos") & F.get(ls, i).contains("AA") & F.get(ls, i).contains("score"))
+    named = lambda x: x.contains("pos") & x.contains("AA") & x.contains("score")
+    heads = lambda ls: F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: named(F.get(ls, i)))
     rest = [c for c in df.columns if c != text]
-    each = df.select(*rest, lines.alias("_ls")).select(*rest, "_ls", heads(F.col("_ls")).alias("_h")).select(*rest, "_ls", F.posexplode("_h").alias("seq_ord", "_i"))
+    both = with_lines(F.col(text), lambda ls: F.struct(ls.alias("ls"), heads(ls).alias("h"))).alias("_b")
+    each = df.select(*rest, both).select(*rest, "_b", F.posexplode("_b.h").alias("seq_ord", "_i")).select(*rest, "seq_ord", "_i", F.col("_b.ls").alias("_ls"))
     dashed = F.when(F.get("_ls", F.col("_i") + 1).contains("----"), F.col("_ls")).otherwise(F.raise_error(F.lit("Expected dashes after the netChop header")).cast("array<string>"))
     body = each.select(*rest, "seq_ord", F.slice(dashed, F.col("_i") + 3, F.size("_ls")).alias("_b"))
     end = F.array_position(F.transform("_b", lambda x: x.contains("-------")), True).cast("int")
