@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from epitrail.llm import langid, linededup, mixing, neighbours, packing, quality, secrets, simhash, suffix, tokencount
+from epitrail.llm import langid, linededup, mixing, neighbours, packing, periodic, quality, secrets, simhash, suffix, tokencount
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_separator_scan": tokencount.op8_separator_scan,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_language_id": langid.op10_language_id,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
 }
 OP6_SQL = r"""
 WITH m AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -45,4 +46,26 @@ SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans,
 FROM n LEFT JOIN c ON c.doc_id = n.doc_id LEFT JOIN t ON t.doc_id = n.doc_id
 """
 
-ORACLE_SQL = {"op2_suffix_array_dedup": OP2_SQL, "op6_mixing_sources": OP6_SQL}
+OP12_SQL = r"""
+WITH h AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda acc, c: xor(acc >> 8,
+        list_reduce([xor(acc, c) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT), 4294967295) AS h FROM documents),
+g AS (SELECT *, len(ws) AS n, h // 10 AS g FROM h),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM g),
+w AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[1 + a + (i - a) % (1 + (n - a) // (3 + g % 8))] END) ELSE ws END AS ws FROM a),
+k AS (SELECT doc_id, n, i, md5(array_to_string(ws[i + 1:i + 16], ' ')) AS k FROM (SELECT *, unnest(range(n - 15)) AS i FROM w WHERE n >= 24)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.k = y.k AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+r AS (SELECT doc_id, q, min(i) AS start, max(i) + 16 + q - min(i) AS length FROM s GROUP BY doc_id, q, island HAVING max(i) + 16 + q - min(i) >= greatest(24, 3 * q)),
+u AS (SELECT * FROM r WHERE NOT EXISTS (FROM r o WHERE o.doc_id = r.doc_id AND o.q < r.q AND r.q % o.q = 0 AND o.start <= r.start AND o.start + o.length >= r.start + r.length)),
+d AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(start + q, start + length)) AS i FROM u) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_runs, arg_max({'s': start, 'n': length, 'q': q}, (length::DECIMAL(38,0) * 1000000000000 // q, -start, -q)) AS best,
+    string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM u GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s AS start, best.n AS length, best.q AS period, 1000 * best.n // best.q AS exponent_milli,
+    sha256(coalesce(lines, '')) AS runs_sha256, n AS n_words,
+    sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(range(n), lambda i: NOT list_contains(gone, i)), lambda i: ws[i + 1]) END, ' '), '')) AS collapsed_sha256
+FROM w LEFT JOIN t ON t.doc_id = w.doc_id LEFT JOIN d ON d.doc_id = w.doc_id
+"""
+
+ORACLE_SQL = {"op12_periodic_runs": OP12_SQL, "op2_suffix_array_dedup": OP2_SQL, "op6_mixing_sources": OP6_SQL}
