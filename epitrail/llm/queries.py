@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from epitrail.llm import langid, linededup, mixing, neighbours, packing, periodic, quality, secrets, simhash, suffix, tokencount
+from epitrail.llm import langid, linededup, mixing, neighbours, packing, periodic, quality, secrets, simhash, suffix, tokencount, warc
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_language_id": langid.op10_language_id,
     "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_warc_bundles": warc.op13_warc_bundles,
 }
 OP6_SQL = r"""
 WITH m AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -68,4 +69,14 @@ SELECT w.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s AS start, best.n
 FROM w LEFT JOIN t ON t.doc_id = w.doc_id LEFT JOIN d ON d.doc_id = w.doc_id
 """
 
-ORACLE_SQL = {"op12_periodic_runs": OP12_SQL, "op2_suffix_array_dedup": OP2_SQL, "op6_mixing_sources": OP6_SQL}
+OP13_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT html, max(page_id) AS first, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> s) & 31)::INT, 1), '' ORDER BY i, s DESC) AS digest
+    FROM (SELECT html, page_id, i, ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT AS v, unnest([15, 10, 5, 0]) AS s FROM (SELECT *, unnest(range(8)) AS i FROM p)) GROUP BY html, page_id),
+b AS (SELECT html, max(first) AS first, any_value(digest) AS digest FROM g GROUP BY html)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN b USING (html)
+"""
+
+ORACLE_SQL = {"op13_warc_bundles": OP13_SQL, "op12_periodic_runs": OP12_SQL, "op2_suffix_array_dedup": OP2_SQL, "op6_mixing_sources": OP6_SQL}
