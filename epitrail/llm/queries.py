@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from epitrail.llm import langid, linededup, mixing, neighbours, packing, periodic, quality, secrets, simhash, suffix, tokencount, warc
+from epitrail.llm import langid, linededup, mixing, neighbours, packing, periodic, quality, secrets, simhash, suffix, tokencount, trie, warc
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_separator_scan": tokencount.op8_separator_scan,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_language_id": langid.op10_language_id,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_periodic_runs": periodic.op12_periodic_runs,
     "op13_warc_bundles": warc.op13_warc_bundles,
 }
@@ -79,4 +80,23 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM p JOIN b USING (html)
 """
 
-ORACLE_SQL = {"op13_warc_bundles": OP13_SQL, "op12_periodic_runs": OP12_SQL, "op2_suffix_array_dedup": OP2_SQL, "op6_mixing_sources": OP6_SQL}
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS n FROM conversations),
+h AS (SELECT c, xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda acc, x: xor(acc >> 8,
+    list_reduce([xor(acc, x) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295::BIGINT), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+b AS (SELECT c, count(*) AS b FROM t WHERE c % 20 = 0 GROUP BY c),
+r AS (SELECT h.c, t.n + 1 AS depth, role, text FROM h JOIN t ON t.c = h.c - h.c % 20 WHERE t.n < h
+    UNION ALL SELECT t.c, t.n - h + least(h, coalesce(b, 0)) + 1, role, text FROM t JOIN h ON h.c = t.c LEFT JOIN b ON b.c = t.c - t.c % 20 WHERE t.n >= h),
+k AS (SELECT c, depth, len(regexp_extract_all(text, '[^ 	-]+')) AS words,
+    sha256(string_agg(sha256(strlen(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY depth)) AS key FROM r UNION ALL SELECT c, 0, 0, 'root' FROM h),
+p AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY c) AS ends FROM k),
+m AS (SELECT key, depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY key, depth),
+d AS (SELECT parent AS key, count(*) AS n_children FROM m WHERE parent IS NOT NULL GROUP BY parent),
+s AS (SELECT a.key, sum((x.n_convs - 1) * x.words)::BIGINT AS saved_tokens, count(*) FILTER (NOT EXISTS (FROM d WHERE d.key = x.key)) AS n_leaves
+    FROM m x JOIN k a ON a.c = x.conv_id AND a.depth <= x.depth GROUP BY a.key)
+SELECT m.conv_id, m.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN s ON s.key = m.key LEFT JOIN d ON d.key = m.key LEFT JOIN m u ON u.key = m.parent
+"""
+
+ORACLE_SQL = {"op11_prefix_trie": OP11_SQL, "op13_warc_bundles": OP13_SQL, "op12_periodic_runs": OP12_SQL, "op2_suffix_array_dedup": OP2_SQL, "op6_mixing_sources": OP6_SQL}
