@@ -24,8 +24,8 @@ from epitrail.llm.tokencount import opened
 #: Unpacked bytes from which a frame is closed, packed bytes from which a bundle is, and frames that one read task takes.
 FRAME, BUNDLE, READ = 1 << 20, 1 << 30, 16
 LEVEL = 3
-#: Rows of one page that are one row of the writer's input at most.
-COPIES = 4096
+#: Rows of one page that are one row of the writer's input at most, and payloads that several pages have that are broadcast at most.
+COPIES, SMALL = 4096, 20_000
 #: Fixed values of the seekable format: magic numbers of a skippable frame and of the footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Fixed values of WARC 1.1.
@@ -149,36 +149,36 @@ class Bundle:
         self.out.close()
 
 
-def planned(pages: DataFrame, least: int = 0) -> DataFrame:
-    """What is to be written: ``record_id, kind, uri, refers_to, digest, payload_bytes, payload, first, copies`` of each distinct page.
+def planned(pages: DataFrame, least: int = 0) -> tuple[DataFrame, DataFrame]:
+    """What is to be written: ``record_id, kind, uri, refers_to, digest, payload_bytes, payload, first, copies``; and the table of shared payloads, to be discarded after.
 
-    Rows that agree in page_id, url and payload are one row here, with a number of ``copies`` from number ``first`` on. Of equal payloads of at
-    least ``least`` bytes the record with the largest page_id (then url, then the first copy) is the response.
+    Of equal payloads of at least ``least`` bytes the record with the largest page_id (then url, then the first copy) is the response. Pages
+    whose payload is theirs alone are written where they are read. Of the others only responses keep their payload; those that agree in page_id and url
+    too become one row with a number of ``copies`` from number ``first`` on, so that a page that comes up often is combined before it moves.
     """
     payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", base32_sha1(F.col("payload")))
     place = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", F.col("url").isNotNull().alias("named"), "url")
-    # a payload that many pages have is one row of a task before rows meet; most payloads are met once
-    common = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max(place).alias("best"), F.count("*").alias("n"))
-    common = common.where("n > 1").select("digest", "best")
-    distinct = rows.groupBy("page_id", "url", "digest").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
-    met = distinct.join(common, "digest", "left")
+    common = saved(rows.groupBy("digest").agg(F.max(place).alias("best"), F.count("*").alias("n")).where("n > 1").select("digest", "best"), "warc-common")
+    few = len(common.select("digest").limit(SMALL + 1).collect()) <= SMALL
+    met = rows.join(F.broadcast(common) if few else common, "digest", "left")
     name = lambda i, u: F.concat_ws("/", F.lit(ID_PREFIX), F.coalesce(i.cast("string"), F.lit("null")), "digest", F.hex(F.xxhash64(u)))
-    own = F.col("best").isNull() | (F.col("best.page_id").eqNullSafe(F.col("page_id")) & F.col("best.url").eqNullSafe(F.col("url")))
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("first")
-    out = met.select(
-        name(F.col("page_id"), F.col("url")).alias("record_id"),
-        F.when(own, "response").otherwise("revisit").alias("kind"),
-        F.col("url").alias("uri"),
-        F.when(F.col("best").isNotNull(), F.concat(name(F.col("best.page_id"), F.col("best.url")), F.lit("/0"))).alias("refers_to"),
-        "digest",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(own, F.col("payload")).alias("payload"),
-        "n",
-        blocks,
-    )
-    copies = F.least(F.col("n") - F.col("first"), F.lit(COPIES)).alias("copies")
-    return out.withColumn("payload", F.when((F.col("first") == 0) | F.col("refers_to").isNull(), F.col("payload"))).select("*", copies).drop("n")
+    size = F.octet_length("payload").cast("long").alias("payload_bytes")
+    alone = met.where("best IS NULL").select(
+        name(F.col("page_id"), F.col("url")).alias("record_id"), F.lit("response").alias("kind"), F.col("url").alias("uri"), F.lit(None).cast("string").alias("refers_to"),
+        "digest", size, "payload", F.lit(0).cast("long").alias("first"), F.lit(1).cast("long").alias("copies"),
+    )
+    short = F.octet_length("payload") < least
+    first = F.col("best.page_id").eqNullSafe(F.col("page_id")) & F.col("best.url").eqNullSafe(F.col("url"))
+    shared = met.where("best IS NOT NULL").select("page_id", "url", "digest", "best", short.alias("short"), (short | first).alias("own"), size, F.when(short | first, F.col("payload")).alias("payload"))
+    once = shared.groupBy("page_id", "url", "digest", "best", "short", "own", "payload_bytes").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
+    blocks = once.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("first"))
+    refers = F.when(~F.col("short"), F.concat(name(F.col("best.page_id"), F.col("best.url")), F.lit("/0")))
+    copied = blocks.select(
+        name(F.col("page_id"), F.col("url")).alias("record_id"), F.when(F.col("own"), "response").otherwise("revisit").alias("kind"), F.col("url").alias("uri"), refers.alias("refers_to"),
+        "digest", "payload_bytes", F.when((F.col("first") == 0) | F.col("short"), F.col("payload")).alias("payload"), "first", F.least(F.col("n") - F.col("first"), F.lit(COPIES)).alias("copies"),
+    )
+    return alone.unionByName(copied), common
 
 
 def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame: int = FRAME, bundle: int = BUNDLE, level: int = LEVEL) -> DataFrame:
@@ -224,7 +224,10 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 0, frame: int = FR
     spark = pages.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
-    return saved(planned(pages, least).mapInArrow(run, INDEX), "warc-index")
+    plan, common = planned(pages, least)
+    index = saved(plan.mapInArrow(run, INDEX), "warc-index")
+    discard(common)
+    return index
 
 
 def _read(frames: DataFrame, wanted: bool) -> DataFrame:

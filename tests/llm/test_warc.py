@@ -38,8 +38,9 @@ def told(records):
     return sorted((tuple(r) for r in records.select(warc.page_id_of(F.col("record_id")), "payload_bytes", "payload_digest", "record_type", warc.page_id_of(F.col("refers_to_id"))).collect()), key=str)
 
 
-@pytest.mark.parametrize("kw", [{}, {"frame": 1}, {"frame": 5000, "bundle": 20_000}, {"least": 100}])
-def test_round_trip(spark, kw):
+@pytest.mark.parametrize("kw,small", [({}, 20_000), ({"frame": 1}, 20_000), ({"frame": 5000, "bundle": 20_000}, 0), ({"least": 100}, 20_000)])
+def test_round_trip(spark, monkeypatch, kw, small):
+    monkeypatch.setattr(warc, "SMALL", small)  # payloads of several pages: broadcast or not
     df = pages(spark)
     folder = new_path(spark, "warc")
     index = warc.write_bundles(df, folder, **kw)
