@@ -28,11 +28,17 @@ def n_term(profile: Column, offset: Column) -> Column:
     return F.get(profile, offset - 1)
 
 
-def max_internal(inner: Column) -> Column:
+def max_internal(inner) -> Column:
+    """Of an array, or of a window that has tables of its own (:class:`epitrail.operators.windows.Internal`)."""
+    if not isinstance(inner, Column):
+        return inner.max()
     return F.coalesce(F.array_max(inner), F.lit(0.0))
 
 
-def mean_internal(inner: Column) -> Column:
+def mean_internal(inner) -> Column:
+    """As :func:`max_internal`."""
+    if not isinstance(inner, Column):
+        return inner.mean()
     total = F.aggregate(inner, F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(inner) > 0, total / F.size(inner)).otherwise(0.0)
 
@@ -49,7 +55,7 @@ def geometric_mean(*values: Column) -> Column:
 
 Mode = Callable[[Column, Column, Column], Column]
 
-#: Scoring modes by name: (c, n, inner) -> score.
+#: Scoring modes by name: (c, n, inner) -> score; ``inner`` as for :func:`max_internal`.
 MODES: dict[str, Mode] = {
     "cterm": lambda c, n, inner: c,
     "nterm_cterm": lambda c, n, inner: geometric_mean(c, n),
@@ -60,6 +66,10 @@ MODES: dict[str, Mode] = {
 }
 
 
+#: What a mode wants of the inside of a window; user functions want the numbers themselves.
+TABLES = {"cterm": (), "nterm_cterm": ()} | {f"{n}cterm_{what}_internal": (table,) for n in ("", "nterm_") for what, table in (("max", "max"), ("mean", "sum"))}
+
+
 def user_mode(f: Callable[[float, float | None, list[float]], float]) -> Mode:
     """A mode from a Python function of numbers, run on batches of rows."""
     def each(c: pd.Series, n: pd.Series, inner: pd.Series) -> pd.Series:

@@ -42,7 +42,7 @@ def document_proteins(spark, sf_dir) -> DataFrame:
 
 
 def profile(seq: Column) -> Column:
-    residues = F.filter(F.split(seq, ""), lambda c: c != "")
+    residues = F.slice(F.split(seq, ""), F.lit(1), F.length(seq))  # without the empty string that an empty sequence gives
     return F.transform(residues, lambda c, i: ((F.ascii(c) * 37 + 11 * (i + 1)) % 100) / F.lit(100.0))
 
 
@@ -104,6 +104,11 @@ coalesce(list_max(p[o + 1 : o + k - 1]), 0.0) AS mx, coalesce(list_sum(p[o + 1 :
 (SELECT name, k, o, o::INTEGER AS "offset", substr(seq, o + 1, k) AS peptide, p FROM
 (SELECT *, unnest(range(0, len(seq) - k + 1)) AS o FROM prof, (VALUES (9)) v(k) WHERE len(seq) >= k)))"""
 
+#: The same of long texts, by analytic functions along positions; nine letters a window.
+LONG_CUT = """pos AS (SELECT name, i, ((ascii(substr(seq, i, 1)) * 37 + 11 * i) % 100) / 100.0::DOUBLE AS p FROM (SELECT *, unnest(range(1, len(seq) + 1)) AS i FROM prot)),
+cut AS (SELECT name, c, n, mx, mean FROM (SELECT name, i, p AS c, lag(p, 9) OVER w AS n, max(p) OVER inside AS mx, sum(p) OVER inside / 8 AS mean FROM pos
+WINDOW w AS (PARTITION BY name ORDER BY i), inside AS (PARTITION BY name ORDER BY i ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)) WHERE i >= 9)"""
+
 # -------------------------------------------------------------------------------------------------------------- queries
 
 QUERIES = {}
@@ -137,6 +142,29 @@ def kmer_counts(spark, sf):
     return windows.window_counts(document_proteins(spark, sf), [9, 10]).groupBy("k").agg(F.sum("n").alias("n_windows"), F.count("*").alias("n_sequences"))
 
 
+#: 48 bits of a text's md5 as a number, so that sums of them tell whether two sides have the same rows.
+SUM48 = "sum(('0x' || substr(md5({}), 1, 12))::BIGINT)::BIGINT"
+
+
+def _sum48(text: Column) -> Column:
+    return F.sum(F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long"))
+
+
+@query(f"""WITH {DOCS}, {_win(8, 11)} SELECT name, k, count(*) AS n, min(peptide) AS first, max(peptide) AS last, {SUM48.format("\"offset\" || ':' || peptide")} AS digest FROM win GROUP BY name, k""")
+def document_kmers(spark, sf):
+    """Every window of all documents, cut, by document and length: a digest of places and letters tells them all."""
+    w = windows.kmers(document_proteins(spark, sf), [8, 11]).withColumn("k", F.length("peptide"))
+    place = F.concat(F.col("offset").cast("string"), F.lit(":"), "peptide")
+    return w.groupBy("name", "k").agg(F.count("*").alias("n"), F.min("peptide").alias("first"), F.max("peptide").alias("last"), _sum48(place).alias("digest"))
+
+
+@query(f"""WITH {DOCS}, {_win(9)} SELECT name, count(*) AS n, {SUM48.format("substr(seq, greatest(\"offset\" - 3, 0) + 1, least(\"offset\", 3)) || '<' || peptide || '>' || substr(seq, \"offset\" + 10, 3)")} AS digest FROM win GROUP BY name""")
+def document_flanks(spark, sf):
+    """Every window of all documents with its flanks, by document."""
+    w = windows.kmers(document_proteins(spark, sf), [9], flank_length=3)
+    return w.groupBy("name").agg(F.count("*").alias("n"), _sum48(F.concat("n_flank", F.lit("<"), "peptide", F.lit(">"), "c_flank")).alias("digest"))
+
+
 @query(f"WITH {PROT}, {_win(9, 10)} SELECT DISTINCT peptide FROM win")
 def distinct_peptides(spark, sf):
     return windows.distinct_peptides(windows.kmers(proteins(spark, sf), [9, 10]))
@@ -167,6 +195,23 @@ for _m, _sql in MODE_SQL.items():
     query(f'WITH {PROT}, {PROF}, {CUT} SELECT name AS source_sequence_name, "offset", peptide, round({_sql}, 7) AS score FROM cut', f"score_{_m}")(_mode(_m))
 
 
+def _document_mode(mode: str):
+    def run(spark, sf):
+        rows = _processing(spark, scoring_mode=mode).predict_proteins(document_proteins(spark, sf), [9]).withColumn("score", F.round("score", 7))
+        total = F.sum(F.col("score").cast("decimal(20,7)")).cast("double")
+        return rows.groupBy(F.col("source_sequence_name").alias("name")).agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("best"), total.alias("total"))
+
+    return run
+
+
+for _m, _sql in MODE_SQL.items():
+    query(
+        f"""WITH {DOCS}, {LONG_CUT} SELECT name, count(*) AS n, min(score) AS least, max(score) AS best, sum(score::DECIMAL(20, 7))::DOUBLE AS total
+FROM (SELECT name, round({_sql}, 7) AS score FROM cut) GROUP BY name""",
+        f"document_{_m}",
+    )(_document_mode(_m))
+
+
 @query(f"""WITH {PROT}, {PROF}, {CUT} SELECT {CANON.format(source="name", offset='"offset"', predictor="proteasome", allele="''", kind="proteasome_cleavage", score="round(c * (1 - mx), 6)", value="NULL::DOUBLE", rank="NULL::DOUBLE")} FROM cut""")
 def proteasome_predictions(spark, sf):
     rows = _processing(spark, ProteasomePredictor).predict_proteins(proteins(spark, sf), [9])
@@ -177,7 +222,8 @@ def proteasome_predictions(spark, sf):
 def cleavage_summary(spark, sf):
     """Windows and best score of every document."""
     rows = _processing(spark).predict_proteins(document_proteins(spark, sf), [9])
-    return rows.groupBy(F.col("source_sequence_name").alias("name")).agg(F.count("*").alias("n_windows"), F.round(F.max(F.round("score", 6)), 6).alias("best_score"))
+    best = F.round(F.max("score"), 6)  # the best of the rounded scores, as rounding keeps their order
+    return rows.groupBy(F.col("source_sequence_name").alias("name")).agg(F.count("*").alias("n_windows"), best.alias("best_score"))
 
 
 @query(f"""WITH {PROT}, {PROF}, {CUT}, s AS (SELECT *, round({MODE_SQL["nterm_cterm_max_internal"]}, 6) AS score FROM cut)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epitrail.functions import scoring
-from epitrail.operators.windows import kmers, peptide_lengths, sequences
+from epitrail.operators.windows import Internal, kmers, peptide_lengths, sequences
 from epitrail.schema import Kind, canonical
 
 
@@ -29,6 +29,8 @@ class ProcessingPredictor:
     def __init__(self, spark: SparkSession, profile: Column | None = None, scoring_mode=None, default_lengths=None):
         self.spark, self._profile = spark, profile
         self.mode = scoring.resolve_mode(scoring_mode, self.default_scoring)
+        name = self.default_scoring if scoring_mode is None else scoring_mode
+        self.tables = scoring.TABLES[name] if isinstance(name, str) else ()
         self.default_lengths = tuple(peptide_lengths(default_lengths, self.default_lengths))
 
     def profile(self, seqs: DataFrame) -> DataFrame:
@@ -46,8 +48,11 @@ class ProcessingPredictor:
         df = given if isinstance(given, DataFrame) else sequences(self.spark, given)
         lengths = peptide_lengths(lengths, self.default_lengths)
         with_profile = self.profile(df.select("name", "seq").where("seq IS NOT NULL"))
-        at = kmers(with_profile, lengths, flank_length, along="probs")
-        rows = at.withColumn("score", self._scored("_place")).withColumnRenamed("name", "source_sequence_name")
+        at = kmers(with_profile, lengths, flank_length, along="probs", tables=self.tables)
+        p, o, k = F.col("probs"), F.col("_place"), F.col("_k")
+        inner = Internal("probs", lengths, k, o)
+        score = self.mode(scoring.c_term(p, o, k), scoring.n_term(p, o), inner if self.tables else inner.values())
+        rows = at.withColumn("score", score).withColumnRenamed("name", "source_sequence_name")
         return canonical(rows, kind=self.kind, predictor_name=self.name, predictor_version=self.version)
 
     def predict(self, given, n_flanks=None, c_flanks=None) -> DataFrame:

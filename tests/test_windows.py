@@ -35,3 +35,50 @@ def test_lengths():
             windows.peptide_lengths(bad, (9,), least=8 if bad == [7] else None)
     with pytest.raises(ValueError):
         windows.peptide_lengths(16, (9,), most=15)
+
+
+@pytest.mark.parametrize("direct", [{"max": 256, "sum": 32}, {"max": 0, "sum": 0}])
+@pytest.mark.parametrize("lengths", [[1, 2, 9], [9], [5, 20, 64], [15, 16, 17, 18, 19, 20]])
+def test_inside_of_windows(spark, monkeypatch, direct, lengths):
+    """Maxima and means, read cell by cell or from tables, against slices of the whole profile."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(windows, "DIRECT", direct)
+    monkeypatch.setattr(windows, "BLOCK", 16)
+    rng = random.Random(1)
+    rows = [(str(n), "A" * n, [rng.random() for _ in range(n)]) for n in (0, 1, 8, 9, 63, 64, 65, 200)]
+    df = spark.createDataFrame(rows, "name string, seq string, probs array<double>")
+    at = windows.kmers(df, lengths, along="probs", tables=("max", "sum"))
+    inner = windows.Internal("probs", lengths, F.col("_k"), F.col("_place"))
+    got = {(r.name, r.offset, r.k): (r.most, r.mean) for r in at.select("name", "offset", F.col("_k").alias("k"), inner.max().alias("most"), inner.mean().alias("mean")).collect()}
+    want = {(name, o, k): p[o : o + k - 1] for name, seq, p in rows for k in lengths for o in range(len(seq) - k + 1)}
+    assert got.keys() == want.keys()
+    for key, inside in want.items():
+        assert got[key][0] == (max(inside) if inside else 0.0)
+        assert got[key][1] == pytest.approx(sum(inside) / len(inside) if inside else 0.0, abs=1e-15)
+
+
+def test_letters_of_any_width(spark):
+    seqs = {"plain": "ACDEFGHIKL" * 30, "wide": "AÇDÉ漢🙂" * 40, "none": ""}
+    df = windows.kmers(windows.sequences(spark, seqs), [9], flank_length=3)
+    want = {(n, i, s[max(0, i - 3) : i], s[i : i + 9], s[i + 9 : i + 12]) for n, s in seqs.items() for i in range(len(s) - 8)}
+    assert {(r.name, r.offset, r.n_flank, r.peptide, r.c_flank) for r in df.collect()} == want
+
+
+def test_time_grows_with_length_and_not_with_its_square(spark):
+    """Twice the letters take about twice the time, in one sequence; the square would take four times."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def seconds(n):
+        df = spark.range(1).select(F.lit("p").alias("name"), F.repeat(F.lit("ACDEFGHIKL"), n // 10).alias("seq"))
+        start = time.perf_counter()
+        assert windows.kmers(df, [9], flank_length=2).agg(F.count("*"), F.sum(F.ascii("peptide")), F.max("c_flank")).first()[0] == n - 8
+        return time.perf_counter() - start
+
+    seconds(100_000)
+    small, large = min(seconds(1_000_000) for _ in range(2)), min(seconds(4_000_000) for _ in range(2))
+    assert large < 8 * small
