@@ -64,30 +64,55 @@ def require_one_length(peptides: DataFrame) -> DataFrame:
     return peptides
 
 
-def _names(alleles: DataFrame) -> list[str]:
-    """The alleles of one run, a short list: a condition on it shuffles no results by allele, of which there are few."""
-    return sorted(r.allele for r in alleles.select("allele").where("allele IS NOT NULL").distinct().collect())
+#: Alleles of a run at most: their numbers are literals, and each 64 are a column of bits.
+MOST_ALLELES = 4096
 
 
-def missing_pairs(results: DataFrame, peptides: DataFrame, alleles: DataFrame) -> DataFrame:
-    """``peptide, allele`` of the expected pairs that have no result.
+def names_of(alleles: DataFrame) -> list[str]:
+    """The alleles of one run, a short list, whose size is checked; so no result is shuffled by allele, of which there are few."""
+    found = [r.allele for r in alleles.select("allele").where("allele IS NOT NULL").distinct().limit(MOST_ALLELES + 1).collect()]
+    if len(found) > MOST_ALLELES:
+        raise ValueError(f"A run has at most {MOST_ALLELES} alleles; split it")
+    return sorted(found)
+
+
+def pair_bits(results: DataFrame, peptides: DataFrame, names: list[str]) -> DataFrame:
+    """``peptide, asked, bits, others`` of each peptide that was asked for or has results: one row, one shuffle.
 
-    Counts come first: only peptides with fewer distinct alleles than asked are paired with all alleles.
+    ``bits``: an array of longs in which bit i says whether there is a result for ``names[i]``; ``others``: alleles of results that are not among the
+    ``names``. Bits are combined before rows move, so repeated results cost nothing.
     """
-    asked, names = peptides.select("peptide").distinct(), _names(alleles)
-    seen = results.where(F.col("allele").isin(names)).select("peptide", "allele").distinct()
-    full = seen.groupBy("peptide").count().where(F.col("count") == len(names)).select("peptide")
-    short = asked.join(full, "peptide", "left_anti")
-    pairs = short.select("peptide", F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("allele"))
-    return pairs.join(seen, ["peptide", "allele"], "left_anti")
+    words = range(-(-len(names) // 64))
+    number = F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i))), F.col("allele")) if names else F.lit(None).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("number") % 64)
+    zero = F.lit(0).cast("long")
+    told = results.select("peptide", "allele", number.alias("number"))
+    seen = told.select("peptide", F.lit(False).alias("asked"), *(F.when(F.floor(F.col("number") / 64) == w, one).otherwise(zero).alias(f"w{w}") for w in words), F.when(F.col("number").isNull(), F.struct("allele")).alias("other"))
+    wanted = peptides.select("peptide", F.lit(True).alias("asked"), *(zero.alias(f"w{w}") for w in words), F.lit(None).cast("struct<allele: string>").alias("other"))
+    both = seen.unionByName(wanted).groupBy("peptide").agg(F.max("asked").alias("asked"), *(F.bit_or(f"w{w}").alias(f"w{w}") for w in words), F.collect_set("other").alias("others"))
+    return both.select("peptide", "asked", F.array(*(f"w{w}" for w in words)).cast("array<bigint>").alias("bits"), F.transform("others", lambda x: x["allele"]).alias("others"))
+
+
+def _named(names: list[str], is_set: bool) -> Column:
+    """Those of the names whose bit is set, or is not."""
+    at = lambda i: F.get("bits", F.floor(i / 64).cast("int"))
+    bit = lambda i: F.call_function("getbit", at(i), (i % 64).cast("int")) == int(is_set)
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), bit) if names else F.array().cast("array<int>")
+    listed = F.array(*map(F.lit, names)).cast("array<string>")
+    return F.transform(chosen, lambda i: F.get(listed, i))
+
+
+def missing_pairs(results: DataFrame, peptides: DataFrame, alleles: DataFrame) -> DataFrame:
+    """``peptide, allele`` of the expected pairs that have no result, read from :func:`pair_bits`."""
+    names = names_of(alleles)
+    return pair_bits(results, peptides, names).where("asked").select("peptide", F.explode(_named(names, False)).alias("allele"))
 
 
 def unexpected_pairs(results: DataFrame, peptides: DataFrame, alleles: DataFrame) -> DataFrame:
-    """``peptide, allele`` of the results that nobody asked for."""
-    found = results.select("peptide", "allele").distinct()
-    known = F.coalesce(F.col("allele").isin(_names(alleles)), F.lit(False))
-    others = found.where(known).join(peptides.select("peptide").distinct(), "peptide", "left_anti")
-    return found.where(~known).unionByName(others.select("peptide", "allele"))
+    """``peptide, allele`` of the results that nobody asked for, read from :func:`pair_bits`."""
+    names = names_of(alleles)
+    odd = F.concat("others", F.when(~F.col("asked"), _named(names, True)).otherwise(F.array().cast("array<string>")))
+    return pair_bits(results, peptides, names).select("peptide", F.explode(odd).alias("allele"))
 
 
 def require_complete(results: DataFrame, peptides: DataFrame, alleles: DataFrame) -> DataFrame:

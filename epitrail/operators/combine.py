@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epitrail.operators.checks import names_of
 
 #: Rows of samples that are broadcast at most, and parts that the scores of an allele are dealt into beyond that.
 SMALL, SPREAD = 20_000, 64
@@ -18,17 +19,17 @@ def pairs(peptides: DataFrame, alleles: DataFrame) -> DataFrame:
     The alleles of a run are a short list (a genotype has a dozen), so they become an array that each row explodes; the
     peptides are not moved.
     """
-    rows = sorted({r.allele for r in alleles.select("allele").distinct().collect()})
+    rows = names_of(alleles)
     return peptides.select("*", F.explode(F.array(*map(F.lit, rows)).cast("array<string>")).alias("allele"))
 
 
 def relocate(windows: DataFrame, scored: DataFrame) -> DataFrame:
     """Scores of distinct peptides at each place of the peptide; places without a score go.
 
-    ``windows``: ``name, offset, peptide``. The scores' own places and flanks are replaced.
+    ``windows``: ``name, offset, peptide``, and ``ord`` if the places are numbered. The scores' own places, numbers and flanks are replaced.
     """
-    rest = [c for c in scored.columns if c not in ("source_sequence_name", "offset", "n_flank", "c_flank")]
-    at = windows.select("peptide", F.col("name").alias("source_sequence_name"), "offset")
+    rest = [c for c in scored.columns if c not in ("source_sequence_name", "offset", "n_flank", "c_flank", "ord")]
+    at = windows.select("peptide", F.col("name").alias("source_sequence_name"), "offset", *(c for c in ("ord",) if c in windows.columns))
     return at.join(scored.select(*rest), "peptide")
 
 

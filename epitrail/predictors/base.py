@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epitrail.functions.alleles import distinct_alleles, split_alleles
 from epitrail.operators import checks
 from epitrail.operators.combine import pairs, relocate
+from epitrail.operators.scan import with_ordinal
 from epitrail.operators.windows import distinct_peptides, kmers, peptide_lengths, peptides, sequences
 from epitrail.schema import Kind, canonical, legacy
 
@@ -54,23 +55,47 @@ class Predictor:
     def _canonical(self, rows: DataFrame) -> DataFrame:
         return canonical(rows, kind=self.kind, predictor_name=self.name, predictor_version=self.version)
 
-    def predict(self, given, validate: bool = False) -> DataFrame:
-        """Canonical rows of peptides: a string, strings, or a DataFrame with ``peptide``. Repeats are scored once."""
+    def predict(self, given, validate: bool = False, ordered: bool = False) -> DataFrame:
+        """Canonical rows of peptides: a string, strings, or a DataFrame with ``peptide``. Repeats are scored once.
+
+        ``ordered``: with ``ord``, by which the first of equal rows is the first that was asked for: peptides in the order in which they come (``ord`` of ``given`` if it
+        has such a column, else the DataFrame's own order), then alleles as given, then kinds.
+        """
         df = given if isinstance(given, DataFrame) else peptides(self.spark, given)
+        if ordered and "ord" not in df.columns:
+            df = with_ordinal(df)
         df = self._checked(df)
         out = self._canonical(self.score(pairs(distinct_peptides(df), self.alleles)))
+        if ordered:
+            first = df.groupBy("peptide").agg(F.min("ord").alias("_first"))
+            out = self._ordered(out.join(first, "peptide"), F.col("_first"))
         return checks.require_complete(out, df, self.alleles) if validate else out
 
-    def predict_proteins(self, given, lengths=None, validate: bool = False) -> DataFrame:
+    def predict_proteins(self, given, lengths=None, validate: bool = False, ordered: bool = False) -> DataFrame:
         """Canonical rows of all windows of sequences: a mapping, strings, or a DataFrame ``name, seq``.
 
-        Distinct peptides are scored once and joined back to their places.
+        Distinct peptides are scored once and joined back to their places. ``ordered``: with ``ord``, as for :meth:`predict`: by sequence as given, then
+        offset, allele and kind, whatever the partitions.
         """
         df = given if isinstance(given, DataFrame) else sequences(self.spark, given)
         lengths = peptide_lengths(lengths, self.default_lengths, self.least_length, self.most_length)
-        windows = kmers(df.select("name", "seq"), lengths)
-        scored = self.predict(windows, validate=validate)
-        return canonical(relocate(windows, scored))
+        if ordered and "ord" not in df.columns:
+            df = with_ordinal(df)
+        windows = kmers(df.select("name", "seq", *(["ord"] if ordered else [])), lengths)
+        scored = self.predict(windows.drop("ord"), validate=validate)
+        placed = relocate(windows, scored)
+        return self._ordered(placed, F.col("ord"), F.col("offset")) if ordered else canonical(placed)
+
+    def _ordered(self, rows: DataFrame, *place: Column) -> DataFrame:
+        """Canonical rows with ``ord``: the place, then the allele's as given, then the kind's."""
+        alleles = [r.allele for r in self.alleles.orderBy("allele_ord", "allele").select("allele").collect()]  # those of a run
+        kinds = [getattr(Kind, k) for k in vars(Kind) if k.isupper()]
+        order = F.struct(
+            *(p.alias(f"place{i}") for i, p in enumerate(place)),
+            F.array_position(F.array(*map(F.lit, alleles)).cast("array<string>"), F.col("allele")).alias("allele"),
+            F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")).alias("kind"),
+        )
+        return canonical(rows.withColumn("ord", order), keep=("ord",))
 
     def one_kind(self) -> Predictor:
         """This predictor, or where it gives a pair rows of several kinds, one that gives the main kind alone."""

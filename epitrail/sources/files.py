@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epitrail.functions.alleles import normalize_allele, split_alleles
+from epitrail.operators.scan import carried, read_lines
+from epitrail.operators.windows import kmers, peptide_lengths
 from epitrail.schema import COLUMNS, canonical
 
 
@@ -21,6 +23,48 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.get(F.split(F.trim(header), r"\s+"), F.lit(0)).alias("name"), F.upper(F.regexp_replace(body, r"\s", "")).alias("seq"))
 
 
+#: Letters of a chunk of a sequence.
+CHUNK = 1 << 16
+
+
+def read_fasta_chunks(spark: SparkSession, path: str, before: int = 0, after: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """``name, file, record, start, seq, lead``: sequences of any length in chunks, read by splits of the files.
+
+    A record is never one row: its lines find their places by a scan over splits (:func:`epitrail.operators.scan.carried`) and meet in chunks of ``chunk`` letters from ``start`` on, with up
+    to ``before`` letters (``lead`` of them) that stand before the chunk and ``after`` that follow it, so that windows over its end are whole. ``record`` numbers the records
+    of a file from 1. Lines before the first header are left out, records without letters have no chunk; names and letters are as in :func:`read_fasta`.
+    """
+    is_header = F.ltrim("line").startswith(">")
+    letters = F.upper(F.regexp_replace("line", r"\s", ""))
+    lines = read_lines(spark, path).select("file", "block", "n", is_header.alias("is_header"), F.when(is_header, F.col("line")).otherwise(letters).alias("line"))
+    name = F.get(F.split(F.trim(F.regexp_replace("line", r"^\s*>", "")), r"\s+"), F.lit(0))
+    size = F.when(F.col("is_header"), 0).otherwise(F.length("line")).cast("long")
+    placed = carried(lines, {}, {"upto": size, "record": F.col("is_header").cast("long")})
+    # where a record's letters begin, and its name, go with its header
+    begun = carried(placed, {"of": F.when(F.col("is_header"), F.struct(name.alias("name"), F.col("upto").alias("first")))})
+    found = begun.where("NOT is_header AND line != '' AND of IS NOT NULL").select("file", "record", "of.name", (F.col("upto") - F.col("of.first")).alias("at"), "line")
+    # a line's letters go to each chunk that they are part of or that wants them beside it
+    end = F.col("at") + F.length("line")
+    low, high = F.expr(f"greatest((at - {after}) div {chunk}, 0L)"), F.expr(f"(at + length(line) - 1 + {before}) div {chunk}")
+    dealt = found.select("file", "record", "name", "at", "line", end.alias("end"), F.explode(F.sequence(low, high)).alias("c"))
+    a, b = F.greatest("at", F.col("c") * chunk - before), F.least("end", (F.col("c") + 1) * chunk + after)
+    pieces = dealt.select("file", "record", "name", "c", a.alias("a"), F.substring("line", (a - F.col("at") + 1).cast("int"), (b - a).cast("int")).alias("part"), (b > a).alias("some")).where("some")
+    whole = pieces.groupBy("file", "record", "c").agg(F.first("name").alias("name"), F.sort_array(F.collect_list(F.struct("a", "part"))).alias("parts"))
+    start, first = F.col("c") * chunk, F.get("parts", F.lit(0))["a"]
+    chunks = whole.select("name", "file", "record", start.alias("start"), F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("seq"), (start - first).cast("int").alias("lead"))
+    return chunks.where(F.length("seq") > F.col("lead"))  # the letters before a border alone are no chunk
+
+
+def fasta_kmers(spark: SparkSession, path: str, lengths, flank_length: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """``name, file, record, peptide, offset`` (long), and flanks if asked for: every window of all sequences of FASTA files, however long they are."""
+    lengths = peptide_lengths(lengths, None)
+    chunks = read_fasta_chunks(spark, path, flank_length, max(lengths) - 1 + flank_length, chunk)
+    at = kmers(chunks, lengths, flank_length)
+    own = F.col("offset") - F.col("lead")
+    kept = at.where((own >= 0) & (own < chunk)).withColumn("offset", F.col("start") + own)
+    return kept.select("name", "file", "record", "peptide", "offset", *(("n_flank", "c_flank") if flank_length else ()))
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"No {what}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from epitrail.functions.alleles import normalize_allele
 from epitrail.functions.scoring import rescued_ic50, score_from_affinity
+from epitrail.operators.scan import carried
 from epitrail.schema import Kind, canonical
 from epitrail.sources.layouts import LAYOUTS, Layout
 
@@ -81,12 +82,17 @@ def parse_layout(df: DataFrame, layout: str | Layout, predictor_name: str = "",
 def _layout(df: DataFrame, at: Layout, name: str, version: str, text: str, legacy_kind: bool) -> DataFrame:
     whole = guarded(F.col(text), name or "The tool") if at.stops_on_error else F.col(text)
     lines = df.select(data_lines(whole).alias("lines")).select(F.posexplode("lines").alias("ord", "line"))
-    fields = lines.select("ord", cleaned(tokens(F.col("line")), at.ignored).alias("f"))
+    return _layout_rows(lines, at, name, version, legacy_kind, ("ord",))
+
+
+def _layout_rows(lines: DataFrame, at: Layout, name: str, version: str, legacy_kind: bool, keep: tuple[str, ...]) -> DataFrame:
+    """Canonical rows of lines of data, ``line``; the columns ``keep`` stay."""
+    fields = lines.select(*keep, cleaned(tokens(F.col("line")), at.ignored).alias("f"))
     get = lambda i: F.get("f", F.lit(i))
     score = number(get(at.score))
     ic50 = F.lit(None).cast("double") if at.ic50 is None else rescued_ic50(number(get(at.ic50)), score)
     rows = fields.select(
-        "ord",
+        *keep,
         get(at.peptide).alias("peptide"),
         normalize_allele(get(at.allele)).alias("allele"),
         get(at.key).alias("source_sequence_name"),
@@ -96,7 +102,7 @@ def _layout(df: DataFrame, at: Layout, name: str, version: str, text: str, legac
         (F.lit(None).cast("double") if at.rank is None else number(get(at.rank))).alias("percentile_rank"),
     )
     kind = Kind.AFFINITY if legacy_kind else at.kind
-    return canonical(rows, keep=("ord",), kind=kind, predictor_name=name, predictor_version=version)
+    return canonical(rows, keep=keep, kind=kind, predictor_name=name, predictor_version=version)
 
 
 def header(text: Column) -> Column:
@@ -133,22 +139,38 @@ def parse_by_header(df: DataFrame, predictor_name: str = "netMHCpan", predictor_
     """
     raw = df.select(guarded(F.col(text), "NetMHCpan").alias("t"))
     # the places of the columns are found once an output; a line only reads them
-    head = F.col("head")
-    place = lambda options: F.coalesce(*(F.nullif(F.array_position(head, n).cast("int"), F.lit(0)) for n in options)) - 1
-    places = F.struct(*(place(options).alias(what) for what, options in FIELDS.items())).alias("at")
     found = raw.select(header(F.col("t")).alias("head"), F.regexp_extract("t", r"# NetMHCpan version (\S+)", 1).alias("found"), data_lines(F.col("t")).alias("lines"))
-    wrong = lambda what: F.raise_error(F.lit(what)).cast("array<string>")
-    no_column = lambda what: wrong(f"No {what} column in NetMHCpan output")
-    some = lambda what: F.col(f"at.{what}").isNotNull()
-    # how lines are read: 0 elution and binding, 1 elution, 2 version 2.8, 3 binding, 4 elution without its own names
+    once = found.select("head", "found", "lines", places_of(F.col("head")).alias("at")).select("found", "at", checked_lines(F.col("head"), F.col("at"), F.col("lines")).alias("lines"))
+    each = once.select("found", "at", F.posexplode("lines").alias("pos", "line"))
+    made = _header_rows(each.withColumn("base", 2 * F.col("pos")), predictor_name, predictor_version, prefer, ("ord",))
+    if names is None:
+        return made
+    from epitrail.operators.combine import remap
+
+    return remap(made, names)
+
+
+def places_of(head: Column) -> Column:
+    """Where the columns are that a header names, and how lines are read (``form``): 0 elution and binding, 1 elution, 2 version 2.8, 3 binding, 4 elution without its own names."""
+    place = lambda options: F.coalesce(*(F.nullif(F.array_position(head, n).cast("int"), F.lit(0)) for n in options)) - 1
+    some = lambda what: place(FIELDS[what]).isNotNull()
     form = F.when(some("score_el") & some("score_ba"), 0).when(some("score_el"), 1).when(some("old_score"), 2).when(some("score") & some("ic50"), 3).when(some("score"), 4)
+    return F.struct(*(place(options).alias(what) for what, options in FIELDS.items()), form.alias("form"))
+
+
+def checked_lines(head: Column, at: Column, lines: Column) -> Column:
+    """``lines``; an error if there is no header, or it lacks a column."""
+    wrong = lambda what: F.raise_error(F.lit(what)).cast("array<string>")
     checked = F.when(head.isNull(), wrong("Could not find the header line in NetMHCpan output"))
     for what in ("position", "peptide", "allele", "identity"):
-        checked = checked.when(~some(what), no_column(what))
-    checked = checked.when(form.isNull(), wrong("Could not tell the score columns of NetMHCpan output")).otherwise(F.col("lines"))
-    once = found.select("head", "found", "lines", places).select("found", "at", form.alias("form"), checked.alias("lines"))
-    each = once.select("found", "at", "form", F.posexplode("lines").alias("pos", "line")).withColumn("f", tokens(F.col("line")))
+        checked = checked.when(at[what].isNull(), wrong(f"No {what} column in NetMHCpan output"))
+    return checked.when(at["form"].isNull(), wrong("Could not tell the score columns of NetMHCpan output")).otherwise(lines)
 
+
+def _header_rows(lines: DataFrame, predictor_name: str, predictor_version: str, prefer: str | None, keep: tuple[str, ...]) -> DataFrame:
+    """Canonical rows of lines of data: ``line, at, found`` (the version) and ``base``, twice the line's number, from which ``ord`` is made."""
+    each = lines.withColumn("f", tokens(F.col("line")))
+    some = lambda what: F.col(f"at.{what}").isNotNull()
     token = lambda what: F.get("f", F.col(f"at.{what}"))
     value = lambda what: token(what).cast("double")
     none = F.lit(None).cast("double")
@@ -159,15 +181,17 @@ def parse_by_header(df: DataFrame, predictor_name: str = "netMHCpan", predictor_
     two = [bound("ic50", "score_ba", "rank_ba"), eluted("score_el", value("rank_el"))]
     if prefer is not None:
         two = two[1:] if prefer == Kind.PRESENTATION else two[:1]
+    form = F.col("at.form")
     rows = (
-        F.when(F.col("form") == 0, F.array(*two))
-        .when(F.col("form") == 1, F.array(eluted("score_el", F.coalesce(value("rank_el"), value("rank")))))
-        .when(F.col("form") == 2, F.array(bound("old_ic50", "old_score", "rank")))
-        .when(F.col("form") == 3, F.array(bound("ic50", "score", "rank")))
+        F.when(form == 0, F.array(*two))
+        .when(form == 1, F.array(eluted("score_el", F.coalesce(value("rank_el"), value("rank")))))
+        .when(form == 2, F.array(bound("old_ic50", "old_score", "rank")))
+        .when(form == 3, F.array(bound("ic50", "score", "rank")))
         .otherwise(F.array(eluted("score", value("rank"))))
     )
     wide = each.select(
-        (2 * F.col("pos")).alias("base"),
+        *(k for k in keep if k != "ord"),
+        "base",
         token("peptide").alias("peptide"),
         normalize_allele(token("allele")).alias("allele"),
         token("identity").alias("source_sequence_name"),
@@ -176,12 +200,57 @@ def parse_by_header(df: DataFrame, predictor_name: str = "netMHCpan", predictor_
         F.posexplode(rows).alias("nth", "r"),
     )
     out = wide.select("*", "r.*").withColumn("ord", F.col("base") + F.col("nth"))
-    made = canonical(out, keep=("ord",), predictor_name=predictor_name)
-    if names is None:
-        return made
-    from epitrail.operators.combine import remap
+    return canonical(out, keep=keep, predictor_name=predictor_name)
 
-    return remap(made, names)
+
+# ------------------------------------------------------------------------------------------- output of any size, by lines
+
+
+def output_lines(lines: DataFrame, program: str, stops_on_error: bool, marks: dict[str, Column]) -> DataFrame:
+    """``file, ord, line`` of the lines of data of captured output, and of each line what ``marks`` have come to there.
+
+    ``lines``: as :func:`epitrail.operators.scan.read_lines` gives them. A file may hold the output of several runs, and be of any size: it is read by splits. Lines of data stand
+    after the first line of dashes and begin with an integer; ``ord`` numbers a file's lines. ``marks`` read ``line``, trimmed, and ``above``, the line before it.
+    A line with which a tool reports an error is one, if ``stops_on_error``.
+    """
+    trimmed = F.trim(F.regexp_replace("line", r"[\t\r]", " "))
+    if stops_on_error:
+        trimmed = guarded(trimmed, program)
+    clean = lines.select("file", "block", "n", trimmed.alias("line"))
+    beside = carried(clean, {}, {"ord": F.lit(1).cast("long")}, {"above": F.col("line")})
+    dashed = {"_dashed": F.when(F.col("line").startswith("---"), True)}
+    seen = carried(beside, dashed | marks)
+    return seen.where("_dashed AND line RLIKE '^-?[0-9]+( |$)'").select("file", "ord", "line", *marks)
+
+
+def parse_layout_lines(lines: DataFrame, layout: str, predictor_name: str = "", predictor_version: str = "", legacy_kind: bool = False) -> DataFrame:
+    """Canonical rows, ``file`` and ``ord``, of captured output in a known layout, read by lines: see :func:`output_lines` and :func:`parse_layout`."""
+    if layout not in LAYOUTS:
+        raise ValueError(f"Unknown layout {layout!r}")
+    at, keep = LAYOUTS[layout], ("file", "ord")
+    options = (predictor_name, predictor_version, legacy_kind, keep)
+    program = predictor_name or "The tool"
+    if not layout.startswith("netmhciipan43"):
+        return _layout_rows(output_lines(lines, program, at.stops_on_error, {}), at, *options)
+    # each header tells whether the lines below it have the column
+    titled = F.col("above").startswith("---") & F.col("line").rlike(r"(?i)(^|\s)pos(\s|$)")
+    found = output_lines(lines, program, at.stops_on_error, {"inverted": F.when(titled, F.concat(F.lit(" "), "line", F.lit(" ")).contains(" Inverted "))})
+    old = LAYOUTS[layout.replace("43", "4")]
+    return _layout_rows(found.where("inverted"), at, *options).unionByName(_layout_rows(found.where("NOT coalesce(inverted, FALSE)"), old, *options))
+
+
+def parse_header_lines(lines: DataFrame, predictor_name: str = "netMHCpan", predictor_version: str = "", prefer: str | None = None) -> DataFrame:
+    """Canonical rows, ``file`` and ``ord``, of captured NetMHCpan output, read by lines: see :func:`output_lines` and :func:`parse_by_header`.
+
+    A line is read by the last header above it, so that runs of several versions may follow each other in a file.
+    """
+    named = F.col("above").startswith("---") & F.col("line").rlike(r"(?i)(^|\s)pos(\s|$)") & F.col("line").rlike(r"(?i)(^|\s)(hla|mhc)(\s|$)")
+    head = tokens(F.col("line"))
+    version = F.nullif(F.regexp_extract("line", r"# NetMHCpan version (\S+)", 1), F.lit(""))
+    found = output_lines(lines, "NetMHCpan", True, {"at": F.when(named, places_of(head)), "found": version})
+    line = F.get(checked_lines(F.col("at"), F.col("at"), F.array("line")), F.lit(0))
+    each = found.select("file", "at", F.coalesce("found", F.lit("")).alias("found"), line.alias("line"), (2 * F.col("ord")).alias("base"))
+    return _header_rows(each, predictor_name, predictor_version, prefer, ("file", "ord"))
 
 
 def prefer_kind(rows: DataFrame, kind: str) -> DataFrame:
