@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epitrail.functions.nomenclature import SEROTYPES, SPECIES, alternatives
+
 #: Human genes, longer names first where one starts another.
 GENES = "DRA1|DRA|DRB[1-9]|DQA1|DQA2|DQB1|DQB2|DPA1|DPA2|DPB1|DPB2|DMA|DMB|DOA|DOB|MICA|MICB|TAP1|TAP2|HFE|A|B|C|E|F|G"
 _COLON = rf"^({GENES})\*?([0-9]{{1,3}}):([0-9]{{2,3}})(:[0-9]+)*$"
@@ -53,10 +55,41 @@ def _human(part: Column) -> Column:
     )
 
 
+_PREFIX = rf"^({alternatives(SPECIES)})-?(.+)$"
+_ANIMAL_GENES = alternatives(g for genes in SPECIES.values() for g in genes)
+_ANIMAL_COLON = rf"^({_ANIMAL_GENES})[*:-]?([0-9]{{1,3}}):([0-9]{{2,3}})(:[0-9]+)*$"
+_ANIMAL_PLAIN = rf"^({_ANIMAL_GENES})[*:-]?([0-9]{{2,3}})([0-9]{{2}}|[0-9]{{3}})$"
+_ANIMAL_ONE = rf"^({_ANIMAL_GENES})[*:-]?([0-9]{{1,3}}|[A-Z]{{2,8}}[0-9]{{0,2}})$"
+
+
+def _map_of(pairs) -> Column:
+    return F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+
+
+def _animal(s: Column) -> Column:
+    """The normal form of a name with another species' prefix, pairs of chains too, or null. A gene must be one of its species."""
+    species = F.regexp_extract(s, _PREFIX, 1)
+    genes = F.element_at(F.create_map(*(x for name, own in SPECIES.items() for x in (F.lit(name.upper()), F.array(*map(F.lit, own))))), species)
+
+    def chain(part: Column) -> Column:
+        get = lambda p, i: F.regexp_extract(part, p, i)
+        joined = lambda p: F.concat(get(p, 1), F.lit("*"), _family(get(p, 2)), F.lit(":"), _code(get(p, 3)))
+        # without a colon the last two digits are the code, or the last three of six
+        gene = F.coalesce(*(F.nullif(get(p, 1), F.lit("")) for p in (_ANIMAL_COLON, _ANIMAL_PLAIN, _ANIMAL_ONE)))
+        named = F.when(part.rlike(_ANIMAL_COLON), joined(_ANIMAL_COLON)).when(part.rlike(_ANIMAL_PLAIN), joined(_ANIMAL_PLAIN)).when(part.rlike(_ANIMAL_ONE), F.concat(gene, get(_ANIMAL_ONE, 2)))
+        return F.when(F.array_contains(genes, gene), named)
+
+    parts = F.split(F.regexp_replace(F.regexp_extract(s, _PREFIX, 2), rf"([/-])({alternatives(SPECIES)})-", "$1"), "/|-(?=D)")
+    chains = F.transform(parts, chain)
+    whole = F.when(F.size(chains) <= 2, F.array_join(F.when(~F.exists(chains, lambda c: c.isNull()), chains), "-"))
+    return F.concat(F.element_at(_map_of((n.upper(), n) for n in SPECIES), species), F.lit("-"), whole)
+
+
 def normalize_allele(raw: Column, omit_dra1: bool = False, infer_pair: bool = True, strict: bool = False) -> Column:
     """The normal form of an allele name, e.g. ``HLA-A*02:01``, ``HLA-DRA1*01:01-DRB1*15:01``, ``H-2-Kb``, ``H-2-IAb``.
 
-    Takes pairs joined by ``/``, ``;`` or ``-``, ``_`` for ``*``, names without separators, and serotypes (``A2``). A
+    Takes pairs joined by ``/``, ``;`` or ``-``, ``_`` for ``*``, names without separators, and serotypes (``A2``, ``DR4``, ``Cw7``: the allele that
+    stands for it, alone). Names of other species (``BoLA-1*023:01``, ``Mamu-A1*001:01``) are those of :mod:`epitrail.functions.nomenclature`. A
     DRB chain alone gets the usual alpha chain if ``infer_pair``; ``omit_dra1`` leaves that chain out. Names with
     trailing annotations, like everything else that is not understood, give null, or an error if ``strict``.
     """
@@ -70,7 +103,9 @@ def normalize_allele(raw: Column, omit_dra1: bool = False, infer_pair: bool = Tr
             locus.rlike(pair) & same, F.concat(F.lit("H-2-I"), ex(pair, 1), F.lower(ex(pair, 2)))
         )
         chains = F.transform(F.split(F.regexp_replace(s, r"HLA-?", ""), "[/-]"), _human)
-        return F.when(s.rlike(r"^H-?2-?."), murine).otherwise(let(chains, human))
+        serotype = F.element_at(_map_of(SEROTYPES.items()), F.regexp_replace(s, r"^HLA-?", ""))
+        human_name = F.coalesce(F.concat(F.lit("HLA-"), serotype), let(chains, human))
+        return F.when(s.rlike(r"^H-?2-?."), murine).when(s.rlike(_PREFIX), _animal(s)).otherwise(human_name)
 
     def human(chains: Column) -> Column:
         alpha, beta, default = F.get(chains, F.lit(0)), F.get(chains, F.lit(1)), F.lit("DRA1*01:01")
@@ -87,6 +122,12 @@ def normalize_allele(raw: Column, omit_dra1: bool = False, infer_pair: bool = Tr
     return out
 
 
+def with_normal_names(df: DataFrame, column: str, into: str = "allele", **options) -> DataFrame:
+    """``df`` with the normal forms of a column of names: each distinct name is read once, and joined back."""
+    names = df.select(F.col(column).alias("_raw")).distinct().withColumn(into, normalize_allele(F.col("_raw"), **options))
+    return df.join(names, F.col(column).eqNullSafe(F.col("_raw")), "left").drop("_raw")
+
+
 def split_alleles(text: Column) -> Column:
     """Names separated by commas or white space, as an array without empty ones."""
     return F.filter(F.split(text, r"[,\s]+"), lambda x: x != "")
@@ -101,11 +142,12 @@ def distinct_alleles(df: DataFrame, column: str = "allele", **options) -> DataFr
 
 def allele_parts(allele: Column) -> Column:
     """species, gene, family, code of each chain of a normal form."""
-    chain = r"([A-Z]+[0-9]?)\*([0-9]+):([0-9]+)"
+    chain = r"([A-Z0-9.]+)\*([0-9]+):([0-9]+)"
+    species = F.regexp_extract(allele, "^([A-Za-z]+)-", 1)
     human = F.transform(
-        F.split(F.regexp_replace(allele, "^HLA-", ""), "-"),
+        F.split(F.regexp_replace(allele, "^[A-Za-z]+-", ""), "-"),
         lambda p: F.struct(
-            F.lit("HLA").alias("species"), F.regexp_extract(p, chain, 1).alias("gene"),
+            species.alias("species"), F.regexp_extract(p, chain, 1).alias("gene"),
             F.regexp_extract(p, chain, 2).alias("allele_family"), F.regexp_extract(p, chain, 3).alias("allele_code"),
         ),
     )

@@ -42,3 +42,57 @@ def test_text(spark):
         assert spark.range(1).select(int_list(F.lit(text))).first()[0] == want
     assert spark.range(1).select(parse_version(F.lit("v4.2c"))).first()[0] == [4, 2]
     assert models_path(None) is None and models_path("~/x").startswith("/")
+
+
+ANIMALS = {
+    "BoLA-1:02301": "BoLA-1*23:01",
+    "BoLA-1*023:01": "BoLA-1*23:01",
+    "bola-6*01301": "BoLA-6*13:01",
+    "BoLA-NC1*00101": "BoLA-NC1*01:01",
+    "SLA-1*01:01": "SLA-1*01:01",
+    "SLA-20502": "SLA-2*05:02",
+    "Patr-A*01:01": "Patr-A*01:01",
+    "Patr-B0101": "Patr-B*01:01",
+    "DLA-88*50101": "DLA-88*501:01",
+    "DLA-88*501:01": "DLA-88*501:01",
+    "Mamu-A1*001:01": "Mamu-A1*01:01",
+    "Mamu-A1*00101": "Mamu-A1*01:01",
+    "Mamu-A01": "Mamu-A01",
+    "Mamu-DPA1*02:01-DPB1*15:01": "Mamu-DPA1*02:01-DPB1*15:01",
+    "Mamu-DPA1*02:01/Mamu-DPB1*15:01": "Mamu-DPA1*02:01-DPB1*15:01",
+    "Gaga-BF2*21:01": "Gaga-BF2*21:01",
+    "Eqca-1*001:01": "Eqca-1*01:01",
+    "HLA-DR4": "HLA-DRB1*04:01",
+    "DR17": "HLA-DRB1*03:01",
+    "HLA-Cw7": "HLA-C*07:01",
+    "HLA-DQ8": "HLA-DQB1*03:02",
+    "HLA-DPw4": "HLA-DPB1*04:01",
+    "A2": "HLA-A*02:01",
+    # unknown genes, species, annotations and serotypes
+    "SLA-88*01:01": None,
+    "Mamu-A1*001:01N": None,
+    "Xyz-A*01:01": None,
+    "HLA-DR99": None,
+    "HLA-Cw7Q": None,
+    "Patr-": None,
+}
+
+
+def test_animals_and_serotypes(spark):
+    df = spark.createDataFrame([(n,) for n in ANIMALS] * 2, "raw string")
+    from epitrail.functions.alleles import with_normal_names
+
+    assert {r.raw: r.a for r in df.select("raw", normalize_allele(F.col("raw")).alias("a")).collect()} == ANIMALS
+    assert {r.raw: r.allele for r in with_normal_names(df, "raw").collect()} == ANIMALS
+    with pytest.raises(Exception, match="Could not parse"):
+        df.where("raw like '%N'").select(normalize_allele(F.col("raw"), strict=True)).collect()
+    parts = spark.createDataFrame([("BoLA-NC1*01:01",), ("DLA-88*501:01",)], "a string").select(allele_parts(F.col("a")))
+    assert [tuple(r[0][0]) for r in parts.collect()] == [("BoLA", "NC1", "01", "01"), ("DLA", "88", "501", "01")]
+
+
+def test_normal_forms_stay(spark):
+    """A normal form's normal form is itself."""
+    names = [a for a in (*ANIMALS.values(), *NAMES.values()) if a]
+    df = spark.createDataFrame([(n,) for n in names], "raw string")
+    kept = df.select("raw", normalize_allele(F.col("raw"), infer_pair=False).alias("a")).collect()
+    assert [r.raw for r in kept] == [r.a for r in kept]
