@@ -18,7 +18,7 @@ from epitrail.predictors.base import ExpressionPredictor, MultiSample, RandomPre
 from epitrail.predictors.processing import ProcessingPredictor, ProteasomePredictor
 from epitrail.schema import Kind, canonical, describe, from_json, from_legacy, legacy, to_json
 from epitrail.predictors.tools import ToolPredictor
-from epitrail.sources.files import read_fasta, read_mixmhcpred
+from epitrail.sources.files import read_fasta, read_mixmhcpred, scratch_path
 from epitrail.sources.layouts import LAYOUTS
 from epitrail.sources.stdout import data_lines, parse_by_header, parse_iedb, parse_layout, parse_netchop, prefer_kind, tokens
 
@@ -679,7 +679,7 @@ def iedb_output(spark, sf):
 def mixmhcpred_table(spark, sf):
     """A table of the program's form, written and read back."""
     w = windows.kmers(proteins(spark, sf), [9]).select("peptide").distinct()
-    path = _scratch(spark, "mixmhcpred")
+    path = scratch_path(spark, "mixmhcpred")
     columns = {"Peptide": F.col("peptide"), "Score_bestAllele": _score(), "BestAllele": F.lit("A0201"), "%Rank_bestAllele": (_value() % 100).cast("string")}
     w.select(*(c.alias(n) for n, c in columns.items())).write.csv(path, sep="\t", header=True)
     return read_mixmhcpred(spark, path).select("peptide", "allele", "kind", "predictor_name", "score", "percentile_rank")
@@ -690,25 +690,11 @@ def fasta_records(spark, sf):
     """Proteins written as FASTA, in lines of at most 60 letters and small ones among them, and read back."""
     seq = proteins(spark, sf)
     lines = F.array_join(F.regexp_extract_all(F.lower("seq"), F.lit("(.{1,60})"), F.lit(1)), "\n")
-    path = _scratch(spark, "fasta")
+    path = scratch_path(spark, "fasta")
     seq.select(F.concat(F.lit(">p"), "name", F.lit(" a description\n"), lines).alias("value")).write.text(path)
     return read_fasta(spark, path)
 
 
-def _scratch(spark, name: str) -> str:
-    """A folder of its own in the one that executors share."""
-    import uuid
-
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="epitrail-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {SAMPLES} SELECT DISTINCT allele FROM samp WHERE allele NOT IN ('HLA-A*02:01', 'HLA-B*07:02')")
 def unsupported_alleles(spark, sf):
     """Alleles of the samples that a tool does not list."""

@@ -9,6 +9,7 @@ import subprocess
 import tempfile
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 
 from epitrail.functions.alleles import normalize_allele, render_allele
 from epitrail.operators import checks
-from epitrail.operators.windows import peptides
+from epitrail.operators.quarantine import quarantined
+from epitrail.operators.combine import pairs
+from epitrail.operators.windows import distinct_peptides, peptides
 from epitrail.predictors.base import Predictor
 from epitrail.schema import Kind
+from epitrail.sources.files import scratch_path
 from epitrail.sources.layouts import LAYOUTS
 from epitrail.sources.stdout import parse_by_header, parse_layout
 
@@ -62,6 +66,46 @@ def run_on_text(df: DataFrame, column: str, command: Callable[[str], list[str]],
     return df.mapInPandas(run, schema + ",text:string")
 
 
+@contextmanager
+def one_of(name: str, limit: int | None) -> Iterator[None]:
+    """At most ``limit`` holders of a name at once on this host, whatever executors run there; None: no limit.
+
+    Each slot is a locked file; the system unlocks it when its process ends, however it ends.
+    """
+    if limit is None:
+        yield
+        return
+    import fcntl
+
+    files = [open(Path(tempfile.gettempdir(), f"epitrail-{re.sub(r'[^A-Za-z0-9]', '_', name)}-{i}.lock"), "a") for i in range(limit)]
+    try:
+        while True:
+            for f in files:
+                try:
+                    fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                except BlockingIOError:
+                    continue
+                yield
+                return
+            time.sleep(0.05)
+    finally:
+        for f in files:
+            f.close()
+
+
+def limited(spark, name: str, limit: int | None):
+    """The resource profile of a stage whose tasks each take one unit of the executors' resource ``name``; None where there is no limit or no such resource.
+
+    With ``spark.executor.resource.<name>.amount`` set to the limit, as many tasks run on an executor and the other cores are free for other stages. Without it,
+    as in local mode, :func:`one_of` alone keeps the limit, and tasks that wait hold their cores.
+    """
+    if limit is None or spark.conf.get(f"spark.executor.resource.{name}.amount", None) is None:
+        return None
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    return ResourceProfileBuilder().require(TaskResourceRequests().resource(name, 1)).build
+
+
 @dataclass(frozen=True)
 class Tool:
     """How a program is called and what it writes.
@@ -84,6 +128,8 @@ class Tool:
     least: int = 8
     most: int | None = None
     one_length: bool = False
+    #: Processes on a host at once; None: as many as there are tasks.
+    limit: int | None = None
 
 
 _CLASS2 = {"list_flags": ("-list",), "peptide_flags": ("-inptype", "1"), "temp_flag": "-tdir", "style": "class2", "lengths": tuple(range(15, 21)), "least": 9}
@@ -92,7 +138,7 @@ _PAN2 = {"program": "netMHCIIpan", **_CLASS2}
 
 # The programs' own flags and limits.
 TOOLS = {
-    "netmhc3": Tool("netMHC", "netmhc3", "--mhc", None, (), ("--nodirect",), list_flags=("-A",), by_length=True),
+    "netmhc3": Tool("netMHC", "netmhc3", "--mhc", None, (), ("--nodirect",), list_flags=("-A",), by_length=True, limit=1),
     "netmhc4": Tool("netMHC", "netmhc4", temp_flag="-tdir", style="compact"),
     "netmhccons": Tool("netMHCcons", "netmhccons", peptide_flags=("-inptype", "1"), temp_flag="-tdir", list_flags=(), by_length=True),
     "netmhcpan28": Tool(**_PAN, parser="header", by_length=True),
@@ -152,40 +198,51 @@ class ToolPredictor(Predictor):
         one.prefer = self.kind
         return one
 
-    def run(self, asked: DataFrame) -> DataFrame:
-        """``text``: the output of each process."""
-        tool, program, batch = self.tool, self.program, self.batch
+    def run(self, asked: DataFrame, strict: bool = True) -> DataFrame:
+        """``text``: the output of each process; unless ``strict``, also the pairs that fail: see :func:`epitrail.operators.quarantine.quarantined`."""
+        tool, program = self.tool, self.program
         spelled = asked.select("peptide", render_allele(F.col("allele"), tool.style).alias("allele"), (F.length("peptide") if tool.by_length else F.lit(0)).alias("n"))
         dealt = spelled.repartition("allele", "n", spread(spelled)).sortWithinPartitions("allele", "n")
 
-        def process(rows: list[str], allele: str) -> str:
-            with tempfile.TemporaryDirectory() as folder:
+        def process(rows: list[str], key: tuple) -> str:
+            with tempfile.TemporaryDirectory() as folder, one_of(program, tool.limit):
                 path = Path(folder, "peptides")
                 path.write_text("".join(f"{p}\n" for p in rows))
-                return run_program(build_command(tool, program, allele, str(path), folder))
-
-        def run(batches: Iterator) -> Iterator:
-            import pandas as pd
-
-            key, rows = None, []
-            for pdf in batches:
-                for peptide, *now in pdf[["peptide", "allele", "n"]].itertuples(index=False):
-                    if rows and (now != key or len(rows) >= batch):
-                        yield pd.DataFrame({"text": [process(rows, key[0])]})
-                        rows = []
-                    key = now
-                    rows.append(peptide)
-            if rows:
-                yield pd.DataFrame({"text": [process(rows, key[0])]})
+                text = run_program(build_command(tool, program, key[0], str(path), folder))
+            if not strict and (said := re.search(r"(?i)ERROR[^\n]*", text)):
+                raise RuntimeError(said[0])
+            return text
 
-        return dealt.mapInPandas(run, "text string")
+        return quarantined(dealt, process, self.batch, strict, limited(self.spark, self.name, tool.limit))
 
-    def score(self, asked: DataFrame) -> DataFrame:
-        text = self.run(asked)
+    def _parsed(self, text: DataFrame) -> DataFrame:
         if self.tool.parser == "header":
             return parse_by_header(text, self.name, prefer=self.prefer)
         return parse_layout(text, self.tool.parser, self.name, legacy_kind=self.legacy_kind)
 
+    def score(self, asked: DataFrame) -> DataFrame:
+        return self._parsed(self.run(asked))
+
+    def predict_or_quarantine(self, given) -> tuple[DataFrame, DataFrame]:
+        """Canonical rows of the peptides that pass, and a table of those that do not: ``peptide, allele, batch, reason``.
+
+        Peptides that break a rule are in it once, without an allele. Of the others a batch with which the program fails, or in whose output it reports an error, is halved
+        until the peptide at fault is alone; all others are scored. The outputs are written to the shared folder once, so no program runs twice for the two tables.
+        """
+        df = given if isinstance(given, DataFrame) else peptides(self.spark, given)
+        good, bad = (checks.split_valid(df, least=self.least_length, most=self.most_length) if self.validates else (df, df.where("FALSE").withColumn("violation", F.lit(""))))
+        path = scratch_path(self.spark, "tool-output")
+        # in folders of their own, so that no parser ever sees a row that has no output
+        made = self.run(pairs(distinct_peptides(good), self.alleles), strict=False).withColumn("failed", F.col("reason").isNotNull())
+        made.write.partitionBy("failed").parquet(path)
+        ran = self.spark.read.schema(made.schema).parquet(path)
+        # the name that the program was given, back to the one that was asked for
+        spelled = self.alleles.select(render_allele(F.col("allele"), self.tool.style).alias("_spelled"), F.col("allele").alias("_asked"))
+        failed = ran.where("failed").withColumn("_spelled", F.substring_index("group", "/", 1)).join(F.broadcast(spelled), "_spelled", "left")
+        invalid = bad.select("peptide", F.lit(None).cast("string").alias("allele"), F.lit(None).cast("string").alias("batch"), F.col("violation").alias("reason")).distinct()
+        errors = failed.select(F.col("item").alias("peptide"), F.coalesce("_asked", "_spelled").alias("allele"), "batch", "reason")
+        return self._canonical(self._parsed(ran.where("NOT failed").select("text"))), invalid.unionByName(errors)
+
 
 def supported_alleles(spark, program: str, flags: tuple[str, ...]) -> DataFrame:
     """``allele``: what a program says it knows; lines that are no names are left out."""

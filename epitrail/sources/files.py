@@ -11,6 +11,20 @@ from epitrail.operators.windows import kmers, peptide_lengths
 from epitrail.schema import COLUMNS, canonical
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the one that driver and executors share, ``spark.checkpoint.dir``; where that is unset a local session gets a new one."""
+    import uuid
+
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        shared = tempfile.mkdtemp(prefix="epitrail-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_peptides(spark: SparkSession, path: str) -> DataFrame:
     """``peptide``: one a line without the white space around it; empty lines are left out."""
     return spark.read.text(path).select(F.trim("value").alias("peptide")).where("peptide != ''")
@@ -99,8 +113,54 @@ def read_mixmhcpred(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
-    """With a header. One file suits a table that one task can write; otherwise a file a partition."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    """With a header, into the folder ``path``: as one file, ``part-00000.csv``, or a file a partition, each with its header.
+
+    All partitions are written in parallel in either case. For one file they are then joined in order below one header: by the file system's own concatenation where it
+    has one (HDFS), which moves no data; elsewhere the driver streams them, a buffer at a time. The rows, and their order, are those that one task would write.
+    """
+    options = {"emptyValue": ""}
+    if not one_file:
+        df.write.mode("overwrite").options(header=True, **options).csv(path)
+        return
+    import csv
+    import io
+    import uuid
+
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = lambda *names: jvm.org.apache.hadoop.fs.Path("/".join(names))
+    folder = path.rstrip("/")
+    parts_at = f"{folder}.parts-{uuid.uuid4().hex}"
+    fs = place(folder).getFileSystem(conf)
+    head = io.StringIO()
+    csv.writer(head, lineterminator="\n").writerow(df.columns)
+    try:
+        df.write.options(header=False, **options).csv(parts_at)
+        parts = sorted(str(x.getPath()) for x in fs.listStatus(place(parts_at)) if x.getPath().getName().startswith("part-") and x.getLen())
+        fs.delete(place(folder), True)
+        target = place(folder, "part-00000.csv")
+
+        def begun():
+            out = fs.create(target, True)
+            out.write(bytearray(head.getvalue().encode()))
+            return out
+
+        begun().close()
+        paths = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts))
+        for i, p in enumerate(parts):
+            paths[i] = place(p)
+        try:
+            if parts:
+                fs.concat(target, paths)
+        except Exception:  # this file system does not concatenate
+            out = begun()
+            for p in parts:
+                source = fs.open(place(p))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                source.close()
+            out.close()
+    finally:
+        fs.delete(place(parts_at), True)
 
 
 def write_results(df: DataFrame, path: str) -> None:

@@ -20,7 +20,7 @@ def number(token: Column) -> Column:
 def guarded(text: Column, program: str) -> Column:
     """The text; an error with the rest of the line if the tool reports one."""
     line = F.regexp_extract(text, r"(?i)(ERROR[^\n]*)", 1)
-    return F.when(line == "", text).otherwise(F.raise_error(F.concat(F.lit(f"{program} failed: "), line)).cast("string"))
+    return F.when(text.isNull() | (line == ""), text).otherwise(F.raise_error(F.concat(F.lit(f"{program} failed: "), line)).cast("string"))
 
 
 def data_lines(text: Column) -> Column:

@@ -313,3 +313,22 @@ def test_stream(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() == want
+
+
+def test_csv_in_one_file_is_what_one_task_writes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from epitrail.sources.files import write_csv
+
+    rows = spark.range(0, 1000, 1, 7).select(F.col("id").alias("n"), F.when(F.col("id") % 5 == 0, 'a "quoted", text').when(F.col("id") % 7 == 0, "").alias("odd, name"), F.when(F.col("id") % 3 > 0, F.col("id") / 7).alias("x"))
+    for name, df in {"range": rows, "sorted": rows.repartition(5).orderBy(F.desc("n")), "none": rows.where("n < 0")}.items():
+        write_csv(df, f"{tmp_path}/{name}")
+        df.coalesce(1).write.option("header", True).option("emptyValue", "").csv(f"{tmp_path}/{name}-one")
+        (one,) = (tmp_path / f"{name}-one").glob("part-*.csv")
+        assert (tmp_path / name / "part-00000.csv").read_bytes() == one.read_bytes()
+    write_csv(rows, f"{tmp_path}/range")  # again
+    assert sorted(p.name for p in tmp_path.iterdir() if ".parts-" in p.name) == []
+    back = spark.read.csv(f"{tmp_path}/range", header=True)
+    assert back.count() == 1000
+    write_csv(rows, f"{tmp_path}/many", one_file=False)
+    assert len(list((tmp_path / "many").glob("part-*.csv"))) == 7 and spark.read.csv(f"{tmp_path}/many", header=True).count() == 1000
