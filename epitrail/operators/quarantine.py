@@ -6,17 +6,14 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
-#: Failures in a row, without one success, after which the fault is taken to lie elsewhere than in the items.
-PATIENCE = 40
-
 ERRORS = "item string, group string, batch string, reason string"
 
 
-def bisected(items: list, attempt: Callable[[list], object], patience: int = PATIENCE) -> Iterator[tuple[list, object, str | None]]:
+def bisected(items: list, attempt: Callable[[list], object], patience: int | None = None) -> Iterator[tuple[list, object, str | None]]:
     """(items, result, None) of the parts of a batch that succeed, in order, and ([item], None, reason) of each item that fails alone.
 
-    k items at fault among n cost some 2 k log2(n) attempts. An ``OSError``, as of a program that is not there, is no item's fault and is raised; so is the last error
-    after ``patience`` failures without any success.
+    k items at fault among n cost some 2 k log2(n) attempts, and no more than 2 n. An ``OSError``, as of a program that is not there, is no item's fault and is raised; so is
+    the last error after ``patience`` failures without any success, if a patience is given: for programs and services that may be down, where whole batches of bad items do not occur.
     """
     waiting, failures, succeeded = [items], 0, False
     while waiting:
@@ -27,7 +24,7 @@ def bisected(items: list, attempt: Callable[[list], object], patience: int = PAT
             raise
         except Exception as e:
             failures += 1
-            if not succeeded and failures >= patience and len(items) > 1:
+            if patience is not None and not succeeded and failures >= patience:
                 raise
             if len(part) == 1:
                 yield part, None, f"{type(e).__name__}: {e}"
@@ -52,11 +49,11 @@ def batches_by(rows: Iterator[tuple], size: int) -> Iterator[tuple[tuple, list]]
         yield tuple(key), items
 
 
-def quarantined(df: DataFrame, attempt: Callable[[list, tuple], str], size: int, strict: bool, profile=None) -> DataFrame:
+def quarantined(df: DataFrame, attempt: Callable[[list, tuple], str], size: int, strict: bool, profile=None, patience: int | None = None) -> DataFrame:
     """``text, item, group, batch, reason``: the result of each batch, or of its parts, in ``text``; and a row with a ``reason`` for each item that fails alone.
 
     ``df``: the item, then its key, ordered by key within partitions; ``attempt(items, key)`` gives a text. ``strict``: the first failure is raised. ``batch`` names partition and
-    number, so that a failure can be found in the logs. ``profile``: a resource profile of the stage.
+    number, so that a failure can be found in the logs. ``profile``: a resource profile of the stage. ``patience``: see :func:`bisected`.
     """
 
     def run(frames: Iterator) -> Iterator:
@@ -70,7 +67,7 @@ def quarantined(df: DataFrame, attempt: Callable[[list, tuple], str], size: int,
             if strict:
                 yield pd.DataFrame([(attempt(items, key), None, None, None, None)], columns=columns)
                 continue
-            for some, text, reason in bisected(items, lambda x, key=key: attempt(x, key)):
+            for some, text, reason in bisected(items, lambda x, key=key: attempt(x, key), patience):
                 told = (text, None, None, None, None) if reason is None else (None, some[0], "/".join(map(str, key)), f"{part}-{number}", reason)
                 yield pd.DataFrame([told], columns=columns)
 

@@ -142,27 +142,27 @@ def kmer_counts(spark, sf):
     return windows.window_counts(document_proteins(spark, sf), [9, 10]).groupBy("k").agg(F.sum("n").alias("n_windows"), F.count("*").alias("n_sequences"))
 
 
-#: 48 bits of a text's md5 as a number, so that sums of them tell whether two sides have the same rows.
-SUM48 = "sum(('0x' || substr(md5({}), 1, 12))::BIGINT)::BIGINT"
+#: 32 bits of a text's md5 as a number, so that sums of them tell whether two sides have the same rows.
+SUM32 = "sum(('0x' || substr(md5({}), 1, 8))::BIGINT)::BIGINT"
 
 
-def _sum48(text: Column) -> Column:
-    return F.sum(F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long"))
+def _sum32(text: Column) -> Column:
+    return F.sum(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"))
 
 
-@query(f"""WITH {DOCS}, {_win(8, 11)} SELECT name, k, count(*) AS n, min(peptide) AS first, max(peptide) AS last, {SUM48.format("\"offset\" || ':' || peptide")} AS digest FROM win GROUP BY name, k""")
+@query(f"""WITH {DOCS}, {_win(8, 11)} SELECT name, k, count(*) AS n, min(peptide) AS first, max(peptide) AS last, {SUM32.format("\"offset\" || ':' || peptide")} AS digest FROM win GROUP BY name, k""")
 def document_kmers(spark, sf):
     """Every window of all documents, cut, by document and length: a digest of places and letters tells them all."""
     w = windows.kmers(document_proteins(spark, sf), [8, 11]).withColumn("k", F.length("peptide"))
     place = F.concat(F.col("offset").cast("string"), F.lit(":"), "peptide")
-    return w.groupBy("name", "k").agg(F.count("*").alias("n"), F.min("peptide").alias("first"), F.max("peptide").alias("last"), _sum48(place).alias("digest"))
+    return w.groupBy("name", "k").agg(F.count("*").alias("n"), F.min("peptide").alias("first"), F.max("peptide").alias("last"), _sum32(place).alias("digest"))
 
 
-@query(f"""WITH {DOCS}, {_win(9)} SELECT name, count(*) AS n, {SUM48.format("substr(seq, greatest(\"offset\" - 3, 0) + 1, least(\"offset\", 3)) || '<' || peptide || '>' || substr(seq, \"offset\" + 10, 3)")} AS digest FROM win GROUP BY name""")
+@query(f"""WITH {DOCS}, {_win(9)} SELECT name, count(*) AS n, {SUM32.format("substr(seq, greatest(\"offset\" - 3, 0) + 1, least(\"offset\", 3)) || '<' || peptide || '>' || substr(seq, \"offset\" + 10, 3)")} AS digest FROM win GROUP BY name""")
 def document_flanks(spark, sf):
     """Every window of all documents with its flanks, by document."""
     w = windows.kmers(document_proteins(spark, sf), [9], flank_length=3)
-    return w.groupBy("name").agg(F.count("*").alias("n"), _sum48(F.concat("n_flank", F.lit("<"), "peptide", F.lit(">"), "c_flank")).alias("digest"))
+    return w.groupBy("name").agg(F.count("*").alias("n"), _sum32(F.concat("n_flank", F.lit("<"), "peptide", F.lit(">"), "c_flank")).alias("digest"))
 
 
 @query(f"WITH {PROT}, {_win(9, 10)} SELECT DISTINCT peptide FROM win")

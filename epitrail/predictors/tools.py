@@ -198,7 +198,7 @@ class ToolPredictor(Predictor):
         one.prefer = self.kind
         return one
 
-    def run(self, asked: DataFrame, strict: bool = True) -> DataFrame:
+    def run(self, asked: DataFrame, strict: bool = True, patience: int | None = None) -> DataFrame:
         """``text``: the output of each process; unless ``strict``, also the pairs that fail: see :func:`epitrail.operators.quarantine.quarantined`."""
         tool, program = self.tool, self.program
         spelled = asked.select("peptide", render_allele(F.col("allele"), tool.style).alias("allele"), (F.length("peptide") if tool.by_length else F.lit(0)).alias("n"))
@@ -213,7 +213,7 @@ class ToolPredictor(Predictor):
                 raise RuntimeError(said[0])
             return text
 
-        return quarantined(dealt, process, self.batch, strict, limited(self.spark, self.name, tool.limit))
+        return quarantined(dealt, process, self.batch, strict, limited(self.spark, self.name, tool.limit), patience)
 
     def _parsed(self, text: DataFrame) -> DataFrame:
         if self.tool.parser == "header":
@@ -223,7 +223,7 @@ class ToolPredictor(Predictor):
     def score(self, asked: DataFrame) -> DataFrame:
         return self._parsed(self.run(asked))
 
-    def predict_or_quarantine(self, given) -> tuple[DataFrame, DataFrame]:
+    def predict_or_quarantine(self, given, patience: int | None = None) -> tuple[DataFrame, DataFrame]:
         """Canonical rows of the peptides that pass, and a table of those that do not: ``peptide, allele, batch, reason``.
 
         Peptides that break a rule are in it once, without an allele. Of the others a batch with which the program fails, or in whose output it reports an error, is halved
@@ -233,7 +233,7 @@ class ToolPredictor(Predictor):
         good, bad = (checks.split_valid(df, least=self.least_length, most=self.most_length) if self.validates else (df, df.where("FALSE").withColumn("violation", F.lit(""))))
         path = scratch_path(self.spark, "tool-output")
         # in folders of their own, so that no parser ever sees a row that has no output
-        made = self.run(pairs(distinct_peptides(good), self.alleles), strict=False).withColumn("failed", F.col("reason").isNotNull())
+        made = self.run(pairs(distinct_peptides(good), self.alleles), False, patience).withColumn("failed", F.col("reason").isNotNull())
         made.write.partitionBy("failed").parquet(path)
         ran = self.spark.read.schema(made.schema).parquet(path)
         # the name that the program was given, back to the one that was asked for

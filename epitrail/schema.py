@@ -103,6 +103,24 @@ def from_json(df: DataFrame, column: str = "json") -> DataFrame:
     return canonical(df.select(F.from_json(column, PREDICTION.simpleString()).alias("r")).select("r.*"))
 
 
+def to_nested_json(df: DataFrame, key=("sample_name", "peptide", "offset", "source_sequence_name")) -> DataFrame:
+    """The ``key`` and ``json``: an object a peptide and place, ``{"preds": [..]}``, with its predictions in input order (``ord``) where it is known, else in that of their contents.
+
+    A prediction has all columns but the sample's name, as in the flat form.
+    """
+    fields = [c for c in COLUMNS if c != "sample_name"]
+    one = F.struct(*(c for c in ("ord",) if c in df.columns), F.struct(*fields).alias("pred"))
+    preds = F.transform(F.sort_array(F.collect_list(one)), lambda x: x["pred"]).alias("preds")
+    return df.groupBy(*key).agg(preds).select(*key, F.to_json(F.struct("preds"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def from_nested_json(df: DataFrame, column: str = "json") -> DataFrame:
+    """Canonical rows, and ``ord``, their place in the list, from objects of :func:`to_nested_json`; ``sample_name`` is that of the row if it has one. Unknown keys are dropped."""
+    kept = [c for c in ("sample_name",) if c in df.columns]
+    each = df.select(*kept, F.posexplode(F.from_json(column, f"struct<preds: array<{PREDICTION.simpleString()}>>")["preds"]).alias("ord", "r"))
+    return canonical(each.select(*kept, "ord", *(F.col(f"r.{c}") for c in COLUMNS if c not in kept)), keep=("ord",))
+
+
 def four_digits(x: Column) -> Column:
     """A number as text with four significant digits, no zeros at the end, and an exponent under 1e-4 and from 1e4 on (``%.4g``).
 

@@ -40,9 +40,11 @@ def test_faults_that_are_no_items():
         list(bisected([1, 2, 3], missing))
     calls = []
     with pytest.raises(RuntimeError, match="license"):
-        list(bisected(list(range(10_000)), down))
+        list(bisected(list(range(10_000)), down, patience=40))
     assert len(calls) == 40
     calls = []
+    assert len(list(bisected(list(range(64)), down))) == 64 and len(calls) == 127  # a whole batch at fault
+    calls = []
     assert [r for _, _, r in bisected([1], down)] == ["RuntimeError: no license"]
 
 
