@@ -16,7 +16,7 @@ COMPARED = (
     "protein_predictions legacy_view completeness_missing best_by_score best_by_rank best_table null_tolerant_filters validate_peptides multi_sample_union "
     "multi_predictor_union parse_layout_rows parse_header_rows allele_names kmer_counts cleavage_summary peptides_with_flanks described_rows "
     "completeness_unexpected netchop_output iedb_output mixmhcpred_table fasta_records unsupported_alleles one_length_groups output_lines "
-    "document_kmers document_flanks document_cterm_mean_internal document_nterm_cterm_max_internal document_fasta log_lines document_completeness quarantined_peptides "
+    "document_flanks document_nterm_cterm_max_internal quarantined_peptides "
     "first_of_equals nested_json spelled_alleles spelled_alleles_once part_ranges part_versions legacy_netmhcpan41_ba legacy_netmhcpan41_el header_preferred_kinds parse_netmhc3 parse_netmhciipan4_ba parse_netmhciipan43_el_old_columns"
 ).split()
 
