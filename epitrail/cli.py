@@ -32,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     mhc.add_argument("--mhc-alleles", default="")
     mhc.add_argument("--mhc-alleles-file")
     mhc.add_argument("--do-not-raise-on-error", action="store_true")
+    p.add_argument("--log-config", help="a logging configuration file; by default messages go to standard error")
     given = p.add_argument_group("input")
     given.add_argument("--sequence", nargs="*", help="peptides, or sequences to scan")
     given.add_argument("--extract-subsequences", action="store_true", help="scan the given sequences")
@@ -78,8 +79,24 @@ def results(spark: SparkSession, args) -> DataFrame:
     return thresholds(legacy(union(made)), args.max_affinity, args.max_percentile_rank, args.min_score)
 
 
+def configure_logging(path: str | None = None) -> None:
+    """Messages of the library to standard error from INFO on, or as a file in the format of ``logging.config.fileConfig`` says."""
+    if path is not None:
+        from logging.config import fileConfig
+
+        fileConfig(path, disable_existing_loggers=False)
+        return
+    own = logging.getLogger("epitrail")
+    if not own.handlers:
+        handler = logging.StreamHandler()
+        handler.setFormatter(logging.Formatter("%(asctime)s %(name)s %(levelname)s %(message)s"))
+        own.addHandler(handler)
+    own.setLevel(logging.INFO)
+
+
 def main(argv: list[str] | None = None) -> DataFrame:
     args = parser().parse_args(sys.argv[1:] if argv is None else argv)
+    configure_logging(args.log_config)
     spark = SparkSession.builder.appName("epitrail").getOrCreate()
     out = results(spark, args)
     if args.output_csv:

@@ -155,3 +155,30 @@ def describe(df: DataFrame) -> DataFrame:
         some(F.col("predictor_name") != "", F.col("predictor_name")),
     )
     return df.select(F.concat(F.lit("Prediction("), parts, F.lit(")")).alias("text"))
+
+
+def describe_peptides(df: DataFrame, key=("peptide", "offset", "source_sequence_name")) -> DataFrame:
+    """The ``key`` and a short text of each peptide and place, in ``text``: how many predictions there are, and of which kinds.
+
+    Kinds stand in the order in which they come first (``ord``) where that is known, else by name.
+    """
+    place = [F.min("ord").alias("first")] if "ord" in df.columns else []
+    counts = df.groupBy(*key, "kind").agg(F.count("*").alias("n"), *place)
+    one = F.struct(*(["first"] if place else []), "kind", "n")
+    groups = counts.groupBy(*key).agg(F.sum("n").alias("n_preds"), F.sort_array(F.collect_list(one)).alias("kinds"))
+    kinds = F.array_join(F.transform("kinds", lambda x: F.concat(x["n"].cast("string"), F.lit("\u00d7"), x["kind"])), ", ")
+    peptide = F.when(F.col("peptide") == "", "?").otherwise(F.col("peptide"))
+    text = F.concat(F.lit("PeptideResult("), peptide, F.lit(", "), F.col("n_preds").cast("string"), F.lit(" preds: "), kinds, F.lit(")"))
+    return groups.select(*key, text.alias("text"))
+
+
+def describe_legacy(df: DataFrame) -> DataFrame:
+    """A text a row of the older view, in ``text``, with all its own fields; numbers have three decimals (halves are rounded up)."""
+    number = lambda c: F.when(F.col(c).isNull(), "None").otherwise(F.format_string("%.3f", F.col(c).cast("double")))
+    quoted = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
+    parts = {
+        "peptide": quoted("peptide"), "allele": quoted("allele"), "score": number("score"), "percentile_rank": number("percentile_rank"), "affinity": number("affinity"),
+        "source_sequence_name": F.coalesce(quoted("source_sequence_name"), F.lit("None")), "offset": F.col("offset").cast("string"), "prediction_method_name": quoted("prediction_method_name"),
+    }
+    fields = F.concat_ws(", ", *(F.concat(F.lit(f"{name}="), text) for name, text in parts.items()))
+    return df.select(F.concat(F.lit("BindingPrediction("), fields, F.lit(")")).alias("text"))

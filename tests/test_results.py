@@ -150,3 +150,42 @@ def test_described(spark):
     rows = [r.text for r in schema.describe(mixed(spark)).collect()]
     assert "Prediction(KLWPERSTV | HLA-A*02:01 | pMHC_affinity | score=0.71 | value=33.25 | rank=0.40%)" in rows
     assert "Prediction(KLWPERSTV | antigen_processing | score=0.64)" in rows
+
+
+def test_text_forms(spark):
+    rows = spark.createDataFrame(
+        [("AAA", 0, "s", "k2", 0, "x"), ("AAA", 0, "s", "k1", 1, "x"), ("AAA", 0, "s", "k2", 2, "y"), ("", 3, None, "k1", 3, "x")],
+        "peptide string, offset int, source_sequence_name string, kind string, ord long, allele string",
+    )
+    assert {r.offset: r.text for r in schema.describe_peptides(rows).collect()} == {0: "PeptideResult(AAA, 3 preds: 2×k2, 1×k1)", 3: "PeptideResult(?, 1 preds: 1×k1)"}
+    assert schema.describe_peptides(rows.drop("ord")).where("offset = 0").first().text == "PeptideResult(AAA, 3 preds: 1×k1, 2×k2)"
+    older = schema.legacy(schema.canonical(rows.where("ord < 2").withColumn("score", F.lit(0.12345)).withColumn("value", F.when(F.col("ord") == 0, 1234.5678)), predictor_name="p"))
+    assert schema.describe_legacy(older.orderBy("affinity")).collect()[-1].text == (
+        "BindingPrediction(peptide='AAA', allele='x', score=0.123, percentile_rank=None, affinity=1234.568, source_sequence_name='s', offset=0, prediction_method_name='p')"
+    )
+
+
+def test_nested_json(spark):
+    rows = standin(spark).predict_proteins({"one": "SIINFEKLAA", "two": "SIINFEKLAA"}, 9, ordered=True)
+    made = schema.to_nested_json(rows)
+    assert made.count() == 4 and made.first().json.startswith('{"preds":[{"peptide":')
+    back = schema.from_nested_json(made)
+    assert sorted(map(str, back.drop("ord").collect())) == sorted(map(str, rows.drop("ord").collect()))
+    assert {r.allele for r in back.where("ord = 0").collect()} == {"HLA-A*02:01"}
+
+
+def test_logging(spark, tmp_path, capsys):
+    import logging
+
+    from epitrail import cli
+
+    cli.configure_logging()
+    cli.configure_logging()
+    assert len(logging.getLogger("epitrail").handlers) == 1
+    (tmp_path / "log.conf").write_text(
+        "[loggers]\nkeys=root,own\n[handlers]\nkeys=h\n[formatters]\nkeys=f\n[logger_root]\nlevel=WARNING\nhandlers=h\n[logger_own]\nlevel=DEBUG\nhandlers=h\nqualname=epitrail\npropagate=0\n"
+        f"[handler_h]\nclass=FileHandler\nformatter=f\nargs=('{tmp_path}/out.log',)\n[formatter_f]\nformat=%(name)s %(message)s\n"
+    )
+    cli.configure_logging(str(tmp_path / "log.conf"))
+    logging.getLogger("epitrail.cli").debug("told")
+    assert (tmp_path / "out.log").read_text() == "epitrail.cli told\n"
