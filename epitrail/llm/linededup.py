@@ -2,7 +2,7 @@
 
 Lines are compared without white space at their ends and in lower case, by the Jaccard similarity of their sets of five-character shingles.
 
-* Equal lines collapse first; the rest works on distinct lines, each known by its first place.
+* Keys are made for each line where it stands; equal lines then collapse, and the rest works on distinct lines, each known by its first place.
 * A signature takes minima under rotated orders of one hash a shingle: the ``ROWS`` shingle hashes that follow each of
   ``BANDS`` fixed points in cyclic order make a key. All shingles of a line take part, whatever its length.
 * Within a key, lines meet the first line. Lines that still are in different components meet each other, but only pairs whose
@@ -101,7 +101,8 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 
     ``first``: (doc_id, line_no) of the line that stays for the line's component; ``kept``: whether it is this one.
     Blank lines are kept and have no ``first``. Null texts have no lines. A null doc_id counts as the largest. Rows
-    with one doc_id and text have the same lines, kept or not alike. An empty table gives no rows. Other columns take no part.
+    with one doc_id and text have the same lines, kept or not alike. An empty table gives no rows. Texts and lines may be of any
+    length. Other columns, of whatever name, take no part.
     """
     all_lines = lines(docs)
     distinct = saved(distinct_lines(all_lines.where("text != ''"), bands, rows).withColumn("nid", F.monotonically_increasing_id()), "lines")

@@ -107,7 +107,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_E
     ``taken``: words of the row that the mix takes, repeats counted; at most ``epochs`` times its size. A source's slots take its stream of
     shuffled documents block by block, again from the start when it ends, until the target is reached, so that the taken words of a
     source are its target to the word, however small it is. Rows without words take none. Repeated rows are separate rows. An empty
-    table gives no rows. The result depends on the rows alone, not on their order or partitions. Other columns take no part.
+    table gives no rows. A text of any length counts by its words. The result depends on the rows alone, not on their order or
+    partitions. Other columns, of whatever name, take no part.
     """
     measured = saved(sizes(docs), "sizes")
     goals = saved(targets(measured, weights, epochs), "targets")

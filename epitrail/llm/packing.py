@@ -159,7 +159,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
 
     A null or empty text is the end id alone. Repeated rows are separate documents. Sequence ids are unique, not
     consecutive: shard * 2^32 + number in the shard. The packing depends on the rows alone: pieces of a shard are
-    ordered by length and content, so reruns agree. An empty table gives no rows.
+    ordered by length and content, so reruns agree. An empty table gives no rows. A text of any length is read whole, as
+    one; its full windows are sequences of their own. Other columns, of whatever name, take no part.
     """
     cut = pieces(docs, path, window, end_id)
     shards = max(1, -(-docs.count() // shard))

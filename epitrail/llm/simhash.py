@@ -120,7 +120,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
 
     ``component_id`` is the smallest doc_id whose fingerprint can be reached over links of at most ``radius``
     differing bits. Rows with equal fingerprints are linked; null and empty texts share fingerprint 0. A null
-    doc_id is never the smallest unless its component has no other. An empty table gives no rows.
+    doc_id is never the smallest unless its component has no other. An empty table gives no rows. All shingles of a
+    text of any length vote. Other columns, of whatever name, take no part.
     """
     fps = saved(fingerprints(docs), "fingerprints")
     rooted = _roots(fps, radius)

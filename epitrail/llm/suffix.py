@@ -372,7 +372,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
 
     ``kept``: the remaining bytes (null unless ``texts``), which need not be whole UTF-8 characters. Strings are judged
     on the input. Null texts are empty; a null doc_id counts as larger than any other; rows that repeat a doc_id do
-    not remove each other's bytes. An empty table gives no rows.
+    not remove each other's bytes. An empty table gives no rows. Texts are read whole, whatever their length, one row
+    in one piece. Other columns, of whatever name, take no part.
     """
     if not gram <= length <= gram + 62:
         raise ValueError("gram must be at most length, and length at most gram + 62")
