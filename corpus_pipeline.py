@@ -25,7 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that resemble each other the first stays, by doc_id (null last) and line; blank lines stay.
 
-    A document may become empty; a null text stays null; repeated rows keep and lose the same lines; an empty table stays empty.
+    A document may become empty; a null text stays null; repeated rows keep and lose the same lines; an empty table stays empty;
+    texts and lines may be of any length.
     """
     return linededup.deduplicated(docs.select(*DOC_COLUMNS))
 
@@ -33,7 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies, by five-word shingles with a Jaccard similarity of 0.8 or more, the one with the smallest id stays.
 
-    Null ids come last. Null texts and texts without words are copies of each other; of repeated rows one stays; an empty table stays empty.
+    Null ids come last. Null texts and texts without words are copies of each other; of repeated rows one stays; an empty table stays empty;
+    all shingles of a text of any length take part.
     """
     return simhash.without_near_copies(docs.select(*DOC_COLUMNS))
 
@@ -41,13 +43,14 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole, or of at most one of each source the first words.
 
-    A null source is one of its own; rows without words are not taken; repeated rows are separate; an empty table stays empty.
+    A null source is one of its own; rows without words are not taken; repeated rows are separate; an empty table stays empty; a text of
+    any length counts by its words, and may be cut.
     """
     return mixing.mixed_documents(docs.select(*DOC_COLUMNS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences. A null or empty text is the end id alone; an empty table has no pieces."""
+    """The pieces of all documents, packed into sequences. A null or empty text is the end id alone; an empty table has no pieces; texts of any length are read whole."""
     return packing.pack(docs.select(*DOC_COLUMNS))
 
 
