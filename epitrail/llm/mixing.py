@@ -72,7 +72,8 @@ def schedule(goals: DataFrame, slot: int = SLOT) -> DataFrame:
     Point i is the fractional part of (i + 1/2) times the golden ratio and belongs to the source in whose share of [0, 1) it lies; the
     points of a source, in order, are its slots, and ``at`` is the place in the mix. Shares are sums of targets; there is a point for each
     ``slot`` words of the mix. A source gets as many slots as its target needs: where its share has some points more, they are
-    left out, and where it has less, as a small source may have none at all, slots follow at the end.
+    left out, and where it has less, as a small source may have none at all, slots follow at the end, source by source. No two slots
+    share a place.
     """
     total = goals.agg(F.sum("target")).first()[0] or 0.0
     n_points = -(-int(round(total)) // slot)
@@ -97,23 +98,26 @@ def schedule(goals: DataFrame, slot: int = SLOT) -> DataFrame:
     ranked = ranked.select(F.col("s").alias("source"), (F.col("base") + F.col("nth")).alias("rank"), F.col("id").alias("at"), "slots").where("rank < slots").drop("slots")
     have = counts.groupBy("s").agg(F.sum("n").alias("n")).withColumnRenamed("s", "hs")
     lacking = shares.join(have, F.col("s").eqNullSafe(F.col("hs")), "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < slots")
-    more = lacking.select(F.col("s").alias("source"), F.explode(F.sequence(F.col("n"), F.col("slots") - 1)).alias("rank"))
-    return ranked.unionByName(more.withColumn("at", F.lit(n_points).cast("long")))
+    earlier = Window.orderBy(F.col("s").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    lacking = lacking.withColumn("first", F.lit(n_points) + F.coalesce(F.sum(F.col("slots") - F.col("n")).over(earlier), F.lit(0)))
+    more = lacking.select(F.col("s").alias("source"), "n", "first", F.explode(F.sequence(F.col("n"), F.col("slots") - 1)).alias("rank"))
+    return ranked.unionByName(more.select("source", "rank", (F.col("first") + F.col("rank") - F.col("n")).alias("at")))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_EPOCHS, slot: int = SLOT) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` of each row of ``docs``.
+    """``doc_id, source, size, source_size, target, taken, n_slots, places`` of each row of ``docs``.
 
     ``taken``: words of the row that the mix takes, repeats counted; at most ``epochs`` times its size. A source's slots take its stream of
     shuffled documents block by block, again from the start when it ends, until the target is reached, so that the taken words of a
-    source are its target to the word, however small it is. Rows without words take none. Repeated rows are separate rows. An empty
-    table gives no rows. A text of any length counts by its words. The result depends on the rows alone, not on their order or
-    partitions. Other columns, of whatever name, take no part.
+    source are its target to the word, however small it is. ``places``: for each pass through the source's stream, the place in the mix of
+    the slot where the row begins, null if the pass does not take it; ``n_slots``: slots that hold some of it, pass by pass. Rows without
+    words take none. Repeated rows are separate rows. An empty table gives no rows. A text of any length counts by its words. The result
+    depends on the rows alone, not on their order or partitions. Other columns, of whatever name, take no part.
     """
     measured = saved(sizes(docs), "sizes")
     goals = saved(targets(measured, weights, epochs), "targets")
     goal = goals.withColumnRenamed("source", "g")
-    plan = schedule(goals, slot).select(F.col("source").alias("s"), "rank")
+    plan = schedule(goals, slot).select(F.col("source").alias("s"), "rank", "at")
     stream = _stream(measured.where("size > 0")).join(goal, F.col("source").eqNullSafe(F.col("g"))).withColumn("words", F.round("target").cast("long"))
     # where the document lies in the stream, once an epoch, cut at the target; and the blocks there
     passes = stream.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
@@ -121,19 +125,25 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_E
     passes = passes.withColumn("begin", begin).where("begin < words").withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("words")))
     pieces = passes.withColumn("b", F.explode(F.sequence(F.expr(f"begin div {slot}"), F.expr(f"(end - 1) div {slot}"))))
     length = F.least(F.col("end"), (F.col("b") + 1) * slot) - F.greatest(F.col("begin"), F.col("b") * slot)
-    met = pieces.select("doc_id", "source", "size", "start", "b", length.alias("length")).join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("rank")))
-    taken = met.groupBy("doc_id", "source", "size", "start").agg(F.sum("length").alias("taken"))
-    given = taken.select(*(F.col(c).alias(f"t_{c}") for c in ("source", "start", "taken")))
+    met = pieces.select("doc_id", "source", "size", "start", "epoch", "b", length.alias("length"))
+    met = met.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("rank")))
+    places = F.array(*(F.min(F.when(F.col("epoch") == e, F.col("at"))) for e in range(epochs)))
+    taken = met.groupBy("doc_id", "source", "size", "start").agg(F.sum("length").alias("taken"), F.count("*").alias("n_slots"), places.alias("places"))
+    given = taken.select(*(F.col(c).alias(f"t_{c}") for c in ("source", "start", "taken", "n_slots", "places")))
     rows = stream.join(given, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("start") == F.col("t_start")), "left")
-    names = ("doc_id", "source", "size", "source_size", "target")
-    none = measured.where("size = 0").join(goal, F.col("source").eqNullSafe(F.col("g"))).select(*names, F.lit(0).cast("long").alias("taken"))
-    return rows.select(*names, F.coalesce("t_taken", F.lit(0)).cast("long").alias("taken")).unionByName(none)
+    names, zero = ("doc_id", "source", "size", "source_size", "target"), F.lit(0).cast("long")
+    untouched = F.array_repeat(F.lit(None).cast("long"), epochs)
+    none = measured.where("size = 0").join(goal, F.col("source").eqNullSafe(F.col("g")))
+    none = none.select(*names, zero.alias("taken"), zero.alias("n_slots"), untouched.alias("places"))
+    some = rows.select(*names, F.coalesce("t_taken", zero).alias("taken"), F.coalesce("t_n_slots", zero).alias("n_slots"), F.coalesce("t_places", untouched).alias("places"))
+    return some.unionByName(none)
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = MAX_EPOCHS, slot: int = SLOT) -> DataFrame:
-    """The documents of the mix (:func:`mix`): each once for every whole time that it is taken.
+    """The documents of the mix (:func:`mix`), in the order of the schedule: each once for every whole time that it is taken.
 
-    Of what is left, a last row has the first words, with single spaces; at most one document of each source is cut.
+    Of what is left, a last row has the first words, with single spaces; at most one document of each source is cut. A row stands where the
+    slot that it begins in stands, so every stretch of the written table holds about the sources' shares.
     """
     keys = {"_d": F.coalesce("doc_id", F.lit(0)), "_s": F.coalesce("source", F.lit("")), "_n": F.concat(F.col("doc_id").isNull().cast("string"), F.col("source").isNull().cast("string"))}
 
@@ -143,15 +153,20 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs:
         return df.withColumns(keys).withColumn("_nth", nth)
 
     taken = numbered(mix(docs, weights, epochs, slot).withColumnRenamed("size", "_size"), F.desc("taken")).where("taken > 0")
-    taken = taken.select(*keys, "_size", "_nth", F.col("taken").alias("_taken"))
+    taken = taken.select(*keys, "_size", "_nth", F.col("taken").alias("_taken"), "places")
+    taken = taken.withColumnRenamed("places", "_places")
     both = numbered(docs.withColumn("_size", word_count("text")), "text").join(taken, [*keys, "_size", "_nth"])
     whole, rest = F.expr("cast(_taken div _size as int)"), F.col("_taken") % F.col("_size")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(words, 1, rest.cast("int")), " ")
     copies = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
-    out = both.withColumn("text", F.explode(copies)).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = both.select("*", F.posexplode(copies).alias("_pass", "_copy")).withColumns(
+        {"text": F.col("_copy"), "n_chars": F.length("_copy").cast("long"), "_place": F.get("_places", F.col("_pass"))}
+    )
+    return out.orderBy("_place", "doc_id", "_nth").select(*docs.columns)
 
 
 def op6_mixing_sources(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Also ``first_slot``, the first place of the row in the mix (null: not taken), and ``n_slots``."""
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_min("places").alias("first_slot"), "n_slots")

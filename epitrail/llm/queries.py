@@ -27,10 +27,26 @@ l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(most) OVER (O
 t AS (SELECT source, source_size, CASE WHEN r <= level THEN most ELSE weight * max(CASE WHEN r > level THEN level END) OVER () END AS target FROM l),
 q AS (SELECT *, round(target)::BIGINT AS words FROM t),
 d AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), doc_id, size
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM m)
-SELECT d.doc_id, d.size, q.source_size, q.target,
-    CASE WHEN d.size = 0 THEN 0 ELSE (q.words // q.source_size) * d.size + least(greatest(q.words % q.source_size - d.start, 0), d.size) END AS taken
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM m),
+n AS (SELECT ceil(round(sum(target)) / 64)::BIGINT AS n_points, sum(target) AS total FROM t),
+h AS (SELECT source, (words + 63) // 64 AS slots, target / total AS share, sum(target) OVER (ORDER BY source ASC NULLS LAST ROWS UNBOUNDED PRECEDING) / total AS high,
+    row_number() OVER (ORDER BY source DESC NULLS FIRST) = 1 AS last FROM q, n WHERE target > 0),
+i AS (SELECT source, slots, coalesce(lag(high) OVER (ORDER BY source ASC NULLS LAST), 0.0) AS low, CASE WHEN last THEN 2.0 ELSE high END AS high FROM h),
+x AS (SELECT id, (id + 0.5) * 0.6180339887498949::DOUBLE - floor((id + 0.5) * 0.6180339887498949::DOUBLE) AS x FROM (SELECT unnest(range(n_points)) AS id FROM n)),
+y AS (SELECT source, slots, id AS place, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS rank FROM x JOIN i ON x >= low AND x < high),
+k AS (SELECT i.source, i.slots, coalesce(c, 0) AS c FROM i LEFT JOIN (SELECT source, count(*) AS c FROM y GROUP BY source) AS o ON i.source IS NOT DISTINCT FROM o.source),
+e AS (SELECT *, n_points + coalesce(sum(slots - c) OVER (ORDER BY source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+    FROM k, n WHERE c < slots),
+s AS (SELECT source, rank, place FROM y WHERE rank < slots
+    UNION ALL SELECT source, r AS rank, first + r - c AS place FROM (SELECT *, unnest(range(c, slots)) AS r FROM e)),
+p AS (SELECT d.*, d.start + z.epoch * source_size AS lo, least(d.start + z.epoch * source_size + size, words) AS hi
+    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source, (SELECT unnest(range(3)) AS epoch) AS z WHERE size > 0 AND d.start + z.epoch * source_size < words),
+b AS (SELECT *, unnest(range((lo // 64)::BIGINT, ((hi - 1) // 64 + 1)::BIGINT)) AS slot FROM p),
+a AS (SELECT b.source, b.start, b.doc_id, b.size, sum(least(hi, slot * 64 + 64) - greatest(lo, slot * 64)) AS taken, min(place) AS first_slot, count(*) AS n_slots
+    FROM b JOIN s ON b.source IS NOT DISTINCT FROM s.source AND b.slot = s.rank GROUP BY ALL)
+SELECT d.doc_id, d.size, q.source_size, q.target, coalesce(a.taken, 0)::BIGINT AS taken, a.first_slot::BIGINT AS first_slot, coalesce(a.n_slots, 0)::BIGINT AS n_slots
 FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+LEFT JOIN a ON a.source IS NOT DISTINCT FROM d.source AND a.start = d.start AND d.size > 0 AND a.size = d.size AND a.doc_id IS NOT DISTINCT FROM d.doc_id
 """
 
 OP2_SQL = """
@@ -87,7 +103,8 @@ h AS (SELECT c, xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lam
 b AS (SELECT c, count(*) AS b FROM t WHERE c % 20 = 0 GROUP BY c),
 r AS (SELECT h.c, t.n + 1 AS depth, role, text FROM h JOIN t ON t.c = h.c - h.c % 20 WHERE t.n < h
     UNION ALL SELECT t.c, t.n - h + least(h, coalesce(b, 0)) + 1, role, text FROM t JOIN h ON h.c = t.c LEFT JOIN b ON b.c = t.c - t.c % 20 WHERE t.n >= h),
-k AS (SELECT c, depth, len(regexp_extract_all(text, '[^ 	-]+')) AS words,
+k AS (SELECT c, depth, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words,
     sha256(string_agg(sha256(strlen(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY depth)) AS key FROM r UNION ALL SELECT c, 0, 0, 'root' FROM h),
 p AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY c) AS ends FROM k),
 m AS (SELECT key, depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,

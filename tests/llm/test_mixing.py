@@ -1,6 +1,11 @@
 from collections import defaultdict
 
-from epitrail.llm import mixing
+import duckdb
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from epitrail.llm import mixing, queries
 from tests.llm.helpers import awkward, documents, empty
 
 
@@ -42,7 +47,8 @@ def test_targets_and_takes(spark):
     again = mixing.mix(df.repartition(5)).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
     coarse = mixing.mix(df, slot=1000).collect()  # how wide slots are is no matter for what is taken
-    assert sorted(map(str, out)) == sorted(map(str, coarse))
+    words = lambda rows: sorted(str((r.doc_id, r.size, r.source_size, r.target, r.taken)) for r in rows)
+    assert words(out) == words(coarse)
 
 
 def test_small_sources_beside_a_large_one(spark):
@@ -109,3 +115,50 @@ def test_schedule_is_even(spark, monkeypatch):
             assert abs(sum(start <= at < start + 100 for x, _, at in out if x == s) - 100 * p) <= 4
     monkeypatch.setattr(mixing, "CHUNK", 37)
     assert sorted(map(str, out)) == sorted(str((r.source, r["rank"], r["at"])) for r in mixing.schedule(goals, slot=10).collect())
+
+
+NAMES = ("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
+
+
+def written_out(spark, folder):
+    """Documents of a hot source, of sources smaller than a slot, without a source, without words."""
+    rows = [(i, " ".join(["w"] * (i * 37 % 301)), None, ["hot", "hot", "b", None, "zz"][i % 5], 0) for i in range(300)]
+    rows += [(1000 + i, "three short words", None, f"t{i}", 17) for i in range(7)] + [(2000, None, None, "none", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return sorted(map(str, con.sql(queries.OP6_SQL).select(*NAMES).fetchall()))
+
+
+def test_query_against_sql(spark, tmp_path):
+    want = written_out(spark, tmp_path)
+    got = mixing.op6_mixing_sources(spark, str(tmp_path))
+    assert tuple(got.columns) == NAMES and sorted(str(tuple(r)) for r in got.collect()) == want
+
+
+def test_plain_ranks_would_not_do(spark, tmp_path, monkeypatch):
+    """The result is the schedule's: slots dealt source by source give other rows."""
+    want = written_out(spark, tmp_path)
+    real = mixing.schedule
+
+    def plain(goals, slot=mixing.SLOT):
+        return real(goals, slot).withColumn("at", F.row_number().over(Window.orderBy("source", "rank")).cast("long") - 1)
+
+    monkeypatch.setattr(mixing, "schedule", plain)
+    assert sorted(str(tuple(r)) for r in mixing.op6_mixing_sources(spark, str(tmp_path)).collect()) != want
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_rows_stand_in_the_order_of_the_schedule(spark, parts):
+    """Every stretch of the mix holds about the sources' shares, and slots of a source follow its stream."""
+    rows = [(i, " ".join(["w"] * 60), None, "abc"[min(i % 6, 2)], 119) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
+    out = [r.source for r in mixing.mixed_documents(df).collect()]
+    share = {s: out.count(s) / len(out) for s in "abc"}
+    for start in range(0, len(out) - 150, 50):
+        for s, p in share.items():
+            assert abs(out[start : start + 100].count(s) - 100 * p) <= 6
+    mixed = mixing.mix(df).collect()
+    places = [p for r in mixed for p in r.places if p is not None]
+    assert all(r.n_slots >= sum(p is not None for p in r.places) for r in mixed) and len(places) == len(out)
