@@ -1,15 +1,18 @@
 """Secret scan: tokens of the texts that may be keys or passwords, judged by a random forest so that false positives fall away.
 
 DataFrame and SQL functions alone find the candidates and their features: length, changes of character class, dictionary
-coverage, path shape, and neighbouring words. The dictionary is the corpus's own: its most frequent words. What a neighbouring word
-tells is learnt too, as log odds, on one half of the findings; the forest is trained on the other half.
+coverage, path shape, and neighbouring words. The dictionary is the corpus's own: its most frequent words; how likely one letter follows
+another is learnt from it. What a neighbouring word tells is learnt too, as log odds, on one half of the findings; the forest is trained on
+the other half.
 
 Labelled findings are secrets and look-alikes planted in the corpus's documents by templates (:func:`planted_findings`), so a finding is
-labelled by what was planted, whatever its features; others can be given. Some templates can be held out to measure by.
+labelled by what was planted, whatever its features; others can be given. A part of them stands under names that tell nothing, so that the
+forest also learns from the values alone. Templates, names and kinds of values can be held out to measure by.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -21,9 +24,13 @@ from pyspark.sql import functions as F
 
 from epitrail.llm.common import table
 
-#: A candidate: at least 16 characters that keys consist of, or a shorter run beside a word that announces a secret.
+#: A candidate: at least 16 characters that keys consist of, or a value of 8 or more characters, symbols included, beside a word that
+#: announces a secret.
 LONG = "[A-Za-z0-9+/_=.-]{16,}"
-SHORT = r"[A-Za-z0-9!@#$%^&*+/_.~-]{8,15}"
+VALUE = r"[A-Za-z0-9!@#$%^&*+/_.~-]{8,}"
+SYMBOLS = "[!@#$%^&*~]"
+#: What is taken under any name, if it is assigned and has SYMBOLS: 16 characters or more, digits and both cases among them.
+STRONG = r"(?=[^\x20\x09-\x0D]*[0-9])(?=[^\x20\x09-\x0D]*[a-z])(?=[^\x20\x09-\x0D]*[A-Z])[A-Za-z0-9!@#$%^&*+/_.~-]{16,}"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Words that announce a secret. They admit candidates; they are no feature.
 ANNOUNCE = "token secret password passwd pwd pass apikey key auth bearer credential credentials"
@@ -47,6 +54,11 @@ SECRET_NAMES = (
     "token secret password passwd api_key auth credential access_key private_key signing_key webhook_secret client_secret db_pass session_key license_key encryption_key master_key bot_token"
 ).split()
 OTHER_NAMES = "commit sha revision checksum digest etag build request_id trace_id file path image asset version uuid order invoice tracking phone isbn".split()
+#: What may stand before a name, of either kind.
+OWNERS = "app prod db user admin my service stage main web old new".split()
+#: Names for measuring: training plants none of them.
+UNSEEN_SECRET_NAMES = "passphrase smtp_passwd jwt hmac_salt deploy_key oauth_bearer root_pw vault_seed cookie_signer ssh_material recovery_code pat".split()
+UNSEEN_OTHER_NAMES = "fingerprint md5 guid blob parent serial batch ticket slug shard layer thumbnail anchor cursor bucket endpoint".split()
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -73,8 +85,10 @@ def features(dictionary: list[str], odds: dict[str, float]) -> dict[str, Column]
         "hex_only": c.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))).cast("double") / F.least(n, F.lit(64.0)),
         "dictionary": 1 - _count(F.regexp_replace(low, known, ""), "[a-z]") / letters,
+        "wordlike": _wordlike(dictionary),
         "slashes": _count(c, "/") / n,
         "dots": _count(c, "[.]") / n,
+        "symbols": _count(c, SYMBOLS) / n,
         "separators": _count(c, "[-_]") / n,
         "file_ending": c.rlike(r"\.[a-z]{2,4}[0-9]?$").cast("double"),
         "address": word.rlike(r"://|@[a-z0-9-]+\.").cast("double"),
@@ -86,6 +100,21 @@ def features(dictionary: list[str], odds: dict[str, float]) -> dict[str, Column]
     }
 
 
+def _wordlike(dictionary: list[str]) -> Column:
+    """Mean log likelihood ratio of a candidate's pairs of adjoining letters: as in the dictionary's words against evenly drawn letters."""
+    if not dictionary:
+        return F.lit(0.0)
+    counts = [1.0] * (26 * 26)
+    for w in dictionary:
+        for a, b in zip(w, w[1:]):
+            counts[(ord(a) - 97) * 26 + ord(b) - 97] += 1
+    ratios = F.array(*(F.lit(math.log(n * 26 * 26 / sum(counts))) for n in counts))
+    runs = F.filter(F.split(F.lower("candidate"), "[^a-z]+"), lambda r: F.length(r) > 1)
+    letter = lambda r, i: F.ascii(F.substring(r, i, F.lit(1))) - 97
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.get(ratios, letter(r, i) * 26 + letter(r, i + 1)))))
+    return F.coalesce(F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x) / F.nullif(F.size(pairs), F.lit(0)), F.lit(0.0))
+
+
 def _neighbours() -> Column:
     """Lower-case words before a candidate: of the two words before its own, and of its own before the candidate."""
     own = F.expr("substring(word, 1, greatest(locate(candidate, word) - 1, 0))")
@@ -100,14 +129,15 @@ def _announces(text: Column) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, position, nth, candidate, word, before2, before1, after`` of every candidate.
 
-    Long ones need a digit, mixed case, a usual beginning or an announcing word; short ones an announcing word and ``=`` or ``:`` close
-    before. ``position``: the word's number in the text, from 0; ``nth``: the candidate's in the word.
+    Runs of 16 or more key characters need a digit, mixed case, a usual beginning or an announcing word. Other values, of 8 characters or
+    more and with any of VALUE's symbols, need an announcing word and ``=`` or ``:`` close before (STRONG ones: no such word); they are taken whole, however long, and
+    runs of key characters are then looked for in the rest of the word. ``position``: the word's number in the text, from 0; ``nth``: the candidate's in the word.
     """
-    has = docs.select("doc_id", "text").where(F.col("text").rlike(LONG) | F.col("text").rlike("(?i)" + "|".join(ANNOUNCE.split())))
+    has = docs.select("doc_id", "text").where(F.col("text").rlike("[A-Za-z0-9!@#$%^&*+/_=.~-]{16,}") | F.col("text").rlike("(?i)" + "|".join(ANNOUNCE.split())))
     words = has.select("doc_id", F.filter(F.split("text", SPACE), lambda w: w != "").alias("words")).where(F.size("words") > 0)
     at = lambda i, n: F.coalesce(F.get("words", i + n), F.lit(""))
     spoken = lambda i: F.concat_ws(" ", at(i, -2), at(i, -1), at(i, 0))
-    place = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(LONG) | (F.get("words", i).rlike(SHORT) & _announces(spoken(i))))
+    place = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(LONG) | (F.get("words", i).rlike(STRONG) & F.get("words", i).rlike(SYMBOLS)) | (F.get("words", i).rlike(VALUE) & _announces(spoken(i))))
     word = words.withColumn("position", F.explode(place))
     part = word.select(
         "doc_id",
@@ -116,11 +146,16 @@ def candidates(docs: DataFrame) -> DataFrame:
         *(at(F.col("position"), i).alias(n) for n, i in (("before2", -2), ("before1", -1), ("after", 1))),
     )
     announced = _announces(F.concat_ws(" ", "before2", "before1", F.regexp_replace("word", r"[=:>].*$", " "))) & F.concat_ws(" ", "before1", "word").rlike("[=:>]|(^|[^a-z])is ")
-    long = F.regexp_extract_all("word", F.lit(LONG), F.lit(0))
-    value = F.regexp_extract("word", "(?:^|[=:>\"'`(])(" + SHORT + ")(?=$|[\"'`,;.)<])", 1)
-    short = F.filter(F.array(value), lambda v: (v != "") & v.rlike("[0-9!@#$%^&*+/_~-]|[a-z].*[A-Z]|[A-Z].*[a-z]"))
-    found = F.when(F.size(long) > 0, F.filter(long, lambda v: v.rlike("[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]") | v.rlike(PREFIXES) | F.col("announced"))).when(F.col("announced"), short)
-    return part.withColumn("announced", announced).select("doc_id", "position", "word", "before2", "before1", "after", F.posexplode(found).alias("nth", "candidate"))
+    value = F.regexp_extract("word", "(?:^|[=:>\"'`(])(" + VALUE + ")(?=$|[\"'`,;.)<])", 1)
+    strong = value.rlike("^" + STRONG) & value.rlike(SYMBOLS) & F.concat_ws(" ", "before1", "word").rlike("[=:>]")
+    value = F.when(F.col("announced") | strong, value).otherwise("")
+    value = F.when(value.rlike("[0-9!@#$%^&*+/_~-]|[a-z].*[A-Z]|[A-Z].*[a-z]"), value).otherwise("")
+    symbols = F.col("value").rlike(SYMBOLS)
+    rest = F.when(symbols, F.replace(F.col("word"), F.col("value"), F.lit(" "))).otherwise(F.col("word"))
+    long = F.filter(F.regexp_extract_all(rest, F.lit(LONG), F.lit(0)), lambda v: v.rlike("[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]") | v.rlike(PREFIXES) | F.col("announced"))
+    whole = (F.col("value") != "") & (symbols | ~F.col("word").rlike(LONG))
+    found = F.when(whole, F.concat(F.array("value"), long)).otherwise(long)
+    return part.withColumn("announced", announced).withColumn("value", value).select("doc_id", "position", "word", "before2", "before1", "after", F.posexplode(found).alias("nth", "candidate"))
 
 
 def corpus_words(docs: DataFrame, n: int = WORDS) -> list[str]:
@@ -130,11 +165,12 @@ def corpus_words(docs: DataFrame, n: int = WORDS) -> list[str]:
     return [r.w for r in counts.where("n > 1").orderBy(F.desc("n"), "w").limit(n).collect()]
 
 
-def planted_findings(spark: SparkSession, docs: DataFrame | None = None, dictionary: list[str] = (), n: int = FINDINGS, seed: str = "") -> DataFrame:
+def planted_findings(spark: SparkSession, docs: DataFrame | None = None, dictionary: list[str] = (), n: int = FINDINGS, seed: str = "", unseen: bool = False) -> DataFrame:
     """``n`` labelled texts: ``doc_id, text, planted, secret, template``; a secret or a look-alike, planted by a template.
 
     The words around are those of documents, at a random place each; without documents there are none. A third are keys and passwords
-    under names of secrets; the rest are what looks like keys under other names, or names, paths and words under any.
+    under names of secrets; the rest are what looks like keys under other names, or names, paths and words under any. One in five stands
+    under two words of the dictionary that tell nothing. ``unseen``: names, and kinds of values, that training never meets.
     """
     ids = spark.range(0, n, 1, 4)
     salt = lambda x: F.lit(f"{seed}{x}")
@@ -153,17 +189,33 @@ def planted_findings(spark: SparkSession, docs: DataFrame | None = None, diction
     password = F.concat(F.substring(b64, 3, 5), pick("sym", ["!", "#", "_", "-", "7", "$"]), F.substring(b64, F.lit(11), 3 + any_of("pl", 5)))
     prefixed = F.concat(pick("g", ["ghp_", "sk_live_", "xoxb-", "glpat-", "AKIA"]), F.substring(b64, 1, 24))
     dotted = F.concat(F.lit("eyJ"), F.substring(b64, 1, 20), F.lit("."), F.substring(b64, 21, 24), F.lit("."), F.substring(b64, 45, 20))
-    secret = [any_hex, F.substring(b64, F.lit(1), length), password, prefixed, dotted, any_hex]
-    alike = [any_hex, uuid, F.substring(b64, F.lit(1), length), number, path, any_hex]
-    plain = [name, path, camel, F.concat(camel, F.lit("1")), name, camel]
+    mixed = F.substring(b64, F.lit(1), length)
+    phrase = F.concat_ws("", pick("f0", known), pick("s0", list("!@#$%&*")), F.initcap(pick("f1", known)), pick("s1", list("!@#$%&*")), F.substring(h("f"), 1, 4))
+    if unseen:
+        base32 = F.translate(F.upper(mixed), "0189", "WXYZ")
+        joined = F.concat(F.substring(b64, 1, 11), F.lit("-"), F.substring(b64, 12, 9), F.lit("_"), F.substring(b64, 21, 14))
+        clouded = F.concat(pick("g", ["SG.", "hf_", "shpat_", "dop_v1_"]), F.substring(b64, 1, 30))
+        secret = [base32, joined, clouded, F.concat(password, phrase), mixed, F.concat(F.substring(b64, 1, 8), F.lit("/"), F.substring(b64, 9, 16), F.lit("="))]
+        stamp = F.concat(F.lit("20"), F.substring(number, 1, 2), F.lit("-0"), F.substring(number, 3, 1), F.lit("-1"), F.substring(number, 4, 1), F.lit("T"), F.substring(number, 5, 6), F.lit("Z"))
+        alike = [F.substring(h("x"), 1, 48), F.upper(any_hex), F.upper(uuid), F.concat(F.lit("v"), number), stamp, F.concat(path, F.lit(".jpeg"))]
+        slug = F.concat_ws("-", *(pick(f"w{i}", known) for i in range(4)), F.substring(number, 1, 3))
+        plain = [slug, F.concat(camel, F.lit("Test2")), F.concat(path, F.lit("/"), name), F.upper(name)]
+    else:
+        secret = [mixed, mixed, password, prefixed, dotted, any_hex, phrase, F.translate(mixed, "lIO0", "xyz7")]
+        alike = [any_hex, uuid, any_hex, number, path, F.upper(any_hex), mixed, F.substring(h("x"), F.lit(1), length)]
+        plain = [name, path, camel, F.concat(camel, F.lit("1")), F.concat(name, F.lit("-"), F.substring(number, 1, 4)), F.upper(name)]
     of = lambda x, values: F.get(F.array(*values), any_of(x, len(values)))
+    owned = lambda name: F.when(any_of("owned", 2) == 0, F.concat_ws("_", pick("owner", OWNERS), name)).otherwise(name)
     kind = any_of("kind", 3)
     drawn = ids.select(
         "id",
         any_of("t", len(TEMPLATES)).alias("template"),
         (kind == 0).cast("double").alias("secret"),
         F.when(kind == 0, of("vs", secret)).when(kind == 1, of("va", alike)).otherwise(of("vp", plain)).alias("planted"),
-        F.when((kind == 0) | ((kind == 2) & (any_of("which", 2) == 0)), pick("sn", SECRET_NAMES)).otherwise(pick("on", OTHER_NAMES)).alias("name"),
+        F.when((any_of("tells", 5) == 0) & F.lit(not unseen), F.concat_ws("_", pick("n0", known), pick("n1", known)))
+        .when((kind == 0) | ((kind == 2) & (any_of("which", 2) == 0)), owned(pick("sn", UNSEEN_SECRET_NAMES if unseen else SECRET_NAMES)))
+        .otherwise(owned(pick("on", UNSEEN_OTHER_NAMES if unseen else OTHER_NAMES)))
+        .alias("name"),
         any_of("case", 4).alias("case"),
     )
     form = F.get(F.array(*map(F.lit, TEMPLATES)), F.col("template"))
