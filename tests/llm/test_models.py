@@ -393,6 +393,36 @@ def test_neighbours_awkward(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_queries_visit_few_blocks_of_clustered_vectors(spark, monkeypatch):
+    """40 clusters, 23 or more blocks: a query visits under a third of them, and still finds nine in ten of its nearest."""
+    monkeypatch.setattr(neighbours, "INDEX_BLOCK", 300)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 32))[rng.integers(0, 40, size=6000)] + 0.15 * rng.normal(size=(6000, 32))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    ids = np.arange(6000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in sorted(neighbours.nearest(df).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    hits = sum(len(set(found[q]) & set(brute(x, q, ids)[0].tolist())) for q in found)
+    assert len(found) == 300 and hits >= 0.9 * 20 * 300
+
+    _, layout = neighbours.laid_out(neighbours.valid(df))
+    names = ids[::20]
+    kth = np.array([x[found[q][-1]] @ x[q] for q in names])
+    who, blocks = layout.visits(x[names], names, kth, neighbours.chi_square_quantile(neighbours.SURE, neighbours.PROJECTED))
+    assert layout.blocks >= 20 and len(who) + len(names) < len(names) * layout.blocks / 3
+    assert len(set(zip(who.tolist(), blocks.tolist()))) == len(who)
+
+
+def test_bins_of_norms(spark):
+    """Norms about 1 share a bin; a bin's largest norm is at most twice its smallest unless they are of one binary order."""
+    norms = [0.9999999, 1.0000001, 1.5, 3.9, 4.1, 1e6]
+    rows = spark.createDataFrame([(i, [n], n) for i, n in enumerate(norms)], "vec_id long, v array<double>, norm double")
+    bins, width = neighbours.norm_bins(rows)
+    assert [x[2] for x in bins] == [3, 2, 1] and [x[3] for x in bins] == [1.5, 4.1, 1e6] and width == 1
+
+
 def test_chi_square_quantile():
     rng = np.random.default_rng(0)
     draws = (rng.normal(size=(200_000, 16)) ** 2).sum(axis=1)
