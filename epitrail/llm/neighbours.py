@@ -21,10 +21,10 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epitrail.llm.common import saved, table
+from epitrail.llm.common import discard, saved, table
 
 K = 20
-PROJECTED = 24
+PROJECTED = 12
 SURE = 0.9
 LEAF = 64
 #: Vectors of a block at most, about; a task holds one block at a time.
@@ -162,14 +162,32 @@ class Index:
 
 
 def valid(embeddings: DataFrame) -> DataFrame:
-    """``vec_id, v, norm``: finite vectors that are neither null nor zero."""
-    e = F.col("embedding").cast("array<double>")
-    fine = e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = embeddings.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("v"))
-    # by the largest component, so that no square overflows
-    top = F.array_max(F.transform("v", F.abs))
-    norm = top * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / top) * (x / top)))
-    return rows.withColumn("norm", norm)
+    """``vec_id, v, norm``: finite vectors that are neither null nor zero, as wide as they came: floats stay floats."""
+    wide = "float" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column("v")), 0)
+            batch, lengths = batch.filter(pc.greater(lengths, 0)), lengths.to_numpy()
+            lengths = lengths[lengths > 0]
+            if not len(lengths):
+                continue
+            flat = np.abs(batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(float))  # nulls become NaN
+            starts = np.cumsum(lengths) - lengths
+            fine = np.logical_and.reduceat(np.isfinite(flat), starts)
+            top = np.where(fine, np.maximum.reduceat(flat, starts), 0)  # by the largest component, so that no square overflows
+            fine &= top > 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                norm = top * np.sqrt(np.add.reduceat((flat / np.repeat(top, lengths)) ** 2, starts))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(norm)], ["vec_id", "v", "norm"]).filter(pa.array(fine))
+
+    rows = embeddings.where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{wide}>").alias("v"))
+    return rows.mapInArrow(run, f"vec_id long, v array<{wide}>, norm double")
 
 
 def matrix_of(column, width: int):
@@ -177,7 +195,7 @@ def matrix_of(column, width: int):
     import numpy as np
 
     lengths = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
     if (lengths == width).all():
         return flat.reshape(len(column), width)
     out = np.zeros((len(column), width))
@@ -316,7 +334,7 @@ def laid_out(rows: DataFrame, size: int | None = None) -> tuple[DataFrame, Layou
 
     sample = rows if total <= CELL_SAMPLE else rows.sample(CELL_SAMPLE / total, SEED)
     many = any(n > size for _, _, n, _ in bins)
-    drawn = sample.select(which, "v").mapInArrow(project, "bin int, point array<double>").limit(2 * CELL_SAMPLE).collect() if many else []
+    drawn = sample.select(which, "v").mapInArrow(project, "bin int, point array<double>").collect() if many else []  # CELL_SAMPLE or about as many
     points = [[] for _ in bins]
     for r in drawn:
         points[r.bin].append(r.point)
@@ -337,8 +355,9 @@ def laid_out(rows: DataFrame, size: int | None = None) -> tuple[DataFrame, Layou
                 cell[of == i] = cells_of(layout.trees[i], projected_vectors(vectors[of == i], layout.radius[i], matrix))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "bin", "row")), pa.array(cell)], ["vec_id", "v", "bin", "row", "cell"])
 
+    wide = rows.schema["v"].dataType.simpleString()
     row = F.xxhash64("vec_id", F.monotonically_increasing_id()).alias("row")  # rows of one vec_id may be many
-    placed = saved(rows.select("vec_id", "v", which, row).mapInArrow(place, "vec_id long, v array<double>, bin int, row long, cell long"), "vectors")
+    placed = saved(rows.select("vec_id", "v", which, row).mapInArrow(place, f"vec_id long, v {wide}, bin int, row long, cell long"), "cells")
 
     def boxes(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -388,10 +407,11 @@ def nearest(embeddings: DataFrame, is_query=None, k: int = K, sure: float = SURE
     components take no part; shorter vectors count as if zeros followed. An empty table gives no rows. Other columns take no part.
     """
     is_query = F.col("vec_id") % 20 == 0 if is_query is None else is_query
-    rows = valid(embeddings)
-    if rows.isEmpty():
-        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = saved(valid(embeddings), "vectors")
     index, layout = laid_out(rows)
+    discard(rows)
+    if not layout.blocks:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = index.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     limit = chi_square_quantile(sure, PROJECTED)
     shared = embeddings.sparkSession.sparkContext.broadcast(layout)  # at most about MOST_CELLS boxes
@@ -402,7 +422,7 @@ def nearest(embeddings: DataFrame, is_query=None, k: int = K, sure: float = SURE
     def go_on(batches: Iterator) -> Iterator:
         yield from _routed(batches, shared.value, limit)
 
-    routed = "vec_id long, v array<double>, b int, kth double"
+    routed = f"vec_id long, v {index.schema['v'].dataType.simpleString()}, b int, kth double"
     home = searched(index, queries.withColumn("kth", F.lit(None).cast("double")).mapInArrow(go_home, routed), layout, k, sure)
     if layout.blocks == len(layout.radius):  # the homes are all there is
         return _best(home, k)
