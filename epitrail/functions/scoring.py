@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: The concentration, in nM, that gets score 0.
 MAX_IC50 = 50_000.0
@@ -70,17 +73,47 @@ MODES: dict[str, Mode] = {
 TABLES = {"cterm": (), "nterm_cterm": ()} | {f"{n}cterm_{what}_internal": (table,) for n in ("", "nterm_") for what, table in (("max", "max"), ("mean", "sum"))}
 
 
+@dataclass(frozen=True)
+class OwnMode:
+    """A user's mode, and what it wants of the inside of a window; see :func:`by_columns` and :func:`by_batches`."""
+
+    mode: Mode
+    tables: tuple[str, ...] = ()
+
+
+def by_columns(f: Mode) -> OwnMode:
+    """A mode from a function (c, n, inner) of Columns, which stays in generated code; ``inner`` is read by :func:`max_internal` and :func:`mean_internal` alone."""
+    return OwnMode(f, ("max", "sum"))
+
+
+def by_batches(f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> OwnMode:
+    """A mode from a function of whole batches: numbers c and n of each window, and a matrix with the cells inside, a row a window.
+
+    NaN stands for what there is not: n at the start of a sequence, cells of shorter windows.
+    """
+    def run(c: pd.Series, n: pd.Series, inner: pd.Series) -> pd.Series:
+        sizes = inner.map(len).to_numpy(dtype=int)
+        cells = np.full((len(sizes), sizes.max(initial=0)), np.nan)
+        if sizes.any():
+            cells[np.arange(cells.shape[1])[None, :] < sizes[:, None]] = np.concatenate(inner.to_numpy())
+        return pd.Series(np.asarray(f(c.to_numpy(dtype=float), n.to_numpy(dtype=float), cells), dtype=float))
+
+    return OwnMode(F.pandas_udf(run, DoubleType()))
+
+
 def user_mode(f: Callable[[float, float | None, list[float]], float]) -> Mode:
-    """A mode from a Python function of numbers, run on batches of rows."""
+    """A mode from a Python function of one window's numbers, called once a window; :func:`by_batches` and :func:`by_columns` are the fast forms."""
     def each(c: pd.Series, n: pd.Series, inner: pd.Series) -> pd.Series:
         return pd.Series([float(f(x, None if y is None or y != y else y, list(z))) for x, y, z in zip(c, n, inner)], dtype="float64")
 
     return F.pandas_udf(each, "double")
 
 
-def resolve_mode(scoring: str | Callable | None, default: str) -> Mode:
-    """A name, a Python function (c, n, inner) -> float, or None for the default."""
+def resolve_mode(scoring: str | Callable | OwnMode | None, default: str) -> Mode:
+    """A name, an :class:`OwnMode`, a Python function (c, n, inner) -> float, or None for the default."""
     scoring = default if scoring is None else scoring
+    if isinstance(scoring, OwnMode):
+        return scoring.mode
     if isinstance(scoring, str):
         if scoring not in MODES:
             raise ValueError(f"Unknown scoring mode {scoring!r}; there are {', '.join(sorted(MODES))}")

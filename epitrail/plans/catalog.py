@@ -195,7 +195,7 @@ for _m, _sql in MODE_SQL.items():
     query(f'WITH {PROT}, {PROF}, {CUT} SELECT name AS source_sequence_name, "offset", peptide, round({_sql}, 7) AS score FROM cut', f"score_{_m}")(_mode(_m))
 
 
-def _document_mode(mode: str):
+def _document_mode(mode):
     def run(spark, sf):
         rows = _processing(spark, scoring_mode=mode).predict_proteins(document_proteins(spark, sf), [9]).withColumn("score", F.round("score", 7))
         total = F.sum(F.col("score").cast("decimal(20,7)")).cast("double")
@@ -204,12 +204,29 @@ def _document_mode(mode: str):
     return run
 
 
-for _m, _sql in MODE_SQL.items():
+def _own_columns(c: Column, n: Column, inner) -> Column:
+    return c * (1 - scoring.max_internal(inner)) + c * (1 - scoring.mean_internal(inner)) / 3
+
+
+def _own_batches(c, n, inner):
+    import numpy as np
+
+    cells, most = np.where(np.isnan(inner), 0.0, inner), inner.shape[1]
+    mean = cells.sum(axis=1) / np.maximum(most - np.isnan(inner).sum(axis=1), 1)
+    return c * (1 - cells.max(axis=1, initial=0.0)) + c * (1 - mean) / 3
+
+
+OWN_SQL = f"{MODE_SQL['cterm_max_internal']} + ({MODE_SQL['cterm_mean_internal']}) / 3"
+
+_DOCUMENT_MODES = {m: (m, sql) for m, sql in MODE_SQL.items()}
+_DOCUMENT_MODES |= {"own_columns": (scoring.by_columns(_own_columns), OWN_SQL), "own_batches": (scoring.by_batches(_own_batches), OWN_SQL)}
+
+for _m, (_mode_of, _sql) in _DOCUMENT_MODES.items():
     query(
         f"""WITH {DOCS}, {LONG_CUT} SELECT name, count(*) AS n, min(score) AS least, max(score) AS best, sum(score::DECIMAL(20, 7))::DOUBLE AS total
 FROM (SELECT name, round({_sql}, 7) AS score FROM cut) GROUP BY name""",
         f"document_{_m}",
-    )(_document_mode(_m))
+    )(_document_mode(_mode_of))
 
 
 @query(f"""WITH {PROT}, {PROF}, {CUT} SELECT {CANON.format(source="name", offset='"offset"', predictor="proteasome", allele="''", kind="proteasome_cleavage", score="round(c * (1 - mx), 6)", value="NULL::DOUBLE", rank="NULL::DOUBLE")} FROM cut""")

@@ -30,7 +30,7 @@ class ProcessingPredictor:
         self.spark, self._profile = spark, profile
         self.mode = scoring.resolve_mode(scoring_mode, self.default_scoring)
         name = self.default_scoring if scoring_mode is None else scoring_mode
-        self.tables = scoring.TABLES[name] if isinstance(name, str) else ()
+        self.tables = scoring.TABLES[name] if isinstance(name, str) else getattr(name, "tables", ())
         self.default_lengths = tuple(peptide_lengths(default_lengths, self.default_lengths))
 
     def profile(self, seqs: DataFrame) -> DataFrame:

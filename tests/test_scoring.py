@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,26 @@ def test_modes(spark, mode, want):
     assert row.score == pytest.approx(want) and row.peptide == "TWLV" and row.source_sequence_name == "p" and row.allele == ""
 
 
+def test_own_modes(spark):
+    """The three forms of a user's mode agree, at the start of a sequence, in windows of one residue and of several lengths at once."""
+    one = lambda c, n, inner: c + (0 if n is None else n) - max(inner, default=0) * 0.5 + (sum(inner) / len(inner) if inner else 0)
+    columns = scoring.by_columns(lambda c, n, inner: c + F.coalesce(n, F.lit(0.0)) - scoring.max_internal(inner) * 0.5 + scoring.mean_internal(inner))
+
+    def batch(c, n, inner):
+        cells, sizes = np.where(np.isnan(inner), 0.0, inner), (~np.isnan(inner)).sum(axis=1)
+        return c + np.where(np.isnan(n), 0.0, n) - cells.max(axis=1, initial=0.0) * 0.5 + cells.sum(axis=1) / np.maximum(sizes, 1)
+
+    scored = {}
+    for name, mode in (("one", one), ("columns", columns), ("batches", scoring.by_batches(batch))):
+        p = stub(spark, mode)
+        rows = p.predict_proteins({"p": PROTEIN, "q": OTHER}, [1, 2, 5]).collect()
+        scored[name] = {(r.source_sequence_name, r.offset, r.peptide): r.score for r in rows}
+        flanked = p.predict(["TWL"], ["MK"], [""]).first()
+        scored[name][("flanked", 0, "")] = flanked.score
+    assert len(scored["one"]) == 12 + 11 + 8 + 6 + 5 + 2 + 1
+    assert scored["columns"] == pytest.approx(scored["one"]) and scored["batches"] == pytest.approx(scored["one"])
+
+
 def test_edges(spark):
     p = stub(spark, "nterm_cterm_max_internal")
     rows = p.predict_proteins({"p": PROTEIN, "q": OTHER, "s": "FW"}, 4, flank_length=2)
