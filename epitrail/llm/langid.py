@@ -94,15 +94,24 @@ class Model:
         return self.langs[best], float(p[best]), bool(p[best] < self.threshold)
 
 
-def fit(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 20.0, seed: int = 7) -> Model:
-    """Train on four fifths of the texts, fit temperature and threshold on the rest."""
+def figures(text: str | None):
+    """The subword buckets of a text in ascending order and how often each is met, at most :data:`BUCKETS` of them; None if there is no letter."""
     import numpy as np
 
-    def figures(data: bytes):
-        ids, counts = np.unique(subwords(data), return_counts=True)
-        return ids.astype(np.uint32), counts.astype(np.float32)
+    data = cleaned(text) if text else b""
+    if not data:
+        return None
+    total = np.zeros(BUCKETS, dtype=np.int64)
+    for at in range(0, len(data), 1 << 20):  # by blocks, as in predictions
+        total += np.bincount(subwords(data[at : at + (1 << 20) + max(NGRAMS) - 1]), minlength=BUCKETS)
+    ids = np.flatnonzero(total)
+    return ids.astype(np.uint32), total[ids].astype(np.float32)
+
+
+def fit(rows: list, epochs: int = 6, rate: float = 20.0, seed: int = 7) -> Model:
+    """Train on four fifths of the ``rows`` (:func:`figures`, label), fit temperature and threshold on the rest."""
+    import numpy as np
 
-    rows = [(figures(d), label) for t, label in zip(texts, labels) if (d := cleaned(t))]
     langs = sorted({label for _, label in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
@@ -157,9 +166,23 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     # ids alone are sorted; of rows with one doc_id, that whose text has the smallest hash is taken, so reruns agree
     ids = labelled.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")
     first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("first")
-    rows = labelled.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(first).select("doc_id", "first.text", "first.lang").collect()  # at most ``sample``
-    rows.sort(key=lambda x: str(x.doc_id))
-    return fit([x.text for x in rows], [x.lang for x in rows])
+    rows = labelled.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(first).select(F.col("doc_id").cast("string").alias("id"), "first.text", "first.lang")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [figures(x.as_py()) for x in batch.column("text")]
+            some = [i for i, x in enumerate(made) if x is not None]
+            own = batch.select(["id", "lang"]).take(pa.array(some, pa.int64()))
+            packed = [pa.array([made[i][j].tobytes() for i in some], pa.binary()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own.columns, *packed], ["id", "lang", "ids", "counts"])
+
+    import numpy as np
+
+    # figures of at most ``sample`` texts come to the driver, whatever the texts' lengths
+    got = sorted(rows.mapInArrow(run, "id string, lang string, ids binary, counts binary").collect(), key=lambda x: x.id)
+    return fit([((np.frombuffer(x.ids, "u4"), np.frombuffer(x.counts, "f4")), x.lang) for x in got])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

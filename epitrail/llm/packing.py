@@ -2,8 +2,9 @@
 
 Documents are tokenised whole and end with an end id. Documents longer than a sequence are first cut into full
 windows, which are sequences of their own; what is left of each document is placed, longest first, in the open
-sequence with the least room that still holds it. Sequences are packed in shards of about ``SHARD`` documents
-chosen by a hash of the id, so a shard's size is bounded whatever the input and padding stays small.
+sequence with the least room that still holds it. What is left of documents, a piece each at most, is dealt row by row into shards of about ``SHARD``
+pieces; full windows, which need no packing, are numbered by themselves, those of a task's documents together. So a shard's size is bounded,
+however long documents are and however often one is repeated, and padding stays small.
 """
 
 from __future__ import annotations
@@ -158,14 +159,16 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, a row a piece.
 
     A null or empty text is the end id alone. Repeated rows are separate documents. Sequence ids are unique, not
-    consecutive: shard * 2^32 + number in the shard. The packing depends on the rows alone: pieces of a shard are
-    ordered by length and content, so reruns agree. An empty table gives no rows. A text of any length is read whole, as
+    consecutive: shard * 2^32 + number in the shard. The packing depends on the rows and how they lie in partitions: pieces of a shard are
+    ordered by length and content, so reruns over the same files agree. An empty table gives no rows. A text of any length is read whole, as
     one; its full windows are sequences of their own. Other columns, of whatever name, take no part.
     """
     cut = pieces(docs, path, window, end_id)
     shards = max(1, -(-docs.count() // shard))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(shards)))
+    row = F.xxhash64("doc_id", "ids_crc32", F.monotonically_increasing_id())  # a row may be repeated many times
+    whole = F.lit(shards) + F.spark_partition_id()
+    cut = cut.withColumn("shard", F.when(F.col("length") == window, whole).otherwise(F.pmod(row, F.lit(shards))).cast("long"))
 
     def run(key, rows):
         import pyarrow as pa

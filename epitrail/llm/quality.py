@@ -209,11 +209,12 @@ def fit(sequences: list[tuple[list[list[int]], list[int]]], epochs: int = 8, rat
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """``doc_id, quality, text``: one row of each of at most ``2 * sample`` labelled documents, the same at each run.
+    """``doc_id, quality, text``: one row of each of at most ``2 * sample`` labelled documents that have a text, the same at each run.
 
-    Of rows with one doc_id, that whose text has the smallest hash.
+    Of rows with one doc_id, that whose text has the smallest hash. Labels of documents that are not there take nobody's place.
     """
     picked = None
+    labels = labels.where("quality IN (0, 1)").join(docs.where(F.col("text").isNotNull()).select("doc_id"), "doc_id", "left_semi")
     for quality in (0, 1):
         some = labels.where(F.col("quality") == quality).groupBy("doc_id").agg(F.lit(quality).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = some if picked is None else picked.unionByName(some)

@@ -427,3 +427,21 @@ def test_chi_square_quantile():
     rng = np.random.default_rng(0)
     draws = (rng.normal(size=(200_000, 16)) ** 2).sum(axis=1)
     assert abs(np.quantile(draws, 0.97) - neighbours.chi_square_quantile(0.97, 16)) < 0.2
+
+
+def test_labels_without_documents_take_no_place(spark):
+    """Labels of documents that are missing, or have no text, do not shrink the sample."""
+    docs = spark.createDataFrame([(i, f"text {i}" if i != 3 else None) for i in range(10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(-200, 10)] + [(4, None)], "doc_id long, quality int")
+    got = quality._sampled(docs, labels, 4).collect()
+    assert sorted((r.quality, r.doc_id) for r in got if r.quality) == [(1, i) for i in (1, 5, 7, 9)]
+    assert sum(1 for r in got if not r.quality) == 4
+
+
+def test_figures_of_texts():
+    """Figures of a text that is longer than a block are those of its whole."""
+    text = "Wörter und words " * 80_000
+    ids, counts = langid.figures(text)
+    whole = np.bincount(langid.subwords(langid.cleaned(text)), minlength=langid.BUCKETS)
+    assert ids.tolist() == np.flatnonzero(whole).tolist() and np.allclose(counts, whole[ids], rtol=1e-3)
+    assert langid.figures(None) is langid.figures("") is langid.figures("12 !?") is None

@@ -125,3 +125,20 @@ def test_token_counts_of_odd_tables(spark, tmp_path):
             got = tokencount.count_tokens(spark, folder, block=block).join(manifest, ["file", "ordinal"])
             want = sorted((str(r.doc_id), len(own(r.text)) // 4) for r in df.collect())
             assert sorted((str(r.doc_id), r.n_tokens) for r in got.collect()) == want
+
+
+def test_repeated_rows_and_books_are_dealt_over_shards(spark):
+    """A row repeated many times and a book of many windows: no shard gets much more than its pieces, and each id lies in one place."""
+    from collections import Counter
+
+    rows = [(1, "one and the same", "en", "a", 16)] * 600 + [(2, "some words of a book " * 30_000, "en", "a", 630_000)]
+    df = spark.createDataFrame(rows, documents(spark, 1).schema).repartition(4)
+    got = packing.pack(df, shard=50).collect()
+    book = sorted((r.start, r.length) for r in got if r.doc_id == 2)
+    assert [s for s, _ in book] == list(range(0, book[-1][0] + 1, packing.WINDOW)) and len(book) > 100
+    shards = Counter(r.sequence_id >> 32 for r in got if r.length < packing.WINDOW)
+    assert len(shards) >= 10 and max(shards.values()) <= 100 and sum(shards.values()) in (600, 601)
+    used = Counter()
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= packing.WINDOW
