@@ -2,13 +2,14 @@
 
 A text's letters, lower-cased, are cut into subwords (byte n-grams of words with their ends marked), which hash into
 rows of an embedding table; the mean of the rows feeds a linear softmax. Both are trained together by
-stochastic gradient descent in numpy, on a bounded sample. A temperature, fitted on a part of the sample that training
+stochastic gradient descent in numpy, on a bounded sample, in one task. A temperature, fitted on a part of the sample that training
 never sees, makes the probabilities match the hit rate; texts whose probability is under a threshold, fitted to a
 given share of wrongly rejected texts of known languages, are rejected.
 """
 
 from __future__ import annotations
 
+import pickle
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -178,11 +179,22 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             packed = [pa.array([made[i][j].tobytes() for i in some], pa.binary()) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([*own.columns, *packed], ["id", "lang", "ids", "counts"])
 
-    import numpy as np
+    def learn(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    # figures of at most ``sample`` texts come to the driver, whatever the texts' lengths
-    got = sorted(rows.mapInArrow(run, "id string, lang string, ids binary, counts binary").collect(), key=lambda x: x.id)
-    return fit([((np.frombuffer(x.ids, "u4"), np.frombuffer(x.counts, "f4")), x.lang) for x in got])
+        got = []
+        for batch in batches:
+            views = zip(*([x.as_buffer() for x in batch.column(c)] for c in ("ids", "counts")))
+            got += zip(batch.column("id").to_pylist(), batch.column("lang").to_pylist(), views)
+        got.sort(key=lambda x: x[0])
+        model = fit([((np.frombuffer(ids, "u4"), np.frombuffer(counts, "f4")), lang) for _, lang, (ids, counts) in got])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))], pa.binary())], ["model"])
+
+    # one task reads the figures of at most ``sample`` texts, whatever the texts' lengths; only the model comes to the driver
+    figured = rows.mapInArrow(run, "id string, lang string, ids binary, counts binary").repartition(1)
+    made = figured.mapInArrow(learn, "model binary").first()
+    return Model(**pickle.loads(made.model)) if made else fit([])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from epitrail.llm import langid, neighbours, quality, secrets
@@ -54,6 +55,23 @@ def test_language_id_awkward(spark):
     assert langid.train(df).langs  # repeated rows and null ids don't stop training
 
 
+def test_language_id_is_learnt_by_a_task(spark, monkeypatch):
+    """The driver gets the model alone, not the figures of the texts that train it."""
+    df = spoken(spark)
+    once = langid.train(df)
+
+    fit = langid.fit
+
+    def in_task(rows):
+        assert TaskContext.get() is not None, "trained on the driver"
+        return fit(rows)
+
+    monkeypatch.setattr(langid, "fit", in_task)
+    again = langid.train(df)
+    assert again.langs == once.langs and (again.scores == once.scores).all() and (again.bias == once.bias).all()
+    assert (again.temperature, again.threshold) == (once.temperature, once.threshold)
+
+
 def brute_base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
