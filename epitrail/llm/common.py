@@ -33,11 +33,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: With this setting Spark removes a query's shuffle files as the query ends, and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as a table in the shared folder and read again: cuts the lineage, survives lost executors, leaves no shuffle files."""
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -137,48 +146,69 @@ def may_resemble(a: str, b: str, similarity: float) -> Column:
 
 
 def with_hubs(keyed: DataFrame) -> DataFrame:
-    """``key, nid, hub`` of the keys that several have: ``hub`` is the smallest nid of the key.
+    """``key, nid, n, hub, hub_n, members`` of the keys that several have: ``hub`` is the smallest nid of the key, ``members`` how many have it.
 
-    One shuffle; most keys are nobody else's. The rows of a large key pass through one task in order, and spill there.
+    ``keyed``: ``key, nid, n``, ``n`` being the size of the set. One shuffle; most keys are nobody else's. The rows of a large key pass
+    through one task in order, and spill there.
     """
     span = Window.partitionBy("key")
-    hub = keyed.withColumns({"hub": F.min("nid").over(span), "last": F.max("nid").over(span)})
-    return hub.where("hub != last").select("key", "nid", "hub")
+    several = keyed.withColumns({"hub": F.min("nid").over(span), "members": F.count("*").over(span)}).where("members > 1")
+    hub_n = F.max(F.when(F.col("nid") == F.col("hub"), F.col("n"))).over(span)
+    return several.withColumn("hub_n", hub_n).select("key", "nid", "n", "hub", "hub_n", "members")
+
+
+def _may_meet(similarity: float) -> Column:
+    """Whether a row of :func:`with_hubs` is no hub and its size allows that it resembles the hub."""
+    return (F.col("nid") != F.col("hub")) & (F.least("n", "hub_n") >= F.greatest("n", "hub_n") * similarity)
+
+
+def compared(shared: DataFrame, similarity: float) -> DataFrame:
+    """``nid`` of the sets of ``shared`` (:func:`with_hubs`) that :func:`similar_components` may bring together: a pair's sizes can decide alone."""
+    some = F.when(_may_meet(similarity), F.array("nid", "hub")).when(F.col("members") > 2, F.array("nid"))
+    return shared.select(F.explode(some).alias("nid")).distinct()
+
 
+def unmet_pairs(apart: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """``src, dst``: the pairs that share a key of ``apart``, are in different parts, have not met as a key's hub, and whose sketches allow the similarity.
+
+    ``apart``: ``key, nid, hub, part, largest``. A pair becomes one row, whatever the number of its common keys: it is made in the smallest of them.
+    """
+    keys = apart.groupBy("nid").agg(F.collect_set("key").alias("keys"))
+    split = apart.where("nid != hub").join(sketches.join(keys, "nid"), "nid")
+    a, b = split.where("part != largest").alias("a"), split.alias("b")
+    once = (F.col("b.part") == F.col("b.largest")) | (F.col("a.nid") < F.col("b.nid"))
+    here = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & once & may_resemble("a", "b", similarity) & here)
+    return met.select(F.least("a.nid", "b.nid").alias("src"), F.greatest("a.nid", "b.nid").alias("dst"))
 
-def similar_components(shared: DataFrame, sizes: DataFrame, sketch, similar, similarity: float) -> DataFrame:
-    """``nid, component`` of all sets: the smallest nid that a chain of similar pairs reaches, among the pairs that share a key.
 
-    ``shared``: ``key, nid, hub`` (see :func:`with_hubs`); ``sizes``: ``nid, n`` of each set there; ``sketch``: gives the sketches of the
-    sets whose ``nid`` a table lists; ``similar``: keeps those pairs ``src, dst`` that are. Within a key, all meet the hub. Those of keys with three or
+def similar_components(shared: DataFrame, sketch, similar, similarity: float) -> DataFrame:
+    """``nid, component`` of the sets that resemble another: the smallest nid that a chain of similar pairs reaches, among the pairs that share a key.
+
+    ``shared``: see :func:`with_hubs`; ``sketch``: gives the sketches of the sets whose ``nid`` a table lists; ``similar``: keeps those
+    pairs ``src, dst`` that are; both are asked about sets of :func:`compared` only. Within a key, all meet the hub. Those of keys with three or
     more that still are in different components then meet each other, but only pairs whose sketches allow the similarity become rows,
     are brought together and compared. So no pair that matters is left out; a large group of copies costs one comparison each, and
     one of variants that resemble each other less than is asked for costs the comparison of two sketches a pair.
     """
-    size = lambda side: sizes.select(F.col("nid").alias(side), F.col("n").alias(f"n_{side}"))
-    stars = shared.where("nid != hub").select(F.col("hub").alias("src"), F.col("nid").alias("dst")).distinct().join(size("src"), "src").join(size("dst"), "dst")
-    near = saved(similar(stars.where(F.least("n_src", "n_dst") >= F.greatest("n_src", "n_dst") * similarity).select("src", "dst")), "near")
+    near = saved(similar(shared.where(_may_meet(similarity)).select(F.col("hub").alias("src"), F.col("nid").alias("dst")).distinct()), "near")
     first = saved(connected_components(near), "components").withColumnsRenamed({"node": "nid", "component": "part"})
 
-    labelled = shared.select("key", "nid").join(first, "nid", "left").withColumn("part", F.coalesce("part", "nid"))
+    labelled = shared.where("members > 2").select("key", "nid", "hub").join(first, "nid", "left").withColumn("part", F.coalesce("part", "nid"))
     parts = labelled.groupBy("key", "part").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("members"))
-    apart = saved(labelled.join(largest.where("parts > 1 AND members > 2").select("key", "largest"), "key"), "apart")
-    sketches = saved(sketch(apart.select("nid").distinct()), "sketches")
-    split = apart.join(sketches, "nid")
-    a, b = split.where("part != largest").alias("a"), split.alias("b")
-    once = (F.col("b.part") == F.col("b.largest")) | (F.col("a.nid") < F.col("b.nid"))
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & once & may_resemble("a", "b", similarity))
-    ends = rest.select(F.least("a.nid", "b.nid").alias("src"), F.greatest("a.nid", "b.nid").alias("dst")).distinct()
-    more = saved(similar(ends), "more")
+    largest = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"))
+    apart = saved(labelled.join(largest.where("parts > 1").select("key", "largest"), "key"), "apart")
+    sketches = saved(sketch(apart.where("nid != hub").select("nid").distinct()), "sketches")
+    more = saved(similar(unmet_pairs(apart, sketches, similarity)), "more")
 
     # components of components
     part = lambda side: first.select(F.col("nid").alias(side), F.col("part").alias(f"{side}_part"))
     joined = more.join(part("src"), "src", "left").join(part("dst"), "dst", "left")
     second = connected_components(joined.select(F.coalesce("src_part", "src").alias("src"), F.coalesce("dst_part", "dst").alias("dst")))
-    named = sizes.select("nid").join(first, "nid", "left").withColumn("part", F.coalesce("part", "nid"))
-    named = named.join(second, named["part"] == second["node"], "left").select("nid", F.coalesce("component", "part").alias("component"))
+    second = saved(second, "second").select(F.col("node").alias("part"), "component")
+    alone = second.select(F.col("part").alias("nid"), "component").join(first, "nid", "left_anti")
+    named = first.join(second, "part", "left").select("nid", F.coalesce("component", "part").alias("component")).unionByName(alone)
     final = saved(named, "final")
-    for used in (near, first, apart, sketches, more):
+    for used in (near, first, apart, sketches, more, second):
         discard(used)
     return final

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epitrail.llm.common import discard, places, saved, similar_components, sketched, table, with_hubs
+from epitrail.llm.common import compared, discard, places, saved, similar_components, sketched, table, with_hubs
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -106,10 +106,10 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     """
     all_lines = lines(docs)
     distinct = saved(distinct_lines(all_lines.where("text != ''"), bands, rows).withColumn("nid", F.monotonically_increasing_id()), "lines")
-    shared = saved(with_hubs(distinct.select(F.explode("keys").alias("key"), "nid")), "keys")
-    texts = saved(_texts(docs, distinct.join(shared.select("nid").distinct(), "nid", "left_semi")), "texts")
+    shared = saved(with_hubs(distinct.select(F.explode("keys").alias("key"), "nid", "n")), "keys")
+    texts = saved(_texts(docs, distinct.join(compared(shared, similarity), "nid", "left_semi")), "texts")
     sketch = lambda nids: sketched(texts.join(nids, "nid").select("nid", shingle_hashes(F.col("text")).alias("h")))
-    final = similar_components(shared, texts.select("nid", "n"), sketch, lambda pairs: _similar(pairs, texts, similarity), similarity)
+    final = similar_components(shared, sketch, lambda pairs: _similar(pairs, texts, similarity), similarity)
 
     labels = distinct.select("digest", "id", "nid").join(final, "nid", "left")
     firsts = labels.where("component IS NOT NULL").groupBy(F.col("component").alias("class")).agg(F.min("id").alias("earliest"))

@@ -19,7 +19,7 @@ from random import Random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epitrail.llm.common import connected_components, discard, saved, similar_components, sketched, table, with_hubs
+from epitrail.llm.common import compared, connected_components, discard, saved, similar_components, sketched, table, with_hubs
 
 BITS = 64
 SEED = 42
@@ -165,7 +165,7 @@ def deduplicated(docs: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, version, nid, keys`` of each row: ``nid`` is a hash of its words, ``keys`` what near copies share."""
+    """``doc_id, version, nid, n, keys`` of each row: ``nid`` is a hash of its words, ``n`` how many shingles it has, ``keys`` what near copies share."""
     masks = covering_masks(2)
 
     def run(batches: Iterator) -> Iterator:
@@ -175,25 +175,26 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
         points = np.arange(BANDS, dtype=np.uint64) * np.uint64((1 << 64) // BANDS)
         for batch in batches:
-            nids, keys = [], []
+            nids, sizes, keys = [], [], []
             for x in batch.column("data"):
                 data = x.as_py()
                 array = shingle_hashes(data, shingle)
                 nids.append(xxh64_intdigest(b" ".join((data or b"").lower().split()), SEED))
+                fp, distinct = _majority(array), np.unique(array)
+                sizes.append(len(distinct))
                 if not len(array):
                     keys.append([])
                     continue
-                fp, distinct = _majority(array), np.unique(array)
                 at = (np.searchsorted(distinct, points)[:, None] + np.arange(ROWS)) % len(distinct)
                 own = [xxh64_intdigest(row.tobytes(), j) for j, row in enumerate(distinct[at])]
                 own += [xxh64_intdigest((fp & m).to_bytes(8, "little"), BANDS + t) for t, m in enumerate(masks)]
                 keys.append([signed(k) for k in own])
-            columns = [pa.array(map(signed, nids), pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *columns], ["doc_id", "version", "nid", "keys"])
+            columns = [pa.array(map(signed, nids), pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *columns], ["doc_id", "version", "nid", "n", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("data"))
-    return rows.mapInArrow(run, f"doc_id {kind}, version long, nid long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, version long, nid long, n int, keys array<long>")
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -217,10 +218,10 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     are compared in lower case. Texts without words, and null texts, are copies of each other.
     """
     rows = saved(_signatures(docs, shingle), "signatures")
-    texts = rows.groupBy("nid").agg(_first(), F.first("keys").alias("keys"))
-    shared = saved(with_hubs(texts.select(F.explode("keys").alias("key"), "nid")), "keys")
+    texts = rows.groupBy("nid").agg(_first(), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    shared = saved(with_hubs(texts.select(F.explode("keys").alias("key"), "nid", "n")), "keys")
 
-    wanted = texts.join(shared.select("nid").distinct(), "nid", "left_semi")
+    wanted = texts.join(compared(shared, similarity), "nid", "left_semi")
     wanted = wanted.select("nid", F.col("first.none").alias("_none"), F.coalesce("first.id", F.lit(0)).alias("_id"), F.col("first.v").alias("_version"))
     keys = _places(docs)
     found = docs.withColumns(keys).join(wanted, list(keys)).select("nid", F.col("text").cast("binary").alias("data"))
@@ -233,7 +234,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         common = pairs.join(one, "src").join(two, "dst").select("src", "dst", F.size("ga").alias("n"), F.size("gb").alias("m"), F.size(F.array_intersect("ga", "gb")).alias("c"))
         return common.where(F.col("c") >= (F.col("n") + F.col("m") - F.col("c")) * similarity).select("src", "dst")
 
-    roots = similar_components(shared, sets.select("nid", F.size("grams").alias("n")), sketch, similar, similarity)
+    roots = similar_components(shared, sketch, similar, similarity)
     named = saved(rows.join(roots, "nid", "left").select("doc_id", "version", F.coalesce("component", "nid").alias("root")), "roots")
     for used in (rows, shared, sets, roots):
         discard(used)

@@ -211,3 +211,34 @@ def test_deduplicated_stands_any_column_name(spark):
     out = linededup.deduplicated(df)
     assert out.columns == df.columns and out.count() == df.count()
     assert {(r.doc_id, r.text, r.version == r.row) for r in out.where("doc_id = 7").collect()} == {(7, "", True)}
+
+
+def test_pairs_of_several_keys_become_one_row(spark):
+    """Variants that share many keys: each pair is made once, and none with a hub, which has met all."""
+    from epitrail.llm.common import sketched, unmet_pairs
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(60) for _ in range(100)]
+    sets = {nid: base[:95] + [rng.getrandbits(60) for _ in range(5)] for nid in range(1, 9)}
+    keys = {key: [0, *range(1 + key % 2, 9)] for key in (7, 8, 9, 10)}
+    apart = [(key, nid, 0, nid if nid > 5 else 0, 0) for key, members in keys.items() for nid in members]
+    sketches = sketched(spark.createDataFrame(list(sets.items()), "nid long, h array<long>"))
+    pairs = unmet_pairs(spark.createDataFrame(apart, "key long, nid long, hub long, part long, largest long"), sketches, 0.8)
+    want = [(a, b) for a in range(1, 9) for b in range(max(a, 5) + 1, 9)]
+    assert sorted(map(tuple, pairs.collect())) == want
+
+
+def test_saved_leaves_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from epitrail.llm.common import CLEANUP, discard, saved
+
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in files.mkString("\n").split("\n") if "/shuffle_" in f}
+
+    before, setting = held(), spark.conf.get(CLEANUP)
+    made = saved(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), "counts")
+    left = held() - before
+    assert made.count() == 700 and not left and spark.conf.get(CLEANUP) == setting
+    discard(made)
