@@ -148,7 +148,7 @@ def may_resemble(a: str, b: str, similarity: float) -> Column:
 def with_hubs(keyed: DataFrame) -> DataFrame:
     """``key, nid, n, hub, hub_n, members`` of the keys that several have: ``hub`` is the smallest nid of the key, ``members`` how many have it.
 
-    ``keyed``: ``key, nid, n``, ``n`` being the size of the set. One shuffle; most keys are nobody else's. The rows of a large key pass
+    ``keyed``: ``key, nid, n``, ``n`` being the size of the set, or more of its figures. One shuffle; most keys are nobody else's. The rows of a large key pass
     through one task in order, and spill there.
     """
     span = Window.partitionBy("key")
@@ -157,14 +157,19 @@ def with_hubs(keyed: DataFrame) -> DataFrame:
     return several.withColumn("hub_n", hub_n).select("key", "nid", "n", "hub", "hub_n", "members")
 
 
-def _may_meet(similarity: float) -> Column:
-    """Whether a row of :func:`with_hubs` is no hub and its size allows that it resembles the hub."""
-    return (F.col("nid") != F.col("hub")) & (F.least("n", "hub_n") >= F.greatest("n", "hub_n") * similarity)
+def sizes_allow(similarity: float):
+    """A test of two figures ``n``, the sizes of two sets: whether they allow the similarity."""
+    return lambda n, m: F.least(n, m) >= F.greatest(n, m) * similarity
 
 
-def compared(shared: DataFrame, similarity: float) -> DataFrame:
-    """``nid`` of the sets of ``shared`` (:func:`with_hubs`) that :func:`similar_components` may bring together: a pair's sizes can decide alone."""
-    some = F.when(_may_meet(similarity), F.array("nid", "hub")).when(F.col("members") > 2, F.array("nid"))
+def _may_meet(fits) -> Column:
+    """Whether a row of :func:`with_hubs` is no hub and its figures allow that it resembles the hub."""
+    return (F.col("nid") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))
+
+
+def compared(shared: DataFrame, fits) -> DataFrame:
+    """``nid`` of the sets of ``shared`` (:func:`with_hubs`) that :func:`similar_components` may bring together: a pair's figures can decide alone."""
+    some = F.when(_may_meet(fits), F.array("nid", "hub")).when(F.col("members") > 2, F.array("nid"))
     return shared.select(F.explode(some).alias("nid")).distinct()
 
 
@@ -182,16 +187,17 @@ def unmet_pairs(apart: DataFrame, sketches: DataFrame, similarity: float) -> Dat
     return met.select(F.least("a.nid", "b.nid").alias("src"), F.greatest("a.nid", "b.nid").alias("dst"))
 
 
-def similar_components(shared: DataFrame, sketch, similar, similarity: float) -> DataFrame:
+def similar_components(shared: DataFrame, sketch, similar, similarity: float, fits=None) -> DataFrame:
     """``nid, component`` of the sets that resemble another: the smallest nid that a chain of similar pairs reaches, among the pairs that share a key.
 
     ``shared``: see :func:`with_hubs`; ``sketch``: gives the sketches of the sets whose ``nid`` a table lists; ``similar``: keeps those
-    pairs ``src, dst`` that are; both are asked about sets of :func:`compared` only. Within a key, all meet the hub. Those of keys with three or
+    pairs ``src, dst`` that are; both are asked about sets of :func:`compared` only. ``fits``: whether the figures ``n`` of two sets allow that they
+    resemble each other, by default their sizes. Within a key, all meet the hub. Those of keys with three or
     more that still are in different components then meet each other, but only pairs whose sketches allow the similarity become rows,
     are brought together and compared. So no pair that matters is left out; a large group of copies costs one comparison each, and
     one of variants that resemble each other less than is asked for costs the comparison of two sketches a pair.
     """
-    near = saved(similar(shared.where(_may_meet(similarity)).select(F.col("hub").alias("src"), F.col("nid").alias("dst")).distinct()), "near")
+    near = saved(similar(shared.where(_may_meet(fits or sizes_allow(similarity))).select(F.col("hub").alias("src"), F.col("nid").alias("dst")).distinct()), "near")
     first = saved(connected_components(near), "components").withColumnsRenamed({"node": "nid", "component": "part"})
 
     labelled = shared.where("members > 2").select("key", "nid", "hub").join(first, "nid", "left").withColumn("part", F.coalesce("part", "nid"))

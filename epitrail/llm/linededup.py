@@ -5,6 +5,8 @@ Lines are compared without white space at their ends and in lower case, by the J
 * Keys are made for each line where it stands; equal lines then collapse, and the rest works on distinct lines, each known by its first place.
 * A signature takes minima under rotated orders of one hash a shingle: the ``ROWS`` shingle hashes that follow each of
   ``BANDS`` fixed points in cyclic order make a key. All shingles of a line take part, whatever its length.
+* A line brings along a small sketch of its smallest hashes. A line that by sizes and sketches resembles no other of a key leaves the
+  key: so the unlike lines that share keys by chance, which grow with the square of the input, cost a few bit counts and are never fetched.
 * Within a key, lines meet the first line. Lines that still are in different components meet each other, but only pairs whose
   sketches allow the similarity become rows; the exact similarity of all shingles decides. No candidate pair that matters is left out.
 * A distributed union-find gives the components, of which the first line stays.
@@ -12,15 +14,17 @@ Lines are compared without white space at their ends and in lower case, by the J
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epitrail.llm.common import compared, discard, places, saved, similar_components, sketched, table, with_hubs
+from epitrail.llm.common import compared, discard, places, saved, similar_components, sizes_allow, sketched, table, with_hubs
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at the threshold shares a key with probability 1 - (1 - 0.8^5)^12 = 0.99.
 BANDS, ROWS = 12, 5
+#: Of so many smallest hashes a line has a small sketch of two longs.
+LOWEST = 32
 
 
 def normal(line: Column) -> Column:
@@ -47,17 +51,44 @@ def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def low_bits(h: Column) -> list[Column]:
+    """The small sketch of a set of hashes in ascending order: each of the ``LOWEST`` smallest flips one bit of two longs."""
+    long = lambda x: F.lit(x).cast("long")
+    bit = lambda x: F.call_function("shiftleft", long(1), x.bitwiseAND(long(63)).cast("int"))
+    flips = lambda x, w: x.bitwiseAND(long(64)) == 64 * w
+    return [F.aggregate(F.slice(h, 1, LOWEST), long(0), lambda a, x: F.when(flips(x, w), a.bitwiseXOR(bit(x))).otherwise(a)) for w in (0, 1)]
+
+
+def small_sketches_allow(similarity: float):
+    """A test of two structs ``size, low_0, low_1``: whether two lines can be expected to resemble each other so much.
+
+    If both have ``LOWEST`` hashes or less, the bound is exact: as many bits differ as elements, at most. Else the smallest hashes are a random sample:
+    bits that differ are allowed up to four and a half standard deviations above what is expected at the similarity, which 1 pair in 10,000 exceeds.
+    """
+    unlike = (1 - similarity) / (1 + similarity)
+    most = 2 * LOWEST * unlike
+
+    def fits(a: Column, b: Column) -> Column:
+        differ = F.bit_count(a["low_0"].bitwiseXOR(b["low_0"])) + F.bit_count(a["low_1"].bitwiseXOR(b["low_1"]))
+        exact = (a["size"] + b["size"]) * unlike + 1e-6
+        allowed = F.when(F.greatest(a["size"], b["size"]) <= LOWEST, exact).otherwise(most + 4.5 * most**0.5 + 2)
+        return sizes_allow(similarity)(a["size"], b["size"]) & (differ <= allowed)
+
+    return fits
+
+
 def with_keys(found: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``found``, ``n``, the number of shingles of its ``text``, and ``keys``, its band keys.
+    """``found``, ``n``, the number of shingles of its ``text`` and its small sketch, and ``keys``, its band keys.
 
     Columns of their own keep the sorted hashes, and the places of the points in them, from being worked out more than once.
     """
     points = [(2 * j + 1 - bands) * ((1 << 63) // bands) for j in range(bands)]
     hashed = found.withColumn("h", shingle_hashes(F.col("text")))
     both = hashed.withColumn("both", F.sort_array(F.concat("h", F.array(*map(F.lit, points)))))
-    placed = both.withColumn("at", places("both", points))
-    key = lambda p, j: F.xxhash64(F.lit(0), j, *(F.get("h", (p + r) % F.size("h")) for r in range(rows)))
-    return placed.select(*found.columns, F.size("h").alias("n"), F.transform("at", key).alias("keys"))
+    placed = both.withColumn("at", places("both", points)).withColumn("ring", F.concat("h", F.slice("h", 1, rows)))
+    keys = [F.xxhash64(F.lit(j), F.slice("ring", F.get("at", F.lit(j)) + 1, rows)) for j in range(bands)]
+    low = [x.alias(f"low_{w}") for w, x in enumerate(low_bits(F.col("h")))]
+    return placed.select(*found.columns, F.struct(F.size("h").alias("size"), *low).alias("n"), F.array(*keys).alias("keys"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -77,15 +108,27 @@ def distinct_lines(found: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     return df.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
 
 
+def likely_keys(distinct: DataFrame, similarity: float) -> DataFrame:
+    """``key, nid, n``: the keys that several of the ``distinct`` lines have, of each those lines that by their figures can resemble another of them."""
+    keyed = distinct.select(F.explode("keys").alias("key"), "nid")
+    several = keyed.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1")
+    met = saved(several.select("key", "nid").join(distinct.select("nid", "n"), "nid"), "met")
+    a, b = met.alias("a"), met.alias("b")
+    alike = (F.col("a.key") == F.col("b.key")) & (F.col("a.nid") != F.col("b.nid")) & small_sketches_allow(similarity)(F.col("a.n"), F.col("b.n"))
+    found = saved(a.join(b, alike, "left_semi").select("key", "nid", "n"), "likely")
+    discard(met)
+    return found
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``nid, n, text`` of the ``wanted`` distinct lines, cut again from the documents of their first places."""
-    places = wanted.select("nid", F.col("id.none").alias("none"), F.coalesce("id.doc_id", F.lit(0)).alias("doc"), F.col("id.line_no").alias("line_no"), "digest", "n")
-    by_doc = places.groupBy("none", "doc").agg(F.collect_list(F.struct("nid", "line_no", "digest", "n")).alias("own"))
+    """``nid, text`` of the ``wanted`` distinct lines, cut again from the documents of their first places."""
+    places = wanted.select("nid", F.col("id.none").alias("none"), F.coalesce("id.doc_id", F.lit(0)).alias("doc"), F.col("id.line_no").alias("line_no"), "digest")
+    by_doc = places.groupBy("none", "doc").agg(F.collect_list(F.struct("nid", "line_no", "digest")).alias("own"))
     source = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("text").alias("whole"))
     met = source.join(by_doc, ["none", "doc"]).select(F.split("whole", "\n", -1).alias("ls"), "own")
-    cut = met.select(F.transform("own", lambda x: F.struct(x["nid"].alias("nid"), x["n"].alias("n"), x["digest"].alias("digest"), F.get("ls", x["line_no"]).alias("raw"))).alias("own"), F.size("ls"))
-    cut = cut.select(F.inline("own")).select("nid", "n", "digest", normal(F.col("raw")).alias("text")).where(_digest(F.col("text")) == F.col("digest"))
-    return cut.groupBy("nid").agg(F.min("n").alias("n"), F.min("text").alias("text"))  # rows may repeat a doc_id
+    cut = met.select(F.transform("own", lambda x: F.struct(x["nid"].alias("nid"), x["digest"].alias("digest"), F.get("ls", x["line_no"]).alias("raw"))).alias("own"), F.size("ls"))
+    cut = cut.select(F.inline("own")).select("nid", "digest", normal(F.col("raw")).alias("text")).where(_digest(F.col("text")) == F.col("digest"))
+    return cut.groupBy("nid").agg(F.min("text").alias("text"))  # rows may repeat a doc_id
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -106,10 +149,12 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     """
     all_lines = lines(docs)
     distinct = saved(distinct_lines(all_lines.where("text != ''"), bands, rows).withColumn("nid", F.monotonically_increasing_id()), "lines")
-    shared = saved(with_hubs(distinct.select(F.explode("keys").alias("key"), "nid", "n")), "keys")
-    texts = saved(_texts(docs, distinct.join(compared(shared, similarity), "nid", "left_semi")), "texts")
+    likely, fits = likely_keys(distinct, similarity), small_sketches_allow(similarity)
+    shared = saved(with_hubs(likely), "keys")
+    discard(likely)
+    texts = saved(_texts(docs, distinct.join(compared(shared, fits), "nid", "left_semi")), "texts")
     sketch = lambda nids: sketched(texts.join(nids, "nid").select("nid", shingle_hashes(F.col("text")).alias("h")))
-    final = similar_components(shared, sketch, lambda pairs: _similar(pairs, texts, similarity), similarity)
+    final = similar_components(shared, sketch, lambda pairs: _similar(pairs, texts, similarity), similarity, fits)
 
     labels = distinct.select("digest", "id", "nid").join(final, "nid", "left")
     firsts = labels.where("component IS NOT NULL").groupBy(F.col("component").alias("class")).agg(F.min("id").alias("earliest"))

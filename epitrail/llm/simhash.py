@@ -19,7 +19,7 @@ from random import Random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epitrail.llm.common import compared, connected_components, discard, saved, similar_components, sketched, table, with_hubs
+from epitrail.llm.common import compared, connected_components, discard, saved, similar_components, sizes_allow, sketched, table, with_hubs
 
 BITS = 64
 SEED = 42
@@ -221,7 +221,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     texts = rows.groupBy("nid").agg(_first(), F.first("n").alias("n"), F.first("keys").alias("keys"))
     shared = saved(with_hubs(texts.select(F.explode("keys").alias("key"), "nid", "n")), "keys")
 
-    wanted = texts.join(compared(shared, similarity), "nid", "left_semi")
+    wanted = texts.join(compared(shared, sizes_allow(similarity)), "nid", "left_semi")
     wanted = wanted.select("nid", F.col("first.none").alias("_none"), F.coalesce("first.id", F.lit(0)).alias("_id"), F.col("first.v").alias("_version"))
     keys = _places(docs)
     found = docs.withColumns(keys).join(wanted, list(keys)).select("nid", F.col("text").cast("binary").alias("data"))

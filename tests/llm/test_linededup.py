@@ -242,3 +242,42 @@ def test_saved_leaves_no_shuffle_files(spark):
     left = held() - before
     assert made.count() == 700 and not left and spark.conf.get(CLEANUP) == setting
     discard(made)
+
+
+def test_small_sketches_leave_out_no_similar_pair(spark):
+    from pyspark.sql import functions as F
+
+    rng, sets = random.Random(12), []
+    for size in [1, 2, 4, 5, 9, 20, 31, 32, 33, 46, 100, 300, 1500] * 6:
+        base = [rng.getrandbits(64) - (1 << 63) for _ in range(size)]
+        off = int(size * rng.uniform(0, 0.111))
+        sets += [base, base[off:] + [rng.getrandbits(64) - (1 << 63) for _ in range(off)], [rng.getrandbits(64) - (1 << 63) for _ in range(size)]]
+    low = [x.alias(f"low_{w}") for w, x in enumerate(linededup.low_bits(F.col("h")))]
+    made = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "nid long, h array<long>")
+    made = made.select("nid", F.struct(F.size("h").alias("size"), *low).alias("n")).cache()
+    a, b = made.alias("a"), made.alias("b")
+    fits = linededup.small_sketches_allow(0.8)(F.col("a.n"), F.col("b.n"))
+    passed = {tuple(p) for p in a.join(b, (F.col("a.nid") < F.col("b.nid")) & fits).select("a.nid", "b.nid").collect()}
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    assert len(alike) >= len(sets) // 3 and alike <= passed
+    assert len(passed) < 2 * len(alike)
+
+
+def test_lines_that_share_keys_by_chance_are_not_fetched(spark, monkeypatch):
+    """With one hash a key, unlike lines share keys; only texts of those that may resemble another are cut and compared."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(150)]
+    texts += [t + " and more" for t in texts[:10]]
+    sizes, saved = {}, linededup.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "saved", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.first.doc_id for r in linededup.line_classes(df, rows=1).collect()}
+    assert found == {i: i % 150 for i in range(160)}
+    assert 20 <= sizes["texts"] <= 30
