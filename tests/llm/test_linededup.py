@@ -281,3 +281,21 @@ def test_lines_that_share_keys_by_chance_are_not_fetched(spark, monkeypatch):
     found = {r.doc_id: r.first.doc_id for r in linededup.line_classes(df, rows=1).collect()}
     assert found == {i: i % 150 for i in range(160)}
     assert 20 <= sizes["texts"] <= 30
+
+
+def test_places_of_points(spark):
+    """As by bisection; only the lower half of the points is looked for from the start."""
+    from bisect import bisect
+
+    from pyspark.sql import functions as F
+
+    from epitrail.llm.common import places
+
+    rng = random.Random(6)
+    for n in (1, 2, 5, 12):
+        points = [(2 * j + 1 - n) * ((1 << 63) // n) for j in range(n)]
+        sets = [sorted(rng.getrandbits(64) - (1 << 63) for _ in range(size)) for size in (1, 2, 7, 40, 900)]
+        df = spark.createDataFrame([(h, sorted(h + points)) for h in sets], "h array<long>, both array<long>").select("h", places("both", points).alias("at"))
+        assert all(r["at"] == [bisect(r.h, p) for p in points] for r in df.collect())
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("array_position(both") == (n + 1) // 2 and plan.count("array_position(reverse(") == n // 2
