@@ -139,6 +139,30 @@ def kmers(seqs: DataFrame, lengths: Iterable[int], flank_length: int = 0, along:
     tables = sorted({t for t in tables if max(lengths) - 1 > DIRECT[t]})
     kept = [c for c in seqs.columns if c not in ("seq", along)]
     f = flank_length
+    held = _blocks(seqs, lengths, f, along)
+    for what in tables:
+        held = running(held, along, what, max(lengths) - 1)
+    at = held.select("*", F.explode(F.sequence(F.col("_b"), F.col("_last"))).alias("offset"))
+    place = F.col("offset") - F.col("_b") + F.col("_before")  # in the block, from 0
+    columns = [_letters(place, F.col("_k")).alias("peptide"), F.col("offset")]
+    made = [table_name(along, what, level) for what in tables for level in range(1, (max(lengths) - 1).bit_length())]
+    more = [along, *made, "_k", place.alias("_place")] if along else []
+    return at.select(*kept, *columns, *(flanks(f, place) if f else []), *more)
+
+
+def kmer_blocks(seqs: DataFrame, lengths: Iterable[int]) -> DataFrame:
+    """The windows of :func:`kmers` in blocks: ``k, start, peptides``, up to ``BLOCK`` windows of one length from offset ``start`` on, with all columns of ``seqs`` but ``seq``.
+
+    What is summed up over windows can be summed up in a block first, and then over rows that are ``BLOCK`` times fewer.
+    """
+    held = _blocks(seqs, peptide_lengths(lengths, None), 0, None)
+    cut = F.transform(F.sequence(F.lit(0), F.col("_last") - F.col("_b")), lambda place: _letters(place, F.col("_k")))
+    return held.select(*(c for c in seqs.columns if c != "seq"), F.col("_k").alias("k"), F.col("_b").alias("start"), cut.alias("peptides"))
+
+
+def _blocks(seqs: DataFrame, lengths: list[int], f: int, along: str | None) -> DataFrame:
+    """Blocks of windows from ``_b`` to ``_last`` with their letters, flanks of ``f`` letters and part of ``along``; the first window is at place ``_before``."""
+    kept = [c for c in seqs.columns if c not in ("seq", along)]
     k = F.explode(F.array(*map(F.lit, lengths)))
     ascii_only = F.octet_length("seq") == F.length("seq")
     wide = F.when(ascii_only, F.col("seq").cast("binary")).otherwise(F.encode("seq", "UTF-32"))
@@ -148,18 +172,11 @@ def kmers(seqs: DataFrame, lengths: Iterable[int], flank_length: int = 0, along:
     before = F.least(F.col("_b"), F.lit(max(f, 1) if along else f))
     first, size = F.col("_b") - before, before + BLOCK + F.col("_k") - 1 + f
     cut = F.substring("_wide", first * F.col("_u") + 1, size * F.col("_u"))
-    letters = F.when(F.col("_u") == 1, cut.cast("string")).otherwise(F.decode(cut, "UTF-32"))
-    parts = [letters.alias("seq"), *([F.slice(along, first + 1, size).alias(along)] if along else [])]
-    held = blocks.select(*kept, "_n", "_k", "_b", *parts, before.alias("_before"))
-    for what in tables:
-        held = running(held, along, what, max(lengths) - 1)
+    # a block of ASCII stays bytes, of which a window is copied without looking at what stands before it
+    letters = [F.when(F.col("_u") == 1, cut).alias("_bytes"), F.when(F.col("_u") != 1, F.decode(cut, "UTF-32")).alias("seq")]
+    parts = [*letters, *([F.slice(along, first + 1, size).alias(along)] if along else [])]
     last = F.least(F.col("_b") + BLOCK - 1, F.col("_n") - F.col("_k"))
-    at = held.select("*", F.explode(F.sequence(F.col("_b"), last)).alias("offset"))
-    place = F.col("offset") - F.col("_b") + F.col("_before")  # in the block, from 0
-    columns = [F.substring("seq", place + 1, F.col("_k")).alias("peptide"), F.col("offset")]
-    made = [table_name(along, what, level) for what in tables for level in range(1, (max(lengths) - 1).bit_length())]
-    more = [along, *made, "_k", place.alias("_place")] if along else []
-    return at.select(*kept, *columns, *(flanks(f, place) if f else []), *more)
+    return blocks.select(*kept, "_k", "_b", last.alias("_last"), *parts, before.alias("_before"))
 
 
 def window_counts(seqs: DataFrame, lengths: Iterable[int]) -> DataFrame:
@@ -168,13 +185,15 @@ def window_counts(seqs: DataFrame, lengths: Iterable[int]) -> DataFrame:
     return seqs.select("name", F.length("seq").alias("_n"), k.alias("k")).where(F.col("_n") >= F.col("k")).select("name", "k", (F.col("_n") - F.col("k") + 1).cast("long").alias("n"))
 
 
-def flanks(length: int, place=None) -> list:
-    """``n_flank, c_flank`` of the window at ``place`` in ``seq``, by default at ``offset``; none for length 0."""
-    if not length:
-        return []
-    place = F.col("offset") if place is None else place
-    before = F.substring("seq", F.greatest(place - length, F.lit(0)) + 1, F.least(place, F.lit(length)))
-    after = F.substring("seq", place + F.col("_k") + 1, F.lit(length))
+def _letters(place: Column, size) -> Column:
+    """Letters of a block from ``place`` on, counted from 0."""
+    return F.when(F.col("seq").isNull(), F.substring("_bytes", place + 1, size).cast("string")).otherwise(F.substring("seq", place + 1, size))
+
+
+def flanks(length: int, place: Column) -> list:
+    """``n_flank, c_flank`` of the window at ``place`` in its block."""
+    before = _letters(F.greatest(place - length, F.lit(0)), F.least(place, F.lit(length)))
+    after = _letters(place + F.col("_k"), F.lit(length))
     return [before.alias("n_flank"), after.alias("c_flank")]
 
 

@@ -146,16 +146,26 @@ def kmer_counts(spark, sf):
 SUM32 = "sum(('0x' || substr(md5({}), 1, 8))::BIGINT)::BIGINT"
 
 
+def _bits32(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def _sum32(text: Column) -> Column:
-    return F.sum(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"))
+    return F.sum(_bits32(text))
 
 
 @query(f"""WITH {DOCS}, {_win(8, 11)} SELECT name, k, count(*) AS n, min(peptide) AS first, max(peptide) AS last, {SUM32.format("\"offset\" || ':' || peptide")} AS digest FROM win GROUP BY name, k""")
 def document_kmers(spark, sf):
     """Every window of all documents, cut, by document and length: a digest of places and letters tells them all."""
-    w = windows.kmers(document_proteins(spark, sf), [8, 11]).withColumn("k", F.length("peptide"))
-    place = F.concat(F.col("offset").cast("string"), F.lit(":"), "peptide")
-    return w.groupBy("name", "k").agg(F.count("*").alias("n"), F.min("peptide").alias("first"), F.max("peptide").alias("last"), _sum32(place).alias("digest"))
+    held = windows.kmer_blocks(document_proteins(spark, sf), [8, 11])
+    place = lambda p, i: F.concat((F.col("start") + i).cast("string"), F.lit(":"), p)
+    digest = F.aggregate(F.transform("peptides", lambda p, i: _bits32(place(p, i))), F.lit(0).cast("long"), lambda a, x: a + x)
+    # numbers in place of letters, in the same order: sums over numbers are kept in memory, while least and greatest strings would have all rows sorted, on disk
+    number = lambda peptide: F.conv(peptide, 36, 10).cast("long")
+    letters = lambda number: F.conv(number.cast("string"), 10, 36)
+    blocks = held.select("name", "k", F.size("peptides").alias("n"), number(F.array_min("peptides")).alias("first"), number(F.array_max("peptides")).alias("last"), digest.alias("digest"))
+    found = blocks.groupBy("name", "k").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("digest").alias("digest"))
+    return found.select("name", "k", "n", letters(F.col("first")).alias("first"), letters(F.col("last")).alias("last"), "digest")
 
 
 @query(f"""WITH {DOCS}, {_win(9)} SELECT name, count(*) AS n, {SUM32.format("substr(seq, greatest(\"offset\" - 3, 0) + 1, least(\"offset\", 3)) || '<' || peptide || '>' || substr(seq, \"offset\" + 10, 3)")} AS digest FROM win GROUP BY name""")
