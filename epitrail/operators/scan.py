@@ -19,13 +19,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
 
 
-def carried(lines: DataFrame, marks: dict[str, Column], sums: dict[str, Column] | None = None, previous: dict[str, Column] | None = None) -> DataFrame:
+def carried(lines: DataFrame, marks: dict[str, Column], sums: dict[str, Column] | None = None, previous: dict[str, Column] | None = None, since: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """``lines`` with a column for each of these:
 
-    ``marks``: the last value, up to the line itself, that was not null; ``sums``: the sum over all lines before the line; ``previous``: the value of the line before.
+    ``marks``: the last value, up to the line itself, that was not null; ``sums``: the sum over all lines before the line; ``previous``: the value of the line before;
+    ``since``: by a mark's name and a sum's, that sum over the lines from the one that last set the mark to before the line.
     Null where there is none yet; a sum is then 0.
     """
-    sums, previous = sums or {}, previous or {}
+    sums, previous, since = sums or {}, previous or {}, since or {}
     within = Window.partitionBy(*PLACE).orderBy("n")
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     given = {f"_{name}": value for name, value in {**marks, **sums, **previous}.items()}
@@ -36,20 +37,26 @@ def carried(lines: DataFrame, marks: dict[str, Column], sums: dict[str, Column]
         | {f"_at_{p}": F.lag(f"_{p}").over(within) for p in previous}
         | {"_first": F.row_number().over(within) == 1}
     )
+    if since:  # what the sum had come to, in its block, where the mark was set
+        scanned = scanned.withColumns({f"_at_{x}": F.last(F.when(F.col(f"_{m}").isNotNull(), F.col(f"_at_{s}")), ignorenulls=True).over(within) for x, (m, s) in since.items()})
     # one row a block; the last of its lines has what a mark has come to
-    ends = [F.max_by(f"_at_{m}", "n").alias(f"_{m}") for m in marks] + [F.sum(f"_{s}").alias(f"_{s}") for s in sums] + [F.max_by(f"_{p}", "n").alias(f"_{p}") for p in previous]
+    ends = [F.max_by(f"_at_{m}", "n").alias(f"_{m}") for m in (*marks, *since)] + [F.sum(f"_{s}").alias(f"_{s}") for s in sums] + [F.max_by(f"_{p}", "n").alias(f"_{p}") for p in previous]
     blocks = scanned.groupBy(*PLACE).agg(*ends)
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    if sums:
+        blocks = blocks.withColumns({f"_from_{s}": F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)) for s in sums})
     over = (
         [F.last(f"_{m}", ignorenulls=True).over(earlier).alias(f"_from_{m}") for m in marks]
-        + [F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_from_{s}") for s in sums]
+        + [F.last(F.col(f"_{x}") + F.col(f"_from_{s}"), ignorenulls=True).over(earlier).alias(f"_from_{x}") for x, (_, s) in since.items()]
         + [F.lag(f"_{p}").over(Window.partitionBy("file").orderBy("block")).alias(f"_from_{p}") for p in previous]
     )
-    joined = scanned.join(blocks.select(*PLACE, *over), list(PLACE))
+    joined = scanned.join(blocks.select(*PLACE, *(f"_from_{s}" for s in sums), *over), list(PLACE))
+    total = lambda s: F.col(f"_at_{s}") + F.col(f"_from_{s}")
     return joined.select(
         *lines.columns,
         *(F.coalesce(f"_at_{m}", f"_from_{m}").alias(m) for m in marks),
-        *((F.col(f"_at_{s}") + F.col(f"_from_{s}")).alias(s) for s in sums),
+        *(total(s).alias(s) for s in sums),
+        *((total(s) - F.coalesce(F.col(f"_at_{x}") + F.col(f"_from_{s}"), F.col(f"_from_{x}"))).alias(x) for x, (_, s) in since.items()),
         *(F.when(F.col("_first"), F.col(f"_from_{p}")).otherwise(F.col(f"_at_{p}")).alias(p) for p in previous),
     )
 

@@ -53,10 +53,9 @@ def read_fasta_chunks(spark: SparkSession, path: str, before: int = 0, after: in
     lines = read_lines(spark, path).select("file", "block", "n", is_header.alias("is_header"), F.when(is_header, F.col("line")).otherwise(letters).alias("line"))
     name = F.get(F.split(F.trim(F.regexp_replace("line", r"^\s*>", "")), r"\s+"), F.lit(0))
     size = F.when(F.col("is_header"), 0).otherwise(F.length("line")).cast("long")
-    placed = carried(lines, {}, {"upto": size, "record": F.col("is_header").cast("long")})
-    # where a record's letters begin, and its name, go with its header
-    begun = carried(placed, {"of": F.when(F.col("is_header"), F.struct(name.alias("name"), F.col("upto").alias("first")))})
-    found = begun.where("NOT is_header AND line != '' AND of IS NOT NULL").select("file", "record", "of.name", (F.col("upto") - F.col("of.first")).alias("at"), "line")
+    # one scan: a line's record, the name in its header, and how many letters stand between them
+    placed = carried(lines, {"name": F.when(F.col("is_header"), name)}, {"upto": size, "record": F.col("is_header").cast("long")}, since={"at": ("name", "upto")})
+    found = placed.where("NOT is_header AND line != '' AND name IS NOT NULL").select("file", "record", "name", "at", "line")
     # a line's letters go to each chunk that they are part of or that wants them beside it
     end = F.col("at") + F.length("line")
     low, high = F.expr(f"greatest((at - {after}) div {chunk}, 0L)"), F.expr(f"(at + length(line) - 1 + {before}) div {chunk}")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from epitrail.operators import windows
-from epitrail.plans import catalog
+from epitrail.operators.scan import carried
+from epitrail.plans import catalog, large  # noqa: F401  large adds its queries to the catalogue
 
 TEXTS = {1: "Some words, and some more words; " * 9, 2: "", 3: None, 4: "zebras ate 12 apples", 5: "abcdefgh", 6: "zzzzzzzz aaaaaaaaaaa", 7: "short"}
 
@@ -41,3 +42,19 @@ def test_document_kmers_sorts_no_windows(spark, folder):
             if found:
                 want[str(i), k] = (len(found), min(found), max(found))
     assert got == want
+
+
+def test_fasta_is_scanned_once_for_places_and_once_for_lines(spark, folder):
+    df = catalog.QUERIES["document_fasta"](spark, folder)
+    assert plan(df).count("FileScan text") == 2
+    assert df.agg(F.sum("n")).first()[0] == sum(max(0, len("".join(c for c in t or "" if c.isalpha())) - k + 1) for t in TEXTS.values() for k in (8, 11))
+
+
+def test_sums_since_a_mark(spark):
+    rows = [("f", b, n, line) for b, lines in enumerate((["a", "bb"], [">x", "ccc", "d"], ["e", "ff"], [">y", ">z", "g"], ["h"])) for n, line in enumerate(lines)]
+    lines = spark.createDataFrame(rows, "file string, block int, n int, line string").repartition(4)
+    head = F.col("line").startswith(">")
+    got = carried(lines, {"mark": F.when(head, F.col("line"))}, {"total": F.when(head, 0).otherwise(F.length("line"))}, since={"at": ("mark", "total")}).orderBy("block", "n")
+    assert [(r.line, r.mark, r.total, r["at"]) for r in got.collect()] == [
+        ("a", None, 0, None), ("bb", None, 1, None), (">x", ">x", 3, 0), ("ccc", ">x", 3, 0), ("d", ">x", 6, 3), ("e", ">x", 7, 4), ("ff", ">x", 8, 5), (">y", ">y", 10, 0), (">z", ">z", 10, 0), ("g", ">z", 10, 0), ("h", ">z", 11, 1),
+    ]
