@@ -8,9 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: The concentration, in nM, that gets score 0.
 MAX_IC50 = 50_000.0
@@ -79,6 +81,8 @@ class OwnMode:
 
     mode: Mode
     tables: tuple[str, ...] = ()
+    #: Scores of all windows of a block at once: (profile, place of the first, number of windows, their length) -> array.
+    blocks: Callable[[Column, Column, Column, Column], Column] | None = None
 
 
 def by_columns(f: Mode) -> OwnMode:
@@ -86,10 +90,14 @@ def by_columns(f: Mode) -> OwnMode:
     return OwnMode(f, ("max", "sum"))
 
 
+#: Cells of a matrix that a mode of batches is given at most.
+CELLS = 1 << 20
+
+
 def by_batches(f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> OwnMode:
     """A mode from a function of whole batches: numbers c and n of each window, and a matrix with the cells inside, a row a window.
 
-    NaN stands for what there is not: n at the start of a sequence, cells of shorter windows.
+    NaN stands for what there is not: n at the start of a sequence, cells of shorter windows. Windows of sequences come to Python in blocks, as the block's part of the profile.
     """
     def run(c: pd.Series, n: pd.Series, inner: pd.Series) -> pd.Series:
         sizes = inner.map(len).to_numpy(dtype=int)
@@ -98,7 +106,37 @@ def by_batches(f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) ->
             cells[np.arange(cells.shape[1])[None, :] < sizes[:, None]] = np.concatenate(inner.to_numpy())
         return pd.Series(np.asarray(f(c.to_numpy(dtype=float), n.to_numpy(dtype=float), cells), dtype=float))
 
-    return OwnMode(F.pandas_udf(run, DoubleType()))
+    return OwnMode(F.pandas_udf(run, DoubleType()), blocks=_of_blocks(f))
+
+
+def _of_blocks(f):
+    """:attr:`OwnMode.blocks` of a function of batches: cells are read where they stand in the Arrow batch."""
+    def run(profile: pa.Array, place: pa.Array, many: pa.Array, length: pa.Array) -> pa.Array:
+        cells = np.append(profile.flatten().to_numpy(zero_copy_only=False).astype(float), np.nan)
+        many, length = many.to_numpy().astype(np.int64), length.to_numpy().astype(np.int64)
+        sizes = pc.fill_null(pc.list_value_length(profile), 0).to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        bounds = np.concatenate([[0], np.cumsum(many)])
+        first = np.repeat(ends - sizes, many)  # of the window's block
+        at = first + np.repeat(place.to_numpy().astype(np.int64), many) + np.arange(bounds[-1]) - np.repeat(bounds[:-1], many)
+        k, end = np.repeat(length, many), np.repeat(ends, many)
+        out = np.empty(bounds[-1])
+        step = max(1, CELLS // max(1, length.max(initial=1)))
+
+        def cell(i, low, high):
+            return cells[np.where((i >= low) & (i < high), i, len(cells) - 1)]
+
+        for a in range(0, len(at), step):
+            w = slice(a, a + step)
+            i = at[w][:, None] + np.arange(k[w].max() - 1)
+            inner = cell(i, 0, np.minimum(end[w], at[w] + k[w] - 1)[:, None])
+            out[w] = f(cell(at[w] + k[w] - 1, 0, end[w]), cell(at[w] - 1, first[w], end[w]), inner)
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out, from_pandas=True))
+
+    def blocks(profile: Column, place: Column, many: Column, length: Column) -> Column:
+        return F.arrow_udf(run, ArrayType(DoubleType()))(profile, place, many, length)
+
+    return blocks
 
 
 def user_mode(f: Callable[[float, float | None, list[float]], float]) -> Mode:

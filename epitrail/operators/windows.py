@@ -124,7 +124,7 @@ def running(blocks: DataFrame, along: str, what: str, most: int) -> DataFrame:
     return blocks
 
 
-def kmers(seqs: DataFrame, lengths: Iterable[int], flank_length: int = 0, along: str | None = None, tables: Iterable[str] = ()) -> DataFrame:
+def kmers(seqs: DataFrame, lengths: Iterable[int], flank_length: int = 0, along: str | None = None, tables: Iterable[str] = (), scored=None) -> DataFrame:
     """Every window of the given lengths, with all columns of ``seqs`` but ``seq`` kept.
 
     Adds ``peptide, offset`` (from 0), and with a flank length ``n_flank, c_flank``. Sequences shorter than a length, or
@@ -133,7 +133,8 @@ def kmers(seqs: DataFrame, lengths: Iterable[int], flank_length: int = 0, along:
 
     ``along``: a column with an array, an element a residue. A window gets its block's part of it alone, and with it ``_k``, its
     length, and ``_place``, where in that part it starts; the residue before a window is in it too. ``tables`` (``max``, ``sum``): tables of
-    :func:`running` beside the part, made once a block, which :class:`Internal` reads where windows are long.
+    :func:`running` beside the part, made once a block, which :class:`Internal` reads where windows are long. ``scored``: a function of the part, the place of the first window in it,
+    the number of windows and their length that gives an array, an element a window; windows then have their element as ``score``, in place of the columns above.
     """
     lengths = peptide_lengths(lengths, None)
     tables = sorted({t for t in tables if max(lengths) - 1 > DIRECT[t]})
@@ -142,11 +143,15 @@ def kmers(seqs: DataFrame, lengths: Iterable[int], flank_length: int = 0, along:
     held = _blocks(seqs, lengths, f, along)
     for what in tables:
         held = running(held, along, what, max(lengths) - 1)
+    if scored:
+        held = held.withColumn("_scores", scored(F.col(along), F.col("_before"), F.col("_last") - F.col("_b") + 1, F.col("_k"))).drop(along)
     at = held.select("*", F.explode(F.sequence(F.col("_b"), F.col("_last"))).alias("offset"))
     place = F.col("offset") - F.col("_b") + F.col("_before")  # in the block, from 0
     columns = [_letters(place, F.col("_k")).alias("peptide"), F.col("offset")]
     made = [table_name(along, what, level) for what in tables for level in range(1, (max(lengths) - 1).bit_length())]
     more = [along, *made, "_k", place.alias("_place")] if along else []
+    if scored:
+        more = [F.get("_scores", F.col("offset") - F.col("_b")).alias("score")]
     return at.select(*kept, *columns, *(flanks(f, place) if f else []), *more)
 
 

@@ -31,6 +31,7 @@ class ProcessingPredictor:
         self.mode = scoring.resolve_mode(scoring_mode, self.default_scoring)
         name = self.default_scoring if scoring_mode is None else scoring_mode
         self.tables = scoring.TABLES[name] if isinstance(name, str) else getattr(name, "tables", ())
+        self.blocks = getattr(name, "blocks", None)
         self.default_lengths = tuple(peptide_lengths(default_lengths, self.default_lengths))
 
     def profile(self, seqs: DataFrame) -> DataFrame:
@@ -48,6 +49,9 @@ class ProcessingPredictor:
         df = given if isinstance(given, DataFrame) else sequences(self.spark, given)
         lengths = peptide_lengths(lengths, self.default_lengths)
         with_profile = self.profile(df.select("name", "seq").where("seq IS NOT NULL"))
+        if self.blocks:
+            rows = kmers(with_profile, lengths, flank_length, along="probs", scored=self.blocks).withColumnRenamed("name", "source_sequence_name")
+            return canonical(rows, kind=self.kind, predictor_name=self.name, predictor_version=self.version)
         at = kmers(with_profile, lengths, flank_length, along="probs", tables=self.tables)
         p, o, k = F.col("probs"), F.col("_place"), F.col("_k")
         inner = Internal("probs", lengths, k, o)

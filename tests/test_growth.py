@@ -1,11 +1,14 @@
 """Queries over whole documents: what they must not do as tables grow, beside their results."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from epitrail.functions import scoring
 from epitrail.operators import windows
 from epitrail.operators.scan import carried
 from epitrail.plans import catalog, large  # noqa: F401  large adds its queries to the catalogue
+from epitrail.predictors.processing import ProcessingPredictor
 
 TEXTS = {1: "Some words, and some more words; " * 9, 2: "", 3: None, 4: "zebras ate 12 apples", 5: "abcdefgh", 6: "zzzzzzzz aaaaaaaaaaa", 7: "short"}
 
@@ -58,3 +61,30 @@ def test_sums_since_a_mark(spark):
     assert [(r.line, r.mark, r.total, r["at"]) for r in got.collect()] == [
         ("a", None, 0, None), ("bb", None, 1, None), (">x", ">x", 3, 0), ("ccc", ">x", 3, 0), ("d", ">x", 6, 3), ("e", ">x", 7, 4), ("ff", ">x", 8, 5), (">y", ">y", 10, 0), (">z", ">z", 10, 0), ("g", ">z", 10, 0), ("h", ">z", 11, 1),
     ]
+
+
+def test_own_batches_get_blocks(spark, folder):
+    got = plan(catalog.QUERIES["document_own_batches"](spark, folder))
+    assert "EvalPython" in got and "explode(sequence(_b" in got and got.index("explode(sequence(_b") < got.index("EvalPython")  # windows are made after Python
+
+
+def test_batches_of_blocks_see_what_one_window_sees(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "CELLS", 100)
+    rows = [("a", "ACDEFGHIKL" * 30, [((7 * i) % 100) / 100 for i in range(300)]), ("holes", "ACDEFGHIKLMN", [0.5, None] * 6), ("less", "ACDEFGHIKL", [0.25] * 7), ("one", "ACD", [0.1, 0.2, 0.3])]
+    given = spark.createDataFrame(rows, "name string, seq string, given array<double>").repartition(2)
+
+    class Given(ProcessingPredictor):
+        def profile(self, seqs):
+            return seqs.join(given.select("name", F.col("given").alias("probs")), "name")
+
+    def batch(c, n, inner):
+        return np.where(np.isnan(c), -1, c) + 10 * np.where(np.isnan(n), -1, n) + 100 * np.where(np.isnan(inner), 0, inner).sum(axis=1)
+
+    found = Given(spark, scoring_mode=scoring.by_batches(batch)).predict_proteins(given.select("name", "seq"), [1, 3, 8], flank_length=2)
+    want = {}
+    for name, seq, p in rows:
+        cell = lambda i, none: none if not 0 <= i < len(p) or p[i] is None else p[i]
+        for k in (1, 3, 8):
+            for o in range(len(seq) - k + 1):
+                want[name, o, k] = cell(o + k - 1, -1) + 10 * cell(o - 1, -1) + 100 * sum(cell(i, 0) for i in range(o, o + k - 1))
+    assert {(r.source_sequence_name, r.offset, len(r.peptide)): r.score for r in found.collect()} == pytest.approx(want)
