@@ -53,16 +53,19 @@ def ordinal(allele: Column) -> Column:
     return out
 
 
-def affinity(peptide: Column, allele: Column) -> Column:
+def weight(peptide: Column) -> Column:
+    return sum((F.ascii(F.substring(peptide, i, 1)) * i for i in range(1, 16)), F.lit(0))  # of up to 15 residues
+
+
+def affinity(weight: Column, allele: Column) -> Column:
     """An integer from 1 to 49,999 nM."""
-    total = sum((F.ascii(F.substring(peptide, i, 1)) * i for i in range(1, 16)), F.lit(0))  # of up to 15 residues
-    return (1 + (total * (ordinal(allele) + 7)) % 49_999).cast("double")
+    return (1 + (weight * (ordinal(allele) + 7)) % 49_999).cast("double")
 
 
 def _predictor(spark, alleles=ALLELES, **options) -> ExpressionPredictor:
     value = F.col("value")
-    columns = [{"value": affinity(F.col("peptide"), F.col("allele"))}, {"score": F.round(scoring.log50k(value), 6), "percentile_rank": F.round(value / 500, 4)}]
-    return ExpressionPredictor(spark, alleles, columns, name="standin", **options)
+    columns = [{"value": affinity(F.col("_weight"), F.col("allele"))}, {"score": F.round(scoring.log50k(value), 6), "percentile_rank": F.round(value / 500, 4)}]
+    return ExpressionPredictor(spark, alleles, columns, name="standin", shared={"_weight": weight(F.col("peptide"))}, **options)
 
 
 def _processing(spark, cls=ProcessingPredictor, **options):
@@ -293,7 +296,7 @@ def protein_predictions(spark, sf):
 
 @query(f"WITH {DOCS}, {ALL}, {_win(9)}, {SCORED} SELECT w.name AS source_sequence_name, allele, count(*) AS n, min(value) AS strongest FROM win w JOIN scored s USING (peptide) GROUP BY ALL")
 def document_binders(spark, sf):
-    """Strongest binding of every document and allele: distinct peptides are scored once and joined back."""
+    """Strongest binding of every document and allele: windows are scored where they stand."""
     rows = _predictor(spark).predict_proteins(document_proteins(spark, sf), [9])
     return rows.groupBy("source_sequence_name", "allele").agg(F.count("*").alias("n"), F.min("value").alias("strongest"))
 
@@ -544,7 +547,7 @@ def _made_output(spark, sf, line, head: str) -> DataFrame:
 
 
 def _value():
-    return affinity(F.col("peptide"), F.lit(ALLELES[0])).cast("long")
+    return affinity(weight(F.col("peptide")), F.lit(ALLELES[0])).cast("long")
 
 
 def _score(base: int = 1000) -> Column:

@@ -8,6 +8,7 @@ from epitrail.functions import scoring
 from epitrail.operators import windows
 from epitrail.operators.scan import carried
 from epitrail.plans import catalog, large  # noqa: F401  large adds its queries to the catalogue
+from epitrail.predictors.base import ExpressionPredictor
 from epitrail.predictors.processing import ProcessingPredictor
 
 TEXTS = {1: "Some words, and some more words; " * 9, 2: "", 3: None, 4: "zebras ate 12 apples", 5: "abcdefgh", 6: "zzzzzzzz aaaaaaaaaaa", 7: "short"}
@@ -88,3 +89,20 @@ def test_batches_of_blocks_see_what_one_window_sees(spark, monkeypatch):
             for o in range(len(seq) - k + 1):
                 want[name, o, k] = cell(o + k - 1, -1) + 10 * cell(o - 1, -1) + 100 * sum(cell(i, 0) for i in range(o, o + k - 1))
     assert {(r.source_sequence_name, r.offset, len(r.peptide)): r.score for r in found.collect()} == pytest.approx(want)
+
+
+def test_document_binders_moves_no_windows(spark, folder):
+    df = catalog.QUERIES["document_binders"](spark, folder)
+    assert "Join" not in plan(df)
+    assert df.agg(F.sum("n")).first()[0] == 3 * sum(max(0, len("".join(c for c in t or "" if c.isalpha())) - 8) for t in TEXTS.values())
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_scores_in_place_are_those_of_distinct_peptides(spark, ordered):
+    seqs = spark.createDataFrame([("a", "ACDEFGHIKLACDEFGHIKL"), ("b", "ACDEFGHIKL"), ("c", None), ("d", "ACD")], "name string, seq string").repartition(3, "name")
+    columns = [{"value": F.col("_n") * 2.0 + F.length("allele")}, {"score": F.col("value") / 100, "offset": F.lit(99), "source_sequence_name": F.lit("none")}]
+    here, once = (
+        ExpressionPredictor(spark, ["HLA-A*02:01", "HLA-DRB1*01:01"], columns, shared={"_n": F.ascii("peptide")}, once=x).predict_proteins(seqs, [8, 9], ordered=ordered) for x in (False, True)
+    )
+    assert here.schema == once.schema and here.count() == 2 * (13 + 3 + 12 + 2)
+    assert sorted(map(str, here.collect())) == sorted(map(str, once.collect()))
