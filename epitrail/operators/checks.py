@@ -76,21 +76,35 @@ def names_of(alleles: DataFrame) -> list[str]:
     return sorted(found)
 
 
-def pair_bits(results: DataFrame, peptides: DataFrame, names: list[str]) -> DataFrame:
-    """``peptide, asked, bits, others`` of each peptide that was asked for or has results: one row, one shuffle.
+def _numbered(results: DataFrame, names: list[str]) -> DataFrame:
+    """``peptide, allele, number`` of results: the allele's among the ``names``, or null."""
+    number = F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i))), F.col("allele")) if names else F.lit(None).cast("int")
+    return results.select("peptide", "allele", number.alias("number"))
+
+
+def pair_bits(results: DataFrame, peptides: DataFrame, names: list[str], listed: bool = True) -> DataFrame:
+    """``peptide, asked, bits[, others]`` of each peptide that was asked for or has results: one row, one shuffle.
 
     ``bits``: an array of longs in which bit i says whether there is a result for ``names[i]``; ``others``: alleles of results that are not among the
-    ``names``. Bits are combined before rows move, so repeated results cost nothing.
+    ``names``, if they are to be ``listed``. Bits are combined before rows move, so repeated results cost nothing. Lists have Spark sort all rows by peptide; bits alone do not.
     """
     words = range(-(-len(names) // 64))
-    number = F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i))), F.col("allele")) if names else F.lit(None).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("number") % 64)
     zero = F.lit(0).cast("long")
-    told = results.select("peptide", "allele", number.alias("number"))
-    seen = told.select("peptide", F.lit(False).alias("asked"), *(F.when(F.floor(F.col("number") / 64) == w, one).otherwise(zero).alias(f"w{w}") for w in words), F.when(F.col("number").isNull(), F.struct("allele")).alias("other"))
-    wanted = peptides.select("peptide", F.lit(True).alias("asked"), *(zero.alias(f"w{w}") for w in words), F.lit(None).cast("struct<allele: string>").alias("other"))
-    both = seen.unionByName(wanted).groupBy("peptide").agg(F.max("asked").alias("asked"), *(F.bit_or(f"w{w}").alias(f"w{w}") for w in words), F.collect_set("other").alias("others"))
-    return both.select("peptide", "asked", F.array(*(f"w{w}" for w in words)).cast("array<bigint>").alias("bits"), F.transform("others", lambda x: x["allele"]).alias("others"))
+    told = _numbered(results, names)
+    other = [F.when(F.col("number").isNull(), F.struct("allele")).alias("other")] if listed else []
+    none = [F.lit(None).cast("struct<allele: string>").alias("other")] if listed else []
+    seen = told.select("peptide", F.lit(False).alias("asked"), *(F.when(F.floor(F.col("number") / 64) == w, one).otherwise(zero).alias(f"w{w}") for w in words), *other)
+    wanted = peptides.select("peptide", F.lit(True).alias("asked"), *(zero.alias(f"w{w}") for w in words), *none)
+    sets = [F.collect_set("other").alias("others")] if listed else []
+    both = seen.unionByName(wanted).groupBy("peptide").agg(F.max("asked").alias("asked"), *(F.bit_or(f"w{w}").alias(f"w{w}") for w in words), *sets)
+    names_of_others = [F.transform("others", lambda x: x["allele"]).alias("others")] if listed else []
+    return both.select("peptide", "asked", F.array(*(f"w{w}" for w in words)).cast("array<bigint>").alias("bits"), *names_of_others)
+
+
+def others(results: DataFrame, names: list[str]) -> DataFrame:
+    """``peptide, allele`` of the results whose allele is not among the ``names``, each once."""
+    return _numbered(results, names).where("number IS NULL").select("peptide", "allele").distinct()
 
 
 def _named(names: list[str], is_set: bool) -> Column:
@@ -102,17 +116,29 @@ def _named(names: list[str], is_set: bool) -> Column:
     return F.transform(chosen, lambda i: F.get(listed, i))
 
 
+def _told(bits: DataFrame, names: list[str]) -> DataFrame:
+    """``what, peptide, allele`` by :func:`pair_bits`: a peptide that was asked for misses the names without a bit; of another, those with a bit are unexpected."""
+    alleles = F.when(F.col("asked"), _named(names, False)).otherwise(_named(names, True))
+    return bits.select(F.when(F.col("asked"), "missing").otherwise("unexpected").alias("what"), "peptide", F.explode(alleles).alias("allele"))
+
+
+def gaps(results: DataFrame, peptides: DataFrame, alleles: DataFrame) -> DataFrame:
+    """:func:`missing_pairs` and :func:`unexpected_pairs` in one table, with ``what``: ``missing`` or ``unexpected``; bits are gathered once."""
+    names = names_of(alleles)
+    return _told(pair_bits(results, peptides, names, listed=False), names).unionByName(others(results, names).withColumn("what", F.lit("unexpected")))
+
+
 def missing_pairs(results: DataFrame, peptides: DataFrame, alleles: DataFrame) -> DataFrame:
     """``peptide, allele`` of the expected pairs that have no result, read from :func:`pair_bits`."""
     names = names_of(alleles)
-    return pair_bits(results, peptides, names).where("asked").select("peptide", F.explode(_named(names, False)).alias("allele"))
+    return pair_bits(results, peptides, names, listed=False).where("asked").select("peptide", F.explode(_named(names, False)).alias("allele"))
 
 
 def unexpected_pairs(results: DataFrame, peptides: DataFrame, alleles: DataFrame) -> DataFrame:
-    """``peptide, allele`` of the results that nobody asked for, read from :func:`pair_bits`."""
+    """``peptide, allele`` of the results that nobody asked for, read from :func:`pair_bits`, and of :func:`others`."""
     names = names_of(alleles)
-    odd = F.concat("others", F.when(~F.col("asked"), _named(names, True)).otherwise(F.array().cast("array<string>")))
-    return pair_bits(results, peptides, names).select("peptide", F.explode(odd).alias("allele"))
+    known = pair_bits(results, peptides, names, listed=False).where("NOT asked").select("peptide", F.explode(_named(names, True)).alias("allele"))
+    return known.unionByName(others(results, names))
 
 
 def require_complete(results: DataFrame, peptides: DataFrame, alleles: DataFrame) -> DataFrame:

@@ -53,12 +53,12 @@ SELECT 'missing' AS what, allele, count(*) AS n, {SUM32.format("peptide")} AS di
 UNION ALL SELECT 'unexpected', 'HLA-E*01:01', count(*), {SUM32.format("peptide")} FROM p WHERE ascii(peptide) % 5 = 0 HAVING count(*) > 0""")
 def document_completeness(spark, sf):
     """Gaps in, and additions to, the results of all windows of all documents, by allele."""
-    w = windows.kmers(catalog.document_proteins(spark, sf), [9])
+    asked = windows.distinct_peptides(windows.kmers(catalog.document_proteins(spark, sf), [9]))
     alleles = spark.createDataFrame([(a,) for a in ALLELES], "allele string")
-    distinct = windows.distinct_peptides(w)
-    made = combine.pairs(distinct, alleles).where(~_odd(F.col("peptide"), catalog.ordinal(F.col("allele"))))
-    found = made.unionByName(distinct.where(F.ascii("peptide") % 5 == 0).withColumn("allele", F.lit("HLA-E*01:01")))
-    told = checks.missing_pairs(found, w, alleles).withColumn("what", F.lit("missing")).unionByName(checks.unexpected_pairs(found, w, alleles).withColumn("what", F.lit("unexpected")))
+    # results of what was asked for, without some, and with those of an allele that was not asked for
+    made = combine.pairs(asked, alleles.union(spark.createDataFrame([("HLA-E*01:01",)], "allele string")))
+    kept = F.when(F.col("allele") == "HLA-E*01:01", F.ascii("peptide") % 5 == 0).otherwise(~_odd(F.col("peptide"), catalog.ordinal(F.col("allele"))))
+    told = checks.gaps(made.where(kept), asked, alleles)
     return told.groupBy("what", "allele").agg(F.count("*").alias("n"), catalog._sum32(F.col("peptide")).alias("digest"))
 
 

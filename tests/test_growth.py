@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epitrail.functions import scoring
-from epitrail.operators import windows
+from epitrail.operators import checks, windows
 from epitrail.operators.scan import carried
 from epitrail.plans import catalog, large  # noqa: F401  large adds its queries to the catalogue
 from epitrail.predictors.base import ExpressionPredictor
@@ -106,3 +106,24 @@ def test_scores_in_place_are_those_of_distinct_peptides(spark, ordered):
     )
     assert here.schema == once.schema and here.count() == 2 * (13 + 3 + 12 + 2)
     assert sorted(map(str, here.collect())) == sorted(map(str, once.collect()))
+
+
+def test_document_completeness_gathers_once(spark, folder):
+    df = catalog.QUERIES["document_completeness"](spark, folder)
+    assert "Sort" not in plan(df) and "ObjectHash" not in plan(df)  # sets of names would have all rows sorted
+    assert plan(df).count("FileScan parquet") == 3
+    letters = ["".join(c for c in t or "" if c.isalpha()).upper() for t in TEXTS.values()]
+    asked = {s[o : o + 9] for s in letters for o in range(len(s) - 8)}
+    missing = [sum((ord(p[0]) + 3 * i + ord(p[4])) % 7 == 0 for p in asked) for i in range(3)]
+    want = {("missing", a, n) for a, n in zip(catalog.ALLELES, missing) if n} | {("unexpected", "HLA-E*01:01", sum(ord(p[0]) % 5 == 0 for p in asked))}
+    assert {(r.what, r.allele, r.n) for r in df.collect()} == want
+
+
+def test_gaps_are_missing_and_unexpected_pairs(spark):
+    have = [("P", "A"), ("P", "A"), ("Q", "other"), ("Q", "other"), ("T", "B"), ("U", None), ("U", "other")]
+    res = spark.createDataFrame(have, "peptide string, allele string").repartition(3)
+    pep = spark.createDataFrame([("P",), ("Q",), ("Q",)], "peptide string")
+    alleles = spark.createDataFrame([("A",), ("B",)], "allele string")
+    told = sorted((tuple(r) for r in checks.gaps(res, pep, alleles).collect()), key=str)
+    parts = [(what, *r) for what, f in (("missing", checks.missing_pairs), ("unexpected", checks.unexpected_pairs)) for r in f(res, pep, alleles).collect()]
+    assert told == sorted(parts, key=str) and len(told) == 3 + 4
